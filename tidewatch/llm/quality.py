@@ -2,7 +2,7 @@
 
 Each document gets statistics such as rules are made of: length of words, symbols, repeated lines and windows. Fixed
 base rules reject short and very repetitive texts. For the rest, a forest of random splits is grown on a bounded sample
-of good labelled rows; a document that few splits isolate is anomalous. How anomalous a document may be is calibrated
+of labelled rows; a document that few splits isolate is anomalous. How anomalous a document may be is calibrated
 on all labelled rows.
 """
 
@@ -25,8 +25,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
 
-#: What a tree may split on.
-FEATURES = ("mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "mark_share", "digit_share", "letter_share", "long_word_share")
+#: What a tree may split on: shares of words, as rules state them. Each is read in steps of STEP, so that the small
+#: differences between ordinary documents are no differences, and a short text is drawn towards 0 by BLANK more words.
+FEATURES = ("symbols", "capitals", "shouted", "odd_ends", "no_letters", "long_words")
+STEP, BLANK, LONG = 0.15, 20, 24
+ENDS = frozenset("#*$%&|<>@^~=")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = T.StructType(
@@ -72,14 +75,15 @@ def _measure(text: str) -> tuple[list[int], list[float]]:
     chars = sum(map(len, words))
     lines = [x for x in text.split("\n") if WORD.search(x)]
     dup, rep = len(lines) - len(set(lines)), repeated_words(words)
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    counts = np.bincount(b, minlength=256)
-    upper, lower, digit = counts[65:91].sum(), counts[97:123].sum(), counts[48:58].sum()
-    letters = upper + lower + counts[0xC0:].sum()
-    marks = counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum()
-    w, c = max(n, 1), max(chars, 1)
-    shares = [chars / w, symbols / w, dup / max(len(lines), 1), rep / w, len(set(words)) / w**0.75, upper / c, marks / c, digit / c, letters / c, sum(len(x) > 20 for x in words) / w]
-    return [n, chars, symbols, dup, rep], [float(x) for x in shares]
+    found = (
+        symbols,
+        sum(len(w) > 1 and w.isupper() for w in words),
+        sum(w[-1] in "!?" for w in words),
+        sum(w[-1] in ENDS for w in words),
+        sum(not any(map(str.isalpha, w)) for w in words),
+        sum(len(w) > LONG for w in words),
+    )
+    return [n, chars, symbols, dup, rep], [min(x / (n + BLANK), 1.0) // STEP for x in found]
 
 
 def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -157,18 +161,19 @@ def grow(x: np.ndarray, n_trees: int, sample: int, seed: int) -> Forest:
 
 
 def fit(stats: DataFrame, labels: DataFrame, n_trees: int = 100, sample: int = 256, most_rows: int = 8192, seed: int = 7, most_good_lost: float = 0.0005) -> Forest:
-    """Grow a forest on good labelled rows and set its threshold by all labelled rows.
+    """Grow a forest on labelled rows and set its threshold by all labelled rows.
 
     The forest is fitted on at most most_rows rows (a documented bound), those with the least hash of their doc_id
-    among rows labelled good that pass the base rules. The threshold looks at every labelled row, by way of a histogram
-    of scores with 1000 bins: it is the least score that at most the share most_good_lost of the good rows reaches and
-    at which rejected rows are still mostly bad; where no score will do, nothing is rejected.
+    among labelled rows that pass the base rules. The threshold looks at every labelled row, by way of a histogram of
+    scores with 1000 bins: the least score that at most the share most_good_lost of the good rows reaches and at which
+    rejected rows are mostly bad, moved half way to the least bad score above it. Where there is none, nothing is
+    rejected.
     """
     labelled = stats.filter(~base_failed()).join(
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")), "doc_id"
     )
-    good = labelled.filter("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows).select(*FEATURES).toPandas().to_numpy(np.float64)
-    forest = grow(good, n_trees, sample, seed)
+    rows = labelled.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows).select(*FEATURES).toPandas().to_numpy(np.float64)
+    forest = grow(rows, n_trees, sample, seed)
     bins = scored(labelled, forest, keep=("quality",)).groupBy(F.floor(F.col("anomaly") * 1000).cast("int").alias("bin"), "quality").agg(F.count(F.lit(1)).alias("n")).toPandas()
     forest.threshold = _threshold(bins, most_good_lost)
     return forest
@@ -180,7 +185,10 @@ def _threshold(bins: pd.DataFrame, most_good_lost: float) -> float:
     np.add.at(bad, bins.loc[bins.quality == 0, "bin"].to_numpy(int), bins.loc[bins.quality == 0, "n"].to_numpy(float))
     above_good, above_bad = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
     fine = (above_good <= most_good_lost * max(good.sum(), 1)) & (above_bad > above_good)
-    return float(np.flatnonzero(fine)[0]) / 1000 if fine.any() else 1.001
+    if not fine.any():
+        return 1.001
+    least = int(np.flatnonzero(fine)[0])
+    return (least + int(np.flatnonzero(bad[least:])[0]) / 2) / 1000
 
 
 def scored(stats: DataFrame, forest: Forest, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -202,7 +210,7 @@ def judge(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
     docs needs doc_id and text, labels doc_id and quality (1 good, 0 bad); other columns are ignored. A null text counts
     as empty and fails the base rules. Repeated rows are each judged, with equal results. A doc_id labelled twice is bad
-    if either says so; labels that are null are passed over. Without good labels no forest is grown, and the base rules
+    if either says so; labels that are null are passed over. Without labels no forest is grown, and the base rules
     alone decide. An empty table gives no rows.
     """
     stats = common.saved(statistics(docs), "quality-stats")
