@@ -23,7 +23,7 @@ from . import common
 LIMIT = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; when more have been seen, it starts afresh.
-MEMORY = 300_000
+MEMORY = 500_000
 #: Characters of a word that is not remembered.
 LONG = 100
 
@@ -42,24 +42,50 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _lower(text: str) -> str:
+    """Lower case, where that is sure to be the tokenizer's own: not by context, and no special token arises."""
+    return text if "<|" in text or "\u03a3" in text or "\u0130" in text else text.lower()
+
+
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encode texts to little-endian 32-bit ids, for tokenizers that drop white space.
+    """Encode texts to little-endian 32-bit ids, for tokenizers that lower the case, drop white space and mark word ends.
 
-    Such a tokenizer never joins what a space or a line feed parts, so that the ids of a text are those of its words
-    in turn, and each distinct word is encoded once.
+    Such a tokenizer never joins what a space or a line feed parts, nor a letter to the full stop or comma after it, so
+    that the ids of a text are those of its words in turn, and each distinct word is encoded once. Words of letters
+    alone are encoded many at a time and told apart by the ids that end a word.
     """
     tok, known = _tokenizer(path), {}
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+    tails = {t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ".,"}
+
+    def learn(new: set[str]) -> None:
+        tailed = [w for w in new if w[-1:] in tails and w[:-1].isalpha()]
+        alone = (new.difference(tailed) | {w[:-1] for w in tailed}) - known.keys()
+        letters = [w for w in alone if w.isalpha()]
+        others = [w for w in alone if not w.isalpha()]
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
+            data = ids.tobytes()
+            if len(cuts) - 1 == len(part):
+                known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(part, cuts, cuts[1:], strict=False))
+            else:  # a letter that the tokenizer's normal form takes apart
+                others += part
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
+            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        known.update((w, known[w[:-1]] + tails[w[-1]]) for w in tailed)
 
     def encode(texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - known.keys())
+        words = [_lower(t).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*words) - known.keys()
         if len(known) + len(new) > MEMORY:
             known.clear()
-            new = list(set().union(*words))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            new = set().union(*words)
+        learn(new)
         out = [b"".join(map(known.__getitem__, ws)) for ws in words]
         for w in new:
             if len(w) > LONG:  # such words seldom come back, and a few could fill the memory
