@@ -10,12 +10,14 @@ from .packing import op3_pack_power_of_two
 from .pii import op10_personal_data
 from .quality import op1_quality_forest
 from .secrets import op6_secret_scan
+from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op8_token_histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_forest": op1_quality_forest,
     "op3_pack_power_of_two": op3_pack_power_of_two,
     "op6_secret_scan": op6_secret_scan,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_histogram": op8_token_histogram,
     "op10_personal_data": op10_personal_data,
 }
