@@ -23,7 +23,7 @@ from . import common
 LIMIT = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; when more have been seen, it starts afresh.
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: Characters of a word that is not remembered.
 LONG = 100
 
@@ -47,6 +47,7 @@ def _lower(text: str) -> str:
     return text if "<|" in text or "\u03a3" in text or "\u0130" in text else text.lower()
 
 
+@functools.cache
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Encode texts to little-endian 32-bit ids, for tokenizers that lower the case, drop white space and mark word ends.
 
