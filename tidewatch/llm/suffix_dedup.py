@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, hashing
 
 LENGTH = 400
 #: Bytes that are taken at once; a longer text is taken in pieces of so many window starts.
@@ -35,41 +35,12 @@ PIECE = 2 << 20
 #: Symbols of a shard, and of the shards that are merged at once (more only where one seed has more).
 SHARD, MERGE = 1 << 18, 1 << 20
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-_TABLES = tuple(np.random.default_rng(s).integers(0, 1 << 64, 256, np.uint64) for s in (11, 23))
-
-
 def geometry(length: int) -> tuple[int, int, int]:
     """span: window starts that may share a minimizer; k: bytes hashed at a position; seed: bytes after a minimizer."""
     span = max(length * 2 // 5, 1)
     return span, min(8, length - span + 1), length - span + 1
 
 
-class _Prefix:
-    """Hashes of any slice of data: polynomials over tabulated bytes, modulo 2**64."""
-
-    def __init__(self, data: np.ndarray, which: int, powers: tuple[np.ndarray, np.ndarray]):
-        self.inverse = powers[1]
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLES[which][data] * powers[0][: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        h ^= h >> np.uint64(32)
-        return (h * _ODD).view(np.int64)
-
-
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(_BASES[which])
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(n, b, np.uint64)
-        x[0] = 1
-        both.append(np.cumprod(x))
-    return both[0], both[1]
-
-
 def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
     """The least of each span values in a row."""
     width = 1
@@ -79,7 +50,7 @@ def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (span - width)], x[span - width :]) if span > width else x
 
 
-def cut_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, powers) -> tuple[np.ndarray, ...]:
+def cut_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """seed, unit, minimizer, first and last window start (places in data) of every unit of texts in data."""
     span, k, seed = geometry(length)
     none = np.zeros(0, np.int64)
@@ -89,9 +60,9 @@ def cut_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     h = np.zeros(n, np.uint64)
     for j in range(k):
         h = (h << np.uint64(8)) | data[j : j + n]
-    h *= _ODD
+    h *= hashing.ODD
     h ^= h >> np.uint64(29)
-    h *= _BASES[0]
+    h *= hashing.BASES[0]
     h = ((h >> np.uint64(32)) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
     least = _sliding_min(h, span) & np.uint64(0xFFFFFFFF)
     edge = np.zeros(len(data) + 1, np.int32)
@@ -104,7 +75,7 @@ def cut_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     m = least[at].astype(np.int64)
     new = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
     m, lo, hi = m[new], at[new], at[np.r_[new[1:] - 1, len(at) - 1]]
-    return _Prefix(data, 0, powers[0]).of(m, m + seed), _Prefix(data, 1, powers[1]).of(lo, hi + length), m, lo, hi
+    return hashing.Prefix(data, 0).of(m, m + seed), hashing.Prefix(data, 1).of(lo, hi + length), m, lo, hi
 
 
 def _pieces(column: pa.BinaryArray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,11 +104,10 @@ def units(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """The units of every text, for rows of key and text (binary, not null)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = [_powers(PIECE + length + 1, which) for which in (0, 1)]
         for batch in batches:
             keys = batch.column(0)
             for data, starts, ends, rows, places in _pieces(batch.column(1), length):
-                seed, unit, m, lo, hi = cut_units(data, starts, ends, length, powers)
+                seed, unit, m, lo, hi = cut_units(data, starts, ends, length)
                 if not len(m):
                     continue
                 of = np.searchsorted(starts, lo, "right") - 1
