@@ -6,15 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; a word is a maximal run of other characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch of texts. A batch of long texts stays small enough for a worker.
-TEXT_BATCH = 512
+#: Bytes of text that a worker takes at once (more only where one text has more).
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,16 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, right
     return left.join(F.broadcast(right) if right_rows * row_bytes <= most_bytes else right, on, how)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have about as many bytes as a worker takes at once."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by keys, about most_rows each (more only where one group has more)."""
     held: list[pa.RecordBatch] = []

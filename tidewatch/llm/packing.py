@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +49,8 @@ def _lower(text: str) -> str:
 
 
 @functools.cache
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encode texts to little-endian 32-bit ids, for tokenizers that lower the case, drop white space and mark word ends.
+def word_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encode texts to little-endian 32-bit ids, with the bounds of each text's among them, for tokenizers that lower the case, drop white space and mark word ends.
 
     Such a tokenizer never joins what a space or a line feed parts, nor a letter to the full stop or comma after it, so
     that the ids of a text are those of its words in turn, and each distinct word is encoded once. Words of letters
@@ -80,18 +81,27 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 known[w] = np.array(e.ids, "<u4").tobytes()
         known.update((w, known[w[:-1]] + tails[w[-1]]) for w in tailed)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        words = [_lower(t).replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*words) - known.keys()
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(pa.array([_lower(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        bounds = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        new = [w for w in distinct if w not in known]
         if len(known) + len(new) > MEMORY:
             known.clear()
-            new = set().union(*words)
-        learn(new)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+            new = distinct
+        learn(set(new))
+        found = [known[w] for w in distinct]
         for w in new:
             if len(w) > LONG:  # such words seldom come back, and a few could fill the memory
                 del known[w]
-        return out
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = size[which]
+        end = np.r_[0, np.cumsum(n)]
+        out = ids[np.repeat(first[which] - end[:-1], n) + np.arange(end[-1])]
+        return out, end[bounds]
 
     return encode
 
@@ -133,11 +143,11 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in common.slices(batch, 1, 2 * common.SLICE_BYTES):
                 out: list[list] = [[] for _ in schema]
-                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
+                every, bounds = encode([t or "" for t in part.column(1).to_pylist()])
+                for doc, i, j in zip(part.column(0).to_pylist(), bounds, bounds[1:], strict=False):
+                    ids = every[i:j].tobytes() + end
                     n, start = len(ids) // 4, 0
                     for length in piece_lengths(n, limit):
                         piece = ids[4 * start : 4 * (start + length)]
