@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .neighbours import op2_projection_forest
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op3_pack_power_of_two
 from .pii import op10_personal_data
@@ -16,6 +17,7 @@ from .token_counts import op8_token_histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_forest": op1_quality_forest,
+    "op2_projection_forest": op2_projection_forest,
     "op3_pack_power_of_two": op3_pack_power_of_two,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
