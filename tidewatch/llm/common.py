@@ -64,6 +64,16 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         at = end
 
 
+def gather(found: list[bytes], which: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, from those of their distinct words (little-endian 32-bit), which word stands where, and where
+    each text's words begin; with the bounds of each text's ids."""
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    first, n = np.cumsum(size) - size, size[which]
+    end = np.r_[0, np.cumsum(n)]
+    ids = np.frombuffer(b"".join(found), "<u4")
+    return ids[np.repeat(first[which] - end[:-1], n) + np.arange(end[-1])], end[bounds]
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by keys, about most_rows each (more only where one group has more)."""
     held: list[pa.RecordBatch] = []

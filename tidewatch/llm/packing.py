@@ -95,13 +95,7 @@ def word_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarra
         for w in new:
             if len(w) > LONG:  # such words seldom come back, and a few could fill the memory
                 del known[w]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        first = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(found), "<u4")
-        n = size[which]
-        end = np.r_[0, np.cumsum(n)]
-        out = ids[np.repeat(first[which] - end[:-1], n) + np.arange(end[-1])]
-        return out, end[bounds]
+        return common.gather(found, which, bounds)
 
     return encode
 

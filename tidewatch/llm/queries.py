@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .neighbours import op2_projection_forest
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op3_pack_power_of_two
+from .pieces import op9_unigram_pieces
 from .pii import op10_personal_data
 from .quality import op1_quality_forest
 from .secrets import op6_secret_scan
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_histogram": op8_token_histogram,
+    "op9_unigram_pieces": op9_unigram_pieces,
     "op10_personal_data": op10_personal_data,
 }
 

@@ -31,7 +31,7 @@ from . import common, hashing
 
 LENGTH = 400
 #: Bytes that are taken at once; a longer text is taken in pieces of so many window starts.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Symbols of a shard, and of the shards that are merged at once (more only where one seed has more).
 SHARD, MERGE = 1 << 18, 1 << 20
 
