@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, hashing
@@ -97,11 +97,31 @@ def _pieces(column: pa.BinaryArray, length: int) -> Iterator[tuple[np.ndarray, n
         row = end
 
 
-UNITS = "key binary, seed long, unit long, m int, lo int, hi int"
+UNITS = "key binary, seed long, unit long, m int, lo int, hi int, count int, more array<int>"
+
+
+def _once(of: np.ndarray, seed: np.ndarray, unit: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """Which units to keep so that a text has each unit once, how often it has it, and where else: lo, hi, lo, hi, ..."""
+    h = (seed.view(np.uint64) * hashing.ODD + unit.view(np.uint64)) * hashing.BASES[0] + of.astype(np.uint64)
+    order = np.argsort(h, kind="stable")
+    x = order[1:], order[:-1]
+    same = (h[x[0]] == h[x[1]]) & (unit[x[0]] == unit[x[1]]) & (seed[x[0]] == seed[x[1]]) & (of[x[0]] == of[x[1]])
+    first = np.flatnonzero(np.r_[True, ~same])
+    size = np.diff(np.r_[first, len(order)])
+    more: list = [None] * len(first)
+    for g in np.flatnonzero(size > 1):
+        rest = order[first[g] + 1 : first[g] + size[g]]
+        a, b = lo[rest], hi[rest]
+        new = np.flatnonzero(np.r_[True, a[1:] > b[:-1] + 1])
+        more[g] = np.column_stack([a[new], b[np.r_[new[1:] - 1, len(b) - 1]]]).ravel().tolist()
+    return order[first], size, more
 
 
 def units(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The units of every text, for rows of key and text (binary, not null)."""
+    """The units of every text, for rows of key and text (binary, not null).
+
+    A unit that a text has more than once, as periodic texts do, is one row with a count and the other places in more.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +132,16 @@ def units(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     continue
                 of = np.searchsorted(starts, lo, "right") - 1
                 shift = places[of] - starts[of]
+                m, lo, hi = m + shift, lo + shift, hi + shift
+                kept, count, more = _once(of, seed, unit, lo, hi)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(rows[of])), pa.array(seed), pa.array(unit), *(pa.array((x + shift).astype(np.int32)) for x in (m, lo, hi))],
-                    names=["key", "seed", "unit", "m", "lo", "hi"],
+                    [
+                        keys.take(pa.array(rows[of[kept]])),
+                        *(pa.array(x[kept]) for x in (seed, unit)),
+                        *(pa.array(x.astype(np.int32)) for x in (m[kept], lo[kept], hi[kept], count)),
+                        pa.array(more, pa.list_(pa.int32())),
+                    ],
+                    names=["key", "seed", "unit", "m", "lo", "hi", "count", "more"],
                 )
 
     return texts.mapInArrow(cut, UNITS)
@@ -256,8 +283,9 @@ def _met(rows: DataFrame, n) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """key and ranges: the byte ranges of each distinct text that repeated strings cover, in order and apart."""
     texts = docs.select(common.text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") >= length)
-    met = common.saved(_met(units(texts, length), F.lit(1)), "repeat-units")
-    sure = met.filter("n_unit > 1").select("key", "lo", "hi")
+    met = common.saved(_met(units(texts, length), F.col("count")), "repeat-units")
+    places = F.concat(F.array("lo", "hi"), F.coalesce("more", F.array().cast("array<int>")))
+    sure = met.filter("n_unit > 1").select("key", F.explode(_pairs(places)).alias("x")).select("key", "x.lo", "x.hi")
     unsure = met.filter("n_unit < n_seed").groupBy("seed", "unit").agg(F.min(F.struct("key", "m", "lo", "hi")).alias("x"), F.first("n_unit").alias("count"))
     picked = common.saved(unsure.groupBy("x.key").agg(F.collect_list(F.struct("x.m", "x.lo", "x.hi", "count")).alias("picked")), "repeat-picked")
     n = picked.agg(F.coalesce(F.sum(F.size("picked")), F.lit(0))).first()[0]
@@ -271,6 +299,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return sets.mapInArrow(lambda batches: _joined(batches, length), "key binary, ranges array<int>")
 
 
+def _pairs(flat: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), (F.size(flat) / 2 - 1).cast("int")), lambda i: F.struct(F.get(flat, 2 * i).alias("lo"), F.get(flat, 2 * i + 1).alias("hi")))
+
+
 def _joined(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Window starts to byte ranges that neither touch nor overlap, as start, end, start, end, ..."""
     for batch in batches:
