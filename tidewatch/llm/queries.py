@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import op5_license_scan
 from .neighbours import op2_projection_forest
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op3_pack_power_of_two
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_projection_forest": op2_projection_forest,
     "op3_pack_power_of_two": op3_pack_power_of_two,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_histogram": op8_token_histogram,
