@@ -49,7 +49,7 @@ def small(df: DataFrame, most_bytes: int, row_bytes: int) -> bool:
     return df.count() * row_bytes <= most_bytes
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, right_rows: int, row_bytes: int, most_bytes: int = 48 << 20) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, right_rows: int, row_bytes: int, most_bytes: int = 48 << 20) -> DataFrame:
     """Join with a broadcast where right's size is known to be under the bound, else by a shuffle of both sides."""
     return left.join(F.broadcast(right) if right_rows * row_bytes <= most_bytes else right, on, how)
 

@@ -244,16 +244,8 @@ def verified_links(rows: DataFrame, words: int = WORDS, threshold: float = THRES
     return dealt.select("root", "i", "j", "mine", "key", "signature", "n_docs", "text").mapInArrow(verify, "key binary, links long, to binary")
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, n_links and n_shingles.
-
-    n_links counts the other rows whose set of shingles has a Jaccard similarity of at least threshold with the row's
-    own; class_id is the least doc_id among the rows that links connect. docs needs doc_id and text; other columns are
-    ignored, whatever their names. A word is a run of characters other than ASCII white space, as it is written. A
-    text of fewer words than a shingle is one shingle; null and empty texts have none, equal each other, and link to no
-    other. Repeated rows are copies of each other. The class_id of rows that have no doc_id among them is null. Long
-    texts are read whole. An empty table gives no rows. The threshold must be at least 0.8, for which the bands are cut.
-    """
+def classed(docs: DataFrame, words: int, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """The rows of join() with text_key, which names the row's text, and root, which names its component."""
     if not THRESHOLD <= threshold <= 1:
         raise ValueError("threshold must be between 0.8 and 1")
     signed = common.saved(signatures(docs, words), "join-signatures")
@@ -277,8 +269,43 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tole
     named = classes.select("key", "n_docs", "least_doc", "size").join(roots.withColumnRenamed("node", "key"), "key", "left").join(linked, "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least_doc").alias("class_id"))
-    named = named.join(least, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.col("size").cast("long").alias("n_shingles"))
-    return signed.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", "n_shingles")
+    named = named.join(least, "root").select("key", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.col("size").cast("long").alias("n_shingles"))
+    return signed.select("doc_id", "text_key", "key").join(named, "key").select("doc_id", "text_key", "root", "class_id", "n_links", "n_shingles")
+
+
+def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id, n_links and n_shingles.
+
+    n_links counts the other rows whose set of shingles has a Jaccard similarity of at least threshold with the row's
+    own; class_id is the least doc_id among the rows that links connect. docs needs doc_id and text; other columns are
+    ignored, whatever their names. A word is a run of characters other than ASCII white space, as it is written. A
+    text of fewer words than a shingle is one shingle; null and empty texts have none, equal each other, and link to no
+    other. Repeated rows are copies of each other. The class_id of rows that have no doc_id among them is null. Long
+    texts are read whole. An empty table gives no rows. The threshold must be at least 0.8, for which the bands are cut.
+    """
+    return classed(docs, words, threshold, tolerance, block).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each class of join(): that of least doc_id, and of least text key where that leaves several.
+
+    Rows without a doc_id come last in this order. Columns stay as they are. Null and empty texts are one class.
+    Repeated rows leave one of them. An empty table gives no rows.
+    """
+    rows = classed(docs, words, threshold, tolerance, block).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    rows = common.saved(rows, "join-classed")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first"))
+    ranked = rows.join(first, "root").select("doc_id", "text_key", "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("stays"))
+    ranked = common.saved(ranked, "join-ranked")
+    gone = ranked.filter(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    repeated = ranked.filter("stays and n > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), common.text_key(F.col("text")).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key"))
+    left = common.join_small(inner, gone, same, "left_anti", gone.count(), 80)
+    if not repeated.isEmpty():
+        few = common.join_small(left, repeated, same, "left_semi", repeated.count(), 80).groupBy("id", "key").agg(F.first("row").alias("row"))
+        left = common.join_small(left, repeated, same, "left_anti", repeated.count(), 80).select("row").unionByName(few.select("row"))
+    return left.select("row.*")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,8 +86,11 @@ def _measure(text: str) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dup, rep], [min(x / (n + BLANK), 1.0) // STEP for x in found]
 
 
-def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The counts and shares of every row, from its whole text. A null text counts as empty: all counts 0."""
+def statistics(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """The counts and shares of every row, from its whole text; if keyed, with text_key, which names the text.
+
+    A null text counts as empty: all counts 0.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +98,11 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             counts = np.array([m[0] for m in made], np.int64).reshape(-1, len(COUNTS))
             shares = np.array([m[1] for m in made], np.float64).reshape(-1, len(FEATURES))
             cols = [batch.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), *(pa.array(shares[:, i]) for i in range(len(FEATURES)))]
-            yield pa.RecordBatch.from_arrays(cols, names=STATS.names)
+            yield pa.RecordBatch.from_arrays(cols + batch.columns[2:], names=shape.names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text")).mapInArrow(measure, STATS)
+    key = [common.text_key(F.col("text")).alias("text_key")] if keyed else []
+    shape = T.StructType(STATS.fields + [T.StructField("text_key", T.BinaryType())] * keyed)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *key).mapInArrow(measure, shape)
 
 
 def base_failed():
@@ -220,5 +225,19 @@ def judge(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     return out.select("doc_id", *COUNTS, failed.alias("base_failed"), "anomaly", (~failed & (F.col("anomaly") < F.lit(forest.threshold))).alias("kept"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns as they are.
+
+    A verdict is a function of the text, so that it is the text's key by which rejected rows are taken out: rows
+    without a doc_id and rows that repeat are judged like any other.
+    """
+    stats = common.saved(statistics(docs, keyed=True), "quality-stats")
+    forest = fit(stats, labels, **params)
+    bad = scored(stats, forest, keep=("text_key",)).filter(base_failed() | (F.col("anomaly") >= F.lit(forest.threshold)))
+    bad = common.saved(bad.select("text_key").distinct(), "quality-rejected")
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.text_key(F.col("text")).alias("text_key"))
+    return common.join_small(inner, bad, ["text_key"], "left_anti", bad.count(), 64).select("row.*")
+
+
 def op1_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
