@@ -11,6 +11,8 @@ import re
 #: Strings followed side by side before they are turned into trigrams, and alternatives that a query keeps at most. A
 #: query that would have more is widened, never narrowed: the verification decides.
 MOST = 16
+#: Characters of a class that is read as alternatives.
+FEW = 8
 
 _parse = re._parser.parse  # the standard library's own parser of expressions
 _names = re._constants
@@ -48,7 +50,7 @@ def _characters(item) -> frozenset[str] | None:
             out |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
         else:
             return None
-    return frozenset(out) if len(out) <= 4 else None
+    return frozenset(out) if len(out) <= FEW else None
 
 
 def _walk(items) -> tuple[frozenset[str] | None, Clauses]:
