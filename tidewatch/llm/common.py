@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +69,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
 def gather(found: list[bytes], which: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of texts, from those of their distinct words (little-endian 32-bit), which word stands where, and where
     each text's words begin; with the bounds of each text's ids."""
-    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    first, n = np.cumsum(size) - size, size[which]
-    end = np.r_[0, np.cumsum(n)]
-    ids = np.frombuffer(b"".join(found), "<u4")
-    return ids[np.repeat(first[which] - end[:-1], n) + np.arange(end[-1])], end[bounds]
+    size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+    n = size[which]
+    end = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=end[1:])
+    kind = np.int32 if end[-1] < 1 << 31 else np.int64  # half the memory where it does
+    place = np.arange(end[-1], dtype=kind)
+    place += np.repeat((np.cumsum(size, dtype=np.int64) - size)[which].astype(kind) - end[:-1].astype(kind), n)
+    return np.frombuffer(b"".join(found), "<u4")[place], end[bounds]
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int) -> Iterator[pa.Table]:
@@ -96,3 +101,35 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int) ->
             held, n = rest.to_batches(), rest.num_rows
     if n:
         yield pa.Table.from_batches(held)
+
+
+@functools.cache
+def _trim():
+    """The C library's call that gives freed memory back to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow() with batches bounded by bytes as well as rows, so that neither the executor nor its worker holds many
+    long texts; and a worker gives freed memory back, as it stays for later tasks.
+
+    The bound is a setting of the session, read when the job runs, and so stays set.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in function(batches):
+                yield batch
+                del batch
+                _release()
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)

@@ -150,7 +150,7 @@ def calibrate(distinct: DataFrame, queries: DataFrame, forest: list[Tree], k: in
             held = list(_cut(*(np.concatenate(c) for c in zip(held, best(q, b.column(0).to_numpy(), _matrix(b.column(1)), k + 1), strict=True)), k + 1))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["q", "id", "score"])
 
-    near = distinct.select("id", "vector").mapInArrow(compare, "q long, id long, score double")
+    near = distinct.select("id", "vector").transform(common.in_arrow, compare, "q long, id long, score double")
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
     truth = top.join(distinct, "id").select("q", "id", "vector").toPandas()  # most_queries * (k + 1) rows
     truth = truth[truth["id"].to_numpy() != own[truth["q"].to_numpy(int)]]
@@ -225,10 +225,10 @@ def search(vectors: DataFrame, queries: Column, k: int = NEAREST, trees: int = 1
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["query", "id", "score"])
 
     stream = "tree int, leaf int, kind int, id long, vector array<float>"
-    both = distinct.mapInArrow(index, stream).unionByName(points.repartition("id").mapInArrow(visit, stream))
+    both = distinct.transform(common.in_arrow, index, stream).unionByName(points.repartition("id").transform(common.in_arrow, visit, stream))
     dealt = both.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "kind")
     self_ = points.select(F.col("id").alias("query"), "id", F.col("vector").alias("v")).select("query", "id", _cosine(F.col("v"), F.col("v")).alias("score"))
-    near = dealt.mapInArrow(rerank, "query long, id long, score double").unionByName(self_)
+    near = dealt.transform(common.in_arrow, rerank, "query long, id long, score double").unionByName(self_)
     near = near.groupBy("query", "id").agg(F.max("score").alias("score"))
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     near = near.withColumn("r", F.row_number().over(by_query)).filter(F.col("r") <= k + 1)

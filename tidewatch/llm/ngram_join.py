@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 )
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(text).alias("text_key"), text.cast("binary").alias("text")).mapInArrow(sign, SIGNATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(text).alias("text_key"), text.cast("binary").alias("text")).transform(common.in_arrow, sign, SIGNATURES)
 
 
 def in_blocks(rows: DataFrame, group: str, size: str, block: int = BLOCK) -> DataFrame:
@@ -189,7 +189,7 @@ def candidate_links(rows: DataFrame, threshold: float = THRESHOLD, tolerance: fl
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(to[at])), keys.take(pa.array(at))], names=["a", "b"])
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "mine", "key")
-    return dealt.select("bucket", "i", "j", "mine", "key", "signature").mapInArrow(link, "a binary, b binary")
+    return dealt.select("bucket", "i", "j", "mine", "key", "signature").transform(common.in_arrow, link, "a binary, b binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -241,7 +241,7 @@ def verified_links(rows: DataFrame, words: int = WORDS, threshold: float = THRES
             yield pa.RecordBatch.from_arrays([keys, pa.array(links), keys.take(pa.array(to))], names=["key", "links", "to"])
 
     dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "mine", "key")
-    return dealt.select("root", "i", "j", "mine", "key", "signature", "n_docs", "text").mapInArrow(verify, "key binary, links long, to binary")
+    return dealt.select("root", "i", "j", "mine", "key", "signature", "n_docs", "text").transform(common.in_arrow, verify, "key binary, links long, to binary")
 
 
 def classed(docs: DataFrame, words: int, threshold: float, tolerance: float, block: int) -> DataFrame:

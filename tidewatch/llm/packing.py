@@ -75,8 +75,8 @@ def word_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarra
                 known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(part, cuts, cuts[1:], strict=False))
             else:  # a letter that the tokenizer's normal form takes apart
                 others += part
-        for at in range(0, len(others), 20_000):
-            part = others[at : at + 20_000]
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
             for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
         known.update((w, known[w[:-1]] + tails[w[-1]]) for w in tailed)
@@ -118,13 +118,13 @@ PIECES = T.StructType(
 )
 
 
-def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = True, slice_bytes: int = common.SLICE_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset and, if asked, ids.
 
     docs needs doc_id and text; other columns are ignored, whatever their names. A null text counts as empty, and an
     empty text is the end id alone: one piece of length 1. Repeated rows and repeated or null doc_ids are documents of
     their own: each row gives its own pieces. Long texts are tokenized whole. An empty table gives no rows.
-    limit is a power of two. sequence_id holds the bucket (log2 of the length) in its top bits, so that a bucket's
+    limit is a power of two; slice_bytes is how much text a worker encodes at once. sequence_id holds the bucket (log2 of the length) in its top bits, so that a bucket's
     sequences are neighbours, and below it the row's place in its partition.
     """
     if limit < 1 or limit & (limit - 1):
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
         for batch in batches:
-            for part in common.slices(batch, 1, 2 * common.SLICE_BYTES):
+            for part in common.slices(batch, 1, slice_bytes):
                 out: list[list] = [[] for _ in schema]
                 every, bounds = encode([t or "" for t in part.column(1).to_pylist()])
                 for doc, i, j in zip(part.column(0).to_pylist(), bounds, bounds[1:], strict=False):
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(out, schema, strict=True)], schema=schema)
 
     fields = PIECES if with_ids else T.StructType(PIECES.fields[:5])
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, fields)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(common.in_arrow, cut, fields)
     bucket = F.log2(F.col("length").cast("double")).cast("int")
     return pieces.withColumns(
         {

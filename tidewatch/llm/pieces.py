@@ -269,7 +269,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(common.in_arrow, run, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -282,7 +282,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [model.decode(x.values.to_numpy()) if x.is_valid else "" for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").transform(common.in_arrow, run, "doc_id long, text string")
 
 
 CHECKED = "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, decoded boolean"
@@ -304,7 +304,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 cols = [[len(x) for x in spans], [int(fallback[x].sum()) for x in spans], [zlib.crc32(x.tobytes()) for x in spans], [model.decode(x) == t for x, t in zip(spans, texts, strict=True)]]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHECKED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(common.in_arrow, run, CHECKED)
 
 
 def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def statistics(docs: DataFrame, keyed: bool = False) -> DataFrame:
 
     key = [common.text_key(F.col("text")).alias("text_key")] if keyed else []
     shape = T.StructType(STATS.fields + [T.StructField("text_key", T.BinaryType())] * keyed)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *key).mapInArrow(measure, shape)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *key).transform(common.in_arrow, measure, shape)
 
 
 def base_failed():
@@ -207,7 +207,7 @@ def scored(stats: DataFrame, forest: Forest, keep: tuple[str, ...] = ()) -> Data
             x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in FEATURES])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.score(x))], names=[*names, "anomaly"])
 
-    return part.mapInArrow(add, schema)
+    return part.transform(common.in_arrow, add, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:

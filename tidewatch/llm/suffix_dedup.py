@@ -144,7 +144,7 @@ def units(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     names=["key", "seed", "unit", "m", "lo", "hi", "count", "more"],
                 )
 
-    return texts.mapInArrow(cut, UNITS)
+    return texts.transform(common.in_arrow, cut, UNITS)
 
 
 def slices(length: int) -> int:
@@ -181,7 +181,7 @@ def cut_slices(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(cut, SLICES)
+    return texts.transform(common.in_arrow, cut, SLICES)
 
 
 def shard_transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +271,7 @@ def merge_slices(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             keys = part.column("key").combine_chunks().take(pa.array(row[new]))
             yield pa.RecordBatch.from_arrays([keys, pa.array((lo[row[new]] + at[new]).astype(np.int32)), pa.array((lo[row[new]] + at[end]).astype(np.int32))], names=["key", "lo", "hi"])
 
-    return rows.mapInArrow(merge, "key binary, lo int, hi int")
+    return rows.transform(common.in_arrow, merge, "key binary, lo int, hi int")
 
 
 def _met(rows: DataFrame, n) -> DataFrame:
@@ -296,7 +296,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     merged = merge_slices(ends.repartition("seed").sortWithinPartitions("seed"), length)
     every = sure.unionByName(sliced).unionByName(merged)
     sets = every.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("starts"))
-    return sets.mapInArrow(lambda batches: _joined(batches, length), "key binary, ranges array<int>")
+    return sets.transform(common.in_arrow, lambda batches: _joined(batches, length), "key binary, ranges array<int>")
 
 
 def _pairs(flat: Column) -> Column:
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], names=["row", *added])
 
     shape = rows.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return rows.select("row", "bytes", "ranges").mapInArrow(remove, shape).select("row.*", *added)
+    return rows.select("row", "bytes", "ranges").transform(common.in_arrow, remove, shape).select("row.*", *added)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

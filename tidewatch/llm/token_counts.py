@@ -59,7 +59,7 @@ def with_token_count(docs: DataFrame, path: str | None = None, column: str = "te
             n = [sum(len(enc.encode_ordinary(p)) for p in _parts(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text")).mapInArrow(count, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text")).transform(common.in_arrow, count, "doc_id long, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
