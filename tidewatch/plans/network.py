@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import indicators, ip, names
-from tidewatch.operators import alerts, detectors, joins
+from tidewatch.operators import alerts, detectors, flows, joins
 
 from . import rules, views
-from .views import ALERTS_SQL, HOUR, MINUTE, PACKETS_SQL
+from .views import ALERTS_SQL, HOUR, MINUTE, PACKETS_SQL, SEGMENTS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,6 +170,37 @@ def flow_sessions(spark, sf_dir):
     return detectors.flow_sessions(views.packets(spark, sf_dir).withColumn("dst_port", F.lit(0)), 2 * DAY)
 
 
+@query(f"""
+WITH RECURSIVE {SEGMENTS_SQL},
+k AS (SELECT *, row_number() OVER p AS rn, coalesce(ts_us - lag(ts_us) OVER p > CASE protocol WHEN 'tcp' THEN {8 * DAY} ELSE {2 * DAY} END, true) AS silent,
+        protocol = 'tcp' AND tcp_flags = 2 AS fresh, CASE WHEN protocol <> 'tcp' THEN '' ELSE CASE tcp_flags WHEN 2 THEN 'S' WHEN 18 THEN 'H' WHEN 16 THEN 'A' WHEN 17 THEN 'F' WHEN 4 THEN 'R' WHEN 24 THEN CASE WHEN bytes = 0 THEN 'A' ELSE 'D' END END END AS letter,
+        CASE WHEN protocol = 'tcp' AND tcp_flags IN (2, 18) THEN tcp_flags = 18 ELSE NOT outbound END AS reply
+      FROM segments WINDOW p AS (PARTITION BY client, port, protocol ORDER BY ts_us, seq)),
+f AS (SELECT k.client, k.port, k.protocol, rn, 1::BIGINT AS flow, reply AS inferred, outbound <> reply AS opened, outbound AND tcp_flags = 17 AS fin_c, NOT outbound AND tcp_flags = 17 AS fin_s,
+        CASE WHEN k.protocol <> 'tcp' THEN 'new' WHEN tcp_flags = 4 THEN 'closed' WHEN tcp_flags = 17 THEN 'closing' WHEN fresh THEN 'new' ELSE 'established' END AS state,
+        CASE WHEN reply THEN lower(letter) ELSE letter END AS history, ts_us, seq, bytes, outbound
+      FROM k WHERE rn = 1
+      UNION ALL
+      SELECT client, port, protocol, rn, f_flow + opens::INT, CASE WHEN opens THEN reply ELSE f_inferred END, by_client, c2, s2,
+        CASE WHEN protocol <> 'tcp' THEN 'new' WHEN tcp_flags = 4 OR (tcp_flags = 17 AND c2 AND s2) THEN 'closed' WHEN tcp_flags = 17 THEN 'closing' WHEN fresh THEN 'new' WHEN opens OR f_state = 'new' THEN 'established' ELSE f_state END,
+        CASE WHEN opens THEN cased WHEN contains(f_history, cased) THEN f_history ELSE f_history || cased END, ts_us, seq, bytes, outbound
+      FROM (SELECT *, CASE WHEN outbound = by_client THEN letter ELSE lower(letter) END AS cased,
+              (outbound AND tcp_flags = 17) OR (NOT opens AND f_c) AS c2, (NOT outbound AND tcp_flags = 17) OR (NOT opens AND f_s) AS s2
+            FROM (SELECT *, CASE WHEN opens THEN outbound <> reply ELSE f_opened END AS by_client
+                  FROM (SELECT k.*, f.flow AS f_flow, f.inferred AS f_inferred, f.opened AS f_opened, f.fin_c AS f_c, f.fin_s AS f_s, f.state AS f_state, f.history AS f_history, silent OR (fresh AND f.state IN ('closing', 'closed')) AS opens
+                        FROM f JOIN k ON k.client = f.client AND k.port = f.port AND k.protocol = f.protocol AND k.rn = f.rn + 1)))),
+g AS (SELECT client, port, protocol, flow, bool_or(opened) AS opened, bool_or(inferred) AS inferred, arg_max(state, rn) AS state, arg_max(history, rn) AS h,
+        min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS packets, count(*) FILTER (outbound = opened) AS packets_out, sum(bytes)::BIGINT AS bytes, coalesce(sum(bytes) FILTER (outbound = opened), 0)::BIGINT AS bytes_out
+      FROM f GROUP BY client, port, protocol, flow)
+SELECT md5(protocol || ':' || CASE WHEN client < '10.9.9.9' THEN client || ':' || port || ':10.9.9.9:443' ELSE '10.9.9.9:443:' || client || ':' || port END) AS flow_id, flow, protocol,
+  CASE WHEN opened THEN client ELSE '10.9.9.9' END AS src_ip, CASE WHEN opened THEN port ELSE 443 END AS src_port, CASE WHEN opened THEN '10.9.9.9' ELSE client END AS dst_ip, CASE WHEN opened THEN 443 ELSE port END AS dst_port, state,
+  CASE WHEN protocol <> 'tcp' THEN 'active' WHEN contains(lower(h), 'r') THEN CASE WHEN contains(h, 'r') AND contains(h, 'S') AND NOT contains(h, 'h') AND NOT contains(lower(h), 'd') THEN 'rejected' ELSE 'reset' END
+    WHEN state IN ('closed', 'closing') THEN state WHEN contains(h, 'S') AND NOT contains(h, 'h') AND packets = packets_out THEN 'attempt' WHEN state = 'established' THEN state ELSE 'active' END AS outcome,
+  h AS history, first_us, last_us, packets, packets_out, bytes, bytes_out, inferred FROM g""")
+def connections(spark, sf_dir):
+    return flows.connections(views.segments(spark, sf_dir), 2 * DAY, 8 * DAY)
+
+
 # joins -----------------------------------------------------------------------------------------------------------------
 
 
@@ -362,8 +393,8 @@ def apps(spark, sf_dir):
 WITH {PACKETS_SQL}
 SELECT src_ip, dst_ip, dst_port, sum(bytes)::BIGINT AS bytes, count(*) AS packets FROM packets GROUP BY ALL ORDER BY bytes DESC, src_ip, dst_ip, dst_port LIMIT 50""")
 def flows_top(spark, sf_dir):
-    flows = views.packets(spark, sf_dir).groupBy("src_ip", "dst_ip", "dst_port").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("packets"))
-    return flows.orderBy(F.desc("bytes"), "src_ip", "dst_ip", "dst_port").limit(50)
+    found = views.packets(spark, sf_dir).groupBy("src_ip", "dst_ip", "dst_port").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("packets"))
+    return found.orderBy(F.desc("bytes"), "src_ip", "dst_ip", "dst_port").limit(50)
 
 
 # rules -------------------------------------------------------------------------------------------------------------------

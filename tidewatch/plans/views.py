@@ -48,6 +48,27 @@ packets AS (
          round(abs(value) * 100)::BIGINT AS bytes, event_type AS app
   FROM events)"""
 
+#: Segments between each user and one server, by the packet's app, port and size.
+_SEGMENT = {
+    "outbound": "bytes % 3 <> 0",
+    "protocol": "CASE WHEN dst_port % 7 = 3 THEN 'udp' ELSE 'tcp' END",
+    "tcp_flags": "CASE app WHEN 'signup' THEN 2 WHEN 'error' THEN CASE WHEN bytes % 2 = 0 THEN 4 ELSE 18 END WHEN 'click' THEN 16 WHEN 'view' THEN 24 ELSE 17 END",
+    "bytes": "CASE WHEN app = 'view' THEN bytes ELSE 0 END",
+}
+_SERVER = "'10.9.9.9'"
+_PORT = "40000 + dst_port % 2"
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, ts_us, src_ip, src_port, dst_ip, dst_port, protocol, tcp_flags, bytes."""
+    s = packets(spark, sf_dir).select("seq", "ts_us", F.col("src_ip").alias("user"), F.expr(_PORT).alias("port"), *(F.expr(v).alias(k) for k, v in _SEGMENT.items()))
+    sides = {"src_ip": ("user", _SERVER), "src_port": ("port", "443"), "dst_ip": (_SERVER, "user"), "dst_port": ("443", "port")}
+    return s.select("seq", "ts_us", *(F.expr(f"CASE WHEN outbound THEN {a} ELSE {b} END").alias(k) for k, (a, b) in sides.items()), "protocol", "tcp_flags", "bytes")
+
+
+SEGMENTS_SQL = PACKETS_SQL + f""",
+segments AS (SELECT seq, ts_us, src_ip AS client, {_PORT} AS port, {", ".join(f"{v} AS {k}" for k, v in _SEGMENT.items())} FROM packets)"""
+
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
 
