@@ -66,6 +66,18 @@ def test_judge_rejects_by_base_rules_and_by_the_forest(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(150))
 
 
+def test_the_forest_sees_repetition_that_the_base_rules_pass(spark):
+    """Junk of clean words, each said several times over: no symbol, odd end or long word, and no window of 8 twice."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(400)]
+    good = [" ".join(rng.choice(words, 60)) for _ in range(150)]
+    junk = [" ".join(w for w in rng.choice(words, 9, replace=False) for _ in range(7)) for _ in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(150 + i, 0, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs_of(spark, good + junk), labels).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in got if got[i].kept] and {i for i in got if got[i].kept} == set(range(150))
+
+
 def test_judge_without_labels_and_without_rows(spark):
     docs, none = docs_of(spark, [" ".join(map(str, range(30))), "a"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [(r.doc_id, r.kept) for r in quality.judge(docs, none).orderBy("doc_id").collect()] == [(0, True), (1, False)]

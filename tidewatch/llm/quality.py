@@ -1,13 +1,14 @@
 """Quality rules judged by an isolation forest.
 
-Each document gets statistics such as rules are made of: length of words, symbols, repeated lines and windows. Fixed
-base rules reject short and very repetitive texts. For the rest, a forest of random splits is grown on a bounded sample
-of labelled rows; a document that few splits isolate is anomalous. How anomalous a document may be is calibrated
-on all labelled rows.
+Each document gets statistics such as rules are made of: length of words, symbols, repeated words, lines and windows.
+Fixed base rules reject short and very repetitive texts. For the rest, a forest of random splits is grown on a bounded
+sample of labelled rows; a document that few splits isolate is anomalous. What difference counts as one is learned from
+the good rows of that sample; how anomalous a document may be is calibrated on all labelled rows.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,10 +26,15 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
 
-#: What a tree may split on: shares of words, as rules state them. Each is read in steps of STEP, so that the small
-#: differences between ordinary documents are no differences, and a short text is drawn towards 0 by BLANK more words.
-FEATURES = ("symbols", "capitals", "shouted", "odd_ends", "no_letters", "long_words")
-STEP, BLANK, LONG = 0.15, 20, 24
+#: What a tree may split on: shares of words (of lines for same_lines), as rules state them, and the mean length of a
+#: word. A share of a short text is drawn towards 0 by BLANK more words. Each is read as steps away from the median of
+#: good rows, MOST_STEPS at most; a step is MARGIN times what all but a few good rows stay within, LEAST_STEP at least,
+#: so that the differences between ordinary documents are no differences.
+FEATURES = ("symbols", "capitals", "shouted", "odd_ends", "no_letters", "long_words", "doubled", "used_again", "in_repeats", "same_lines", "word_length")
+BLANK, LONG = 20, 24
+LEAST_STEP, MARGIN, MOST_STEPS = 0.05, 1.5, 8
+#: Words of a block in which words used again are counted, so that the share does not grow with the text.
+BLOCK = 50
 ENDS = frozenset("#*$%&|<>@^~=")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -82,12 +88,16 @@ def _measure(text: str) -> tuple[list[int], list[float]]:
         sum(w[-1] in ENDS for w in words),
         sum(not any(map(str.isalpha, w)) for w in words),
         sum(len(w) > LONG for w in words),
+        sum(map(operator.eq, words, words[1:])),
+        n - sum(len(set(words[k : k + BLOCK])) for k in range(0, n, BLOCK)),
+        rep,
     )
-    return [n, chars, symbols, dup, rep], [min(x / (n + BLANK), 1.0) // STEP for x in found]
+    shares = [min(x / (n + BLANK), 1.0) for x in found]
+    return [n, chars, symbols, dup, rep], [*shares, dup / (len(lines) + BLANK), chars / max(n, 1)]
 
 
 def statistics(docs: DataFrame, keyed: bool = False) -> DataFrame:
-    """The counts and shares of every row, from its whole text; if keyed, with text_key, which names the text.
+    """The counts and features of every row, from its whole text; if keyed, with text_key, which names the text.
 
     A null text counts as empty: all counts 0.
     """
@@ -121,9 +131,12 @@ class Forest:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # feature, value, left child (right = left + 1)
     sample: int
     threshold: float = 1.0
+    middle: np.ndarray | None = None
+    step: np.ndarray | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path): near 1 for what few splits isolate, under 0.5 for the ordinary."""
+        x = x if self.step is None else stepped(x, self.middle, self.step)
         total = np.zeros(len(x))
         for feature, value, left in self.trees:
             at = np.zeros(len(x), np.int64)
@@ -138,6 +151,18 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(_average_path(self.sample), 1e-9)) if self.trees else np.zeros(len(x))
 
 
+def stepped(x: np.ndarray, middle: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return np.minimum(np.abs(x - middle) // step, MOST_STEPS)
+
+
+def steps(good: np.ndarray, most_lost: float) -> tuple[np.ndarray, np.ndarray]:
+    """The middle and the step of each feature, from those of good rows."""
+    if not len(good):
+        return np.zeros(len(FEATURES)), np.full(len(FEATURES), LEAST_STEP)
+    middle = np.median(good, 0)
+    return middle, np.maximum(MARGIN * np.quantile(np.abs(good - middle), 1 - most_lost, axis=0), LEAST_STEP)
+
+
 def grow(x: np.ndarray, n_trees: int, sample: int, seed: int) -> Forest:
     """Each tree splits its own draw of rows at a random value of a random feature, to the depth log2(sample)."""
     rng = np.random.default_rng(seed)
@@ -169,7 +194,7 @@ def fit(stats: DataFrame, labels: DataFrame, n_trees: int = 100, sample: int = 2
     """Grow a forest on labelled rows and set its threshold by all labelled rows.
 
     The forest is fitted on at most most_rows rows (a documented bound), those with the least hash of their doc_id
-    among labelled rows that pass the base rules. The threshold looks at every labelled row, by way of a histogram of
+    among labelled rows that pass the base rules; the good ones among them set the steps of the features. The threshold looks at every labelled row, by way of a histogram of
     scores with 1000 bins: the least score that at most the share most_good_lost of the good rows reaches and at which
     rejected rows are mostly bad, moved half way to the least bad score above it. Where there is none, nothing is
     rejected.
@@ -177,8 +202,10 @@ def fit(stats: DataFrame, labels: DataFrame, n_trees: int = 100, sample: int = 2
     labelled = stats.filter(~base_failed()).join(
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")), "doc_id"
     )
-    rows = labelled.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows).select(*FEATURES).toPandas().to_numpy(np.float64)
-    forest = grow(rows, n_trees, sample, seed)
+    rows = labelled.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows).select(*FEATURES, "quality").toPandas().to_numpy(np.float64)
+    middle, step = steps(rows[rows[:, -1] == 1, :-1], most_good_lost)
+    forest = grow(stepped(rows[:, :-1], middle, step), n_trees, sample, seed)
+    forest.middle, forest.step = middle, step
     bins = scored(labelled, forest, keep=("quality",)).groupBy(F.floor(F.col("anomaly") * 1000).cast("int").alias("bin"), "quality").agg(F.count(F.lit(1)).alias("n")).toPandas()
     forest.threshold = _threshold(bins, most_good_lost)
     return forest
