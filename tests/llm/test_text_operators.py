@@ -342,6 +342,23 @@ def test_unigram_pieces_are_the_best_path():
         assert abs(cost(w, ids) - best(w)) < 1e-3, w
 
 
+def test_ids_of_the_default_model_are_the_librarys(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    rng = np.random.default_rng(13)
+    alphabet = list("aeinorst the ABC  \n\t.,é中🙂 ▁")
+    texts = ["the international agreement of the Device", " lead", "two  spaces    four", "naïve 中文 🙂\x00", "z" * 500, "supercalifragilistic" * 40, LONG[:5000], " " * 70 + "x"]
+    texts += ["".join(rng.choice(alphabet, n)) for n in rng.integers(1, 400, 200)]
+    got = {r.doc_id: r.ids for r in pieces.encode(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == sp.encode(t), repr(t)
+    model = pieces.load(pieces.model_path())
+    for n in rng.integers(1, 60, 300):
+        word = "".join(rng.choice(list("aeinorst"), n))
+        assert model._merge_few(list(word)) == model._merge_many(list(word)), word
+
+
 def test_pieces_round_trip(spark):
     rng = np.random.default_rng(7)
     alphabet = list("abcdefgh ABC  \n\t.,é中🙂 ▁")

@@ -1,7 +1,9 @@
-"""SentencePiece encoding and decoding with a unigram model: Viterbi over a double-array trie of pieces.
+"""SentencePiece encoding and decoding: Viterbi over a double-array trie of pieces, or merges by rank.
 
-The pieces and their log scores are read from a model file; the best segmentation of a text is the one whose scores
-have the greatest sum. Characters without a piece fall back to byte pieces. A space is written as the marker U+2581,
+The pieces and their scores are read from a model file, which says what the scores are. Those of a unigram model are log
+probabilities: the best segmentation of a text is the one whose scores have the greatest sum. Those of a BPE model, such
+as the default one, are ranks of merges and have no sum: neighbours are merged, of all pairs the one of best rank first
+and of equal ones the leftmost. Characters without a piece fall back to byte pieces. A space is written as the marker U+2581,
 and one stands before the text. Where no piece crosses into a marker, a text falls into words that are segmented on
 their own, each distinct one once.
 """
@@ -9,6 +11,7 @@ their own, each distinct one once.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +29,8 @@ MARK = "▁"
 UNKNOWN_COST = 10.0
 #: Bytes of a word that is segmented side by side with others; longer ones are taken one by one.
 SHORT = 48
+#: Characters of a word whose pairs are looked through for each merge; longer ones keep a queue of pairs.
+FEW = 64
 #: Words that a worker remembers.
 MEMORY = 600_000
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -89,21 +94,31 @@ class DoubleArray:
 
 @dataclass
 class Pieces:
-    """A unigram model: what each id stands for in bytes, its log score, the trie, and the ids of the byte pieces."""
+    """A model: what each id stands for in bytes, its score, the trie, the ids of the byte pieces and of the others by
+    piece, and whether scores are ranks of merges."""
 
     texts: list[bytes]
     scores: np.ndarray
     trie: DoubleArray
     bytes_: np.ndarray
     unknown: float
+    ids: dict[str, int]
+    ranked: bool
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """Read a model file. It must not normalise texts, and must have all byte pieces."""
+        """Read a model file, unigram or BPE. It must not normalise texts, and must have all byte pieces."""
         import sentencepiece
-
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as file:
+            proto.ParseFromString(file.read())
+        spec = proto.trainer_spec
+        if spec.model_type not in (spec.UNIGRAM, spec.BPE):
+            raise ValueError("the model is neither unigram nor BPE")
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        keys, texts, scores, bytes_ = {}, [], [], np.full(256, -1, np.int32)
+        keys, ids, texts, scores, bytes_ = {}, {}, [], [], np.full(256, -1, np.int32)
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             scores.append(sp.get_score(i))
@@ -115,12 +130,56 @@ class Pieces:
             else:
                 if "\n" in piece or re.search(f"[^{MARK}]{MARK}", piece):
                     raise ValueError(f"piece {piece!r} crosses words")
-                keys[piece.encode()] = i
+                keys[piece.encode()] = ids[piece] = i
                 texts.append(piece.replace(MARK, " ").encode())
         if (bytes_ < 0).any():
             raise ValueError("the model has no byte pieces")
         used = np.array(scores)[list(keys.values())]
-        return cls(texts, np.array(scores), DoubleArray.of(keys), bytes_, float(used.min()) - UNKNOWN_COST)
+        return cls(texts, np.array(scores), DoubleArray.of(keys), bytes_, float(used.min()) - UNKNOWN_COST, ids, spec.model_type == spec.BPE)
+
+    @functools.cached_property
+    def ranks(self) -> dict[str, float]:
+        return {piece: float(self.scores[i]) for piece, i in self.ids.items()}
+
+    def merge(self, word: str) -> list[int]:
+        """Ids of one word by merges."""
+        parts = self._merge_few(list(word)) if len(word) <= FEW else self._merge_many(list(word))
+        out: list[int] = []
+        for part in parts:
+            found = self.ids.get(part)
+            out += [found] if found is not None else self.bytes_[np.frombuffer(part.encode("utf-8", "replace"), np.uint8)].tolist()
+        return out
+
+    def _merge_few(self, parts: list[str]) -> list[str]:
+        rank, none = self.ranks.get, -np.inf
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (top := max(pairs)) > none:
+            i = pairs.index(top)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _merge_many(self, parts: list[str]) -> list[str]:
+        """The same with a queue, in n log n steps; a part that was merged into the one before it is empty."""
+        rank, n = self.ranks.get, len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [(-r, i, i + 1, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank(a + b)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, i, j, both = heapq.heappop(queue)
+            if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != len(both):
+                continue  # one of them was merged since
+            parts[i], parts[j], after[i] = both, "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := rank(parts[a] + parts[b])) is not None:
+                    heapq.heappush(queue, (-r, a, b, parts[a] + parts[b]))
+        return [x for x in parts if x]
 
     def segment(self, text: bytes) -> list[int]:
         """Ids of the best segmentation of one word; of equal ones, the one whose last piece starts first."""
@@ -227,6 +286,9 @@ def _encoder(path: str):
     model, known = load(path), {}
 
     def learn(words: list[str]) -> None:
+        if model.ranked:
+            known.update((w, np.array(model.merge(w), "<u4").tobytes()) for w in words)
+            return
         by_size: dict[int, list[str]] = {}
         for w in words:
             by_size.setdefault(-(-len(w.encode("utf-8", "replace")) // 8), []).append(w)
