@@ -259,6 +259,18 @@ def test_personal_spans_are_those_of_the_contract(spark, tmp_path):
     assert "iban:0:22" in got[17].spans and "iban" in got[18].spans and "ssn" in got[19].spans
 
 
+def test_account_codes_end_where_their_country_says(spark):
+    code, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    after = ["", " Please pay", " 12 May", " BIC COBADEFFXXX", ", due", " GB82 WEST 1234 5698 7654 32 OK", "\nX1"]
+    texts = [f"IBAN {c}{a}" for c in (code, spaced) for a in after] + [f"IBAN {code}1", f"IBAN {code[:-1]}9 Please", "IBAN NO93 8601 1117 947 AND MT84 MALT 0110 0001 2345 MTLC AST0 01S 1"]
+    texts.append(f"REF ZZ12 ABCD EFGH IJKL {spaced} END")
+    got = {r.doc_id: [(x.start, x.end) for x in r.pii if x.kind == "iban"] for r in pii.detect(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts[:14]):
+        c = (code, spaced)[i // 7]
+        assert got[i] == [(5, 5 + len(c))] + [(t.find("GB82"), t.find(" OK"))] * ("GB82" in t), t
+    assert got[14] == [] and got[15] == [] and got[16] == [(5, 23), (28, 66)] and got[17] == [(24, 51)]
+
+
 def test_redaction_hides_spans_and_keeps_columns(spark):
     docs = docs_of(spark, ["mail a@b.de now, +49 30 1234567.", None, "plain"]).withColumn("pii", F.lit("mine"))
     out = pii.redact(docs.drop("pii"))
