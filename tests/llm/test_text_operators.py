@@ -271,6 +271,14 @@ def test_account_codes_end_where_their_country_says(spark):
     assert got[14] == [] and got[15] == [] and got[16] == [(5, 23), (28, 66)] and got[17] == [(24, 51)]
 
 
+def test_context_reaches_past_spans_of_the_same_kind(spark):
+    column = ", ".join(f"{100 + k}-45-6789" for k in range(30))
+    texts = ["SSN 123-45-6789, 234-56-7890", f"SSN: {column}", "123-45-6789 is my SSN", "SSN 123-45-6789 " + "x " * 60 + "234-56-7890", "123-45-6789, 234-56-7890", "SSN 000-45-6789, 234-56-7890"]
+    got = {r.doc_id: [x.start for x in r.pii if x.kind == "ssn"] for r in pii.detect(docs_of(spark, texts)).collect()}
+    assert got == {0: [4, 17], 1: [5 + 13 * k for k in range(30)], 2: [0], 3: [4], 4: [], 5: [17]}
+    assert [r.text for r in pii.redact(docs_of(spark, texts[:1])).collect()] == ["SSN [ssn], [ssn]"]
+
+
 def test_redaction_hides_spans_and_keeps_columns(spark):
     docs = docs_of(spark, ["mail a@b.de now, +49 30 1234567.", None, "plain"]).withColumn("pii", F.lit("mine"))
     out = pii.redact(docs.drop("pii"))

@@ -1,4 +1,4 @@
-"""Personal data: expressions propose spans, checksums confirm them, and the words before them adjust their score.
+"""Personal data: expressions propose spans, checksums confirm them, and the words around them adjust their score.
 
 Built-in functions only, one pass over the texts and no shuffle. Expressions are written so that no text makes them
 backtrack over more than a few characters: their runs are possessive and start where a run starts.
@@ -35,7 +35,7 @@ PATTERNS = {
 BASE = ("email", "ip", "card", "phone")
 #: What a text must hold for an expression to have a chance; cheaper to look for than the expression.
 _NEEDS = {"email": "@", "phone": "+"}
-#: Words that speak for a kind when they stand shortly before a span.
+#: Words that speak for a kind when they stand shortly before or after a span, or before a list of spans.
 CONTEXT = {
     "email": r"mail|contact|write to",
     "ip": r"\bip\b|address|host|server|login",
@@ -44,7 +44,7 @@ CONTEXT = {
     "iban": r"iban|account|bank|konto|cuenta|compte",
     "ssn": r"\bssn\b|social security|tax id",
 }
-#: Score of a span whose checks hold, without and with a context word before it.
+#: Score of a span whose checks hold, without and with a context word near it.
 SCORES = {"email": (0.9, 1.0), "ip": (0.8, 0.95), "card": (0.9, 1.0), "phone": (0.7, 0.9), "iban": (0.9, 1.0), "ssn": (0.2, 0.8)}
 LEAST_SCORE = 0.5
 
@@ -106,7 +106,7 @@ def detect(docs: DataFrame) -> DataFrame:
     def of(no: int, kind: str) -> Column:
         pattern, (plain, near) = PATTERNS[kind], SCORES[kind]
         chance = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike(pattern)
-        found = F.when(chance, spans.find(text, pattern, near=spans.NEAR)).otherwise(spans.none_found())
+        found = F.when(chance, spans.find(text, pattern, context=CONTEXT[kind])).otherwise(spans.none_found())
         scored = F.transform(
             F.filter(found, lambda s: CHECKS[kind](s["match"])),
             lambda s: F.struct(
@@ -114,7 +114,7 @@ def detect(docs: DataFrame) -> DataFrame:
                 s["start"].alias("start"),
                 s["end"].alias("end"),
                 F.lit(kind).alias("kind"),
-                F.when(F.lower(s["before"]).rlike(CONTEXT[kind]), near).otherwise(plain).alias("score"),
+                F.when(s["near"], near).otherwise(plain).alias("score"),
             ),
         )
         return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)

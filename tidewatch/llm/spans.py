@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:bigint,end:bigint,match:string,part:string,before:string>>"
-#: Code points of the text before a span that are kept with it.
+SPAN = "array<struct<start:bigint,end:bigint,match:string,part:string,near:boolean>>"
+#: Code points of the text before and after a span that are its context.
 NEAR = 40
 
 
@@ -14,11 +14,12 @@ def none_found() -> Column:
     return F.array().cast(SPAN)
 
 
-def find(text: Column, pattern: str, group: int = 0, near: int = 0) -> Column:
+def find(text: Column, pattern: str, group: int = 0, context: str | None = None) -> Column:
     """The leftmost non-overlapping matches of pattern in text, in order.
 
-    Each has start and end in code points, end exclusive, the match itself, the part that group caught, and the near
-    code points before it. The pieces that split() leaves between matches give the places: a match starts where the
+    Each has start and end in code points, end exclusive, the match itself, the part that group caught, and near: whether
+    a word of context, an expression for lower case, stands in the NEAR code points before or after it. In a list, what
+    is near before one match holds for the next one, if that starts at most NEAR code points after it. The pieces that split() leaves between matches give the places: a match starts where the
     pieces and matches before it end. pattern must not match the empty string. No match gives an empty array; text must
     not be null.
     """
@@ -33,11 +34,18 @@ def find(text: Column, pattern: str, group: int = 0, near: int = 0) -> Column:
         piece, match, part = (x[n] for n in names)
         start = acc["at"] + F.length(piece)
         end = start + F.coalesce(F.length(match), F.lit(0))
-        before = F.right(piece, F.lit(near)) if near else F.lit("")
-        span = F.struct(start.alias("start"), end.alias("end"), match.alias("match"), part.alias("part"), before.alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.when(match.isNotNull(), F.array(span)).otherwise(none_found())).alias("out"))
+        if context:
+            before = F.substr(text, F.greatest(start - NEAR, F.lit(0)).cast("int") + 1, F.least(start, F.lit(NEAR)).cast("int"))
+            after = F.substr(text, end.cast("int") + 1, F.lit(NEAR))
+            carried = acc["near"] & (F.length(piece) <= NEAR)
+            listed_ = carried | F.lower(before).rlike(context)
+            near = listed_ | F.lower(after).rlike(context)
+        else:
+            listed_ = near = F.lit(False)
+        span = F.struct(start.alias("start"), end.alias("end"), match.alias("match"), part.alias("part"), near.alias("near"))
+        return F.struct(end.alias("at"), F.coalesce(match.isNotNull() & listed_, F.lit(False)).alias("near"), F.concat(acc["out"], F.when(match.isNotNull(), F.array(span)).otherwise(none_found())).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none_found().alias("out"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("near"), none_found().alias("out"))
     return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
 
 
