@@ -247,6 +247,19 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert [(r.vec_id, round(r.score, 6)) for r in few] == [(1, 1.0), (2, 0.0)]
 
 
+def test_parallel_vectors_are_ties(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    one, ids = rng.normal(size=8).astype(np.float32), rng.permutation(100)
+    x = np.array([one * np.float32(2.0) ** int(e) for e in rng.permutation(100) - 50])
+    for pairs in (1 << 21, 64):
+        monkeypatch.setattr(neighbours, "PAIRS", pairs)
+        q, near, score = neighbours.best(x[:3], ids, x, 5)
+        assert q.tolist() == [0] * 5 + [1] * 5 + [2] * 5 and near.tolist() == [0, 1, 2, 3, 4] * 3 and len(set(score)) == 1
+    monkeypatch.undo()
+    out = neighbours.search(vectors(spark, x, ids), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in out] == [(0, k) for k in range(1, 6)] + [(50, k) for k in range(5)]
+
+
 def test_no_vectors(spark):
     none = vectors(spark, np.zeros((0, 2)))
     assert neighbours.search(none, F.col("vec_id") % 50 == 0).collect() == []

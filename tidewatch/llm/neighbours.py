@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 NEAREST, EVERY = 5, 50
+#: Numbers that a block of comparisons holds.
+PAIRS = 1 << 21
 
 
 @dataclass
@@ -95,16 +97,28 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query, the k nearest rows of x: place of the query, id, cosine."""
-    u, out = _unit(x), []
-    k = min(k, len(x))
+    """For each query, the k nearest rows of x: place of the query, id, cosine.
+
+    Products in single precision only propose: every row that their error may hide among the k nearest is compared in
+    double precision, in blocks of PAIRS numbers.
+    """
+    u, none = _unit(x), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    out, k = [none], min(k, len(x))
+    if not k:
+        return none
+    slack = np.float32(2 * (x.shape[1] + 4) * 2.0**-24)  # of a sum of so many products, for a row and the k-th one
+    block, pairs = max(1, min(block, PAIRS // len(x))), max(1, PAIRS // x.shape[1])
     for at in range(0, len(queries), block):
         q = queries[at : at + block]
         s = _unit(q) @ u.T
-        top = np.argpartition(-s, min(k + 3, len(x) - 1), axis=1)[:, : k + 4] if len(x) > k + 4 else np.tile(np.arange(len(x)), (len(q), 1))
-        place = np.repeat(np.arange(len(q)), top.shape[1])
-        out.append((at + place, ids[top.ravel()], cosines(q[place], x[top.ravel()])))
-    return _cut(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
+        least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
+        place, row = np.nonzero(s >= (least - slack)[:, None])
+        held = none
+        for lo in range(0, len(place), pairs):
+            p, r = place[lo : lo + pairs], row[lo : lo + pairs]
+            held = _cut(*(np.concatenate(c) for c in zip(held, (at + p, ids[r], cosines(q[p], x[r])), strict=True)), k)
+        out.append(held)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _cut(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
