@@ -92,6 +92,11 @@ def test_flow_sessions_end_after_a_gap_and_join_both_ways(spark):
     assert [(r.src_ip, r.packets) for r in detectors.flow_sessions(p).orderBy("first_us").collect()] == [("a", 3), ("a", 1)]
 
 
+def test_web_attacks_far_into_a_body(spark):
+    df = spark.createDataFrame([(0, "/form", "x" * 20_000 + " <script>"), (1, "/form", None)], "id int, uri string, body string")
+    assert [(r.id, r.attack) for r in detectors.web_attacks(df).collect()] == [(0, "script_injection")]
+
+
 def test_web_attacks(spark):
     uris = ["/a?id=1%27%20OR%201=1", "/x?q=%3Cscript%3E", "/../../etc/passwd", "/plain", None]
     df = spark.createDataFrame([(i, u, "sqlmap/1.0" if i == 3 else None) for i, u in enumerate(uris)], "id int, uri string, user_agent string")

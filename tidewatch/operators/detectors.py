@@ -149,11 +149,10 @@ def flow_sessions(packets: DataFrame, gap: int = 60_000_000) -> DataFrame:
 def web_attacks(requests: DataFrame) -> DataFrame:
     """Requests whose address, decoded, carries an attack: one row per kind, with its severity.
 
-    requests has uri and, if there are, user_agent and body; the body's first 4096 characters are read, as attacks on
-    forms stand in front.
+    requests has uri and, if there are, user_agent and body, which is read whole.
     """
     plain = F.coalesce(F.try_url_decode("uri"), F.col("uri"))
-    body = F.substring("body", 1, 4096) if "body" in requests.columns else F.lit("")
+    body = F.col("body") if "body" in requests.columns else F.lit("")
     text = F.concat_ws(" ", plain, body)
     agent = F.col("user_agent") if "user_agent" in requests.columns else F.lit(None).cast("string")
     kinds = (
