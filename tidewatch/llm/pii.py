@@ -125,22 +125,28 @@ def detect(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
     """docs with every span that detect() finds replaced by a mark that names its kind; overlapping spans share one.
 
-    docs needs text, and keeps its columns; a null text stays null.
+    docs needs text, and keeps its columns, whatever their names; a null text stays null, an empty one empty. Repeated
+    rows give equal texts. Long texts are read whole, at a cost in proportion to their length. An empty table gives no
+    rows.
     """
-    found = detect(docs.withColumn("pii", F.lit(None)))
+    names = docs.columns
+    found = detect(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text")))
     in_order = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(F.col("text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(gap, F.format_string(mark.replace("{}", "%s"), s["kind"])))).otherwise(acc["out"]).alias("out"),
-        )
+    def marked(chunks: Column, sorted_: Column, upto: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            since = F.coalesce(F.get(upto, i - 1), F.lit(0))  # where the spans before it end
+            return F.when(s["start"] >= since, F.concat(spans.between(chunks, since, s["start"]), F.format_string(mark.replace("{}", "%s"), s["kind"]))).otherwise("")
+
+        rest = spans.between(chunks, F.element_at(upto, -1), F.length("text").cast("long"))
+        return F.concat(F.array_join(F.transform(sorted_, piece), ""), rest)
+
+    def in_text(sorted_: Column) -> Column:
+        upto = spans.running(F.transform(sorted_, lambda s: s["end"]), F.greatest)
+        return spans.once(upto, lambda u: spans.once(spans.blocks(F.col("text")), lambda chunks: marked(chunks, sorted_, u)))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    joined = F.aggregate(in_order, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"].cast("int") + 1)))
-    return found.withColumn("text", F.when(F.size("pii") > 0, joined).otherwise(F.col("text"))).drop("pii")
+    text = F.when(F.size("pii") > 0, spans.once(in_order, in_text)).otherwise(F.col("text"))
+    return found.select("row", text.alias("text")).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names))
 
 
 def _count(kind: str) -> Column:
