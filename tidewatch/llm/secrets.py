@@ -4,9 +4,9 @@ Each rule is a regular expression. Its Boolean trigram query is derived from it,
 trigrams are intersected: only texts in the intersection are verified with the expression itself. Rules without
 mandatory trigrams scan every text.
 
-The index is keyed by a text's content, so that copies share their postings. It holds the trigrams that some rule's
-query names; others could not decide anything. All postings of a text come from one row, so that they are intersected
-before anything is shuffled, and what is shuffled is a row per candidate.
+The index is keyed by a text's content, so that copies share their postings. postings() makes it of every trigram, as a
+table to keep and to read other rules against; a scan with fixed rules makes it of the trigrams that some rule's query
+names, as others could not decide anything. All postings of a text come from one row.
 """
 
 from __future__ import annotations
@@ -46,21 +46,29 @@ MORE = (
 RULES = BASE + MORE
 
 
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """gram and key: which texts hold which of the grams, in lower case."""
+def postings(docs: DataFrame, grams: list[str] | None = None) -> DataFrame:
+    """gram and key: which texts hold which trigrams, in lower case, each once; of all trigrams, or of the given ones.
+
+    A null text counts as empty and has none. The text is brought to lower case once, and each gram sought in that.
+    """
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams)))
+    if grams is None:
+        held = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    else:
+        held = spans.once(low, lambda t: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(t, g)))
     return docs.select(common.text_key(F.col("text")).alias("key"), F.explode(held).alias("gram"))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """key and kinds: the rules whose trigram query a text meets. Rules without mandatory trigrams have no part in it."""
-    spark = docs.sparkSession
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """key and kinds: the rules whose trigram query a text meets, by the postings of an index that holds their trigrams.
+
+    Rules without mandatory trigrams have no part in it. Repeated postings count once.
+    """
+    spark = index.sparkSession
     clauses = [(r.kind, no, g, len(c)) for r in rules for no, c in enumerate(trigrams.query(r.pattern)) for g in sorted(c)]
     if not clauses:
         return spark.createDataFrame([], "key binary, kinds array<string>")
-    terms = spark.createDataFrame(clauses, "kind string, clause int, gram string, size int")
-    index = postings(docs, sorted({c[2] for c in clauses}))
+    terms = spark.createDataFrame(clauses, "kind string, clause int, gram string, size int").coalesce(1)
     met = (
         index.join(F.broadcast(terms), "gram")  # as many rows as the rules have trigrams
         .groupBy("key", "kind", "clause")
@@ -70,13 +78,20 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+def rule_grams(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that the rules' queries name."""
+    return sorted({g for r in rules for c in trigrams.query(r.pattern) for g in c})
+
+
 def _verify(rule: Rule, text: Column) -> Column:
     found = spans.find(text, rule.pattern, rule.group)
     return F.filter(found, lambda s: F.length(s["part"]) >= rule.least)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with one more column, findings: a map of kind to its spans (start, end, match, part, before).
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """docs with one more column, findings: a map of kind to its spans (start, end, match, part, near).
+
+    index is that of postings(), if it was kept; it must know every text of docs.
 
     docs needs text; its other columns stay as they are, also where they are called key, kinds or gram (only findings
     would be replaced). A null text counts as empty and has no spans. Copies and repeated rows are each found, with
@@ -84,7 +99,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     picked = [c for c in docs.columns if c != "findings"]
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in picked)).alias("row"), F.col("text").alias("text"))
-    hits = common.saved(candidates(inner, rules), "secret-candidates")
+    hits = common.saved(candidates(index if index is not None else postings(inner, rule_grams(rules)), rules), "secret-candidates")
     n = hits.count()
     rows = inner.withColumn("key", common.text_key(F.col("text")))
     rows = common.join_small(rows, hits, ["key"], "left", n, 200)
