@@ -169,6 +169,43 @@ def test_repeats_are_those_of_brute_force(spark, length):
         assert got[i] == x, (i, texts[i])
 
 
+@pytest.mark.parametrize("length", [40, 100])
+def test_frequent_seeds_and_crowded_slices_give_the_same(spark, monkeypatch, length):
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 1)
+    monkeypatch.setattr(suffix_dedup, "CROWD", 2)
+    rng = np.random.default_rng(length)
+    texts = repeated_texts(rng, length)
+    shared = "".join(rng.choice(list("abcdé"), 2 * length))
+    for k in range(40):  # one passage, cut off at many places, in differing surroundings
+        i, j = rng.integers(0, length // 2), rng.integers(3 * length // 2, 2 * length)
+        texts.append("".join(rng.choice(list("xyz "), 60)) + shared[i:j] + "".join(rng.choice(list("uvw "), 60)))
+    out = suffix_dedup.remove_repeats(docs_of(spark, list(enumerate(texts))), length)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.collect()}
+    expected = plain_repeats(texts, length)
+    for i, t in enumerate(texts):
+        assert got[i] == expected[i], (i, t)
+
+
+def test_passages_of_fifty_one_words_leave_the_text(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "nrst"]
+    texts = [" ".join(rng.choice(words, 150)) for _ in range(12)]
+    passage, long_one = " ".join(rng.choice(words, 51)), " ".join(rng.choice(words, 130))
+    for i in (1, 2, 3):
+        texts[i] += " " + passage + " " + texts[i + 4][:100]
+    texts[8], texts[9] = long_one + texts[8], texts[9] + long_one
+    docs_of(spark, list(enumerate([*texts, None, ""]))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    expected = plain_repeats([*texts, "", ""], 400)
+    for i in range(len(texts) + 2):
+        n_bytes, n_removed, n_spans, kept = expected[i]
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n_bytes, n_removed, n_spans, kept)
+    assert all(passage not in got[i].text and got[i].n_removed == 0 for i in (1, 2, 3))
+    assert all(long_one not in got[i].text and got[i].n_removed >= 400 for i in (8, 9))
+    assert all(got[i].text == texts[i] for i in (0, 4, 10, 11))
+
+
 def test_a_long_text_is_cut_into_pieces_that_share_no_window(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 500)
     rng, length = np.random.default_rng(9), 40

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import licenses, packing, pieces, pii, quality, secrets, spans, token_counts, trigrams
+from tidewatch.llm import common, licenses, packing, pieces, pii, quality, secrets, spans, token_counts, trigrams
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "plain words that say little " * 20_000
@@ -203,6 +203,22 @@ def test_scan_keeps_columns_and_empty_tables(spark):
     assert secrets.scan(docs.limit(0)).collect() == []
 
 
+def test_an_index_of_all_trigrams_serves_any_rules(spark):
+    texts = [t for t in SECRETS if t is None or len(t) < 1000] + ["Straße", "abcabc"]
+    docs = docs_of(spark, texts)
+    index = secrets.postings(docs)
+    keys = {r.doc_id: bytes(r.key) for r in docs.select("doc_id", common.text_key(F.col("text")).alias("key")).collect()}
+    held = {}
+    for r in index.collect():
+        held.setdefault(bytes(r.key), []).append(r.gram)
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        assert sorted(held.get(keys[i], [])) == sorted({low[k : k + 3] for k in range(len(low) - 2)})
+    for rules in (secrets.RULES, (secrets.Rule("mine", "hunter[0-9]+"),)):
+        plain, kept = ({r.doc_id: r.findings for r in secrets.scan(docs, rules, i).collect()} for i in (None, index))
+        assert plain == kept and any(x for f in plain.values() for x in f.values())
+
+
 def test_trigram_queries_hold_for_every_match():
     cases = {
         r"AKIA[A-Z0-9]{16,}": "AKIA" + "Z" * 16,
@@ -279,6 +295,20 @@ def test_context_reaches_past_spans_of_the_same_kind(spark):
     assert [r.text for r in pii.redact(docs_of(spark, texts[:1])).collect()] == ["SSN [ssn], [ssn]"]
 
 
+def test_a_text_full_of_spans_costs_no_more_than_its_length(spark):
+    import time
+
+    n = 20_000
+    text = "write to " + ", ".join(f"user{i}@example.org, 10.{i % 200}.{i // 200}.1" for i in range(n))
+    docs = docs_of(spark, [text])
+    began = time.time()
+    out = pii.redact(docs).first().text
+    assert out == "write to " + ", ".join(["[email], [ip]"] * n)
+    found = {r.kind: r.n for r in pii.detect(docs).select(F.explode("pii").alias("x")).groupBy("x.kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {"email": n, "ip": n}
+    assert time.time() - began < 60  # a search from the start of the text for each span took several minutes
+
+
 def test_redaction_hides_spans_and_keeps_columns(spark):
     docs = docs_of(spark, ["mail a@b.de now, +49 30 1234567.", None, "plain"]).withColumn("pii", F.lit("mine"))
     out = pii.redact(docs.drop("pii"))

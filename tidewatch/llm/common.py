@@ -56,6 +56,11 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str] | Column, how: s
     return left.join(F.broadcast(right) if right_rows * row_bytes <= most_bytes else right, on, how)
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int, most_bytes: int = 16 << 20) -> DataFrame:
+    """join_small() with right's rows counted here; right is a saved table or a cheap part of one."""
+    return join_small(left, right, on, how, right.count(), row_bytes, most_bytes)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose texts have about as many bytes as a worker takes at once."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

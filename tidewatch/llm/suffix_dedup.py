@@ -6,19 +6,23 @@ a window. The work has four steps, none of which holds more than a bounded piece
 1. Every window is dealt to the place of its minimizer: of the `span` positions from its start, the one whose next few
    bytes have the least hash. Equal windows have it at equal distance, and hold the `length - span + 1` bytes that
    follow it, its seed. Windows of a document that share a minimizer are neighbours and make up a unit.
-2. Units meet by seed. A seed met once has no repeated window. Units of equal text collapse to one with a count: all
-   windows of a unit met twice are repeated. Units that share a seed but differ beside it are cut into a few slices of
-   neighbouring windows, whose seeds are longer, and these meet and collapse in the same way.
+2. Units meet by seed. A seed met once has no repeated window. All windows of a unit whose text is met twice are
+   repeated: equal units, the insides of repeats, are settled here by their hashes. Seeds that a sample of the texts
+   shows to be frequent are counted in partial counts instead, which then join back, so that no task gets all units of
+   one; what comes out is the same. Units that share a seed but differ beside it are cut into a few slices of
+   neighbouring windows, whose seeds are longer, and these are counted and settled in the same way.
 3. What is left are slices that share a seed but differ beside it: the ends of repeats. The seed is one symbol then,
    so that a slice is a short string: bytes, seed, bytes. Shards of such strings are suffix-sorted on their own, and
    their transforms are merged by refining the interleave of the shards symbol by symbol. The rounds at which
    neighbours part are their common prefixes; neighbours that have not parted after as many symbols as a window has
-   form the repeated intervals. No suffix is sorted twice.
+   form the repeated intervals. No suffix is sorted twice. Where one seed has more slices than a merge takes, they are
+   cut into narrower ones first, with longer seeds, which part them and let equal ones collapse again.
 4. The windows found are joined to their documents by the texts' keys, and the bytes that they cover are removed.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,10 +34,16 @@ from pyspark.sql import functions as F
 from . import common, hashing
 
 LENGTH = 400
+#: Bytes of a passage for training data: 50 words of prose have more.
+PASSAGE = 200
 #: Bytes that are taken at once; a longer text is taken in pieces of so many window starts.
 PIECE = 1 << 20
 #: Symbols of a shard, and of the shards that are merged at once (more only where one seed has more).
 SHARD, MERGE = 1 << 18, 1 << 20
+#: Slices of one seed beyond which they are cut into narrower ones.
+CROWD = 4096
+#: One text in SAMPLED is looked at for seeds that more than OFTEN units share.
+SAMPLED, OFTEN = 64, 8
 
 def geometry(length: int) -> tuple[int, int, int]:
     """span: window starts that may share a minimizer; k: bytes hashed at a position; seed: bytes after a minimizer."""
@@ -252,9 +262,11 @@ def repeated_windows(left: list[bytes], right: list[bytes], seed: np.ndarray, wi
     return row[hit], at[hit]
 
 
-def merge_slices(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, lo, hi: the repeated windows of slices that occur once, for rows as cut_slices() gives them."""
-    width = slices(length)
+def merge_slices(rows: DataFrame, width: int) -> DataFrame:
+    """key, lo, hi: the repeated windows of slices that occur once, for rows as cut_slices() gives them.
+
+    A window has width symbols: those beside the seed, and the seed.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.runs(batches, ["seed"], MERGE // (2 * width + 2)):
@@ -274,31 +286,94 @@ def merge_slices(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.transform(common.in_arrow, merge, "key binary, lo int, hi int")
 
 
-def _met(rows: DataFrame, n) -> DataFrame:
-    """Rows whose seed is met more than once, with n_seed and n_unit: how often the seed and the unit's text occur."""
-    by_seed = rows.withColumn("n_seed", F.sum(n).over(Window.partitionBy("seed"))).filter("n_seed > 1")
-    return by_seed.withColumn("n_unit", F.sum(n).over(Window.partitionBy("seed", "unit")))
+def narrow(length: int) -> int:
+    """Windows of the slices into which those of a crowded seed are cut: at most 4, in equal parts."""
+    return max(n for n in range(1, 5) if slices(length) % n == 0)
+
+
+def _narrower(ends: DataFrame, length: int) -> DataFrame:
+    """Slices cut into slices of narrow() windows: key, count, seed, unit, lo, hi, left, right, as cut_slices() gives them.
+
+    Slice c holds the windows whose start is c * n to c * n + n - 1 bytes before the seed; what all of these hold of left
+    and right becomes part of its seed.
+    """
+    width, n = slices(length), narrow(length)
+    a, last = F.octet_length("left"), F.col("hi") - F.col("lo")
+    cut = ends.withColumn("c", F.explode(F.sequence(F.floor((a - last) / n).cast("int"), F.floor(a / n).cast("int"))))
+    cut = cut.withColumn("e", a - F.col("c") * n).withColumns({"first": F.greatest(F.col("e") - n + 1, F.lit(0)), "last": F.least(F.col("e"), last)})
+    part = lambda side, start, end: F.substring(F.col(side), start + 1, end - start)
+    shared = F.lit(width) - (F.col("c") + 1) * n  # bytes of right that all windows of the slice hold
+    seed = F.xxhash64("seed", "c", part("left", F.col("e"), a), part("right", F.lit(0), shared))
+    cut = cut.select("key", "count", seed.alias("seed"), (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi"), part("left", F.col("first"), F.col("e")).alias("left"), part("right", shared, F.lit(width - 1) - a + F.col("last")).alias("right"))
+    return cut.withColumn("unit", F.xxhash64("seed", F.octet_length("left"), "left", "right"))
+
+
+def _frequent(texts: DataFrame, length: int) -> DataFrame:
+    """The seeds that more than OFTEN units of one text in SAMPLED have. They only decide how units are counted."""
+    some = texts.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0)
+    return common.saved(units(some, length).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OFTEN).select("seed"), "repeat-frequent")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """key and ranges: the byte ranges of each distinct text that repeated strings cover, in order and apart."""
     texts = docs.select(common.text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") >= length)
-    met = common.saved(_met(units(texts, length), F.col("count")), "repeat-units")
+    every, frequent = units(texts, length), _frequent(texts, length)
+    n_frequent = frequent.count()
+    rare = common.join_small(every, frequent, ["seed"], "left_anti", n_frequent, 16) if n_frequent else every
+    met = common.saved(_met(rare, F.col("count")), "repeat-units")
+    sure, first = met.filter("n_unit > 1").select("key", "lo", "hi", "more"), F.min(F.struct("key", "m", "lo", "hi")).alias("first")
+    unsure = met.filter("n_unit < n_seed").groupBy("seed", "unit").agg(F.first("n_unit").alias("n"), first)
+    if n_frequent:
+        often = common.saved(common.join_small(every, frequent, ["seed"], "left_semi", n_frequent, 16), "repeat-often")
+        same, alike, found = _settled(often, "repeat-often", F.struct("key", "m", "lo", "hi"))
+        sure = sure.unionByName(same.unionByName(alike).select("key", "lo", "hi", "more"))
+        unsure = unsure.unionByName(found)
     places = F.concat(F.array("lo", "hi"), F.coalesce("more", F.array().cast("array<int>")))
-    sure = met.filter("n_unit > 1").select("key", F.explode(_pairs(places)).alias("x")).select("key", "x.lo", "x.hi")
-    unsure = met.filter("n_unit < n_seed").groupBy("seed", "unit").agg(F.min(F.struct("key", "m", "lo", "hi")).alias("x"), F.first("n_unit").alias("count"))
-    picked = common.saved(unsure.groupBy("x.key").agg(F.collect_list(F.struct("x.m", "x.lo", "x.hi", "count")).alias("picked")), "repeat-picked")
-    n = picked.agg(F.coalesce(F.sum(F.size("picked")), F.lit(0))).first()[0]
-    parts = cut_slices(common.join_small(texts, picked, ["key"], "inner", n, 64).select("key", "text", "picked"), length)
-    again = common.saved(_met(parts, F.col("count")), "repeat-slices")
-    sliced = again.filter("n_unit > 1 and count = 1").select("key", "lo", "hi")
-    ends = again.filter("n_unit < n_seed").groupBy("seed", "unit").agg(F.first("n_unit").alias("count"), *(F.first(c).alias(c) for c in ("key", "lo", "hi", "left", "right")))
-    merged = merge_slices(ends.repartition("seed").sortWithinPartitions("seed"), length)
-    every = sure.unionByName(sliced).unionByName(merged)
-    sets = every.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("starts"))
+    ranges = [sure.select("key", F.explode(_pairs(places)).alias("x")).select("key", "x.lo", "x.hi")]
+    picked = common.saved(unsure.groupBy("first.key").agg(F.collect_list(F.struct("first.m", "first.lo", "first.hi", F.col("n").alias("count"))).alias("picked")), "repeat-picked")
+    parts = common.saved(cut_slices(common.meet(texts, picked, ["key"], "inner", 64).select("key", "text", "picked"), length), "repeat-slices")
+    ends = _ends(parts, "repeat-slices", ranges)
+    crowded = common.saved(ends.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("seed"), "repeat-crowded")
+    n_crowded = crowded.count()
+    wide = common.join_small(ends, crowded, ["seed"], "left_anti", n_crowded, 16) if n_crowded else ends
+    ranges.append(merge_slices(wide.repartition("seed").sortWithinPartitions("seed"), slices(length)))
+    if n_crowded:
+        thin = common.saved(_narrower(common.join_small(ends, crowded, ["seed"], "left_semi", n_crowded, 16), length), "repeat-narrow")
+        ends = _ends(thin, "repeat-narrow", ranges)
+        ranges.append(merge_slices(ends.repartition("seed").sortWithinPartitions("seed"), narrow(length)))
+    sets = functools.reduce(DataFrame.unionByName, ranges).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("starts"))
     return sets.transform(common.in_arrow, lambda batches: _joined(batches, length), "key binary, ranges array<int>")
 
 
+def _met(rows: DataFrame, n: Column) -> DataFrame:
+    """Rows whose seed is met more than once, with n_seed and n_unit: how often the seed and the unit's text occur."""
+    by_seed = rows.withColumn("n_seed", F.sum(n).over(Window.partitionBy("seed"))).filter("n_seed > 1")
+    return by_seed.withColumn("n_unit", F.sum(n).over(Window.partitionBy("seed", "unit")))
+
+
+def _settled(rows: DataFrame, name: str, best: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of seeds met more than once with one text only; those of other seeds whose own text is met more than once;
+    and each text of the latter seeds: seed, unit, n (how often it is met) and first, the least of best.
+
+    Seeds and texts are counted in partial counts, and the counts join back: no task gets all rows of one.
+    """
+    seeds = rows.groupBy("seed").agg(F.sum("count").alias("n_seed"), (F.min("unit") != F.max("unit")).alias("mixed")).filter("n_seed > 1")
+    seeds = common.saved(seeds.select("seed", "mixed"), f"{name}-seeds")
+    with_others = common.meet(rows, seeds.filter("mixed").select("seed"), ["seed"], "left_semi", 16)
+    texts = common.saved(with_others.groupBy("seed", "unit").agg(F.sum("count").alias("n"), F.min(best).alias("first")), f"{name}-texts")
+    same = common.meet(rows, seeds.filter("not mixed").select("seed"), ["seed"], "left_semi", 16)
+    alike = common.meet(rows, texts.filter("n > 1").select("seed", "unit"), ["seed", "unit"], "left_semi", 24)
+    return same, alike, texts
+
+
+def _ends(parts: DataFrame, name: str, ranges: list[DataFrame]) -> DataFrame:
+    """The distinct slices of seeds with several, one of each text, with its count. To ranges go the slices that stand
+    for text met once but whose own text is met again."""
+    same, alike, texts = _settled(parts, name, F.struct("key", "lo", "hi", "left", "right"))
+    ranges.append(same.unionByName(alike).filter("count = 1").select("key", "lo", "hi"))
+    return texts.select("seed", "unit", F.col("n").alias("count"), "first.*")
+
+
 def _pairs(flat: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.size(flat) / 2 - 1).cast("int")), lambda i: F.struct(F.get(flat, 2 * i).alias("lo"), F.get(flat, 2 * i + 1).alias("hi")))
 
@@ -318,21 +393,27 @@ def _joined(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["key", "ranges"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _with_ranges(docs: DataFrame, found: DataFrame, added: tuple[str, ...]) -> DataFrame:
+    """row (docs without the columns added), bytes and the ranges found for its text, or null."""
+    n = found.agg(F.coalesce(F.sum(F.size("ranges") + 6), F.lit(0))).first()[0]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("row", common.text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("bytes"))
+    return common.join_small(rows, found, ["key"], "left", n, 8).select("row", "bytes", "ranges")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, found: DataFrame | None = None) -> DataFrame:
     """docs with four more columns: n_bytes, n_removed, n_spans and kept, the bytes that remain.
 
     Removed is each byte of a text's UTF-8 form that a string of `length` bytes covers which also starts anywhere else,
     in the same text too; all occurrences go. docs needs text; its other columns stay (those four would be replaced),
     whatever their names. A null text counts as empty; texts shorter than length stay whole. Repeated rows repeat each
-    other. Long texts are read whole. An empty table gives no rows.
+    other. Long texts are read whole. An empty table gives no rows. found are the ranges of repeated_ranges() for the
+    same docs and length, where they are known.
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept")
-    plain = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    found = common.saved(repeated_ranges(plain, length), "repeat-ranges")
-    n = found.agg(F.coalesce(F.sum(F.size("ranges") + 6), F.lit(0))).first()[0]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("row", common.text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("bytes"))
-    rows = common.join_small(rows, found, ["key"], "left", n, 8)
+    if found is None:
+        found = common.saved(repeated_ranges(docs.select(F.coalesce("text", F.lit("")).alias("text")), length), "repeat-ranges")
+    rows = _with_ranges(docs, found, added)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,9 +429,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], names=["row", *added])
 
     shape = rows.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return rows.select("row", "bytes", "ranges").transform(common.in_arrow, remove, shape).select("row.*", *added)
+    return rows.transform(common.in_arrow, remove, shape).select("row.*", *added)
+
+
+def kept_text() -> Column:
+    """kept as text; where a cut parts a character, its bytes become U+FFFD."""
+    return F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and what is left of each text when repeats of PASSAGE bytes are cut out of it.
+
+    A byte that a repeated string of LENGTH bytes covers lies in a run of as many bytes that repeated strings of PASSAGE
+    bytes cover, and so do the string's other occurrences. So the longer strings are sought only in texts that have such
+    a run.
+    """
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    short = common.saved(repeated_ranges(docs, PASSAGE), "repeat-ranges")
+    runs = F.zip_with(F.filter("ranges", lambda x, i: i % 2 == 0), F.filter("ranges", lambda x, i: i % 2 == 1), lambda a, b: b - a)
+    maybe = common.saved(short.filter(F.array_max(runs) >= LENGTH).select("key"), "repeat-maybe")
+    some = common.meet(docs.withColumn("key", common.text_key(F.col("text"))), maybe, ["key"], "left_semi", 64).select("text")
+    cut = remove_repeats(docs, LENGTH, common.saved(repeated_ranges(some, LENGTH), "repeat-ranges"))
+    digest = cut.select("doc_id", "text", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    passages = remove_repeats(digest.select(*(F.col(c).alias(f"c_{c}") if c.startswith("n_") else F.col(c) for c in digest.columns)), PASSAGE, short)
+    return passages.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"c_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), "kept_sha256", kept_text().alias("text"))
