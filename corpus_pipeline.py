@@ -27,9 +27,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand anywhere else too are cut out; where a cut parts a character, its bytes become U+FFFD."""
-    cut = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text")))
-    return _with_text(cut.withColumn("text", text), docs)
+    cut = suffix_dedup.remove_repeats(docs, suffix_dedup.PASSAGE)
+    return _with_text(cut.withColumn("text", F.when(F.col("text").isNotNull(), suffix_dedup.kept_text())), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
