@@ -53,7 +53,7 @@ def postings(docs: DataFrame, grams: list[str] | None = None) -> DataFrame:
     """
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     if grams is None:
-        held = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+        held = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))."), F.lit(1)))
     else:
         held = spans.once(low, lambda t: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(t, g)))
     return docs.select(common.text_key(F.col("text")).alias("key"), F.explode(held).alias("gram"))
