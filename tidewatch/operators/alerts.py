@@ -6,6 +6,8 @@ are those of the events, so that a replay gives what the live stream gave.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +88,9 @@ def stats(alerts: DataFrame, most: int = 10) -> DataFrame:
     cubes = alerts.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value")) for d, v in (
         ("total", F.lit("")), ("severity", F.col("severity")), ("type", F.col("alert_type")), ("source", F.col("src_ip")), ("technique", F.col("technique")))))).alias("x"), "ts_us")
     counted = cubes.groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    long_ = F.col("dimension").isin("source", "technique")
     top = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))
-    return counted.withColumn("r", top).filter(~F.col("dimension").isin("source", "technique") | (F.col("r") <= most)).drop("r")
+    return counted.filter(~long_).unionByName(counted.filter(long_).withColumn("r", top).filter(F.col("r") <= most).drop("r"))
 
 
 def detections(alerts: DataFrame, techniques: DataFrame) -> DataFrame:
@@ -134,8 +137,8 @@ def search(alerts: DataFrame, text: str | None = None, least_severity: int | Non
         out = out.filter(F.col("rule_id") == rule)
     if app is not None:
         out = out.filter(F.col("app") == app)
-    for word in (text or "").lower().split()[:8]:
-        words = F.split(F.lower(F.concat_ws(" ", "message", "src_ip", "dst_ip", "tag")), r"\s+")
+    for word in re.findall(r"[\w.:\-]+", (text or "").lower())[:8]:
+        words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "message", "src_ip", "dst_ip", "tag")), F.lit(r"(?U)[\w.:\-]+"), F.lit(0))
         out = out.filter(F.array_contains(words, word))
     return out.orderBy(F.desc("ts_us"), F.desc("alert_id")).limit(min(most, 1000))
 

@@ -117,13 +117,16 @@ def sliding_distinct(window: int, least: int, cooldown: int, strict: bool = True
     return make
 
 
-def threshold(window: int, least: int) -> Callable[[], State]:
-    """The number of events in the last `window`, ends included, when it reaches `least`; counting then starts anew."""
+def threshold(window: int | None = None, least: int | None = None) -> Callable[[], State]:
+    """The number of events in the last `window`, ends included, when it reaches `least`; counting then starts anew.
+
+    Both may be given with each event instead, if they are of the key.
+    """
 
     def make() -> State:
         held: deque[int] = deque()
 
-        def on(at: int) -> int | None:
+        def on(at: int, window: int | None = window, least: int | None = least) -> int | None:
             held.append(at)
             while at - held[0] > window:
                 held.popleft()

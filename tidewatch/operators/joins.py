@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions import ip, names
 
@@ -20,26 +21,43 @@ def sized(dim: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim
 
 
+#: Networks that are looked up length by length in broadcast tables made here; more of them meet the addresses by shuffle.
+MOST_LOCAL = 20_000
+
+
 def longest_prefix(rows: DataFrame, address: str, networks: DataFrame, keep: list[str]) -> DataFrame:
     """rows with the columns `keep` of the most specific network that holds the address, or null.
 
-    networks has cidr text; the later load_no wins where a network comes twice, if there is such a column. For each
-    prefix length that occurs there is a key to meet, so that no row is compared with a range. Addresses are matched
-    once each and joined back, which also evens out frequent ones.
+    networks has cidr text, of IPv4 or IPv6; the later load_no wins where a network comes twice, if there is such a
+    column. A network is a text of leading bits, so that there is a key to meet for each length that occurs and no row is
+    compared with a range. Few networks (MOST_LOCAL) are broadcast, a table for each length, and rows stay where they
+    are; with more, addresses are matched once each and joined back, which also evens out frequent ones.
     """
-    nets = networks.select(
-        F.split("cidr", "/")[0].alias("_base"), F.coalesce(F.get(F.split("cidr", "/"), F.lit(1)).cast("int"), F.lit(32)).alias("_len"),
-        F.struct(*keep).alias("_net"), (F.col("load_no") if "load_no" in networks.columns else F.lit(0)).alias("_no"),
-    )
-    nets = nets.select(ip.network_key(ip.number(F.col("_base")), F.col("_len")).alias("_key"), "_len", "_net", "_no").filter("_key is not null")
-    nets = nets.groupBy("_key", "_len").agg(F.max_by("_net", "_no").alias("_net"))
-    lengths = nets.agg(F.sort_array(F.collect_set("_len"))).first()[0]  # 33 at most
-    if not lengths:
-        kind = nets.schema["_net"].dataType
-        return rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in kind))
-    seen = rows.select(F.col(address).alias("_ip")).filter("_ip is not null").distinct().withColumn("_n", ip.number(F.col("_ip")))
-    keyed = seen.select("_ip", "_n", F.explode(F.array(*map(F.lit, lengths))).alias("_len")).withColumn("_key", ip.network_key(F.col("_n"), F.col("_len")))
-    best = keyed.join(sized(nets), ["_key", "_len"]).groupBy("_ip").agg(F.max_by("_net", "_len").alias("_net"))
+    no = F.col("load_no") if "load_no" in networks.columns else F.lit(0)
+    nets = networks.select(ip.network_bits(F.col("cidr")).alias("_key"), F.struct(*keep).alias("_net"), no.alias("_no")).filter("_key is not null")
+    nets = nets.groupBy("_key").agg(F.max_by("_net", "_no").alias("_net"))
+    few = nets.limit(MOST_LOCAL + 1).collect()
+    if len(few) > MOST_LOCAL:
+        return _by_shuffle(rows, address, nets, keep)
+    by_length: dict[tuple[str, int], list] = {}
+    for r in few:
+        by_length.setdefault((r["_key"][0], len(r["_key"])), []).append((r["_key"], r["_net"]))
+    kind = nets.schema["_net"].dataType
+    out, found = rows.select(*(rows[c] for c in rows.columns), ip.bits(F.col(address)).alias("_bits")), []
+    for i, (version, size) in enumerate(sorted(by_length, key=lambda k: -k[1])):
+        shape = T.StructType([T.StructField(f"_k{i}", T.StringType()), T.StructField(f"_n{i}", kind)])
+        dim = rows.sparkSession.createDataFrame(by_length[version, size], shape)
+        out = out.join(F.broadcast(dim), F.substr("_bits", F.lit(1), F.lit(size)) == F.col(f"_k{i}"), "left")
+        found.append(F.col(f"_n{i}"))
+    best = F.coalesce(*found) if found else F.lit(None).cast(kind)
+    return out.withColumn("_net", best).select(*rows.columns, *(F.col(f"_net.{c}").alias(c) for c in keep))
+
+
+def _by_shuffle(rows: DataFrame, address: str, nets: DataFrame, keep: list[str]) -> DataFrame:
+    lengths = nets.agg(F.sort_array(F.collect_set(F.struct(F.substring("_key", 1, 1).alias("v"), F.length("_key").alias("n"))))).first()[0]  # 33 and 129 at most
+    seen = rows.select(F.col(address).alias("_ip")).filter("_ip is not null").distinct().withColumn("_bits", ip.bits(F.col("_ip")))
+    keys = F.array_compact(F.array(*(F.when(F.col("_bits").startswith(x["v"]), F.substr("_bits", F.lit(1), F.lit(x["n"]))) for x in lengths)))
+    best = seen.select("_ip", F.explode(keys).alias("_key")).join(nets, "_key").groupBy("_ip").agg(F.max_by("_net", F.length("_key")).alias("_net"))
     return rows.join(best, F.col(address) == F.col("_ip"), "left").select(*(rows[c] for c in rows.columns), *(F.col(f"_net.{c}").alias(c) for c in keep))
 
 
@@ -82,7 +100,7 @@ def in_range(rows: DataFrame, value: Column, ranges: DataFrame, lo: str, hi: str
     cells = ranges.select(F.explode(F.sequence(F.shiftright(lo, bits), F.shiftright(hi, bits))).alias("_cell"), F.struct(F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), *keep).alias("_range"))
     cells = cells.groupBy("_cell").agg(F.sort_array(F.collect_list("_range")).alias("_ranges"))  # 2 ** bits at most, as they don't overlap
     with_value = rows.withColumn("_value", value).withColumn("_cell", F.shiftright("_value", bits))
-    met = with_value.join(cells, "_cell", "left")
+    met = with_value.join(sized(cells), "_cell", "left")
     hit = F.get(F.filter("_ranges", lambda r: F.col("_value").between(r["_lo"], r["_hi"])), F.lit(0))
     return met.withColumn("_hit", hit).select(*(with_value[c] for c in rows.columns), *(F.col(f"_hit.{c}").alias(c) for c in keep))
 
@@ -97,17 +115,14 @@ def with_parent(rows: DataFrame, key: str, dim: DataFrame, dim_key: str, keep: l
 def not_suppressed(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """alerts for which no row of rules (rule_id or *, cidr or *) holds; addresses are those of the source.
 
-    The rules are one small list: they become two sets of keys, exact and by network, and no pair is formed.
+    Rules for all addresses meet by rule, rules for networks by leading bits, one join for each length; no pair is formed.
     """
-    star, named = rules.filter("cidr = '*'"), rules.filter("cidr <> '*'")
-    left = alerts.join(F.broadcast(star.select("rule_id").distinct()), (star["rule_id"] == "*") | (star["rule_id"] == alerts["rule_id"]), "left_anti") if star.limit(1).count() else alerts
-    nets = named.groupBy("cidr").agg(F.collect_set("rule_id").alias("_rules"))
-    spread = nets.withColumn("_all", F.col("_rules"))
-    lengths = [r[0] for r in spread.select(F.coalesce(F.get(F.split("cidr", "/"), F.lit(1)).cast("int"), F.lit(32))).distinct().collect()]  # 33 at most
-    n = ip.number(F.col("src_ip"))
-    out = left
-    for length in sorted(lengths):
-        own = spread.filter(F.coalesce(F.get(F.split("cidr", "/"), F.lit(1)).cast("int"), F.lit(32)) == length)
-        own = own.select(ip.network_key(ip.number(F.split("cidr", "/")[0]), F.lit(length)).alias("_key"), F.explode("_all").alias("_rule"))
-        out = out.join(own, (ip.network_key(n, F.lit(length)) == F.col("_key")) & ((F.col("_rule") == "*") | (F.col("_rule") == F.col("rule_id"))), "left_anti")
-    return out
+    star = rules.filter("cidr = '*'").select("rule_id").distinct()
+    if star.filter("rule_id = '*'").limit(1).count():
+        return alerts.limit(0)
+    out = alerts.join(sized(star), "rule_id", "left_anti").select(*alerts.columns).withColumn("_bits", ip.bits(F.col("src_ip")))
+    nets = rules.filter("cidr <> '*'").select(ip.network_bits(F.col("cidr")).alias("_key"), F.col("rule_id").alias("_rule")).filter("_key is not null").distinct()
+    for size in sorted(r[0] for r in nets.select(F.length("_key")).distinct().collect()):  # 33 and 129 at most
+        own = sized(nets.filter(F.length("_key") == size))
+        out = out.join(own, (F.substr("_bits", F.lit(1), F.lit(size)) == F.col("_key")) & ((F.col("_rule") == "*") | (F.col("_rule") == F.col("rule_id"))), "left_anti")
+    return out.drop("_bits")

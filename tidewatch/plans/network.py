@@ -123,7 +123,15 @@ def lookup_prefetch(spark, sf_dir):
     return detectors.burst(views.packets(spark, sf_dir), ["src_ip"], "dst_port", 4, DAY, DAY, strict=False)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PACKETS_SQL},
+p AS (SELECT src_ip, ts_us, seq, ts_us // {DAY} AS w, row_number() OVER o AS n, count(*) OVER (PARTITION BY src_ip, ts_us // {DAY} ORDER BY ts_us, seq) AS c FROM packets WINDOW o AS (PARTITION BY src_ip ORDER BY ts_us, seq)),
+f AS (SELECT src_ip, w, max(c) AS c, row_number() OVER (PARTITION BY src_ip ORDER BY w) AS k FROM p GROUP BY src_ip, w),
+d AS (SELECT p.*, f.k, (SELECT CASE WHEN count(*) < 2 THEN 0 ELSE stddev_samp(x) END FROM (SELECT q.c AS x FROM f q WHERE q.src_ip = p.src_ip AND q.k < f.k AND q.k > f.k - 60 UNION ALL SELECT p.c)) AS sd, f.k >= 3 AS old FROM p JOIN f ON f.src_ip = p.src_ip AND f.w = p.w),
+e AS (SELECT src_ip, n, ts_us, seq, c::DOUBLE AS c, CASE WHEN old THEN sd ELSE 0 END AS sd, c::DOUBLE AS a FROM d WHERE n = 1
+      UNION ALL
+      SELECT d.src_ip, d.n, d.ts_us, d.seq, d.c::DOUBLE, CASE WHEN d.old THEN d.sd ELSE 0 END, 0.3 * d.c + 0.7 * e.a FROM e JOIN d ON d.src_ip = e.src_ip AND d.n = e.n + 1)
+SELECT src_ip, ts_us, seq, round(c, 6) AS rate, round(a, 6) AS average, round(sd, 6) AS deviation FROM e WHERE sd > 0 AND c > a + sd AND c > 3""")
 def rate_spike(spark, sf_dir):
     found = detectors.rate_spikes(views.packets(spark, sf_dir), window=DAY, sigma=1.0, least_rate=0.0, least_count=3)
     return found.select("src_ip", "ts_us", "seq", *(F.round(F.col(c) * 86_400, 6).alias(c) for c in ("rate", "average", "deviation")))
@@ -291,7 +299,15 @@ def correlation(spark, sf_dir):
     return alerts.correlated(views.alerts(spark, sf_dir), 3, DAY, DAY)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PACKETS_SQL},
+s AS (SELECT src_ip AS app, ts_us, seq, CASE app WHEN 'click' THEN 'beacon' WHEN 'view' THEN 'bare_ip' WHEN 'error' THEN 'new_program' ELSE 'intel' END AS kind FROM packets),
+q AS (SELECT app, ts_us, seq, (SELECT list_sort(list(DISTINCT b.kind)) FROM s b WHERE b.app = a.app AND b.ts_us >= a.ts_us - {6 * HOUR} AND (b.ts_us < a.ts_us OR b.ts_us = a.ts_us AND b.seq <= a.seq)) AS kinds FROM s a),
+e AS (SELECT *, len(list_filter(kinds, lambda x: x <> 'bare_ip')) AS strong, row_number() OVER (PARTITION BY app ORDER BY ts_us, seq) AS n FROM q WHERE len(list_filter(kinds, lambda x: x <> 'bare_ip')) >= 2 AND list_has_any(kinds, ['beacon', 'intel', 'c2_infra'])),
+f AS (SELECT app, ts_us, seq, kinds, strong, n FROM e WHERE n = 1
+      UNION ALL
+      SELECT x.app, x.ts_us, x.seq, x.kinds, x.strong, x.n FROM (SELECT e.*, row_number() OVER (PARTITION BY e.app ORDER BY e.n) AS k FROM f JOIN e ON e.app = f.app AND e.n > f.n AND e.ts_us - f.ts_us >= {6 * HOUR}) x WHERE x.k = 1)
+SELECT app, '10.9.9.9' AS remote_ip, ts_us, seq, array_to_string(kinds, ',') AS signals, round(least(0.95, 0.5 + 0.15 * strong), 6)::DOUBLE AS confidence FROM f""")
 def likely_control(spark, sf_dir):
     kind = F.when(F.col("app") == "click", "beacon").when(F.col("app") == "view", "bare_ip").when(F.col("app") == "error", "new_program").otherwise("intel")
     signals = views.packets(spark, sf_dir).select(F.col("src_ip").alias("app"), F.lit("10.9.9.9").alias("remote_ip"), kind.alias("kind"), "ts_us", "seq")
@@ -384,9 +400,10 @@ t AS (SELECT app, string_agg(src_ip, ',' ORDER BY n) AS top_hosts FROM h WHERE n
 SELECT app, sum(bytes)::BIGINT AS bytes, count(*) AS packets, count(DISTINCT src_ip) AS remotes, min(ts_us) AS first_us, max(ts_us) AS last_us, any_value(top_hosts) AS top_hosts FROM packets JOIN t USING (app) GROUP BY app""")
 def apps(spark, sf_dir):
     by_host = views.packets(spark, sf_dir).groupBy("app", "src_ip").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
-    ranked = by_host.withColumn("r", F.row_number().over(Window.partitionBy("app").orderBy(F.desc("b"), "src_ip")))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 6, F.struct("r", "src_ip")))), lambda x: x["src_ip"]), ",")
-    return ranked.groupBy("app").agg(F.sum("b").alias("bytes"), F.sum("n").alias("packets"), F.count(F.lit(1)).alias("remotes"), F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), top.alias("top_hosts"))
+    ranked = by_host.withColumn("r", F.row_number().over(Window.partitionBy("app").orderBy(F.desc("b"), "src_ip"))).filter("r <= 6")
+    top = ranked.groupBy("app").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "src_ip"))), lambda x: x["src_ip"]), ",").alias("top_hosts"))
+    whole = by_host.groupBy("app").agg(F.sum("b").alias("bytes"), F.sum("n").alias("packets"), F.count(F.lit(1)).alias("remotes"), F.min("lo").alias("first_us"), F.max("hi").alias("last_us"))
+    return whole.join(top, "app")
 
 
 @query(f"""
@@ -412,7 +429,13 @@ def rule_hits(spark, sf_dir):
     return rules.alerts(p, good).select("seq", "rule_id", "severity")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PACKETS_SQL},
+p AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY ts_us, seq) AS n FROM packets WHERE app = 'error'),
+f AS (SELECT src_ip, dst_ip, 0::BIGINT AS n, 0::BIGINT AS hit FROM p GROUP BY ALL
+      UNION ALL
+      SELECT x.src_ip, x.dst_ip, x.n, x.n FROM (SELECT a.src_ip, a.dst_ip, min(a.n) AS n FROM f JOIN p a ON a.src_ip = f.src_ip AND a.dst_ip = f.dst_ip AND a.n >= f.n + 3 JOIN p b ON b.src_ip = a.src_ip AND b.dst_ip = a.dst_ip AND b.n = a.n - 2 AND a.ts_us - b.ts_us <= {2 * DAY} GROUP BY a.src_ip, a.dst_ip, f.n) x)
+SELECT p.seq, p.ts_us, p.src_ip, p.dst_ip, 'CRED-BURST' AS rule_id, 3 AS hits, p.src_ip || ' keeps failing on ' || p.dst_ip AS message FROM f JOIN p ON p.src_ip = f.src_ip AND p.dst_ip = f.dst_ip AND p.n = f.hit""")
 def rule_threshold(spark, sf_dir):
     p = views.packets(spark, sf_dir)
     good, _ = rules.validate([r for r in rules.DEFAULT_RULES if "threshold" in r], p.schema)

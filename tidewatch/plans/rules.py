@@ -9,6 +9,7 @@ are, and no row is joined with a rule.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -22,7 +23,7 @@ from tidewatch.functions import ip
 from tidewatch.operators import folds
 
 OPERATORS = ("eq", "ne", "lt", "gt", "lte", "gte", "in", "not_in", "contains", "not_contains", "startswith", "endswith", "regex", "cidr", "exists")
-KEYS = frozenset({"id", "description", "severity", "match", "threshold", "message", "tags", "enabled", "technique"})
+KEYS = frozenset({"id", "description", "severity", "match", "when", "threshold", "message", "tags", "enabled", "technique"})
 SEVERITY = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 TRACK = {"src_ip": ["src_ip"], "dst_ip": ["dst_ip"], "pair": ["src_ip", "dst_ip"], "flow": ["flow_id"], "global": []}
 #: Flags that make Java's expressions read as the language says: case does not count, and classes are Unicode's.
@@ -33,8 +34,35 @@ class RuleError(ValueError):
     """A rule that does not compile; the text says why."""
 
 
+#: Flags of a TCP packet by name, as tcp.syn, tcp.ack, ...: bits fixed by the protocol.
+TCP_FLAGS = {"fin": 1, "syn": 2, "rst": 4, "psh": 8, "ack": 16, "urg": 32, "ece": 64, "cwr": 128, "ns": 256}
+
+
+def _tcp(schema: T.StructType, name: str) -> tuple[Column, T.DataType | None]:
+    """A flag of a TCP packet; xmas and null stand for all of FIN, PSH and URG, and for no flag."""
+    flags = F.when(F.col("protocol") == "tcp", F.coalesce("tcp_flags", F.lit(0)))
+    if "tcp_flags" not in schema.names or (name not in TCP_FLAGS and name not in ("xmas", "null", "flags")):
+        return F.lit(None).cast("boolean"), None
+    if name == "flags":
+        return flags, T.IntegerType()
+    bits = 41 if name == "xmas" else 511 if name == "null" else TCP_FLAGS[name]
+    return flags.bitwiseAND(F.lit(bits)) == (0 if name == "null" else bits), T.BooleanType()
+
+
+def unescaped(text: str) -> str:
+    """Text in which \\xNN stands for the character of that number; expressions have it of their own."""
+    return re.sub(r"\\x([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), text)
+
+
 def _field(schema: T.StructType, name: str) -> tuple[Column, T.DataType | None]:
-    """A field, with dots for the fields of structs; unknown ones are null."""
+    """A field, with dots for the fields of structs; unknown ones are null.
+
+    payload_len, src_scope, dst_scope and tcp.* are made from others; direction is that of context where packets have none.
+    """
+    if name == "direction" and "direction" not in schema.names and "context" in schema.names:
+        name = "context.direction"
+    if name.startswith("tcp."):
+        return _tcp(schema, name[4:])
     if name == "payload_len":
         return F.length("payload"), T.IntegerType()
     if name in ("src_scope", "dst_scope"):
@@ -79,11 +107,11 @@ def leaf(schema: T.StructType, field: str, op: str, value: Any) -> Column:
         hit = _sure(x.isin(*listed))
         return hit if op == "in" else x.isNotNull() & ~hit
     if op in ("contains", "not_contains"):
-        hit = F.array_contains(x, value) if isinstance(kind, T.ArrayType) else reduce(or_, (F.contains(_text(x, kind), F.lit(str(v))) for v in listed))
+        hit = F.array_contains(x, value) if isinstance(kind, T.ArrayType) else reduce(or_, (F.contains(_text(x, kind), F.lit(unescaped(str(v)))) for v in listed))
         return _sure(hit) if op == "contains" else x.isNotNull() & ~_sure(hit)
     if op in ("startswith", "endswith"):
         test = F.startswith if op == "startswith" else F.endswith
-        return _sure(reduce(or_, (test(_text(x, kind), F.lit(str(v))) for v in listed)))
+        return _sure(reduce(or_, (test(_text(x, kind), F.lit(unescaped(str(v)))) for v in listed)))
     if op == "regex":
         return _sure(F.coalesce(_text(x, kind), F.lit("")).rlike(FLAGS + value)) if isinstance(kind, T.BinaryType) else _sure(_text(x, kind).rlike(FLAGS + value))
     try:
@@ -113,6 +141,70 @@ def compile_match(schema: T.StructType, node: Any) -> Column:
     return reduce(and_, parts)
 
 
+def leaves(schema: T.StructType, node: Any) -> list[tuple[str, str, Any]]:
+    """(field, op, value) of the tests of a tree that are not under a `not`, in order."""
+    if isinstance(node, list):
+        return [x for n in node for x in leaves(schema, n)]
+    if "field" in node:
+        return [(node["field"], node.get("op", "eq"), node.get("value"))]
+    out = []
+    for key, value in node.items():
+        if key in ("all", "any"):
+            out += [x for n in value for x in leaves(schema, n)]
+        elif key != "not":
+            out.append((key, "eq", value))
+    return out
+
+
+def evidence(schema: T.StructType, node: Any, most: int = 12) -> Column:
+    """The tests of a tree that hold, `most` at most: what a rule saw, as field, op, expected, actual (text)."""
+    items = []
+    for field, op, value in leaves(schema, node):
+        x, kind = _field(schema, field)
+        shown = excerpt(_text(x, kind), value if op in ("contains", "startswith") else None) if isinstance(kind, T.BinaryType) else x.cast("string")
+        items.append(F.when(leaf(schema, field, op, value), F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), F.lit(str(value)).alias("expected"), shown.alias("actual"))))
+    return F.slice(F.array_compact(F.array(*items)), 1, most)
+
+
+def excerpt(text: Column, around: Any = None, before: int = 24, size: int = 136) -> Column:
+    """A piece of a payload that can be shown: from shortly before what was found, other characters as dots."""
+    found = F.lit(1) if around is None else F.greatest(F.instr(text, unescaped(str(around))) - before, F.lit(1))
+    return F.regexp_replace(F.substr(text, found, F.lit(size)), r"[^\x20-\x7e]", ".")
+
+
+def needs_data(node: Any) -> bool:
+    """Whether a tree can only hold for packets with a payload or something read from one."""
+    if isinstance(node, list):
+        return any(map(needs_data, node))
+    if "field" in node:
+        said = node["field"].partition(".")[0] in ("payload", "layer7", "dns", "tls", "http", "ssh", "smtp", "stun", "quic")
+        return said and not (node.get("op", "eq") in ("ne", "not_in", "not_contains") or node.get("value") is None or node.get("value") is False)
+    if "any" in node and len(node) == 1:
+        return bool(node["any"]) and all(map(needs_data, node["any"]))
+    return any(needs_data(value) if key == "all" else all(map(needs_data, value)) if key == "any" else key != "not" and needs_data({"field": key, "value": value}) for key, value in node.items())
+
+
+def from_when(when: dict) -> dict:
+    """The older form of a rule, a mapping of fields, as a tree; payload_contains is a test of the payload."""
+    tests = [{"field": "payload", "op": "contains", "value": v} if k == "payload_contains" else {"field": k, "op": "in" if isinstance(v, list) else "eq", "value": v} for k, v in when.items()]
+    return {"all": tests}
+
+
+def load(*paths: str) -> list[dict]:
+    """Rules of YAML files, merged; a file that cannot be read or is no list is passed over."""
+    import yaml
+
+    files = []
+    for path in paths:
+        try:
+            with open(path, encoding="utf-8") as f:
+                found = yaml.safe_load(f)
+        except (OSError, yaml.YAMLError):
+            continue
+        files.append(found.get("rules", []) if isinstance(found, dict) else found if isinstance(found, list) else [])
+    return merge(*files)
+
+
 def message(schema: T.StructType, template: str) -> Column:
     """A template with {fields}: ? for null, 120 characters of each at most."""
     out, rest = [], template
@@ -139,7 +231,7 @@ def merge(*files: list[dict]) -> list[dict]:
     """Rules by id; a later one replaces an earlier one, or only its given keys where it has no match."""
     out: dict[str, dict] = {}
     for rule in (r for rules in files for r in rules if isinstance(r, dict) and r.get("id")):
-        out[rule["id"]] = {**out.get(rule["id"], {}), **rule} if "match" not in rule else dict(rule)
+        out[rule["id"]] = {**out.get(rule["id"], {}), **rule} if "match" not in rule and "when" not in rule else dict(rule)
     return list(out.values())
 
 
@@ -160,37 +252,54 @@ def validate(rules: list[dict], schema: T.StructType) -> tuple[list[Rule], list[
             limit = raw.get("threshold")
             if limit and (limit.get("track_by", "src_ip") not in TRACK or int(limit["count"]) < 1 or float(limit["seconds"]) <= 0):
                 raise RuleError("bad threshold")
-            compile_match(schema, raw.get("match"))
+            match = from_when(raw["when"]) if "match" not in raw and "when" in raw else raw.get("match")
+            compile_match(schema, match)
             seen.add(name)
             if raw.get("enabled", True):
-                rule = Rule(name, SEVERITY[raw.get("severity", "MEDIUM")], raw["match"], raw.get("message", raw.get("description", name)), limit and (int(limit["count"]), int(float(limit["seconds"]) * 1e6), limit.get("track_by", "src_ip")), tuple(raw.get("tags", ())))
+                rule = Rule(name, SEVERITY[raw.get("severity", "MEDIUM")], match, raw.get("message", raw.get("description", name)), limit and (int(limit["count"]), int(float(limit["seconds"]) * 1e6), limit.get("track_by", "src_ip")), tuple(raw.get("tags", ())))
                 good.append(rule)
         except (RuleError, KeyError, TypeError, AttributeError) as e:
             problems.append(f"{name or f'rule {n}'}: {e}")
     return good, problems
 
 
-def hits(packets: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row for each packet and rule that holds: the packet's columns, rule_id, severity and message."""
+def hits(packets: DataFrame, rules: list[Rule], with_evidence: bool = False) -> DataFrame:
+    """One row for each packet and rule that holds: the packet's columns, rule_id, severity, message and, if asked, evidence.
+
+    Rules that need data are not tried on packets without a payload, where packets have one.
+    """
     schema = packets.schema
-    found = [F.when(compile_match(schema, r.match), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), message(schema, r.message).alias("message"))) for r in rules]
-    if not found:
+    has_data = F.length("payload") > 0 if "payload" in schema.names else F.lit(True)
+
+    def hit(r: Rule) -> Column:
+        test = compile_match(schema, r.match)
+        said = [F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), message(schema, r.message).alias("message")]
+        said += [evidence(schema, r.match).alias("evidence")] if with_evidence else []
+        return F.when(has_data & test if needs_data(r.match) else test, F.struct(*said))
+
+    if not rules:
         return packets.withColumns({"rule_id": F.lit(None).cast("string"), "severity": F.lit(None).cast("int"), "message": F.lit(None).cast("string")}).limit(0)
-    return packets.withColumn("_hit", F.explode(F.array_compact(F.array(*found)))).select(*packets.columns, "_hit.*")
+    return packets.withColumn("_hit", F.explode(F.array_compact(F.array(*map(hit, rules))))).select(*packets.columns, "_hit.*")
 
 
 def alerts(packets: DataFrame, rules: list[Rule]) -> DataFrame:
-    """hits(), with the rules that have a threshold only when it is reached, with how many hits made it."""
-    every = hits(packets, rules).withColumn("hits", F.lit(None).cast("int"))
+    """hits(), with the rules that have a threshold only when it is reached, with how many hits made it.
+
+    Packets are read twice, once for the rules without and once for those with a threshold, however many there are; the
+    latter share one shuffle and one fold, by rule and by what the rule tracks.
+    """
     limited = [r for r in rules if r.threshold]
-    out = every.filter(~F.col("rule_id").isin(*(r.id for r in limited))) if limited else every
-    for rule in limited:  # each has its own key and window
-        count, window, track = rule.threshold
-        by = ["rule_id", *TRACK[track]]
-        own = every.filter(F.col("rule_id") == rule.id).drop("hits")
-        said = folds.fold(own, by, ["ts_us", "seq"], ["ts_us"], folds.threshold(window, count), "hits", "int")
-        out = out.unionByName(said.filter("hits is not null"))
-    return out
+    out = hits(packets, [r for r in rules if not r.threshold]).withColumn("hits", F.lit(None).cast("int"))
+    if not limited:
+        return out
+    own = hits(packets, limited)
+    have = {c: F.col(c) if c in packets.columns else F.lit(None).cast("string") for c in ("src_ip", "dst_ip", "flow_id")}
+    tracked = {"src_ip": [have["src_ip"]], "dst_ip": [have["dst_ip"]], "pair": [have["src_ip"], have["dst_ip"]], "flow": [have["flow_id"]], "global": []}
+    by_rule = lambda f: F.element_at(F.create_map(*(x for r in limited for x in (F.lit(r.id), f(r)))), F.col("rule_id"))
+    key = by_rule(lambda r: F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in tracked[r.threshold[2]])))
+    own = own.withColumns({"_key": key, "_window": by_rule(lambda r: F.lit(r.threshold[1]).cast("long")), "_least": by_rule(lambda r: F.lit(r.threshold[0]))})
+    said = folds.fold(own, ["rule_id", "_key"], ["ts_us", "seq"], ["ts_us", "_window", "_least"], folds.threshold(), "hits", "int")
+    return out.unionByName(said.filter("hits is not null").drop("_key", "_window", "_least"))
 
 
 #: A small set of our own over the fields of packets.

@@ -6,6 +6,7 @@ small. Feeds are text files, parsed with built-in functions.
 
 from __future__ import annotations
 
+import ipaddress
 import struct
 from collections.abc import Iterator
 
@@ -15,12 +16,18 @@ from pyspark.sql import functions as F
 
 PACKETS = "path string, seq long, ts_us long, protocol string, src_ip string, dst_ip string, src_port int, dst_port int, tcp_flags int, ip_ttl int, packet_len int, payload binary, malformed boolean"
 _NAMES = [c.split(" ")[0] for c in PACKETS.split(", ")]
-_ETHERNET, _RAW = 1, 101
+#: Bytes before the network header by link type (none: Ethernet, whose tags are read): loopback, raw, cooked, cooked v2.
+_LINKS = {1: None, 0: 4, 108: 4, 12: 0, 14: 0, 101: 0, 228: 0, 229: 0, 113: 16, 276: 20}
 _TAGS = (0x8100, 0x88A8, 0x9100)
+#: IPv6 headers that another one follows; of fragments the length is fixed, of authentication it counts in words.
+_OPTIONS, _FRAGMENT, _AUTH, _MOST_HEADERS = (0, 43, 60, 135), 44, 51, 16
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Link type, time in microseconds and frame of each record of a classic capture file; a cut record ends it."""
+    """Link type, time in microseconds and frame of each record of a capture file, classic or of blocks; a cut one ends it."""
+    if data[:4] == b"\x0a\x0d\x0d\x0a":
+        yield from _blocks(data)
+        return
     if len(data) < 24:
         return
     magic = data[:4]
@@ -39,47 +46,117 @@ def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += 16 + size
 
 
+def _blocks(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Records of a file of blocks: each section has its byte order, each interface its link type and unit of time."""
+    at, order, links, units = 0, "<", [], []
+    while at + 12 <= len(data):
+        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
+            order, links, units = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">", [], []
+        kind, size = struct.unpack(order + "2I", data[at : at + 8])
+        body = data[at + 8 : at + size - 4]
+        if size < 12 or at + size > len(data):
+            return
+        if kind == 1:
+            links.append(struct.unpack(order + "H", body[:2])[0])
+            units.append(_ticks(body[8:], order))
+        elif kind == 6 and len(body) >= 20:
+            which, high, low, held, _ = struct.unpack(order + "5I", body[:20])
+            if which < len(links):
+                yield links[which], ((high << 32) | low) * 1_000_000 // units[which], body[20 : 20 + held]
+        at += size
+
+
+def _ticks(options: bytes, order: str) -> int:
+    """Units of time in a second, from an interface's options; a millionth is what goes without saying."""
+    at = 0
+    while at + 4 <= len(options):
+        code, size = struct.unpack(order + "2H", options[at : at + 4])
+        if code == 0:
+            break
+        if code == 9 and size >= 1:
+            power = options[at + 4]
+            return 2 ** (power & 127) if power & 128 else 10**power
+        at += 4 + (size + 3) // 4 * 4
+    return 1_000_000
+
+
 def decode(link: int, frame: bytes) -> dict:
-    """The fields of an IPv4 frame; what is cut short is malformed, and what is no IPv4 has only its length."""
+    """The fields of a frame; what is cut short keeps what could be read, what cannot be right is malformed, and what is
+    neither IPv4 nor IPv6 has only its length."""
     out: dict = {"packet_len": len(frame), "payload": b"", "malformed": False, "tcp_flags": 0}
-    ip = frame
-    if link == _ETHERNET:
-        at = 12
-        while frame[at : at + 2] and len(frame) >= at + 4 and int.from_bytes(frame[at : at + 2]) in _TAGS:
+    if link not in _LINKS:
+        return out
+    at = _LINKS[link]
+    if at is None:
+        at = 14
+        while len(frame) >= at + 4 and int.from_bytes(frame[at - 2 : at]) in _TAGS:
             at += 4
-        if frame[at : at + 2] != b"\x08\x00":
+        if frame[at - 2 : at] not in (b"\x08\x00", b"\x86\xdd"):
             return out
-        ip = frame[at + 2 :]
-    elif link != _RAW:
+    ip = frame[at:]
+    if not ip or ip[0] >> 4 not in (4, 6):
         return out
-    if len(ip) < 20 or ip[0] >> 4 != 4:
-        return out | {"malformed": len(ip) < 20}
-    head, total = (ip[0] & 15) * 4, int.from_bytes(ip[2:4]) or len(ip)
-    if head < 20 or len(ip) < head:
+    return _version_4(ip, out) if ip[0] >> 4 == 4 else _version_6(ip, out)
+
+
+def _version_4(ip: bytes, out: dict) -> dict:
+    head = (ip[0] & 15) * 4
+    if len(ip) < 20 or head < 20 or len(ip) < head:
         return out | {"malformed": True}
-    body = ip[head:total]
-    out |= {"ip_ttl": ip[8], "src_ip": ".".join(map(str, ip[12:16])), "dst_ip": ".".join(map(str, ip[16:20])), "protocol": "other"}
+    total = int.from_bytes(ip[2:4])
+    body = ip[head : total if total >= head else len(ip)]
+    out = out | {"ip_ttl": ip[8], "src_ip": ".".join(map(str, ip[12:16])), "dst_ip": ".".join(map(str, ip[16:20])), "protocol": "other"}
     if int.from_bytes(ip[6:8]) & 0x1FFF:  # a later fragment has no ports
         return out | {"payload": body}
-    if ip[9] in (6, 17):
-        least = 20 if ip[9] == 6 else 8
-        if len(body) < least:
+    return _transport(ip[9], body, out)
+
+
+def _version_6(ip: bytes, out: dict) -> dict:
+    if len(ip) < 40:
+        return out | {"malformed": True}
+    size = int.from_bytes(ip[4:6])
+    body = ip[40 : 40 + size if size else len(ip)]
+    out = out | {"ip_ttl": ip[7], "src_ip": str(ipaddress.IPv6Address(ip[8:24])), "dst_ip": str(ipaddress.IPv6Address(ip[24:40])), "protocol": "other"}
+    kind = ip[6]
+    for _ in range(_MOST_HEADERS):
+        if kind not in (*_OPTIONS, _FRAGMENT, _AUTH):
+            return _transport(kind, body, out)
+        if len(body) < 8:
+            return out
+        if kind == _FRAGMENT:
+            later, kind, body = int.from_bytes(body[2:4]) >> 3, body[0], body[8:]
+            if later:
+                return out | {"payload": body}
+        else:
+            kind, body = body[0], body[(body[1] + 2) * 4 if kind == _AUTH else (body[1] + 1) * 8 :]
+    return {"packet_len": out["packet_len"], "payload": b"", "malformed": True, "tcp_flags": 0}
+
+
+def _transport(kind: int, body: bytes, out: dict) -> dict:
+    if kind in (6, 17):
+        if len(body) < (20 if kind == 6 else 8):
             return out | {"malformed": True}
-        out |= {"src_port": int.from_bytes(body[:2]), "dst_port": int.from_bytes(body[2:4])}
-        if ip[9] == 17:
+        out = out | {"src_port": int.from_bytes(body[:2]), "dst_port": int.from_bytes(body[2:4])}
+        if kind == 17:
             return out | {"protocol": "udp", "payload": body[8:]}
         offset = (body[12] >> 4) * 4
         if offset < 20:
             return out | {"malformed": True}
         return out | {"protocol": "tcp", "tcp_flags": body[13] | (body[12] & 1) << 8, "payload": body[offset:]}
-    if ip[9] == 1:
-        out |= {"protocol": "icmp", "payload": body[8:] if body[:1] in (b"\x00", b"\x08") else b""}
+    if kind == 1:
+        return out | {"protocol": "icmp", "payload": body[8:] if body[:1] in (b"\x00", b"\x08") else b""}
+    if kind == 58 and body[:1] == b"\x80":
+        return out | {"protocol": "icmpv6", "payload": body[8:]}
     return out
 
 
 def read_captures(spark: SparkSession, path: str, batch: int = 10_000) -> DataFrame:
-    """The packets of all capture files under path; seq is the place in the file."""
+    """The packets of all capture files under path; seq is the place in the file. A file is one row, so that captures are
+    best rotated: files beyond 2 GB cannot be read."""
+    return _decoded(spark.read.format("binaryFile").load(path).select("path", "content"), batch)
 
+
+def _decoded(files: DataFrame, batch: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.schema([(n, k) for n, k in zip(_NAMES, _KINDS, strict=True)])
         for b in batches:
@@ -93,13 +170,18 @@ def read_captures(spark: SparkSession, path: str, batch: int = 10_000) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, PACKETS)
 
 
 _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
 
 
+def stream_captures(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
+    """The packets of capture files as they are put into a folder, so many files at a time."""
+    read = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return _decoded(read.option("maxFilesPerTrigger", files).load(path).select("path", "content"), 10_000)
+
+
 def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Indicators of a feed: one column, cidr for kinds ip and drop, domain for kinds hosts and domains.
 
