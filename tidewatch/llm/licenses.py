@@ -1,11 +1,14 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates. Built-in functions only.
 
-A paragraph is a line. Its word n-grams are the features of a sparse logistic regression over licence families and one
-unknown class. The regression is trained here, on variations of templates and on a bounded sample of lines of the
-corpus, which stand for the unknown; how sure it must be is calibrated on rows kept aside. A predicted family is
-confirmed by the share of one of its templates that the line holds.
-
-Features are n-grams with an anchor: a word of the templates that the sampled lines hardly know. A line without an
+A paragraph ends at a blank line; its lines are read on, so that a notice may be wrapped. It is judged in windows of at
+most 2 * STRIDE words that overlap by half: a template is whole in one of them, however long the paragraph. The word
+n-grams of a window are the features of a sparse logistic regression over licence families and one unknown class. The
+regression is trained here, on variations of templates and on a bounded sample of windows of the corpus, which stand for
+the unknown; how sure it must be is calibrated on rows kept aside. A predicted family is confirmed by the share of one of
+its templates that the window holds. A window may hold more than one licence: a family that is no less sure than the
+threshold when only it and the unknown are asked counts too, if the window holds nearly all of one of its templates.
+
+Features are n-grams with an anchor: a word of the templates that the sampled windows hardly know. A window without an
 anchor has no features and is unknown by construction, so that texts without anchors are passed over with one look.
 """
 
@@ -22,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, spans
 
 UNKNOWN = "unknown"
 #: Wordings by family: fixed texts of licence notices.
@@ -103,7 +106,12 @@ NOT_LICENCES = (
 )
 
 _TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
-LEAST_SHARE = 0.6
+#: Share of a template that confirms a family, and the share that a family beside the most likely one needs.
+LEAST_SHARE, BESIDE_SHARE = 0.6, 0.9
+#: Words from one window to the next; no template is longer.
+STRIDE = 48
+_BLANK = r"\n(?:[\x20\t\r]*\n)+"
+_CHUNK = rf"(?:[^a-z0-9]*+(?:{_TOKEN})){{1,{STRIDE}}}"
 
 
 def tokens(text: Column) -> Column:
@@ -120,6 +128,17 @@ def ngrams(words: Column, most: int = 3) -> Column:
     return F.array_distinct(F.concat(*out))
 
 
+def windows(paragraph: Column) -> Column:
+    """A paragraph in lower case in windows: each STRIDE words of it with the next STRIDE; one window if there are fewer."""
+    chunks = F.regexp_extract_all(F.lower(paragraph), F.lit(_CHUNK), F.lit(0))
+
+    def pairs(c: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0)))
+        return F.transform(places, lambda i: F.concat_ws(" ", F.get(c, i), F.get(c, i + 1)))
+
+    return spans.once(chunks, lambda c: F.when(F.size(c) > 0, pairs(c)).otherwise(F.array().cast("array<string>")))
+
+
 def _runs(words: Column, places: Column, k: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, k), " "))
 
@@ -154,18 +173,29 @@ def variations(per_template: int, seed: int) -> list[tuple[str, str]]:
     return out + [(UNKNOWN, t) for t in NOT_LICENCES]
 
 
-def fit(docs: DataFrame, most_lines: int = 3000, per_template: int = 25, seed: int = 5, rare: float = 0.01) -> Classifier:
-    """Train on the templates' variations and on most_lines lines of docs at most (a documented bound).
+def _sample(docs: DataFrame, texts: int, most: int, seed: int) -> list[str]:
+    """Windows of the distinct texts of least hash, at most so many texts and windows. Only hashes are sorted."""
+    hashed = docs.filter("text is not null and text <> ''").select("text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    least = hashed.select("h").distinct().orderBy("h").limit(texts).agg(F.max("h")).first()[0]
+    if least is None:
+        return []
+    picked = hashed.filter(F.col("h") <= least).groupBy("h").agg(F.first("text").alias("text"))
+    first = F.slice(F.flatten(F.transform(F.split("text", _BLANK), windows)), 1, 10)
+    return [r.w for r in picked.select("h", F.posexplode(first).alias("i", "w")).orderBy("h", "i").limit(most).collect()]
+
+
+def fit(docs: DataFrame, most_windows: int = 3000, per_template: int = 25, seed: int = 5, rare: float = 0.01) -> Classifier:
+    """Train on the templates' variations and on most_windows windows of docs at most (a documented bound).
 
-    The lines are those of the texts of least hash. Lines that hold a large share of a template are left out, as they
-    are no examples of the unknown. One row in four is kept aside; the threshold is the least probability at which at
-    most one in a thousand of the unknown rows kept aside would be taken for a licence, and 0.5 at least.
+    The windows are the first ten of the texts of least hash. Those that hold a large share of a template are left out,
+    as they are no examples of the unknown. One row in four is kept aside; the threshold is the least probability at
+    which at most one in a thousand of the unknown rows kept aside would be taken for a licence, and 0.5 at least. docs
+    needs text; nulls, empty and repeated texts, and an empty table, only leave fewer examples of the unknown.
     """
     spark = docs.sparkSession
-    some = docs.filter("text is not null and text <> ''").select("text").orderBy(F.xxhash64("text", F.lit(seed))).limit(max(most_lines // 10, 1))
-    lines = [r.line for r in some.select(F.explode(F.slice(F.split("text", "\n"), 1, 10)).alias("line")).limit(most_lines).collect()]
+    found = _sample(docs, max(most_windows // 10, 1), most_windows, seed)
     templates = [set(_grams(_words(t))) for texts in TEMPLATES.values() for t in texts]
-    plain = [x for x in lines if _words(x) and not any(len(t & set(_grams(_words(x)))) > 0.4 * len(t) for t in templates)]
+    plain = [x for x in found if not any(len(t & set(_grams(_words(x)))) > 0.4 * len(t) for t in templates)]
     known = Counter(w for x in plain for w in set(_words(x)))
     words = {w for texts in TEMPLATES.values() for t in texts for w in _words(t)}
     anchors = sorted(w for w in words if w.isalpha() and len(w) > 1 and known[w] <= rare * max(len(plain), 1))
@@ -178,9 +208,10 @@ def fit(docs: DataFrame, most_lines: int = 3000, per_template: int = 25, seed: i
     made = features.transform(data.withColumn("grams", ngrams(tokens(F.col("line"))))).select("label", "features", "no").coalesce(2)
     apart = F.pmod(F.xxhash64("no", F.lit(seed)), F.lit(4)) == 0
     model = LogisticRegression(regParam=0.002, maxIter=40, family="multinomial").fit(made.filter(~apart))
-    aside = model.transform(made.filter(apart & (F.col("label") == families.index(UNKNOWN)))).select(_sure(families))
-    found = sorted((r.best["sure"] if r.best["family"] != UNKNOWN else 0.0 for r in aside.collect()), reverse=True)  # a quarter of the bounded rows
-    threshold = max(0.5, (found[len(found) // 1000] + 1) / 2 if found and found[len(found) // 1000] > 0.5 else 0.5)
+    unknown = families.index(UNKNOWN)
+    aside = model.transform(made.filter(apart & (F.col("label") == unknown))).select(vector_to_array("probability").alias("p"))
+    sure = sorted((max(p) if p.index(max(p)) != unknown else 0.0 for (p,) in aside.collect()), reverse=True)  # a quarter of the bounded rows
+    threshold = max(0.5, (sure[len(sure) // 1000] + 1) / 2 if sure and sure[len(sure) // 1000] > 0.5 else 0.5)
     return Classifier(anchors, features, model, families, threshold)
 
 
@@ -188,41 +219,60 @@ def _grams(words: list[str], most: int = 3) -> list[str]:
     return [" ".join(words[i : i + k]) for k in range(1, most + 1) for i in range(len(words) - k + 1)]
 
 
-def _sure(families: list[str]) -> Column:
-    p = vector_to_array("probability")
-    best = F.array_max(p)
-    return F.struct(F.element_at(F.array(*map(F.lit, families)), F.array_position(p, best).cast("int")).alias("family"), best.alias("sure")).alias("best")
-
-
 def _templates(spark: SparkSession) -> DataFrame:
     """family and wordings: the n-grams of each of its templates."""
     rows = [(family, [sorted(set(_grams(_words(t)))) for t in texts]) for family, texts in TEMPLATES.items()]
     return spark.createDataFrame(rows, "family string, wordings array<array<string>>").coalesce(1)
 
 
+def word_pattern(words: list[str]) -> str:
+    """An expression for any of the words, with each shared beginning written once, so that few tries part them."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def of(node: dict) -> str:
+        parts = [c + of(below) for c, below in sorted(node.items()) if c]
+        inner = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})" if parts else ""
+        return f"{inner}?" if parts and "" in node and inner.startswith("(?:") else f"(?:{inner})?" if parts and "" in node else inner
+
+    return of(tree)
+
+
 def _anchored(text: Column, anchors: list[str]) -> Column:
     """Whether a text has an anchor among its words."""
-    return F.arrays_overlap(F.split(F.lower(text), "[^a-z]+"), F.array(*map(F.lit, anchors)))
+    return F.lower(text).rlike(rf"(?<![a-z]){word_pattern(anchors)}(?![a-z])") if anchors else F.lit(False)
 
 
 def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """One row per line that is taken for a licence: doc_id, line_no, family, probability, share, confirmed.
-
-    docs needs doc_id and text; other columns are ignored, whatever their names. line_no counts from 0. share is that of
-    the nearest template of the family that the line holds; confirmed says whether it reaches LEAST_SHARE. Null and
-    empty texts have no lines. Repeated rows and lines are each reported. Long lines are read whole. An empty table gives
-    no rows.
+    """One row per paragraph and family that is taken for its licence: doc_id, paragraph_no, family, probability, share,
+    confirmed.
+
+    docs needs doc_id and text; other columns are ignored, whatever their names. paragraph_no counts from 0. probability
+    is the greatest over the paragraph's windows, and so is share, that of the nearest template of the family that a
+    window holds; confirmed says whether it reaches LEAST_SHARE. Null and empty texts have no paragraphs. Repeated rows
+    and paragraphs are each reported. Long texts are read whole, at a cost in proportion to their length. An empty table
+    gives no rows.
     """
     model = model or fit(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(_anchored(F.col("text"), model.anchors))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(_anchored(F.col("line"), model.anchors))
-    made = model.features.transform(lines.withColumn("grams", ngrams(tokens(F.col("line")))))
-    scored = model.regression.transform(made).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "grams", _sure(model.families)).select("doc_id", "line_no", "grams", "best.*")
-    taken = scored.filter((F.col("family") != UNKNOWN) & (F.col("sure") >= model.threshold))
-    compared = taken.join(F.broadcast(_templates(docs.sparkSession)), "family")  # a row per family
+    rows = rows.withColumn("row_no", F.monotonically_increasing_id())
+    parts = rows.select("row_no", "doc_id", F.posexplode(F.split("text", _BLANK)).alias("paragraph_no", "paragraph"))
+    parts = parts.select("row_no", "doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), F.explode(windows(F.col("paragraph"))).alias("window")).filter(_anchored(F.col("window"), model.anchors))
+    made = model.features.transform(parts.withColumn("grams", ngrams(tokens(F.col("window")))))
+    judged = model.regression.transform(made).select("row_no", "doc_id", "paragraph_no", "grams", vector_to_array("probability").alias("p"))
+    unknown = F.get("p", F.lit(model.families.index(UNKNOWN)))
+    names = [(i, f) for i, f in enumerate(model.families) if f != UNKNOWN]
+    asked = F.array(*(F.struct(F.lit(f).alias("family"), F.get("p", F.lit(i)).alias("probability"), (F.get("p", F.lit(i)) / (F.get("p", F.lit(i)) + unknown)).alias("alone")) for i, f in names))
+    sure = judged.withColumn("x", F.explode(F.filter(asked, lambda x: x["alone"] >= model.threshold))).select("row_no", "doc_id", "paragraph_no", "grams", "x.*")
+    compared = sure.join(F.broadcast(_templates(docs.sparkSession)), "family")  # a row per family
     share = F.array_max(F.transform("wordings", lambda t: F.size(F.array_intersect(F.col("grams"), t)) / F.size(t)))
-    out = compared.withColumn("share", share)
-    return out.select("doc_id", "line_no", "family", F.round("sure", 6).alias("probability"), F.round("share", 6).alias("share"), (F.col("share") >= LEAST_SHARE).alias("confirmed"))
+    taken = compared.withColumn("share", share).filter((F.col("probability") >= model.threshold) | (F.col("share") >= BESIDE_SHARE))
+    out = taken.groupBy("row_no", "doc_id", "paragraph_no", "family").agg(F.max("probability").alias("probability"), F.max("share").alias("share"))
+    return out.select("doc_id", "paragraph_no", "family", F.round("probability", 6).alias("probability"), F.round("share", 6).alias("share"), (F.col("share") >= LEAST_SHARE).alias("confirmed"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
