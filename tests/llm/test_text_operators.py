@@ -145,16 +145,80 @@ def test_pack_keeps_repeated_rows_apart(spark):
 # licences --------------------------------------------------------------------------------------------------------------
 
 
-def test_licences_are_told_from_prose(spark):
-    prose = [f"the {w} of the garden was quiet and the {w} stood near the river\nsecond line about {w}" for w in ("house", "tree", "gate", "path", "wall", "lamp", "bridge", "tower")]
-    one = {family: texts[0] for family, texts in licenses.TEMPLATES.items()}
-    docs = docs_of(spark, prose + [None, ""] + [f"first line\n{t}\nlast line" for t in one.values()])
-    found = licenses.scan(docs).collect()
-    by_doc = {r.doc_id: r.family for r in found if r.line_no == 1 and r.confirmed}
-    right = [by_doc.get(len(prose) + 2 + i) == family for i, family in enumerate(one)]
-    assert sum(right) >= len(right) - 1
-    assert not any(r.doc_id < len(prose) + 2 for r in found)
-    assert licenses.scan(docs.limit(0), licenses.fit(docs)).collect() == []
+PROSE = [f"the {w} of the garden was quiet and the {w} stood near the river\nsecond line about {w}" for w in ("house", "tree", "gate", "path", "wall", "lamp", "bridge", "tower")]
+
+
+def wrapped(text, width=72, mark="# "):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.fit(docs_of(spark, PROSE * 3 + [None, ""]))
+
+
+def plain_licences(text, model):
+    """The scan of one text, word by word."""
+    grams = model.features.vocabulary
+    weight, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    out = {}
+    for no, paragraph in enumerate(re.split(r"\n(?:[\x20\t\r]*\n)+", text or "")):
+        words = re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", paragraph.lower())
+        chunks = [words[i : i + licenses.STRIDE] for i in range(0, len(words), licenses.STRIDE)]
+        for i in range(max(len(chunks) - 1, 1) if chunks else 0):
+            window = sum(chunks[i : i + 2], [])
+            if set(window).isdisjoint(model.anchors):
+                continue
+            held = set(licenses._grams(window))
+            z = weight @ np.array([g in held for g in grams], float) + bias
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            unknown = p[model.families.index(licenses.UNKNOWN)]
+            for k, family in enumerate(model.families):
+                if family == licenses.UNKNOWN or p[k] / (p[k] + unknown) < model.threshold:
+                    continue
+                share = max(len(held & set(t)) / len(set(t)) for t in ([licenses._grams(licenses._words(x)) for x in licenses.TEMPLATES[family]]))
+                if p[k] >= model.threshold or share >= licenses.BESIDE_SHARE:
+                    was = out.get((no, family), (0, 0))
+                    out[no, family] = max(was[0], p[k]), max(was[1], share)
+    return out
+
+
+def test_licences_are_those_of_a_plain_scan(spark, licence_model):
+    notices = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    texts = PROSE + [None, "", "\n\n\n"] + notices + [wrapped(t) for t in notices] + [wrapped(t, 78, " * ") + "\n\n" + PROSE[0] for t in notices]
+    texts += [PROSE[0] + " " + a + " " + b for a, b in zip(notices, notices[7:])] + ["word " * 5000 + notices[0] + " word" * 5000, "é" + notices[3].upper(), notices[8][:60]]
+    docs = docs_of(spark, texts).withColumns({"p": F.lit(1), "grams": F.lit("x"), "row_no": F.lit(0), "family": F.lit("y")})
+    got = {}
+    for r in licenses.scan(docs.unionByName(docs), licence_model).collect():
+        got.setdefault(r.doc_id, []).append(((r.paragraph_no, r.family), (r.probability, r.share)))
+    for i, t in enumerate(texts):
+        want = {k: (round(float(p), 6), round(s, 6)) for k, (p, s) in plain_licences(t, licence_model).items()}
+        assert sorted(got.get(i, [])) == sorted(2 * list(want.items())), t
+
+
+def test_licences_are_told_from_prose(spark, licence_model):
+    kinds = [(family, t) for family, texts in licenses.TEMPLATES.items() for t in texts]
+    texts = PROSE + list(licenses.NOT_LICENCES) + [f"first words\n{wrapped(t)}\nlast words" for _, t in kinds]
+    found = [(r.doc_id, r.family) for r in licenses.scan(docs_of(spark, texts), licence_model).filter("confirmed").collect()]
+    start = len(PROSE) + len(licenses.NOT_LICENCES)
+    assert all(i >= start for i, _ in found)
+    right = [(start + i, family) in found for i, (family, _) in enumerate(kinds)]
+    assert sum(right) >= 0.9 * len(right), [k for k, r in zip(kinds, right) if not r]
+
+
+def test_two_licences_of_one_paragraph_are_both_found(spark, licence_model):
+    both = licenses.TEMPLATES["mit"][2] + " " + licenses.TEMPLATES["bsd"][0]
+    rows = licenses.scan(docs_of(spark, [wrapped(both)]), licence_model).filter("confirmed").collect()
+    assert {r.family for r in rows} >= {"mit", "bsd"}
+
+
+def test_licence_scans_of_nothing(spark):
+    none = docs_of(spark, ["x"]).limit(0)
+    model = licenses.fit(none)
+    assert licenses.scan(none, model).collect() == [] and licenses.scan(docs_of(spark, [None, "", "plain words"]), model).collect() == []
+    assert re.fullmatch(licenses.word_pattern(["a", "ab", "abc", "xy", "xz"]), "abc") and not re.fullmatch(licenses.word_pattern(["ab", "abcd"]), "abc")
 
 
 # secrets ---------------------------------------------------------------------------------------------------------------

@@ -26,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs on
+    this machine alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,6 +54,12 @@ def small(df: DataFrame, most_bytes: int, row_bytes: int) -> bool:
     return df.count() * row_bytes <= most_bytes
 
 
+def least(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """The rows of df with the least `most` values of key, a number: only keys are sorted, rows stay where they are."""
+    bound = df.select(key.alias("k")).orderBy("k").limit(most).agg(F.max("k")).first()[0]
+    return df.filter(key <= bound) if bound is not None else df.limit(0)
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, right_rows: int, row_bytes: int, most_bytes: int = 48 << 20) -> DataFrame:
     """Join with a broadcast where right's size is known to be under the bound, else by a shuffle of both sides."""
     return left.join(F.broadcast(right) if right_rows * row_bytes <= most_bytes else right, on, how)

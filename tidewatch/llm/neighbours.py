@@ -141,7 +141,7 @@ def fit(distinct: DataFrame, dim: int, n: int, trees: int, leaf: int, most_rows:
 
     A tree has at most one leaf for 16 rows of the sample, so that the forest stays small; beyond that leaves grow.
     """
-    rows = distinct.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_rows).select("vector").toPandas()
+    rows = common.least(distinct, F.xxhash64("id", F.lit(seed)), most_rows).select("id", "vector").toPandas().sort_values("id")
     x = _unit(np.array(rows["vector"].tolist(), np.float32).reshape(-1, dim))
     depth = max(0, int(np.ceil(np.log2(max(n / leaf, 1)))))
     depth = min(depth, int(np.log2(max(len(x) // 16, 1))))
@@ -152,7 +152,7 @@ def fit(distinct: DataFrame, dim: int, n: int, trees: int, leaf: int, most_rows:
 def calibrate(distinct: DataFrame, queries: DataFrame, forest: list[Tree], k: int, target: float, most_queries: int, seed: int) -> int:
     """The number of leaves a search must open so that, over a bounded sample of queries, a share target of the true
     neighbours is found. The truth comes from comparing the sample with every vector."""
-    picked = queries.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_queries).toPandas()
+    picked = common.least(queries, F.xxhash64("id", F.lit(seed)), most_queries).toPandas().sort_values("id")
     every = len(forest) * (len(forest[0].planes) + 1)
     if not len(picked):
         return every

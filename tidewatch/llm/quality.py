@@ -202,7 +202,9 @@ def fit(stats: DataFrame, labels: DataFrame, n_trees: int = 100, sample: int = 2
     labelled = stats.filter(~base_failed()).join(
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")), "doc_id"
     )
-    rows = labelled.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows).select(*FEATURES, "quality").toPandas().to_numpy(np.float64)
+    picked = common.least(labelled, F.xxhash64("doc_id", F.lit(seed)), most_rows)
+    picked = picked.groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "quality")).alias("x")).select("doc_id", "x.*").toPandas()  # one row of an id
+    rows = picked.sort_values("doc_id")[[*FEATURES, "quality"]].to_numpy(np.float64)
     middle, step = steps(rows[rows[:, -1] == 1, :-1], most_good_lost)
     forest = grow(stepped(rows[:, :-1], middle, step), n_trees, sample, seed)
     forest.middle, forest.step = middle, step

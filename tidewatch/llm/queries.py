@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .licenses import op5_license_scan
 from .neighbours import op2_projection_forest
 from .ngram_join import op4_ngram_jaccard_join
+from .oracles import ORACLES as ORACLES
 from .packing import op3_pack_power_of_two
 from .pieces import op9_unigram_pieces
 from .pii import op10_personal_data
@@ -29,5 +30,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_personal_data": op10_personal_data,
 }
-
-ORACLES: dict[str, str] = {}
