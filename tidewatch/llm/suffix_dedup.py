@@ -37,9 +37,9 @@ LENGTH = 400
 #: Bytes of a passage for training data: 50 words of prose have more.
 PASSAGE = 200
 #: Bytes that are taken at once; a longer text is taken in pieces of so many window starts.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Symbols of a shard, and of the shards that are merged at once (more only where one seed has more).
-SHARD, MERGE = 1 << 18, 1 << 20
+SHARD, MERGE = 1 << 17, 1 << 19
 #: Slices of one seed beyond which they are cut into narrower ones.
 CROWD = 4096
 #: One text in SAMPLED is looked at for seeds that more than OFTEN units share.
@@ -318,20 +318,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """key and ranges: the byte ranges of each distinct text that repeated strings cover, in order and apart."""
     texts = docs.select(common.text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") >= length)
     every, frequent = units(texts, length), _frequent(texts, length)
-    n_frequent = frequent.count()
-    rare = common.join_small(every, frequent, ["seed"], "left_anti", n_frequent, 16) if n_frequent else every
-    met = common.saved(_met(rare, F.col("count")), "repeat-units")
-    sure, first = met.filter("n_unit > 1").select("key", "lo", "hi", "more"), F.min(F.struct("key", "m", "lo", "hi")).alias("first")
-    unsure = met.filter("n_unit < n_seed").groupBy("seed", "unit").agg(F.first("n_unit").alias("n"), first)
-    if n_frequent:
-        often = common.saved(common.join_small(every, frequent, ["seed"], "left_semi", n_frequent, 16), "repeat-often")
+    met = common.saved(_met(common.meet(every, frequent.withColumn("often", F.lit(True)), ["seed"], "left", 17)), "repeat-units")
+    rare, often = met.filter("often is null"), met.filter("often")
+    sure, first = rare.filter("n_unit > 1").select("key", "lo", "hi", "more"), F.min(F.struct("key", "m", "lo", "hi")).alias("first")
+    unsure = rare.filter("n_unit < n_seed").groupBy("seed", "unit").agg(F.first("n_unit").alias("n"), first)
+    if not frequent.isEmpty():
         same, alike, found = _settled(often, "repeat-often", F.struct("key", "m", "lo", "hi"))
         sure = sure.unionByName(same.unionByName(alike).select("key", "lo", "hi", "more"))
         unsure = unsure.unionByName(found)
     places = F.concat(F.array("lo", "hi"), F.coalesce("more", F.array().cast("array<int>")))
     ranges = [sure.select("key", F.explode(_pairs(places)).alias("x")).select("key", "x.lo", "x.hi")]
     picked = common.saved(unsure.groupBy("first.key").agg(F.collect_list(F.struct("first.m", "first.lo", "first.hi", F.col("n").alias("count"))).alias("picked")), "repeat-picked")
-    parts = common.saved(cut_slices(common.meet(texts, picked, ["key"], "inner", 64).select("key", "text", "picked"), length), "repeat-slices")
+    n = picked.agg(F.coalesce(F.sum(F.size("picked") + 1), F.lit(0))).first()[0]
+    parts = common.saved(cut_slices(common.join_small(texts, picked, ["key"], "inner", n, 64, 16 << 20).select("key", "text", "picked"), length), "repeat-slices")
     ends = _ends(parts, "repeat-slices", ranges)
     crowded = common.saved(ends.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("seed"), "repeat-crowded")
     n_crowded = crowded.count()
@@ -345,10 +344,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return sets.transform(common.in_arrow, lambda batches: _joined(batches, length), "key binary, ranges array<int>")
 
 
-def _met(rows: DataFrame, n: Column) -> DataFrame:
-    """Rows whose seed is met more than once, with n_seed and n_unit: how often the seed and the unit's text occur."""
-    by_seed = rows.withColumn("n_seed", F.sum(n).over(Window.partitionBy("seed"))).filter("n_seed > 1")
-    return by_seed.withColumn("n_unit", F.sum(n).over(Window.partitionBy("seed", "unit")))
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows whose seed is met more than once, with n_seed and n_unit: how often the seed and the unit's text occur.
+
+    Rows of frequent seeds (often) all stay, dealt to several tasks, and their two counts say nothing.
+    """
+    dealt = rows.withColumn("part", F.when(F.col("often"), F.pmod(F.xxhash64("key"), F.lit(SAMPLED))).otherwise(0))
+    by_seed = dealt.withColumn("n_seed", F.sum("count").over(Window.partitionBy("seed", "part"))).filter("n_seed > 1 or often")
+    return by_seed.withColumn("n_unit", F.sum("count").over(Window.partitionBy("seed", "part", "unit"))).drop("part")
 
 
 def _settled(rows: DataFrame, name: str, best: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
