@@ -47,7 +47,12 @@ def _parts(text: str) -> Iterator[str]:
 
 
 def with_token_count(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
-    """doc_id and n_tokens of each row, by byte-level BPE ranks in the file at path. Null or empty text: 0 tokens."""
+    """doc_id and n_tokens of each row, by byte-level BPE ranks in the file at path.
+
+    docs needs doc_id and the text column; other columns are ignored, whatever their names. A null or empty text has 0
+    tokens. Repeated rows are each counted. Long texts are counted whole, in parts cut where no token crosses. An empty
+    table gives no rows.
+    """
     if path is None:
         import public_tokenizers
 
@@ -63,7 +68,12 @@ def with_token_count(docs: DataFrame, path: str | None = None, column: str = "te
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens and n_docs: the counts meet as one partial row for each length and task. Null lengths count as 0."""
+    """n_tokens and n_docs: the counts meet as one partial row for each length and task.
+
+    lengths needs n_tokens; other columns are ignored, whatever their names. Null lengths count as 0, repeated rows each
+    count, and an empty table gives no rows. A length that a third of all documents have is one partial row of a task
+    like any other.
+    """
     return lengths.groupBy(F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -72,7 +82,8 @@ def limits(histogram: DataFrame) -> DataFrame:
 
     n_docs: documents of that length. docs_over: longer ones. tokens_total: all tokens of the corpus. tokens_kept: their
     number when each document is cut after L tokens. rank_to: documents of at most L tokens, from which any quantile is
-    read as the least L whose rank_to reaches it. An empty histogram gives no rows. The rows are distinct lengths, not
+    read as the least L whose rank_to reaches it. histogram has one row for each length; other columns than n_tokens and
+    n_docs are ignored. An empty histogram gives no rows. The rows are distinct lengths, not
     documents; what their windows gather is bounded by the longest document.
     """
     up = Window.orderBy("n_tokens")
