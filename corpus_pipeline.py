@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: five stages, each of which calls one operator and writes what it keeps."""
+"""A training corpus from raw documents: five stages, each of which calls one operator and writes what it keeps.
+
+Every stage takes null, empty and long texts, rows that repeat, null ids, more columns of any name, and empty tables, with
+the result that its operator's docstring states.
+"""
 
 from __future__ import annotations
 
