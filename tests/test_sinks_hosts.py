@@ -52,9 +52,9 @@ def test_evidence_is_kept_once_and_checked(spark):
 
 def test_places_of_programs(spark):
     cases = [
-        ("/tmp/x", "unsigned", ["odd_path", "unsigned"], 3), ("/Users/a/Downloads/T.app/x", "developer", ["odd_path"], 1), ("/Volumes/D/T.app/x", "developer", [], 0), ("/Volumes/D/x", None, ["odd_path"], 2),
-        ("/opt/homebrew/bin/x", "adhoc", ["adhoc"], 0), ("/usr/bin/x", "apple", [], 0), ("/Users/a/.x/y", "developer", ["odd_path"], 1), ("/Users/a/.cargo/bin/y", "adhoc", ["adhoc"], 0), ("/Applications/A.app/a", "invalid", ["invalid_signature"], 3),
-        ("/private/var/folders/z/AppTranslocation/q/x", "developer", [], 0), ("/Applications/A/x", "unsigned", ["unsigned"], 1),
+        ("/tmp/x", "unsigned", ["odd_path", "unsigned"], 3), ("/Users/a/Downloads/T.app/x", "developer_id", ["odd_path"], 1), ("/Volumes/D/T.app/x", "developer_id", [], 0), ("/Volumes/D/x", None, ["odd_path"], 2),
+        ("/opt/homebrew/bin/x", "adhoc", ["adhoc"], 0), ("/usr/bin/x", "apple", [], 0), ("/Users/a/.x/y", "developer_id", ["odd_path"], 1), ("/Users/a/.cargo/bin/y", "adhoc", ["adhoc"], 0), ("/Applications/A.app/a", "invalid", ["invalid_signature"], 3),
+        ("/private/var/folders/z/AppTranslocation/q/x", "developer_id", [], 0), ("/Applications/A/x", "unsigned", ["unsigned"], 1),
     ]
     df = spark.createDataFrame([c[:2] for c in cases], "exe string, status string").select("exe", host.assess(F.col("exe"), F.col("status")).alias("a"))
     got = {r.exe: (r.a.flags, r.a.risk) for r in df.collect()}
@@ -66,7 +66,7 @@ def test_places_of_programs(spark):
 
 
 def test_launch_items_and_starters(spark):
-    items = spark.createDataFrame([("l1", "/tmp/x", "unsigned", 1), ("l2", "/Applications/A.app/a", "developer", 2)], "label string, path string, status string, modified_us long")
+    items = spark.createDataFrame([("l1", "/tmp/x", "unsigned", 1), ("l2", "/Applications/A.app/a", "developer_id", 2)], "label string, path string, status string, modified_us long")
     got = {r.label: (r.flags, r.risk) for r in inspector.launch_items(items, spark.createDataFrame([("/Applications/A.app/a",)], "path string")).collect()}
     assert got == {"l1": (["odd_path", "unsigned", "missing_program"], 3), "l2": ([], 0)}
     p = spark.createDataFrame([("/Applications/A.app",), ("/tmp/y",)], "program string")

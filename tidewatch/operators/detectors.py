@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions import ip, names
+from tidewatch.functions import host, ip, names
 
 from . import folds
 
@@ -99,8 +99,10 @@ def repeats(events: DataFrame, by: list[str], cooldown: int) -> DataFrame:
 def first_seen(events: DataFrame, by: list[str], learning: int, start: int | None = None) -> DataFrame:
     """Keys first seen after the learning time, which runs from `start` or else from the first event of all."""
     firsts = events.groupBy(*by).agg(F.min(F.struct("ts_us", "seq")).alias("x")).select(*by, "x.ts_us", "x.seq")
-    since = F.lit(start) if start is not None else F.lit(firsts.agg(F.min("ts_us")).first()[0])
-    return firsts.filter(F.col("ts_us") - since > learning)
+    if start is not None:
+        return firsts.filter(F.col("ts_us") - start > learning)
+    since = events.agg(F.min("ts_us").alias("_since"))
+    return firsts.crossJoin(F.broadcast(since)).filter(F.col("ts_us") - F.col("_since") > learning).drop("_since")  # one row
 
 
 def new_countries(events: DataFrame, learning: int) -> DataFrame:
@@ -120,6 +122,47 @@ def encoded_names(queries: DataFrame, longest: int = 50) -> DataFrame:
     return q.withColumn("reason", F.when(encoded, "encoded").when(F.length("sub") >= longest, "long")).filter("reason is not null").drop("sub")
 
 
+def many_subdomains(queries: DataFrame, least: int = 50, window: int = 60_000_000) -> DataFrame:
+    """Registered domains of which `least` different names are asked for in an anchored window; once a window.
+
+    queries has name, ts_us and seq. All who ask count together.
+    """
+    domain = names.registered_domain(F.col("name"))
+    rows = queries.select(domain.alias("domain"), names.clean(F.col("name")).alias("name"), "ts_us", "seq").filter("domain is not null and name <> domain")
+    said = folds.fold(rows, ["domain"], ["ts_us", "seq"], ["ts_us", "name"], folds.anchored_distinct(window, least), "names", "int")
+    return said.filter("names is not null").select("domain", "ts_us", "seq", "names")
+
+
+def first_contacts(packets: DataFrame, by: list[str]) -> DataFrame:
+    """The first packet of each value of by: greetings of a name, uses of a protocol, programs on the network."""
+    return packets.groupBy(*by).agg(F.min(F.struct("ts_us", "seq")).alias("x")).select(*by, "x.ts_us", "x.seq")
+
+
+def quic_sessions(packets: DataFrame) -> DataFrame:
+    """The first greeting of each source by QUIC, by name or else by place: src_ip, target, ts_us, seq.
+
+    packets are those of sources.dissect; what servers send first (from port 443) is no greeting.
+    """
+    rows = packets.filter((F.col("quic.packet_type") == "Initial") & (F.coalesce("src_port", F.lit(0)) != 443))
+    return first_contacts(rows.withColumn("target", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))), ["src_ip", "target"])
+
+
+def web_upgrades(packets: DataFrame) -> DataFrame:
+    """Requests that turn into a socket, and those by which a page reports: what (websocket, beacon), of dissected packets."""
+    what = F.when(F.col("http.websocket_upgrade"), "websocket").when(F.col("http.beacon_suspect"), "beacon")
+    return packets.withColumn("what", what).filter("what is not null").select("seq", "ts_us", "src_ip", "dst_ip", "what", F.col("http.host").alias("host"), F.col("http.uri").alias("uri"))
+
+
+def risky_programs(packets: DataFrame) -> DataFrame:
+    """The first packet to the outside of each program of an odd place or without a signature: exe, risk, flags.
+
+    packets has exe, status, dst_ip, ts_us and seq; programs of the system are passed over.
+    """
+    rows = packets.filter(ip.is_global(F.col("dst_ip")) & (F.col("exe") != "") & ~host.is_system(F.col("exe"))).withColumn("a", host.assess(F.col("exe"), F.col("status"))).filter("a.risk > 0")
+    first = rows.groupBy("exe").agg(F.min(F.struct("ts_us", "seq", "a")).alias("x"))
+    return first.select("exe", "x.ts_us", "x.seq", F.col("x.a.risk").alias("risk"), F.col("x.a.flags").alias("flags"))
+
+
 def tracker_hits(packets: DataFrame, trackers: DataFrame, host: str = "host") -> DataFrame:
     """The first contact of each source with each host whose domain, or parent domain, is a tracker."""
     from .joins import domain_suffix

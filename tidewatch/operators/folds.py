@@ -161,6 +161,35 @@ def cooled(cooldown: int) -> Callable[[], State]:
     return make
 
 
+def record(ttl: int = 10_000_000, most: int = 16_389) -> Callable[[], State]:
+    """A TLS record put together from the payloads of a connection's side: its bytes when it is whole.
+
+    What began more than `ttl` ago, or grows beyond `most`, is given up.
+    """
+
+    def make() -> State:
+        held, since = b"", 0
+
+        def on(at: int, payload: bytes) -> bytes | None:
+            nonlocal held, since
+            if held and at - since > ttl:
+                held = b""
+            if not held:
+                if payload[:1] != b"\x16":
+                    return None
+                since = at
+            held += payload
+            need = 5 + int.from_bytes(held[3:5])
+            if len(held) < 5 or len(held) < need <= most:
+                return None
+            out, held = held[:need] if need <= most else None, b""
+            return out
+
+        return on
+
+    return make
+
+
 def rate_spike(window: int, alpha: float, sigma: float, least_rate: float, least_count: int, history: int = 60) -> Callable[[], State]:
     """Events in windows of fixed length against their smoothed rate.
 

@@ -143,11 +143,11 @@ _SOCKET = {
     "listening": "app = 'signup'",
     "exe": "CASE seq % 7 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PROGRAMS)) + " ELSE '' END",
     "app": "concat('app', cast(seq % 7 AS STRING))",
-    "status": "CASE seq % 7 WHEN 0 THEN 'developer' WHEN 1 THEN 'adhoc' WHEN 2 THEN 'unsigned' WHEN 3 THEN 'apple' WHEN 5 THEN 'unsigned' ELSE 'apple' END",
+    "status": "CASE seq % 7 WHEN 0 THEN 'developer_id' WHEN 1 THEN 'adhoc' WHEN 2 THEN 'unsigned' WHEN 3 THEN 'apple' WHEN 5 THEN 'unsigned' ELSE 'apple' END",
 }
 _SOCKETS_SQL = PACKETS_SQL + ",\nsockets AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _SOCKET.items()) + """ FROM packets),
 assessed AS (SELECT *, exe LIKE '/tmp/%' OR exe LIKE '%/.%' AS odd, exe LIKE '/opt/homebrew/%' AS tool FROM sockets),
-rated AS (SELECT *, CASE WHEN exe = '' THEN 0 WHEN odd AND status IN ('unsigned', 'adhoc') THEN 3 WHEN odd THEN CASE WHEN status IN ('apple', 'developer') THEN 1 ELSE 2 END WHEN status IN ('unsigned', 'adhoc') AND NOT tool THEN 1 ELSE 0 END AS own_risk,
+rated AS (SELECT *, CASE WHEN exe = '' THEN 0 WHEN odd AND status IN ('unsigned', 'adhoc') THEN 3 WHEN odd THEN CASE WHEN status IN ('apple', 'developer_id') THEN 1 ELSE 2 END WHEN status IN ('unsigned', 'adhoc') AND NOT tool THEN 1 ELSE 0 END AS own_risk,
   list_filter([CASE WHEN exe <> '' AND odd THEN 'odd_path' END, CASE WHEN exe <> '' AND status IN ('unsigned', 'adhoc') THEN status END], lambda x: x IS NOT NULL) AS own_flags FROM assessed)"""
 _KNOWN = (("93.184.216.34", "cdn.example.net", "US"), ("10.0.1.7", None, None))
 _CALLS = (("93.184.216.34", 7, 3, True, False), ("151.101.1.69", 2, 4, False, True), ("10.0.1.7", 1, 2, True, False))

@@ -458,7 +458,20 @@ def host_names(spark, sf_dir):
     return hosts.select("page_id", "host", names.registered_domain(F.col("host")).alias("domain"), F.round(names.entropy(F.col("host")), 6).alias("entropy"))
 
 
-@query()
+_PLAIN_SQL = "coalesce(text, '')"
+for _pattern, _put in ((r"\bh(?:xx|\*\*)p(s?)\b", r"http\1"), (r"\bfxp\b", "ftp"), (r"\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?", "."), (r"\s?[\[({]\s?(?:@|at)\s?[\])}]\s?", "@"), (r"[\[({]\s?:\s?[\])}]", ":"), (r"[\[({]\s?://\s?[\])}]", "://"), (r"[\[({]\s?/\s?[\])}]", "/")):
+    _PLAIN_SQL = f"regexp_replace({_PLAIN_SQL}, '{_pattern}', '{_put}', 'gi')"
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all({_PLAIN_SQL}, '(?i)(?:https?|ftp)://[^\s"''<>]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|CVE-[0-9]{{4}}-[0-9]{{4,7}}|[A-Za-z0-9][A-Za-z0-9.:-]*[A-Za-z0-9]') AS tokens FROM documents),
+u AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM t),
+d AS (SELECT doc_id, regexp_replace(token, '[.,;:!?)]+$', '') AS value, min(i) AS i FROM u GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN regexp_full_match(value, '(?i)(?:https?|ftp)://[^\s]+') THEN 'url' WHEN regexp_full_match(value, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') THEN 'email'
+  WHEN regexp_full_match(value, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}') THEN 'ipv4' WHEN regexp_full_match(value, '(?i)[0-9a-f:]{{2,39}}') AND value LIKE '%:%:%' THEN 'ipv6' WHEN regexp_full_match(value, '(?i)CVE-[0-9]{{4}}-[0-9]{{4,7}}') THEN 'cve'
+  WHEN regexp_full_match(value, '(?i)AS[0-9]{{1,10}}') THEN 'asn' WHEN regexp_full_match(value, '(?i)[0-9a-f]{{32}}') THEN 'md5' WHEN regexp_full_match(value, '(?i)[0-9a-f]{{40}}') THEN 'sha1' WHEN regexp_full_match(value, '(?i)[0-9a-f]{{64}}') THEN 'sha256'
+  WHEN regexp_full_match(value, '(?i)(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,24}}') AND lower(string_split(value, '.')[-1]) NOT IN {indicators.NOT_ZONES} THEN 'domain' END AS kind FROM d)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS place, kind, value FROM k WHERE kind IS NOT NULL""")
 def indicators_in_text(spark, sf_dir):
     return indicators.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -23,7 +23,7 @@ from tidewatch.functions import ip
 from tidewatch.operators import folds
 
 OPERATORS = ("eq", "ne", "lt", "gt", "lte", "gte", "in", "not_in", "contains", "not_contains", "startswith", "endswith", "regex", "cidr", "exists")
-KEYS = frozenset({"id", "description", "severity", "match", "when", "threshold", "message", "tags", "enabled", "technique"})
+KEYS = frozenset({"id", "description", "severity", "match", "when", "threshold", "message", "tags", "enabled", "technique", "mitre", "confidence", "why", "response", "action"})
 SEVERITY = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 TRACK = {"src_ip": ["src_ip"], "dst_ip": ["dst_ip"], "pair": ["src_ip", "dst_ip"], "flow": ["flow_id"], "global": []}
 #: Flags that make Java's expressions read as the language says: case does not count, and classes are Unicode's.
@@ -58,7 +58,9 @@ def _field(schema: T.StructType, name: str) -> tuple[Column, T.DataType | None]:
     """A field, with dots for the fields of structs; unknown ones are null.
 
     payload_len, src_scope, dst_scope and tcp.* are made from others; direction is that of context where packets have none.
+    layer7.x is x, and payload_bytes is payload. A name after a map is one of its keys.
     """
+    name = "payload" if name == "payload_bytes" else name.removeprefix("layer7.") if "layer7" not in schema.names else name
     if name == "direction" and "direction" not in schema.names and "context" in schema.names:
         name = "context.direction"
     if name.startswith("tcp."):
@@ -68,7 +70,10 @@ def _field(schema: T.StructType, name: str) -> tuple[Column, T.DataType | None]:
     if name in ("src_scope", "dst_scope"):
         return ip.classify(F.col(name[:3] + "_ip")), T.StringType()
     at: T.DataType = schema
-    for part in name.split("."):
+    parts = name.split(".")
+    for i, part in enumerate(parts):
+        if isinstance(at, T.MapType):
+            return F.try_element_at(F.col(".".join(parts[:i])), F.lit(".".join(parts[i:]))), at.valueType
         if not isinstance(at, T.StructType) or part not in at.names:
             return F.lit(None).cast("string"), None
         at = at[part].dataType
