@@ -195,6 +195,8 @@ def test_passages_of_fifty_one_words_leave_the_text(spark, tmp_path):
     for i in (1, 2, 3):
         texts[i] += " " + passage + " " + texts[i + 4][:100]
     texts[8], texts[9] = long_one + texts[8], texts[9] + long_one
+    few = "-".join(rng.choice(words, 70)) + " " + " ".join(rng.choice(words, 20))  # long, but of few words
+    texts[10], texts[11] = few + " " + texts[10], texts[11] + " " + few
     docs_of(spark, list(enumerate([*texts, None, ""]))).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in suffix_dedup.op7_suffix_dedup(spark, str(tmp_path)).collect()}
     expected = plain_repeats([*texts, "", ""], 400)

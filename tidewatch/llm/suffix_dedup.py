@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common, hashing
 
 LENGTH = 400
-#: Bytes of a passage for training data: 50 words of prose have more.
-PASSAGE = 200
+#: A passage for training data: bytes that prose of PASSAGE_WORDS words has more of; runs of fewer words stay.
+PASSAGE, PASSAGE_WORDS = 200, 50
 #: Bytes that are taken at once; a longer text is taken in pieces of so many window starts.
 PIECE = 1 << 18
 #: Symbols of a shard, and of the shards that are merged at once (more only where one seed has more).
@@ -404,14 +404,19 @@ def _with_ranges(docs: DataFrame, found: DataFrame, added: tuple[str, ...]) -> D
     return common.join_small(rows, found, ["key"], "left", n, 8).select("row", "bytes", "ranges")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, found: DataFrame | None = None) -> DataFrame:
+def _wordy(data: bytes, ranges: list[int], least: int) -> list[int]:
+    """The ranges in which at least so many words, or parts of them, stand."""
+    return [x for i, j in zip(ranges[::2], ranges[1::2], strict=True) if len(data[i:j].split()) >= least for x in (i, j)]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, found: DataFrame | None = None, least_words: int = 0) -> DataFrame:
     """docs with four more columns: n_bytes, n_removed, n_spans and kept, the bytes that remain.
 
     Removed is each byte of a text's UTF-8 form that a string of `length` bytes covers which also starts anywhere else,
     in the same text too; all occurrences go. docs needs text; its other columns stay (those four would be replaced),
     whatever their names. A null text counts as empty; texts shorter than length stay whole. Repeated rows repeat each
     other. Long texts are read whole. An empty table gives no rows. found are the ranges of repeated_ranges() for the
-    same docs and length, where they are known.
+    same docs and length, where they are known. Runs of removed bytes with fewer than least_words words stay.
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     if found is None:
@@ -422,7 +427,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, found: DataFrame | Non
         for batch in batches:
             sizes, removed, spans, kept = [], [], [], []
             for data, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ranges = ranges or []
+                ranges = _wordy(data, ranges, least_words) if ranges and least_words else ranges or []
                 cuts = [0, *ranges, len(data)]
                 left = b"".join(data[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)) if ranges else data
                 sizes.append(len(data))
@@ -441,7 +446,7 @@ def kept_text() -> Column:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, and what is left of each text when repeats of PASSAGE bytes are cut out of it.
+    """The contract's columns, and what is left of each text when repeated passages are cut out of it.
 
     A byte that a repeated string of LENGTH bytes covers lies in a run of as many bytes that repeated strings of PASSAGE
     bytes cover, and so do the string's other occurrences. So the longer strings are sought only in texts that have such
@@ -454,5 +459,5 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = common.meet(docs.withColumn("key", common.text_key(F.col("text"))), maybe, ["key"], "left_semi", 64).select("text")
     cut = remove_repeats(docs, LENGTH, common.saved(repeated_ranges(some, LENGTH), "repeat-ranges"))
     digest = cut.select("doc_id", "text", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    passages = remove_repeats(digest.select(*(F.col(c).alias(f"c_{c}") if c.startswith("n_") else F.col(c) for c in digest.columns)), PASSAGE, short)
+    passages = remove_repeats(digest.select(*(F.col(c).alias(f"c_{c}") if c.startswith("n_") else F.col(c) for c in digest.columns)), PASSAGE, short, PASSAGE_WORDS)
     return passages.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"c_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), "kept_sha256", kept_text().alias("text"))
