@@ -30,8 +30,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand anywhere else too are cut out; where a cut parts a character, its bytes become U+FFFD."""
-    cut = suffix_dedup.remove_repeats(docs, suffix_dedup.PASSAGE)
+    """Passages of 50 words and more that stand anywhere else too are cut out; where a cut parts a character, its bytes
+    become U+FFFD."""
+    cut = suffix_dedup.remove_repeats(docs, suffix_dedup.PASSAGE, least_words=suffix_dedup.PASSAGE_WORDS)
     return _with_text(cut.withColumn("text", F.when(F.col("text").isNotNull(), suffix_dedup.kept_text())), docs)
 
 
