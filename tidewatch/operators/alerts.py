@@ -34,14 +34,16 @@ def dedup_key() -> Column:
 
 def without_duplicates(alerts: DataFrame, window: int = 60_000_000, order: str = "alert_id") -> DataFrame:
     """The first alert of a key and each one `window` or more after the last that stayed, with duplicate_count: how many
-    were dropped for it. A window of 0 keeps all."""
+    were dropped for it. A window of 0 keeps all. order, which also breaks ties of time, names an alert.
+
+    Only keys, times and names pass through the fold; the alerts that stay are joined back by name.
+    """
     if window <= 0:
         return alerts.withColumn("duplicate_count", F.lit(0).cast("long"))
-    rows = alerts.withColumn("_key", dedup_key())
-    at = folds.fold(rows, ["_key"], ["ts_us", order], ["ts_us"], folds.anchored(window - 1, inclusive=True), "_anchor", "long")
-    w = Window.partitionBy("_key", "_anchor")
-    first = F.row_number().over(w.orderBy("ts_us", order)) == 1
-    return at.withColumn("duplicate_count", F.count(F.lit(1)).over(w) - 1).withColumn("_first", first).filter("_first").drop("_first", "_key", "_anchor")
+    rows = alerts.select(dedup_key().alias("_key"), "ts_us", F.col(order).alias("_name"))
+    at = folds.fold(rows, ["_key"], ["ts_us", "_name"], ["ts_us"], folds.anchored(window - 1, inclusive=True), "_anchor", "long")
+    first = at.groupBy("_key", "_anchor").agg(F.min(F.struct("ts_us", "_name")).alias("x"), (F.count(F.lit(1)) - 1).alias("duplicate_count"))
+    return alerts.join(first.select(F.col("x._name").alias("_name"), "duplicate_count"), F.col(order) == F.col("_name")).drop("_name")
 
 
 def correlated(alerts: DataFrame, least: int = 3, window: int = 120_000_000, cooldown: int = 120_000_000, least_severity: int = 2) -> DataFrame:
