@@ -330,7 +330,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ranges = [sure.select("key", F.explode(_pairs(places)).alias("x")).select("key", "x.lo", "x.hi")]
     picked = common.saved(unsure.groupBy("first.key").agg(F.collect_list(F.struct("first.m", "first.lo", "first.hi", F.col("n").alias("count"))).alias("picked")), "repeat-picked")
     n = picked.agg(F.coalesce(F.sum(F.size("picked") + 1), F.lit(0))).first()[0]
-    parts = common.saved(cut_slices(common.join_small(texts, picked, ["key"], "inner", n, 64).select("key", "text", "picked"), length), "repeat-slices")
+    parts = common.saved(cut_slices(common.join_small(texts, picked, ["key"], "inner", n, 64, 96 << 20).select("key", "text", "picked"), length), "repeat-slices")
     ends = _ends(parts, "repeat-slices", ranges)
     crowded = common.saved(ends.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("seed"), "repeat-crowded")
     n_crowded = crowded.count()
