@@ -58,4 +58,13 @@ l AS (SELECT e.a AS k, sum(c.n_docs) AS links FROM e JOIN c ON c.k = e.b GROUP B
 SELECT g.doc_id, m.class_id, (coalesce(l.links, 0) + c.n_docs - 1)::BIGINT AS n_links, len(g.grams)::BIGINT AS n_shingles
 FROM g JOIN c ON c.k = md5(array_to_string(g.grams, chr(10))) JOIN m ON m.k = c.k LEFT JOIN l ON l.k = c.k"""
 
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4, "op6_secret_scan": OP6}
+#: Every anchor is compared with every row.
+OP11 = r"""
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4, "op6_secret_scan": OP6, "op11_hard_negatives": OP11}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licenses import op5_license_scan
+from .negatives import op11_hard_negatives
 from .neighbours import op2_projection_forest
 from .ngram_join import op4_ngram_jaccard_join
 from .oracles import ORACLES as ORACLES
@@ -29,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_histogram": op8_token_histogram,
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_personal_data": op10_personal_data,
+    "op11_hard_negatives": op11_hard_negatives,
 }
