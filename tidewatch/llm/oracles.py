@@ -67,4 +67,24 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
 
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4, "op6_secret_scan": OP6, "op11_hard_negatives": OP11}
+_CRC = "list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)), lambda s, b: list_reduce(list_concat([xor(s, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END))"
+
+#: Every conversation meets all of its prefixes, and every node those of its smallest member.
+OP13 = rf"""
+WITH t AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+h AS (SELECT c, xor({_CRC}, 4294967295::UBIGINT) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, 0 AS own, t.place, t.role, t.text FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.place <= h.h
+  UNION ALL SELECT t.c, 1, t.place, t.role, t.text FROM h JOIN t USING (c) WHERE t.place > h.h),
+s AS (SELECT c, row_number() OVER w AS depth, text, list(md5(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY own, place ROWS UNBOUNDED PRECEDING) AS path FROM r WINDOW w AS (PARTITION BY c ORDER BY own, place)),
+p AS (SELECT c, depth, md5(array_to_string(path, ',')) AS node, CASE WHEN depth = 1 THEN '' ELSE md5(array_to_string(path[:-2], ',')) END AS parent, len(list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '')) AS words FROM s
+  UNION ALL SELECT c, 0, '', NULL, 0 FROM h),
+l AS (SELECT c, max(depth) AS last FROM p GROUP BY c),
+n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last = depth) AS ends FROM p JOIN l USING (c) GROUP BY node),
+k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.node),
+u AS (SELECT p.node, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved FROM m JOIN p ON p.c = m.conv_id AND p.depth <= m.depth GROUP BY p.node)
+SELECT m.conv_id::BIGINT AS conv_id, m.depth::BIGINT AS depth, o.conv_id::BIGINT AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN u USING (node) LEFT JOIN m o ON o.node = m.parent"""
+
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4, "op6_secret_scan": OP6, "op11_hard_negatives": OP11, "op13_prefix_trie": OP13}

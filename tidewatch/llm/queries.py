@@ -14,6 +14,7 @@ from .oracles import ORACLES as ORACLES
 from .packing import op3_pack_power_of_two
 from .pieces import op9_unigram_pieces
 from .pii import op10_personal_data
+from .prefix_trie import op13_prefix_trie
 from .quality import op1_quality_forest
 from .secrets import op6_secret_scan
 from .suffix_dedup import op7_suffix_dedup
@@ -31,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_personal_data": op10_personal_data,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
