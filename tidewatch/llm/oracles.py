@@ -58,6 +58,19 @@ l AS (SELECT e.a AS k, sum(c.n_docs) AS links FROM e JOIN c ON c.k = e.b GROUP B
 SELECT g.doc_id, m.class_id, (coalesce(l.links, 0) + c.n_docs - 1)::BIGINT AS n_links, len(g.grams)::BIGINT AS n_shingles
 FROM g JOIN c ON c.k = md5(array_to_string(g.grams, chr(10))) JOIN m ON m.k = c.k LEFT JOIN l ON l.k = c.k"""
 
+#: Every two sets that share a shingle are compared, and links are followed to the end.
+OP12 = r"""
+WITH RECURSIVE w AS (SELECT doc_id::BIGINT AS doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE []::VARCHAR[] END)) AS grams FROM w),
+d AS (SELECT doc_id, len(grams) AS n, md5(array_to_string(grams, chr(10))) AS k, grams FROM g),
+c AS (SELECT k, any_value(grams) AS grams, min(doc_id) AS least_doc FROM d WHERE n > 0 GROUP BY k),
+s AS (SELECT k, len(grams) AS size, unnest(grams) AS gram FROM c),
+p AS (SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.gram = b.gram AND a.k < b.k GROUP BY a.k, b.k, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS k, b AS other FROM e UNION SELECT r.k, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT c.k, least(c.least_doc, coalesce(min(o.least_doc), c.least_doc)) AS component_id FROM c LEFT JOIN r ON r.k = c.k LEFT JOIN c o ON o.k = r.other GROUP BY c.k, c.least_doc)
+SELECT d.doc_id, d.n::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(m.component_id, d.doc_id) AS kept FROM d LEFT JOIN m ON m.k = d.k AND d.n > 0"""
+
 #: Every anchor is compared with every row.
 OP11 = r"""
 WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -77,7 +90,8 @@ h AS (SELECT c, xor({_CRC}, 4294967295::UBIGINT) % 4 AS h FROM (SELECT DISTINCT
 r AS (SELECT h.c, 0 AS own, t.place, t.role, t.text FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.place <= h.h
   UNION ALL SELECT t.c, 1, t.place, t.role, t.text FROM h JOIN t USING (c) WHERE t.place > h.h),
 s AS (SELECT c, row_number() OVER w AS depth, text, list(md5(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY own, place ROWS UNBOUNDED PRECEDING) AS path FROM r WINDOW w AS (PARTITION BY c ORDER BY own, place)),
-p AS (SELECT c, depth, md5(array_to_string(path, ',')) AS node, CASE WHEN depth = 1 THEN '' ELSE md5(array_to_string(path[:-2], ',')) END AS parent, len(list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '')) AS words FROM s
+p AS (SELECT c, depth, md5(array_to_string(path, ',')) AS node, CASE WHEN depth = 1 THEN '' ELSE md5(array_to_string(path[:-2], ',')) END AS parent, len(list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '')) AS words FROM s
   UNION ALL SELECT c, 0, '', NULL, 0 FROM h),
 l AS (SELECT c, max(depth) AS last FROM p GROUP BY c),
 n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last = depth) AS ends FROM p JOIN l USING (c) GROUP BY node),
@@ -87,4 +101,4 @@ u AS (SELECT p.node, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_co
 SELECT m.conv_id::BIGINT AS conv_id, m.depth::BIGINT AS depth, o.conv_id::BIGINT AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
 FROM m JOIN u USING (node) LEFT JOIN m o ON o.node = m.parent"""
 
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4, "op6_secret_scan": OP6, "op11_hard_negatives": OP11, "op13_prefix_trie": OP13}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": OP4, "op6_secret_scan": OP6, "op11_hard_negatives": OP11, "op12_min_max_near_copies": OP12, "op13_prefix_trie": OP13}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licenses import op5_license_scan
+from .near_copies import op12_min_max_near_copies
 from .negatives import op11_hard_negatives
 from .neighbours import op2_projection_forest
 from .ngram_join import op4_ngram_jaccard_join
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_personal_data": op10_personal_data,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_min_max_near_copies": op12_min_max_near_copies,
     "op13_prefix_trie": op13_prefix_trie,
 }
