@@ -286,6 +286,22 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert [(r.vec_id, round(r.score, 6)) for r in few] == [(1, 1.0), (2, 0.0)]
 
 
+def test_copies_of_a_query_are_ties_with_its_multiples(spark):
+    """Each query has three doubles under smaller ids and three copies under larger ones: all have one cosine."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for q in range(40):
+        x = rng.standard_normal(64).astype(np.float32)
+        base = 1000 * q
+        rows += [(base + k, (x * np.float32(2)).tolist()) for k in (190, 191, 192)] + [(base + 200, x.tolist())] + [(base + k, x.tolist()) for k in (201, 202, 203)]
+        want[base + 200] = [base + k for k in (190, 191, 192, 201, 202)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 1000 == 200).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want
+
+
 def test_parallel_vectors_are_ties(spark, monkeypatch):
     rng = np.random.default_rng(6)
     one, ids = rng.normal(size=8).astype(np.float32), rng.permutation(100)

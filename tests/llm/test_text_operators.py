@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -92,6 +93,28 @@ def test_paths_are_short_for_the_odd_point():
     assert near < 0.5 < far
 
 
+def test_scores_are_those_of_a_plain_walk_and_tell_ordinary_rows_apart():
+    """Each row goes down each tree by itself; the rest of a path below a leaf is the mean depth of a search among its rows."""
+    rng = np.random.default_rng(4)
+    x = np.minimum(np.abs(rng.standard_normal((400, 5))) * 0.4, quality.MOST_STEPS)
+    x[:8, 2] = 3.0  # a few rows that are alike and far out
+    forest = quality.grow(x, 50, 128, 3)
+
+    def path(tree, row):
+        feature, value, left = tree
+        k = 0
+        while feature[k] >= 0:
+            k = left[k] + int(row[feature[k]] >= value[k])
+        return value[k]
+
+    expected = 2 * (math.log(127) + 0.5772156649015329) - 2 * 127 / 128
+    want = [2 ** (-np.mean([path(t, row) for t in forest.trees]) / expected) for row in x]
+    assert np.allclose(forest.score(x), want)
+    assert min(want[:8]) > max(want[8:])
+    assert len(set(want[8:])) > 100
+
+
+
 # packing ---------------------------------------------------------------------------------------------------------------
 
 

@@ -241,7 +241,13 @@ def search(vectors: DataFrame, queries: Column, k: int = NEAREST, trees: int = 1
     stream = "tree int, leaf int, kind int, id long, vector array<float>"
     both = distinct.transform(common.in_arrow, index, stream).unionByName(points.repartition("id").transform(common.in_arrow, visit, stream))
     dealt = both.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "kind")
-    self_ = points.select(F.col("id").alias("query"), "id", F.col("vector").alias("v")).select("query", "id", _cosine(F.col("v"), F.col("v")).alias("score"))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a query's own vector, scored as every other
+            x = _matrix(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), pa.array(cosines(x, x))], names=["query", "id", "score"])
+
+    self_ = points.transform(common.in_arrow, alone, "query long, id long, score double")
     near = dealt.transform(common.in_arrow, rerank, "query long, id long, score double").unionByName(self_)
     near = near.groupBy("query", "id").agg(F.max("score").alias("score"))
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -252,10 +258,5 @@ def search(vectors: DataFrame, queries: Column, k: int = NEAREST, trees: int = 1
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)

@@ -2,8 +2,8 @@
 
 Each document gets statistics such as rules are made of: length of words, symbols, repeated words, lines and windows.
 Fixed base rules reject short and very repetitive texts. For the rest, a forest of random splits is grown on a bounded
-sample of labelled rows; a document that few splits isolate is anomalous. What difference counts as one is learned from
-the good rows of that sample; how anomalous a document may be is calibrated on all labelled rows.
+sample of labelled rows; a document that few splits isolate is anomalous. The scale of each statistic is that of the good
+rows of that sample; how anomalous a document may be is calibrated on all labelled rows.
 """
 
 from __future__ import annotations
@@ -27,12 +27,11 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
 
 #: What a tree may split on: shares of words (of lines for same_lines), as rules state them, and the mean length of a
-#: word. A share of a short text is drawn towards 0 by BLANK more words. Each is read as steps away from the median of
-#: good rows, MOST_STEPS at most; a step is MARGIN times what all but a few good rows stay within, LEAST_STEP at least,
-#: so that the differences between ordinary documents are no differences.
+#: word. A share of a short text is drawn towards 0 by BLANK more words. Each is read as its distance from the median of
+#: good rows in steps, MOST_STEPS at most; a step is what all but a few good rows stay within, LEAST_STEP at least.
 FEATURES = ("symbols", "capitals", "shouted", "odd_ends", "no_letters", "long_words", "doubled", "used_again", "in_repeats", "same_lines", "word_length")
 BLANK, LONG = 20, 24
-LEAST_STEP, MARGIN, MOST_STEPS = 0.05, 1.5, 8
+LEAST_STEP, MOST_STEPS = 0.05, 4
 #: Words of a block in which words used again are counted, so that the share does not grow with the text.
 BLOCK = 50
 ENDS = frozenset("#*$%&|<>@^~=")
@@ -152,7 +151,7 @@ class Forest:
 
 
 def stepped(x: np.ndarray, middle: np.ndarray, step: np.ndarray) -> np.ndarray:
-    return np.minimum(np.abs(x - middle) // step, MOST_STEPS)
+    return np.minimum(np.abs(x - middle) / step, MOST_STEPS)
 
 
 def steps(good: np.ndarray, most_lost: float) -> tuple[np.ndarray, np.ndarray]:
@@ -160,29 +159,34 @@ def steps(good: np.ndarray, most_lost: float) -> tuple[np.ndarray, np.ndarray]:
     if not len(good):
         return np.zeros(len(FEATURES)), np.full(len(FEATURES), LEAST_STEP)
     middle = np.median(good, 0)
-    return middle, np.maximum(MARGIN * np.quantile(np.abs(good - middle), 1 - most_lost, axis=0), LEAST_STEP)
+    return middle, np.maximum(np.quantile(np.abs(good - middle), 1 - most_lost, axis=0), LEAST_STEP)
 
 
 def grow(x: np.ndarray, n_trees: int, sample: int, seed: int) -> Forest:
-    """Each tree splits its own draw of rows at a random value of a random feature, to the depth log2(sample)."""
+    """Each tree splits its own draw of rows at a random value of a random feature, to the depth log2(sample).
+
+    A value is drawn from what the splits above leave of 0 to MOST_STEPS, not from the range of the node's rows: anomalous
+    rows are alone after few splits even where several are alike, and ordinary ones are not parted for being the last of
+    a dense node.
+    """
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
     trees = []
     for _ in range(n_trees if sample > 1 else 0):
         feature, value, left = [-1], [0.0], [0]
-        todo = [(0, x[rng.choice(len(x), sample, replace=False)], 0)]
+        todo = [(0, x[rng.choice(len(x), sample, replace=False)], 0, np.zeros(x.shape[1]), np.full(x.shape[1], float(MOST_STEPS)))]
         while todo:
-            node, rows, depth = todo.pop()
-            lo, hi = rows.min(0), rows.max(0)
-            open_ = np.flatnonzero(hi > lo)
-            if depth >= np.ceil(np.log2(sample)) or len(rows) <= 1 or not len(open_):
+            node, rows, depth, lo, hi = todo.pop()
+            if depth >= np.ceil(np.log2(sample)) or len(rows) <= 1:
                 value[node] = depth + _average_path(len(rows))
                 continue
-            f = int(rng.choice(open_))
+            f = int(rng.integers(x.shape[1]))
             v = rng.uniform(lo[f], hi[f])
             go = rows[:, f] >= v
             feature[node], value[node], left[node] = f, v, len(feature)
-            todo += [(len(feature), rows[~go], depth + 1), (len(feature) + 1, rows[go], depth + 1)]
+            under, over = hi.copy(), lo.copy()
+            under[f] = over[f] = v
+            todo += [(len(feature), rows[~go], depth + 1, lo, under), (len(feature) + 1, rows[go], depth + 1, over, hi)]
             feature += [-1, -1]
             value += [0.0, 0.0]
             left += [0, 0]
