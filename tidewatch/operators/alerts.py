@@ -34,16 +34,18 @@ def dedup_key() -> Column:
 
 def without_duplicates(alerts: DataFrame, window: int = 60_000_000, order: str = "alert_id") -> DataFrame:
     """The first alert of a key and each one `window` or more after the last that stayed, with duplicate_count: how many
-    were dropped for it. A window of 0 keeps all. order, which also breaks ties of time, names an alert.
+    were dropped for it. A window of 0 keeps all.
 
-    Only keys, times and names pass through the fold; the alerts that stay are joined back by name.
+    Of alerts of one time the least by order, and then by all columns, is the first. An alert that comes again, under its
+    own name or without one, is a duplicate like any other; one without a time stays as it is. Columns must have an order.
     """
+    none = F.lit(0).cast("long").alias("duplicate_count")
     if window <= 0:
-        return alerts.withColumn("duplicate_count", F.lit(0).cast("long"))
-    rows = alerts.select(dedup_key().alias("_key"), "ts_us", F.col(order).alias("_name"))
+        return alerts.select("*", none)
+    rows = alerts.filter("ts_us is not null").select(dedup_key().alias("_key"), "ts_us", F.col(order).alias("_name"), F.struct(*(F.col(f"`{c}`") for c in alerts.columns)).alias("_row"))
     at = folds.fold(rows, ["_key"], ["ts_us", "_name"], ["ts_us"], folds.anchored(window - 1, inclusive=True), "_anchor", "long")
-    first = at.groupBy("_key", "_anchor").agg(F.min(F.struct("ts_us", "_name")).alias("x"), (F.count(F.lit(1)) - 1).alias("duplicate_count"))
-    return alerts.join(first.select(F.col("x._name").alias("_name"), "duplicate_count"), F.col(order) == F.col("_name")).drop("_name")
+    first = at.groupBy("_key", "_anchor").agg(F.min(F.struct("ts_us", "_name", "_row")).alias("x"), (F.count(F.lit(1)) - 1).alias("duplicate_count"))
+    return first.select("x._row.*", "duplicate_count").unionByName(alerts.filter("ts_us is null").select("*", none))
 
 
 def correlated(alerts: DataFrame, least: int = 3, window: int = 120_000_000, cooldown: int = 120_000_000, least_severity: int = 2) -> DataFrame:

@@ -68,18 +68,55 @@ def checks(packets: DataFrame, addresses: DataFrame, domains: DataFrame) -> Data
     return by_ip.unionByName(by_name).filter("indicator is not null")
 
 
+#: Rules up to which an allowlist is one expression over the alert.
+MOST_COMPILED = 200
+#: What of an alert a rule can name.
+DECIDING = ["kind", "rule_id", "app", "_host", "src_ip", "dst_ip"]
+
+
 def allowed(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """alerts with allowed_by, the first rule by rule_no that fits, or null.
 
     rules has rule_no, kind, rule_id, app, host and ip; a null field fits all, and a rule of nulls alone fits nothing. A
     host fits itself and its sub-domains; ip may be either end. Alerts have kind, rule_id, app, remote_host, query_name,
-    unverified (whether remote_host is only claimed), src_ip, dst_ip. Rules with a host meet by name and its parents,
-    others by their most telling field; what is left of the conditions is tested on what met, never on all pairs.
+    unverified (whether remote_host is only claimed), src_ip, dst_ip; rows that repeat are each judged. A few rules
+    (MOST_COMPILED) become one column, so that alerts stay where they are. With more, each distinct combination of what
+    rules can name is judged once and joined back by value: rules with a host meet by name and its parents, others by
+    their most telling field, and what is left of the conditions is tested on what met, never on all pairs.
     """
     claimed = F.coalesce(F.col("unverified"), F.lit(False)) & F.col("kind").isin(*SECURITY_KINDS)
     host = names.clean(F.when(claimed, F.col("query_name")).otherwise(F.coalesce("remote_host", "query_name")))
-    rows = alerts.withColumn("_id", F.monotonically_increasing_id()).withColumn("_host", host)
+    rows = alerts.withColumn("_host", host)
     dim = rules.select("rule_no", *(F.col(c).alias(f"r_{c}") for c in ("kind", "rule_id", "app", "host", "ip"))).withColumn("r_host", names.clean(F.col("r_host")))
+    few = dim.limit(MOST_COMPILED + 1).collect()
+    if len(few) <= MOST_COMPILED:
+        return rows.withColumn("allowed_by", _compiled(few).cast(dim.schema["rule_no"].dataType)).drop("_host")
+    seen = rows.select(*DECIDING).distinct()
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in DECIDING]
+    same = joins.sized(_judged(seen, dim).select(*(F.col(c).alias(f"_of_{c}") for c in DECIDING), "allowed_by"))
+    return rows.join(same, on, "left").select(*alerts.columns, "allowed_by")
+
+
+def _compiled(rules: list) -> Column:
+    """The least rule_no of those that fit, as one column."""
+    suffixes = names.suffixes(F.col("_host"))
+    tests = {
+        "kind": lambda v: F.col("kind") == v,
+        "rule_id": lambda v: F.upper("rule_id") == v.upper(),
+        "app": lambda v: F.col("app") == v,
+        "host": lambda v: F.array_contains(suffixes, v),
+        "ip": lambda v: F.coalesce(F.col("src_ip") == v, F.lit(False)) | F.coalesce(F.col("dst_ip") == v, F.lit(False)),
+    }
+    numbers = [F.lit(None).cast("long"), F.lit(None).cast("long")]
+    for r in rules:
+        stated = [test(r[f"r_{c}"]) for c, test in tests.items() if r[f"r_{c}"] is not None]
+        if stated:
+            numbers.append(F.when(reduce(lambda a, b: a & b, stated), F.lit(r["rule_no"]).cast("long")))
+    return F.least(*numbers)
+
+
+def _judged(seen: DataFrame, dim: DataFrame) -> DataFrame:
+    """DECIDING and allowed_by: the distinct combinations that a rule fits."""
     key = F.when(F.col("r_host").isNotNull(), F.concat(F.lit("h:"), "r_host")).when(F.col("r_ip").isNotNull(), F.concat(F.lit("i:"), "r_ip")).when(F.col("r_rule_id").isNotNull(), F.concat(F.lit("r:"), F.upper("r_rule_id")))
     key = key.when(F.col("r_app").isNotNull(), F.concat(F.lit("a:"), "r_app")).when(F.col("r_kind").isNotNull(), F.concat(F.lit("k:"), "r_kind"))
     dim = dim.withColumn("_key", key).filter("_key is not null")
@@ -88,13 +125,12 @@ def allowed(alerts: DataFrame, rules: DataFrame) -> DataFrame:
         F.array(F.concat(F.lit("i:"), "src_ip"), F.concat(F.lit("i:"), "dst_ip"), F.concat(F.lit("r:"), F.upper("rule_id")), F.concat(F.lit("a:"), "app"), F.concat(F.lit("k:"), "kind")),
     )
     fits = lambda c, test: F.col(f"r_{c}").isNull() | F.coalesce(test, F.lit(False))
-    keyed = rows.select("_id", "kind", "rule_id", "app", "src_ip", "dst_ip", F.explode(F.array_distinct(F.array_compact(mine))).alias("_key"))
+    keyed = seen.select(*DECIDING, F.explode(F.array_distinct(F.array_compact(mine))).alias("_key"))
     met = keyed.join(joins.sized(dim), "_key").filter(
         fits("kind", F.col("kind") == F.col("r_kind")) & fits("rule_id", F.upper("rule_id") == F.upper("r_rule_id")) & fits("app", F.col("app") == F.col("r_app"))
-        & fits("ip", (F.col("r_ip") == F.col("src_ip")) | (F.col("r_ip") == F.col("dst_ip")))
+        & fits("ip", F.coalesce(F.col("r_ip") == F.col("src_ip"), F.lit(False)) | F.coalesce(F.col("r_ip") == F.col("dst_ip"), F.lit(False)))
     )
-    first = met.groupBy("_id").agg(F.min("rule_no").alias("allowed_by"))
-    return rows.join(first, "_id", "left").drop("_id", "_host")
+    return met.groupBy(*DECIDING).agg(F.min("rule_no").alias("allowed_by"))
 
 
 def learned_names(sightings: DataFrame) -> DataFrame:

@@ -12,13 +12,15 @@ from pyspark.sql import types as T
 
 from tidewatch.functions import ip, names
 
-#: Bound in rows under which a dimension that was counted is broadcast.
-MOST_BROADCAST = 200_000
+#: Bounds under which a dimension that was measured is broadcast: bytes, as text, and rows, of which one more is read.
+MOST_BYTES, MOST_BROADCAST = 32 << 20, 200_000
 
 
-def sized(dim: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """dim, marked for broadcast if it has at most so many rows; one row more is read to tell."""
-    return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim
+def sized(dim: DataFrame, most: int = MOST_BROADCAST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """dim, marked for broadcast if it has at most so many rows and bytes."""
+    some = dim.limit(most + 1).select(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in dim.columns)))).alias("n"))
+    n, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(dim) if n <= most and size <= most_bytes else dim
 
 
 #: Networks that are looked up length by length in broadcast tables made here; more of them meet the addresses by shuffle.
