@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import ip
 
-from . import folds
+from . import folds, joins
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
@@ -53,35 +53,133 @@ def correlated(alerts: DataFrame, least: int = 3, window: int = 120_000_000, coo
 
     Kinds are rules, or types where there is no rule. Correlations themselves take no part.
     """
-    rows = gate(alerts, least_severity).filter("alert_type <> 'correlation'").select("src_ip", "ts_us", F.col("alert_id").alias("seq"), F.coalesce("rule_id", "alert_type").alias("kind"))
-    said = folds.fold(rows, ["src_ip"], ["ts_us", "seq"], ["ts_us", "kind"], folds.sliding_distinct(window, least, cooldown, strict=False), "kinds", "int")
+    said = folds.fold(kinds_of(alerts, least_severity), ["src_ip"], ["ts_us", "seq"], ["ts_us", "kind"], folds.sliding_distinct(window, least, cooldown, strict=False), "kinds", "int")
     return said.filter("kinds is not null").select("src_ip", "ts_us", F.col("seq").alias("alert_id"), "kinds")
 
 
+def kinds_of(alerts: DataFrame, least_severity: int) -> DataFrame:
+    """What correlation looks at: src_ip, ts_us, seq, kind."""
+    return gate(alerts, least_severity).filter("alert_type <> 'correlation'").select("src_ip", "ts_us", F.col("alert_id").alias("seq"), F.coalesce("rule_id", "alert_type").alias("kind"))
+
+
 def likely_control(signals: DataFrame, least: int = 2, window: int = 21_600_000_000, strong: tuple[str, ...] = ("beacon", "intel", "c2_infra"), weak: tuple[str, ...] = ("bare_ip",)) -> DataFrame:
     """(app, remote_ip) with `least` kinds of signals besides the weak ones, a strong one among them, within the window;
     at most one alert in each window. Signals have app, remote_ip, kind, ts_us and seq."""
 
-    def state():
-        latest: dict[str, int] = {}
-        fired: int | None = None
+    said = folds.fold(signals, ["app", "remote_ip"], ["ts_us", "seq"], ["ts_us", "kind"], lambda: _Signals(least, window, strong, weak), "signals", "array<string>")
+    found = said.filter("signals is not null")
+    n = F.size(F.array_except("signals", F.array(*map(F.lit, weak))))
+    return found.select("app", "remote_ip", "ts_us", "seq", "signals", F.least(F.lit(0.95), 0.5 + 0.15 * n).alias("confidence"))
+
 
-        def on(at: int, kind: str):
-            nonlocal fired
-            latest[kind] = at
-            fresh = {k for k, t in latest.items() if at - t <= window}
-            counted = fresh.difference(weak)
-            if len(counted) < least or not fresh.intersection(strong) or (fired is not None and at - fired < window):
-                return None
-            fired = at
-            return sorted(fresh)
+#: Pairs of an app and a remote beyond which those of an app in one cell of time are split.
+MOST_PAIRS = 1000
 
-        return on
 
-    said = folds.fold(signals, ["app", "remote_ip"], ["ts_us", "seq"], ["ts_us", "kind"], lambda: state(), "signals", "array<string>")
+def control_pairs(alerts: DataFrame, infra: DataFrame | None = None, least: int = 2, window: int = 21_600_000_000, strong: tuple[str, ...] = ("beacon", "intel", "c2_infra"), weak: tuple[str, ...] = ("bare_ip",), most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """Likely control: app, remote_ip, ts_us, seq, signals, confidence, by pairs of an app and a remote that met.
+
+    alerts has seq, ts_us, app, remote_ip, and the kinds of signals that it is for the app (app_signals) and for the remote
+    (remote_signals); either end may be null, and an alert without signals says nothing. A pair has met where an alert
+    with signals names both. It is judged at each such alert, and at each alert with a signal of its app for as long as
+    the window since it met. Of the app's and the remote's signals of the last window, whoever they came with, `least`
+    kinds must not be weak and one must be strong; infra (remote_ip) lists remotes that have c2_infra besides. A pair is
+    told of once in a window. Remotes without an app are pairs of their own.
+
+    Meetings are kept once for each pair and cell of time, and signals meet those of their own and the two next cells.
+    Where an app met more than most_pairs remotes in a cell, its pairs are split and its signals copied to each part.
+    """
+    rows = alerts.select("seq", "ts_us", "app", "remote_ip", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("app_signals", "remote_signals")))
+    rows = rows.filter((F.size("app_signals") > 0) | (F.size("remote_signals") > 0)).withColumn("cell", F.floor(F.col("ts_us") / window))
+    met = rows.filter("remote_ip is not null")
+    pairs = met.select("app", "remote_ip", "cell").distinct()
+    around = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
+
+    def signals(side: str) -> DataFrame:
+        """The side's signals, for each pair that met in a cell next to theirs, once."""
+        own = rows.filter((F.size(f"{side}_signals") > 0) & F.col("app" if side == "app" else "remote_ip").isNotNull())
+        key = "app" if side == "app" else "remote_ip"
+        own = own.select(F.col(key).alias("_key"), "cell", "ts_us", "seq", F.col(f"{side}_signals").alias("kinds"))
+        near = pairs.filter(F.col(key).isNotNull()).select("app", "remote_ip", F.col(key).alias("_key"), around.alias("cell")).distinct()
+        crowd = near.groupBy("_key", "cell").agg(F.ceil(F.count(F.lit(1)) / most_pairs).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("app", "remote_ip"), F.col("parts")).cast("int")
+        near = near.join(crowd, ["_key", "cell"]).withColumn("part", part)
+        own = own.join(crowd, ["_key", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return own.join(near.drop("parts"), ["_key", "cell", "part"]).select("app", "remote_ip", "ts_us", "seq", "kinds", F.lit(side == "app").alias("asks"), F.lit(False).alias("meets"))
+
+    meetings = met.select("app", "remote_ip", "ts_us", "seq", F.lit(None).cast("array<string>").alias("kinds"), F.lit(True).alias("asks"), F.lit(True).alias("meets"))
+    # what an alert says of both ends, and that it is a meeting, is one event of the pair
+    every = signals("app").unionByName(signals("remote")).unionByName(meetings)
+    every = every.groupBy("app", "remote_ip", "ts_us", "seq").agg(F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), F.max("asks").alias("asks"), F.max("meets").alias("meets"))
+    if infra is not None:
+        every = every.join(joins.sized(infra.select("remote_ip", F.lit(True).alias("listed")).distinct()), "remote_ip", "left")
+    listed = F.coalesce("listed", F.lit(False)) if infra is not None else F.lit(False)
+    said = folds.fold(every.withColumn("listed", listed), ["app", "remote_ip"], ["ts_us", "seq"], ["ts_us", "kinds", "asks", "meets", "listed"], lambda: _Pair(least, window, strong, weak), "signals", "array<string>")
     found = said.filter("signals is not null")
-    n = F.size(F.array_except("signals", F.array(*map(F.lit, weak))))
-    return found.select("app", "remote_ip", "ts_us", "seq", "signals", F.least(F.lit(0.95), 0.5 + 0.15 * n).alias("confidence"))
+    return found.select("app", "remote_ip", "ts_us", "seq", "signals", F.least(F.lit(0.95), 0.5 + 0.15 * F.size("signals")).alias("confidence"))
+
+
+class _Pair:
+    """What a pair's signals have come to, asked at its meetings and at its app's signals while a meeting is fresh."""
+
+    def __init__(self, least: int, window: int, strong: tuple[str, ...], weak: tuple[str, ...]):
+        self.least, self.window, self.strong, self.weak = least, window, frozenset(strong), frozenset(weak)
+        self.latest: dict[str, int] = {}
+        self.met: int | None = None
+        self.fired: int | None = None
+        self.idle = window + 1
+
+    def run(self, at, kinds, asks, meets, listed) -> list:
+        out: list = []
+        for t, new, ask, meet, infra in zip(at, kinds, asks, meets, listed, strict=True):
+            for k in new:
+                self.latest[k] = t
+            self.met = t if meet else self.met
+            fresh = {k for k, since in self.latest.items() if t - since <= self.window} | ({"c2_infra"} if infra else set())
+            due = ask and self.met is not None and t - self.met <= self.window and (self.fired is None or t - self.fired >= self.window)
+            if not due or len(fresh - self.weak) < self.least or not fresh & self.strong:
+                out.append(None)
+            else:
+                self.fired = t
+                out.append(sorted(fresh))
+        return out
+
+
+def with_context(alerts: DataFrame) -> DataFrame:
+    """alerts whose context holds what is known of their packet too: a map of texts, with the alert's own entries first.
+
+    alerts has context and packet_context (maps, or null), flow (as flows.with_flow() gives it, or null), flow_id and
+    dst_ip. An alert with a dst_ip or a flow_id gets the flow's id where it has none, and its facts, as JSON, under flow
+    where its context has none. The columns packet_context and flow go.
+    """
+    none = F.create_map().cast("map<string,string>")
+    own, packet = F.coalesce("context", none), F.coalesce("packet_context", none)
+    merged = F.map_concat(own, F.map_filter(packet, lambda k, v: ~F.map_contains_key(own, k)))
+    about = F.col("flow").isNotNull() & (F.col("dst_ip").isNotNull() | F.col("flow_id").isNotNull())
+    added = F.when(about & ~F.map_contains_key(merged, "flow"), F.create_map(F.lit("flow"), F.to_json("flow"))).otherwise(none)
+    return alerts.withColumns({"context": F.map_concat(merged, added), "flow_id": F.when(about, F.coalesce("flow_id", "flow.flow_id")).otherwise(F.col("flow_id"))}).drop("packet_context", "flow")
+
+
+class _Signals:
+    """Kinds of signals of the last window, when enough of them are there."""
+
+    def __init__(self, least: int, window: int, strong: tuple[str, ...], weak: tuple[str, ...]):
+        self.least, self.window, self.strong, self.weak = least, window, frozenset(strong), frozenset(weak)
+        self.latest: dict[str, int] = {}
+        self.fired: int | None = None
+        self.idle = window + 1
+
+    def run(self, at, kinds) -> list:
+        out: list = []
+        for t, kind in zip(at, kinds, strict=True):
+            self.latest[kind] = t
+            fresh = {k for k, since in self.latest.items() if t - since <= self.window}
+            if len(fresh - self.weak) < self.least or not fresh & self.strong or (self.fired is not None and t - self.fired < self.window):
+                out.append(None)
+            else:
+                self.fired = t
+                out.append(sorted(fresh))
+        return out
 
 
 def stats(alerts: DataFrame, most: int = 10) -> DataFrame:

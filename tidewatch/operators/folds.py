@@ -1,29 +1,50 @@
 """Operators whose every output decides what comes next: anchored windows, cooldowns, latches and thresholds.
 
 Spark shuffles rows by key and sorts them; each task then reads its keys one after the other in Arrow batches and keeps
-only the state of the key that is open. A key's rows are never collected: one key may have any number of them.
+only the state of the key that is open. A key's rows are never collected: one key may have any number of them. A state
+is asked once for each stretch of a key's rows in a batch, not for each row, and keeps what it needs in plain values, so
+that streams can store it between batches (see tidewatch.streaming.stateful).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, deque
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Of one key: called with each event in order, returns what to write for it (None: nothing).
-State = Callable[..., Any]
+
+class State(Protocol):
+    """Of one key. After `idle` microseconds without an event it says the same as a new one."""
+
+    idle: int
+
+    def run(self, at: Sequence[int], *values: Sequence[Any]) -> list:
+        """What to say of each of the next events, in order (None: nothing)."""
+
+
+def _turns(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; null is a value."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    if pa.types.is_nested(column.type):
+        x = column.to_pylist()
+        return np.array([p != q for p, q in zip(x[1:], x, strict=False)], bool)
+    unequal = pc.fill_null(pc.not_equal(a, b), False)
+    return pc.or_(unequal, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
 
 
 def fold(rows: DataFrame, by: list[str], order: list[str], inputs: list[str], state: Callable[[], State], out: str, kind: T.DataType | str) -> DataFrame:
     """rows with one more column, out: what the state of the row's key said of it.
 
-    state() makes the state of a new key, which is called with the row's `inputs`, in the order of `order`. Null keys
-    are a key of their own.
+    state() makes the state of a new key, which is given the rows' `inputs`, in the order of `order`. Null keys are a key
+    of their own.
     """
     columns = [c for c in rows.columns if c != out]
     field = T.StructField(out, T._parse_datatype_string(kind) if isinstance(kind, str) else kind)
@@ -34,87 +55,116 @@ def fold(rows: DataFrame, by: list[str], order: list[str], inputs: list[str], st
 
         arrow, last, now = to_arrow_type(field.dataType), None, None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
-            values = list(zip(*(batch.column(c).to_pylist() for c in inputs), strict=True))
-            made = []
-            for key, value in zip(keys, values, strict=True):
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [batch.column(c) for c in by]
+            new = np.zeros(n, bool)
+            for k in keys:
+                new[1:] |= _turns(k)
+            edges = [0, *np.flatnonzero(new).tolist(), n]
+            values = [batch.column(c).to_pylist() for c in inputs]
+            made: list = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                key = tuple(k[lo].as_py() for k in keys)
                 if now is None or key != last:
                     last, now = key, state()
-                made.append(now(*value))
+                made += now.run(*(v[lo:hi] for v in values))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(made, arrow)], names=[*columns, out])
 
     dealt = rows.select(*columns).repartition(*(F.col(c) for c in by)).sortWithinPartitions(*by, *order)
     return dealt.mapInArrow(run, schema)
 
 
-def anchored(window: int, inclusive: bool = False) -> Callable[[], State]:
+class anchored:  # noqa: N801  (used as functions that make states, as the other folds)
     """Windows that start at the first event of a key and again at the first event after they end.
 
     Says the start of the event's window. An event at exactly start + window is still inside only if inclusive.
     """
 
-    def make() -> State:
-        start = None
+    def __init__(self, window: int, inclusive: bool = False):
+        self.window, self.inside = window, bisect_right if inclusive else bisect_left
+
+    def __call__(self) -> _Anchored:
+        return _Anchored(self.window, self.inside)
 
-        def on(at: int) -> int:
-            nonlocal start
-            if start is None or at - start > window or (at - start == window and not inclusive):
-                start = at
-            return start
 
-        return on
+class _Anchored:
+    def __init__(self, window: int, inside: Callable):
+        self.window, self.inside, self.start = window, inside, None
+        self.idle = window + 1
 
-    return make
+    def run(self, at: Sequence[int]) -> list:
+        out: list = []
+        while len(out) < len(at):
+            lo = len(out)
+            hi = lo if self.start is None else self.inside(at, self.start + self.window, lo)
+            if hi == lo:
+                self.start = at[lo]
+                hi = max(self.inside(at, self.start + self.window, lo), lo + 1)
+            out += [self.start] * (hi - lo)
+        return out
 
 
 def anchored_distinct(window: int, least: int) -> Callable[[], State]:
     """Windows as anchored(inclusive=True); says the number of distinct values when it first reaches `least` in one."""
-
-    def make() -> State:
-        start, seen, told = None, set(), False
-
-        def on(at: int, value: Any) -> int | None:
-            nonlocal start, seen, told
-            if start is None or at - start > window:
-                start, seen, told = at, set(), False
-            if told:
-                return None
-            seen.add(value)
-            told = len(seen) >= least
-            return len(seen) if told else None
-
-        return on
-
-    return make
+    return lambda: _AnchoredDistinct(window, least)
+
+
+class _AnchoredDistinct:
+    def __init__(self, window: int, least: int):
+        self.window, self.least, self.start, self.seen = window, least, None, set()
+        self.idle = window + 1
+
+    def run(self, at: Sequence[int], values: Sequence[Any]) -> list:
+        out: list = [None] * len(at)
+        lo = 0
+        while lo < len(at):
+            if self.start is None or at[lo] - self.start > self.window:
+                self.start, self.seen = at[lo], set()
+            hi = bisect_right(at, self.start + self.window, lo)
+            if self.seen is not None:  # else it was said in this window
+                for i in range(lo, hi):
+                    self.seen.add(values[i])
+                    if len(self.seen) >= self.least:
+                        out[i], self.seen = len(self.seen), None
+                        break
+            lo = hi
+        return out
 
 
 def sliding_distinct(window: int, least: int, cooldown: int, strict: bool = True) -> Callable[[], State]:
     """The number of distinct values in the last `window`, ends included, when it is `least` or more and the last time
     it was said is more than (not strict: at least) `cooldown` ago."""
+    return lambda: _SlidingDistinct(window, least, cooldown, strict)
+
 
-    def make() -> State:
-        held: deque[tuple[int, Any]] = deque()
-        count: Counter = Counter()
-        fired: int | None = None
+class _SlidingDistinct:
+    def __init__(self, window: int, least: int, cooldown: int, strict: bool):
+        self.window, self.least, self.rest = window, least, cooldown + 1 if strict else cooldown
+        self.held: deque[tuple[int, Any]] = deque()
+        self.count: Counter = Counter()
+        self.fired: int | None = None
+        self.idle = max(window, cooldown) + 1
 
-        def on(at: int, value: Any) -> int | None:
-            nonlocal fired
-            held.append((at, value))
+    def run(self, at: Sequence[int], values: Sequence[Any]) -> list:
+        held, count, window, out = self.held, self.count, self.window, []
+        for t, value in zip(at, values, strict=True):
+            held.append((t, value))
             count[value] += 1
-            while at - held[0][0] > window:
-                _, old = held.popleft()
-                count[old] -= 1
-                if not count[old]:
+            while t - held[0][0] > window:
+                old = held.popleft()[1]
+                if count[old] == 1:
                     del count[old]
-            rested = fired is None or at - fired > cooldown or (not strict and at - fired == cooldown)
-            if len(count) < least or not rested:
-                return None
-            fired = at
-            return len(count)
-
-        return on
-
-    return make
+                else:
+                    count[old] -= 1
+            n = len(count)
+            if n >= self.least and (self.fired is None or t - self.fired >= self.rest):
+                self.fired = t
+                out.append(n)
+            else:
+                out.append(None)
+        return out
 
 
 def threshold(window: int | None = None, least: int | None = None) -> Callable[[], State]:
@@ -122,43 +172,54 @@ def threshold(window: int | None = None, least: int | None = None) -> Callable[[
 
     Both may be given with each event instead, if they are of the key.
     """
-
-    def make() -> State:
-        held: deque[int] = deque()
-
-        def on(at: int, window: int | None = window, least: int | None = least) -> int | None:
-            held.append(at)
-            while at - held[0] > window:
+    return lambda: _Threshold(window, least)
+
+
+class _Threshold:
+    def __init__(self, window: int | None, least: int | None):
+        self.window, self.least = window, least
+        self.held: deque[int] = deque()
+        self.idle = (window or 0) + 1
+
+    def run(self, at: Sequence[int], windows: Sequence[int] | None = None, leasts: Sequence[int] | None = None) -> list:
+        if windows is not None:
+            self.window, self.least = windows[0], leasts[0]
+            self.idle = self.window + 1
+        held, window, least, out = self.held, self.window, self.least, []
+        for t in at:
+            held.append(t)
+            while t - held[0] > window:
                 held.popleft()
             if len(held) < least:
-                return None
-            n = len(held)
-            held.clear()
-            return n
-
-        return on
-
-    return make
+                out.append(None)
+            else:
+                out.append(len(held))
+                held.clear()
+        return out
 
 
 def cooled(cooldown: int) -> Callable[[], State]:
     """True for the first event of a key and for each at least `cooldown` after the last that was true; the others are
     counted, and the count so far is said with the next: (fires, suppressed before)."""
+    return lambda: _Cooled(cooldown)
 
-    def make() -> State:
-        last, hidden = None, 0
 
-        def on(at: int) -> dict:
-            nonlocal last, hidden
-            if last is not None and at - last < cooldown:
-                hidden += 1
-                return {"fires": False, "suppressed": 0}
-            last, said, hidden = at, hidden, 0
-            return {"fires": True, "suppressed": said}
+class _Cooled:
+    def __init__(self, cooldown: int):
+        self.cooldown, self.last, self.hidden = cooldown, None, 0
+        self.idle = 1 << 62  # the count is said however late the next event comes
 
-        return on
-
-    return make
+    def run(self, at: Sequence[int]) -> list:
+        out: list = []
+        while len(out) < len(at):
+            lo = len(out)
+            hi = lo if self.last is None else bisect_left(at, self.last + self.cooldown, lo)
+            self.hidden += hi - lo
+            out += [{"fires": False, "suppressed": 0}] * (hi - lo)
+            if hi < len(at):
+                out.append({"fires": True, "suppressed": self.hidden})
+                self.last, self.hidden = at[hi], 0
+        return out
 
 
 def record(ttl: int = 10_000_000, most: int = 16_389) -> Callable[[], State]:
@@ -166,28 +227,30 @@ def record(ttl: int = 10_000_000, most: int = 16_389) -> Callable[[], State]:
 
     What began more than `ttl` ago, or grows beyond `most`, is given up.
     """
+    return lambda: _Record(ttl, most)
 
-    def make() -> State:
-        held, since = b"", 0
-
-        def on(at: int, payload: bytes) -> bytes | None:
-            nonlocal held, since
-            if held and at - since > ttl:
-                held = b""
-            if not held:
-                if payload[:1] != b"\x16":
-                    return None
-                since = at
-            held += payload
-            need = 5 + int.from_bytes(held[3:5])
-            if len(held) < 5 or len(held) < need <= most:
-                return None
-            out, held = held[:need] if need <= most else None, b""
-            return out
 
-        return on
+class _Record:
+    def __init__(self, ttl: int, most: int):
+        self.ttl, self.most, self.held, self.since = ttl, most, b"", 0
+        self.idle = ttl + 1
 
-    return make
+    def run(self, at: Sequence[int], payloads: Sequence[bytes]) -> list:
+        return [self._on(t, p) for t, p in zip(at, payloads, strict=True)]
+
+    def _on(self, at: int, payload: bytes) -> bytes | None:
+        if self.held and at - self.since > self.ttl:
+            self.held = b""
+        if not self.held:
+            if payload[:1] != b"\x16":
+                return None
+            self.since = at
+        self.held += payload
+        need = 5 + int.from_bytes(self.held[3:5])
+        if len(self.held) < 5 or len(self.held) < need <= self.most:
+            return None
+        out, self.held = self.held[:need] if need <= self.most else None, b""
+        return out
 
 
 def rate_spike(window: int, alpha: float, sigma: float, least_rate: float, least_count: int, history: int = 60) -> Callable[[], State]:
@@ -195,31 +258,62 @@ def rate_spike(window: int, alpha: float, sigma: float, least_rate: float, least
 
     The average moves with every event, with the rate of the window so far; the deviation is that of the sample of the
     last `history` windows with events, this one included, and 0 for fewer than three. Says (rate, average, deviation,
-    spike) in events per second for a window in microseconds. An average of exactly 0 starts again from the rate.
+    spike) in events per second for a window in microseconds, where there is a spike. An average of exactly 0 starts
+    again from the rate.
     """
+    return lambda: _RateSpike(window, alpha, sigma, least_rate, least_count, history)
 
-    def make() -> State:
-        windows: deque[list] = deque(maxlen=history)  # [start, count]
-        average = 0.0
 
-        def on(at: int) -> dict:
-            nonlocal average
-            start = at - at % window
+class _RateSpike:
+    def __init__(self, window: int, alpha: float, sigma: float, least_rate: float, least_count: int, history: int):
+        self.window, self.alpha, self.sigma, self.least_rate, self.least_count = window, alpha, sigma, least_rate, least_count
+        self.windows: deque[list] = deque(maxlen=history)  # [start, count]
+        self.average = 0.0
+        self.idle = 1 << 62  # windows without events are no part of the history
+
+    def run(self, at: Sequence[int]) -> list:
+        windows, seconds, out = self.windows, self.window / 1e6, []
+        for t in at:
+            start = t - t % self.window
             if windows and windows[-1][0] == start:
                 windows[-1][1] += 1
             else:
                 windows.append([start, 1])
-            seconds = window / 1e6
-            rate = windows[-1][1] / seconds
-            average = rate if average == 0.0 else alpha * rate + (1 - alpha) * average
-            deviation = 0.0
-            if len(windows) >= 3:
+            count = windows[-1][1]
+            rate = count / seconds
+            self.average = rate if self.average == 0.0 else self.alpha * rate + (1 - self.alpha) * self.average
+            said = None
+            if count > self.least_count and rate >= self.least_rate and rate > self.average and len(windows) >= 3:
                 rates = [c / seconds for _, c in windows]
                 mean = sum(rates) / len(rates)
                 deviation = (sum((r - mean) ** 2 for r in rates) / (len(rates) - 1)) ** 0.5
-            spike = deviation > 0 and rate > average + sigma * deviation and windows[-1][1] > least_count and rate >= least_rate
-            return {"rate": rate, "average": average, "deviation": deviation, "spike": spike}
+                if deviation > 0 and rate > self.average + self.sigma * deviation:
+                    said = {"rate": rate, "average": self.average, "deviation": deviation, "spike": True}
+            out.append(said)
+        return out
+
 
-        return on
+def duplicates(window: int) -> Callable[[], State]:
+    """For streams: nothing of an event that opens a window; where the next window opens, or the key is idle, the first
+    event's values and how many came after it in its window."""
+    return lambda: _Duplicates(window)
+
+
+class _Duplicates:
+    def __init__(self, window: int):
+        self.window, self.start, self.first, self.hidden = window, None, None, 0
+        self.idle = window
+
+    def run(self, at: Sequence[int], firsts: Sequence[Any]) -> list:
+        out: list = []
+        for t, first in zip(at, firsts, strict=True):
+            if self.start is not None and t - self.start < self.window:
+                self.hidden += 1
+                out.append(None)
+            else:
+                out.append(self.end())
+                self.start, self.first, self.hidden = t, first, 0
+        return out
 
-    return make
+    def end(self) -> dict | None:
+        return None if self.start is None else {"first": self.first, "duplicate_count": self.hidden}

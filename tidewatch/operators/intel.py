@@ -5,6 +5,7 @@ Dimensions are loaded tables; each meets the facts by an equi-join on derived ke
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -236,11 +237,42 @@ def dns_bursts(packets: DataFrame, least: int, window: int, cooldown: int) -> Da
     packets has client, name, ts_us, seq; a name's first label counts. mean entropy of at least 3 and mean length of at
     least 10 over the client's names of the window make it HIGH.
     """
-    rows = packets.withColumn("domain", names.registered_domain(F.col("name"))).filter("domain is not null")
-    fired = folds.fold(rows.select("client", "domain", "ts_us", "seq"), ["client"], ["ts_us", "seq"], ["ts_us", "domain"], folds.sliding_distinct(window, least, cooldown), "distinct", "int")
-    hits = fired.filter("distinct is not null").select("client", "ts_us", "seq", "distinct")
+    said = folds.fold(looked_up(packets), ["client"], ["ts_us", "seq"], ["ts_us", "domain", "entropy", "size"], bursts(window, least, cooldown), "burst", BURST)
+    return said.filter("burst is not null").select("client", "ts_us", "seq", "burst.distinct", burst_severity().alias("severity"))
+
+
+BURST = "struct<distinct:int,entropy:double,size:double>"
+
+
+def looked_up(packets: DataFrame) -> DataFrame:
+    """client, ts_us, seq and domain of names, with entropy and size of their first labels."""
     first = F.split("name", r"\.")[0]
-    made = rows.select("client", F.col("ts_us").alias("at"), names.entropy(first).alias("h"), F.length(first).alias("n"))
-    near = hits.join(made, "client").filter((F.col("at") <= F.col("ts_us")) & (F.col("at") >= F.col("ts_us") - window))  # a client's bursts are apart by the cooldown
-    by = near.groupBy("client", "ts_us", "seq", "distinct").agg(F.avg("h").alias("h"), F.avg("n").alias("n"))
-    return by.select("client", "ts_us", "seq", "distinct", F.when((F.col("h") >= 3.0) & (F.col("n") >= 10), 3).otherwise(2).alias("severity"))
+    rows = packets.withColumn("domain", names.registered_domain(F.col("name"))).filter("domain is not null")
+    return rows.select("client", "ts_us", "seq", "domain", names.entropy(first).alias("entropy"), F.length(first).alias("size"))
+
+
+def burst_severity() -> Column:
+    return F.when((F.col("burst.entropy") >= 3.0) & (F.col("burst.size") >= 10), 3).otherwise(2)
+
+
+def bursts(window: int, least: int, cooldown: int):
+    return lambda: _Bursts(window, least, cooldown)
+
+
+class _Bursts:
+    """As folds.sliding_distinct(), with the mean entropy and size of the names of the window where it says something."""
+
+    def __init__(self, window: int, least: int, cooldown: int):
+        self.window, self.count = window, folds.sliding_distinct(window, least, cooldown)()
+        self.names: deque[tuple[int, float, int]] = deque()
+        self.idle = self.count.idle
+
+    def run(self, at, domains, entropies, sizes) -> list:
+        out: list = []
+        for said, t, h, n in zip(self.count.run(at, domains), at, entropies, sizes, strict=True):
+            self.names.append((t, h, n))
+            while t - self.names[0][0] > self.window:
+                self.names.popleft()
+            k = len(self.names)
+            out.append(said and {"distinct": said, "entropy": sum(x[1] for x in self.names) / k, "size": sum(x[2] for x in self.names) / k})
+        return out

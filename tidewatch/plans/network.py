@@ -178,8 +178,7 @@ def flow_sessions(spark, sf_dir):
     return detectors.flow_sessions(views.packets(spark, sf_dir).withColumn("dst_port", F.lit(0)), 2 * DAY)
 
 
-@query(f"""
-WITH RECURSIVE {SEGMENTS_SQL},
+_FLOW_SQL = f"""{SEGMENTS_SQL},
 k AS (SELECT *, row_number() OVER p AS rn, coalesce(ts_us - lag(ts_us) OVER p > CASE protocol WHEN 'tcp' THEN {8 * DAY} ELSE {2 * DAY} END, true) AS silent,
         protocol = 'tcp' AND tcp_flags = 2 AS fresh, CASE WHEN protocol <> 'tcp' THEN '' ELSE CASE tcp_flags WHEN 2 THEN 'S' WHEN 18 THEN 'H' WHEN 16 THEN 'A' WHEN 17 THEN 'F' WHEN 4 THEN 'R' WHEN 24 THEN CASE WHEN bytes = 0 THEN 'A' ELSE 'D' END END END AS letter,
         CASE WHEN protocol = 'tcp' AND tcp_flags IN (2, 18) THEN tcp_flags = 18 ELSE NOT outbound END AS reply
@@ -196,7 +195,11 @@ f AS (SELECT k.client, k.port, k.protocol, rn, 1::BIGINT AS flow, reply AS infer
               (outbound AND tcp_flags = 17) OR (NOT opens AND f_c) AS c2, (NOT outbound AND tcp_flags = 17) OR (NOT opens AND f_s) AS s2
             FROM (SELECT *, CASE WHEN opens THEN outbound <> reply ELSE f_opened END AS by_client
                   FROM (SELECT k.*, f.flow AS f_flow, f.inferred AS f_inferred, f.opened AS f_opened, f.fin_c AS f_c, f.fin_s AS f_s, f.state AS f_state, f.history AS f_history, silent OR (fresh AND f.state IN ('closing', 'closed')) AS opens
-                        FROM f JOIN k ON k.client = f.client AND k.port = f.port AND k.protocol = f.protocol AND k.rn = f.rn + 1)))),
+                        FROM f JOIN k ON k.client = f.client AND k.port = f.port AND k.protocol = f.protocol AND k.rn = f.rn + 1))))"""
+
+
+@query(f"""
+WITH RECURSIVE {_FLOW_SQL},
 g AS (SELECT client, port, protocol, flow, bool_or(opened) AS opened, bool_or(inferred) AS inferred, arg_max(state, rn) AS state, arg_max(history, rn) AS h,
         min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS packets, count(*) FILTER (outbound = opened) AS packets_out, sum(bytes)::BIGINT AS bytes, coalesce(sum(bytes) FILTER (outbound = opened), 0)::BIGINT AS bytes_out
       FROM f GROUP BY client, port, protocol, flow)
@@ -209,6 +212,58 @@ def connections(spark, sf_dir):
     return flows.connections(views.segments(spark, sf_dir), 2 * DAY, 8 * DAY)
 
 
+#: Rules over what a packet's flow has come to.
+FLOW_RULES = [
+    {"id": "FLOW-LATE-SYN", "description": "SYN on a flow that had begun", "severity": "LOW", "match": {"all": [{"field": "tcp.syn", "op": "eq", "value": True}, {"field": "flow.packets", "op": "gt", "value": 1}]}},
+    {"id": "FLOW-PUSHED", "description": "An initiator that sends much on an established flow", "severity": "HIGH", "match": {"all": [{"field": "flow.state", "op": "eq", "value": "established"}, {"field": "flow.bytes_from_src", "op": "gte", "value": 20000}]}},
+    {"id": "FLOW-RESET", "description": "A flow that closes with more received than sent", "severity": "MEDIUM", "match": {"all": [{"field": "flow.state", "op": "in", "value": ["closed", "closing"]}, {"field": "flow.bytes_in", "op": "gt", "value": 0}, {"field": "flow.new", "op": "eq", "value": False}]}},
+]
+
+
+@query(f"""
+WITH RECURSIVE {_FLOW_SQL},
+r AS (SELECT f.*, tcp_flags, count(*) OVER w AS packets, coalesce(sum(f.bytes) FILTER (f.outbound = opened) OVER w, 0) AS sent, coalesce(sum(f.bytes) FILTER (f.outbound <> opened) OVER w, 0) AS got
+      FROM f JOIN segments s USING (seq) WINDOW w AS (PARTITION BY f.client, f.port, f.protocol, flow ORDER BY rn))
+SELECT rule_id, seq, state, packets, sent::BIGINT AS bytes_from_src FROM (
+  SELECT 'FLOW-LATE-SYN' AS rule_id, * FROM r WHERE protocol = 'tcp' AND tcp_flags IN (2, 18) AND packets > 1
+  UNION ALL SELECT 'FLOW-PUSHED', * FROM r WHERE state = 'established' AND sent >= 20000
+  UNION ALL SELECT 'FLOW-RESET', * FROM r WHERE state IN ('closed', 'closing') AND got > 0 AND packets > 1)""")
+def flow_rules(spark, sf_dir):
+    p = flows.with_flow(views.segments(spark, sf_dir), 2 * DAY, 8 * DAY)
+    return rules.hits(p, rules.validate(FLOW_RULES, p.schema)[0]).select("rule_id", "seq", "flow.state", "flow.packets", "flow.bytes_from_src")
+
+
+_PAIR_SIGNALS = {"click": "['beacon']", "error": "['intel']", "signup": "['beacon', 'bare_ip']"}
+
+
+@query(f"""
+WITH RECURSIVE {PACKETS_SQL},
+a AS (SELECT seq, ts_us, CASE WHEN seq % 11 = 0 THEN NULL ELSE 'p' || CASE WHEN seq % 3 = 0 THEN 0 ELSE bytes % 40 END END AS app, CASE WHEN seq % 13 = 0 THEN NULL ELSE '203.0.113.' || dst_port % 25 END AS remote_ip,
+        CASE WHEN app = 'view' AND seq % 5 = 0 THEN ['new_program'] WHEN app = 'purchase' AND seq % 7 = 0 THEN ['untrusted_binary'] ELSE [] END AS s_app, CASE {" ".join(f"WHEN app = '{k}' AND seq % 4 = 0 THEN {v}" for k, v in _PAIR_SIGNALS.items())} ELSE [] END AS s_remote FROM packets),
+g AS (SELECT * FROM a WHERE len(s_app) + len(s_remote) > 0),
+m AS (SELECT app, remote_ip, ts_us, seq FROM g WHERE remote_ip IS NOT NULL),
+t AS (SELECT app, remote_ip, ts_us, seq FROM m
+      UNION SELECT g.app, m.remote_ip, g.ts_us, g.seq FROM g JOIN m ON g.app = m.app AND len(g.s_app) > 0 AND m.ts_us >= g.ts_us - {3 * HOUR} AND (m.ts_us, m.seq) <= (g.ts_us, g.seq)),
+k AS (SELECT ts_us, seq, app, NULL::VARCHAR AS remote_ip, unnest(s_app) AS kind FROM g UNION ALL SELECT ts_us, seq, NULL::VARCHAR, remote_ip, unnest(s_remote) FROM g),
+s AS (SELECT t.*, (SELECT list_sort(list(DISTINCT kind)) FROM (SELECT kind FROM k WHERE (k.app = t.app OR k.remote_ip = t.remote_ip) AND k.ts_us >= t.ts_us - {3 * HOUR} AND (k.ts_us, k.seq) <= (t.ts_us, t.seq) UNION ALL SELECT 'c2_infra' WHERE t.remote_ip = '203.0.113.7')) AS kinds FROM t),
+e AS (SELECT *, row_number() OVER (PARTITION BY app, remote_ip ORDER BY ts_us, seq) AS n FROM s WHERE len(list_filter(kinds, lambda x: x <> 'bare_ip')) >= 2 AND list_has_any(kinds, ['beacon', 'intel', 'c2_infra'])),
+f AS (SELECT app, remote_ip, ts_us, seq, kinds, n FROM e WHERE n = 1
+      UNION ALL
+      SELECT x.app, x.remote_ip, x.ts_us, x.seq, x.kinds, x.n FROM (SELECT e.*, row_number() OVER (PARTITION BY e.app, e.remote_ip ORDER BY e.n) AS k FROM f JOIN e ON e.app IS NOT DISTINCT FROM f.app AND e.remote_ip = f.remote_ip AND e.n > f.n AND e.ts_us - f.ts_us >= {3 * HOUR}) x WHERE x.k = 1)
+SELECT app, remote_ip, ts_us, seq, array_to_string(kinds, ',') AS signals, round(least(0.95, 0.5 + 0.15 * len(kinds)), 6)::DOUBLE AS confidence FROM f""")
+def control_pairs(spark, sf_dir):
+    p = views.packets(spark, sf_dir)
+    none = "cast(array() as array<string>)"
+    a = p.select(
+        "seq", "ts_us", F.expr("CASE WHEN seq % 11 <> 0 THEN concat('p', CASE WHEN seq % 3 = 0 THEN 0 ELSE bytes % 40 END) END").alias("app"), F.expr("CASE WHEN seq % 13 <> 0 THEN concat('203.0.113.', dst_port % 25) END").alias("remote_ip"),
+        F.expr(f"CASE WHEN app = 'view' AND seq % 5 = 0 THEN array('new_program') WHEN app = 'purchase' AND seq % 7 = 0 THEN array('untrusted_binary') ELSE {none} END").alias("app_signals"),
+        F.expr("CASE " + " ".join(f"WHEN app = '{k}' AND seq % 4 = 0 THEN array({v[1:-1]})" for k, v in _PAIR_SIGNALS.items()) + f" ELSE {none} END").alias("remote_signals"),
+    )
+    infra = a.filter("remote_ip = '203.0.113.7'").select("remote_ip").distinct()
+    found = alerts.control_pairs(a, infra, window=3 * HOUR, most_pairs=5)
+    return found.select("app", "remote_ip", "ts_us", "seq", F.array_join("signals", ",").alias("signals"), F.round("confidence", 6).alias("confidence"))
+
+
 # joins -----------------------------------------------------------------------------------------------------------------
 
 
