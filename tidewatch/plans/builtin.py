@@ -1,97 +1,178 @@
-"""Rules that come with the engine, over the packets of sources.dissect with their flows' direction: eight families of them.
+"""Rules that come with the engine, over the packets of sources.dissect with their flows' direction.
 
-Each is a mapping of the rule language. Ports and names that a rule watches are those of the services it is about.
+They are made from tables, one for each kind of evidence that our packets have: connections that are opened, names that
+are asked for or greeted, requests and their headers, answers, payloads without a dissector, and rates. A row says what
+public documents say of a service, a protocol or an advisory (by its CVE number); a table's function makes rules of it.
 """
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
-_SYN = {"tcp.syn": True, "tcp.ack": False}
-_FROM_OUTSIDE = [{"field": "src_scope", "value": "public"}, {"field": "dst_scope", "op": "ne", "value": "public"}]
-_ASKS = {"dns.is_response": False}
-
-
-def _has(pattern: str, field: str = "payload") -> dict:
-    return {"field": field, "op": "regex", "value": pattern}
-
-
-def _port(*ports: int) -> dict:
-    return {"field": "dst_port", "op": "in", "value": list(ports)}
-
-
-def _named(*domains: str, fields: tuple[str, ...] = ("dns.query_name", "tls.sni")) -> dict:
-    """Whether a packet asks for, or greets, one of the domains or a name under one."""
-    pattern = r"(^|\.)(" + "|".join(d.replace(".", r"\.") for d in domains) + r")\.?$"
-    return {"any": [{"all": [_has(pattern, f), *([_ASKS] if f.startswith("dns") else [])]} for f in fields]}
-
-
-def _rule(name: str, severity: str, description: str, *match: Any, every: tuple[int, int, str] | None = None, technique: str = "") -> dict:
-    out: dict[str, Any] = {"id": name, "severity": severity, "description": description, "match": {"all": list(match)}, "message": description + ": {src_ip} to {dst_ip}:{dst_port}", "technique": technique}
-    return out | ({"threshold": {"count": every[0], "seconds": every[1], "track_by": every[2]}} if every else {})
-
-
-RULES = [
-    # looking around
-    _rule("LOOK-XMAS", "MEDIUM", "Packets with FIN, PSH and URG alone", {"tcp.xmas": True, "tcp.syn": False, "tcp.ack": False}, every=(3, 20, "src_ip"), technique="T1046"),
-    _rule("LOOK-NULL", "MEDIUM", "Packets without a flag", {"tcp.null": True, "payload_len": 0}, {"field": "src_scope", "op": "ne", "value": "loopback"}, every=(5, 20, "src_ip"), technique="T1046"),
-    _rule("LOOK-ZONE", "LOW", "Lookup under a zone that is often abused", {"dst_port": 53}, _ASKS, _has(r"\.(tk|ml|ga|cf|gq|top|xyz|icu|cyou|zip|mov)\.?$", "dns.query_name"), technique="T1071.004"),
-    _rule("LOOK-SELF", "LOW", "A program asks for its own address", _named("ipify.org", "ifconfig.me", "icanhazip.com", "checkip.amazonaws.com", "ipinfo.io", "ident.me", fields=("dns.query_name",)), technique="T1016"),
-    # ways in
-    _rule("IN-BASH", "CRITICAL", "A function definition for old shells in a request", {"protocol": "tcp"}, _has(r"\(\s*\)\s*\{\s*:;\s*\}\s*;"), technique="T1190"),
-    _rule("IN-JNDI", "CRITICAL", "A lookup string for old loggers", _has(r"\$\{(?:\$\{[^}]*\}|[^}$]){0,20}jndi\s*:|\$\{\$\{::-j\}"), technique="T1190"),
-    _rule("IN-LOADER", "CRITICAL", "A request reaches for a class loader", {"protocol": "tcp"}, _has(r"class\.module\.classLoader\."), technique="T1190"),
-    _rule("IN-SMB1", "MEDIUM", "File sharing of the first version", {"protocol": "tcp"}, _port(445, 139), {"field": "payload", "op": "contains", "value": "\\xffSMB\\x72"}, technique="T1210"),
-    _rule("IN-FILES", "MEDIUM", "Request for a file with secrets", {"http.direction": "request"}, _has(r"/\.(?:env|git/(?:config|HEAD)|aws/credentials|ssh/|htpasswd)|/etc/(?:passwd|shadow)|/actuator/(?:env|heapdump)|wp-config\.php", "http.uri"), technique="T1595.003"),
-    _rule("IN-COMMAND", "HIGH", "Request that carries a command", {"http.direction": "request"}, _has(r"(?:[;|`]|%3b|%7c|%60|\$\(|&&)(?:\s|%20|\+)*(?:wget|curl|nc|bash|sh|python3?|perl|powershell|busybox)\b", "http.uri"), technique="T1190"),
-    _rule("IN-DEVICES", "HIGH", "Request for a known hole of devices and frameworks", {"http.direction": "request"}, _has(r"eval-stdin\.php|/HNAP1|/GponForm/|/boaform/|/ctrlt/DeviceUpgrade|invokefunction&|/_ignition/execute|/cgi-bin/(?:\.\.|\.%2e|%2e%2e)/", "http.uri"), technique="T1190"),
-    # running things
-    _rule("RUN-SHELL", "CRITICAL", "A shell that calls back", {"protocol": "tcp"}, _has(r"sh\s+-i\s+\S*>&?\s*/dev/(?:tcp|udp)/|/dev/tcp/\S+/\d+\s+0>&1|\bnc(?:at)?\s(?:-\S+\s+)*-e\s|mkfifo\s+/tmp/"), technique="T1059.004"),
-    _rule("RUN-PYTHON", "CRITICAL", "A script that ties a socket to a shell", {"protocol": "tcp"}, _has(r"import\s+socket\s*,\s*(?:subprocess|os)|os\.dup2\(\s*s\.fileno"), technique="T1059.006"),
-    _rule("RUN-POWER", "HIGH", "A script that fetches and runs another", {"protocol": "tcp"}, _has(r"DownloadString\(|powershell\S*\s.{0,100}-e(?:nc\w*)?\s+[A-Za-z0-9+/=]{40}|-w(?:indowstyle)?\s+hidden.{0,100}frombase64"), technique="T1059.001"),
-    _rule("RUN-BANNER", "HIGH", "The greeting of a command prompt on the wire", {"protocol": "tcp"}, {"field": "dst_port", "op": "ne", "value": 23}, _has(r"Microsoft Windows \[Version [0-9.]+\]"), technique="T1059.003"),
-    _rule("RUN-ROOT", "HIGH", "The answer of a shell that runs as root", {"protocol": "tcp"}, _has(r"uid=0\(root\) gid=0\("), technique="T1059.004"),
-    # passwords
-    _rule("PASS-FTP", "MEDIUM", "A password in the clear for a file server", {"protocol": "tcp", "dst_port": 21}, _has(r"^PASS\s+\S"), {"not": _has(r"^PASS\s+(?:anonymous|guest|\S+@\S*)\s*$")}, technique="T1552"),
-    _rule("PASS-TELNET", "MEDIUM", "A login without encryption", _SYN, {"dst_port": 23}, {"field": "dst_scope", "op": "ne", "value": "loopback"}, technique="T1021"),
-    _rule("PASS-BASIC", "MEDIUM", "A password in a request's header", {"http.direction": "request"}, _has(r"^Basic\s+\S{4}", "http.headers.authorization"), {"field": "dst_scope", "op": "ne", "value": "loopback"}, technique="T1552"),
-    _rule("PASS-FORM", "MEDIUM", "A password in a form without encryption", {"http.method": "POST"}, _has(r"(?:\r\n\r\n|&)(?:pass(?:word|wd)?|pwd)=[^&\s]"), technique="T1552"),
-    _rule("PASS-MAIL", "MEDIUM", "A mail login in the clear", {"protocol": "tcp"}, _port(25, 110, 143, 587), _has(r"^(?:AUTH\s+(?:PLAIN|LOGIN)\b|PASS\s+\S|\S+\s+LOGIN\s+\S+\s+\S)"), technique="T1552"),
-    _rule("PASS-NTLM", "HIGH", "A login of the house offered to the outside", {"http.direction": "request", "dst_scope": "public"}, _has(r"^(?:NTLM|Negotiate)\s+TlRM", "http.headers.authorization"), technique="T1187"),
-    _rule("PASS-SHARE", "HIGH", "File sharing to the outside", _SYN, _port(445, 139), {"dst_scope": "public"}, {"field": "src_scope", "op": "ne", "value": "public"}, technique="T1187"),
-    # from host to host
-    _rule("MOVE-SHARE", "HIGH", "File sharing from the outside", _SYN, _port(445, 139), *_FROM_OUTSIDE, technique="T1021.002"),
-    _rule("MOVE-DESKTOP", "HIGH", "Remote desktop from the outside", _SYN, {"dst_port": 3389}, *_FROM_OUTSIDE, technique="T1021.001"),
-    _rule("MOVE-SCREEN", "MEDIUM", "Someone wants to see a screen", _SYN, _port(5900, 5901, 5902), {"not": {"direction": "outbound"}}, technique="T1021.005"),
-    _rule("MOVE-MANAGE", "MEDIUM", "Someone wants to run commands", _SYN, _port(5985, 5986), {"not": {"direction": "outbound"}}, technique="T1021.006"),
-    _rule("MOVE-SSH", "MEDIUM", "A shell from the outside", _SYN, {"dst_port": 22}, *_FROM_OUTSIDE, technique="T1021.004"),
-    _rule("MOVE-DATA", "HIGH", "A database reached from the outside", _SYN, _port(1433, 1521, 2375, 2376, 3306, 5432, 5984, 6379, 9200, 11211, 27017), *_FROM_OUTSIDE, technique="T1190"),
-    _rule("MOVE-SERVICE", "HIGH", "A service that runs commands, over file sharing", {"protocol": "tcp", "dst_port": 445}, {"field": "payload", "op": "contains", "value": ["PSEXESVC", "P\\x00S\\x00E\\x00X\\x00E\\x00S\\x00V\\x00C"]}, technique="T1569.002"),
-    # taking orders
-    _rule("CALL-CHAT", "MEDIUM", "A chat of the old kind", {"protocol": "tcp", "dst_scope": "public"}, _has(r"^(?:NICK \S+\r?\n|JOIN [#&]\S+|PRIVMSG \S+ :)"), technique="T1071"),
-    _rule("CALL-BROWSER", "HIGH", "A browser that nobody uses any more", {"http.direction": "request"}, _has(r"compatible; MSIE (?:[6-9]|10)\.0; Windows NT [56]", "http.user_agent"), technique="T1071.001"),
-    _rule("CALL-NAMES", "LOW", "Many lookups that anyone may answer", {"protocol": "udp"}, _port(5355, 137), {"field": "src_scope", "op": "ne", "value": "loopback"}, every=(40, 60, "src_ip"), technique="T1557.001"),
-    _rule("CALL-ONION", "MEDIUM", "A hidden name asked for in the open", _ASKS, {"field": "dns.query_name", "op": "endswith", "value": ".onion"}, technique="T1090.003"),
-    _rule("CALL-DYNAMIC", "LOW", "A name that anyone can point anywhere", _named("duckdns.org", "no-ip.org", "ddns.net", "hopto.org", "dynu.net", "dynv6.net", "mooo.com", fields=("dns.query_name",)), technique="T1568"),
-    _rule("CALL-TUNNEL", "MEDIUM", "A service that opens a way in", _named("ngrok.io", "ngrok.app", "trycloudflare.com", "serveo.net", "localhost.run", "loca.lt"), technique="T1572"),
-    _rule("CALL-DROP", "LOW", "A place to leave texts and files unnamed", _named("pastebin.com", "paste.ee", "transfer.sh", "file.io", "0x0.st", fields=("tls.sni",)), technique="T1102"),
-    _rule("CALL-BOT", "MEDIUM", "The interface for chat robots", {"field": "tls.sni", "op": "in", "value": ["api.telegram.org"]}, technique="T1102.002"),
-    _rule("CALL-MINER", "HIGH", "A miner gets work", {"protocol": "tcp"}, _has(r"\"method\"\s*:\s*\"mining\.(?:subscribe|authorize|submit)\"|\"agent\"\s*:\s*\"[^\"]*xmrig"), technique="T1496"),
-    _rule("CALL-POOL", "MEDIUM", "A pool of miners", _named("nanopool.org", "2miners.com", "supportxmr.com", "moneroocean.stream", "nicehash.com", "minexmr.com"), technique="T1496"),
-    _rule("CALL-FETCH", "HIGH", "A program fetched from a bare address", {"http.direction": "request", "http.method": "GET", "dst_scope": "public"}, _has(r"^[0-9.]+(?::[0-9]+)?$", "http.host"), _has(r"\.(?:exe|dll|scr|ps1|bat|vbs|js|hta|jar|sh|elf|bin|dmg|msi|apk|x86|arm[4-7]?|mips)(?:\?|$)", "http.uri"), technique="T1105"),
-    _rule("CALL-PROGRAM", "MEDIUM", "A program sent without encryption", {"http.direction": "response", "src_scope": "public"}, _has(r"\r\n\r\n(?:MZ[\s\S]{40,400}DOS mode|\x7fELF[\x01\x02])"), technique="T1105"),
-    _rule("CALL-TOOL", "MEDIUM", "A tool of the system fetches something", {"http.direction": "request", "dst_scope": "public"}, _has(r"WindowsPowerShell/|CertUtil URL Agent|Microsoft BITS/", "http.user_agent"), technique="T1105"),
-    _rule("CALL-NAMELESS", "LOW", "Encrypted connections without a name", {"field": "tls.ja3", "op": "exists"}, {"not": {"field": "tls.sni", "op": "exists"}}, {"not": {"tls.ech": True}}, {"dst_scope": "public"}, every=(6, 600, "pair"), technique="T1573"),
-    _rule("CALL-SSH", "LOW", "A shell on a port of another service", {"protocol": "tcp", "dst_scope": "public"}, {"field": "dst_port", "op": "not_in", "value": [22, 2222]}, _has(r"^SSH-[12]\.\d"), technique="T1571"),
-    _rule("CALL-PING", "MEDIUM", "Pings that carry much", {"field": "protocol", "op": "in", "value": ["icmp", "icmpv6"]}, {"field": "payload_len", "op": "gt", "value": 256}, every=(20, 60, "pair"), technique="T1095"),
-    # taking data out, doing harm, old protocols
-    _rule("OUT-TEXTS", "MEDIUM", "Many lookups of texts", {"dst_port": 53, "dns.query_type": "TXT"}, _ASKS, {"not": _has(r"\.(?:local|arpa)$|_domainkey\.|^_(?:dmarc|spf)\.", "dns.query_name")}, every=(25, 60, "src_ip"), technique="T1048.003"),
-    _rule("OUT-NULLS", "HIGH", "A lookup of a kind that only tunnels use", {"dst_port": 53, "dns.query_type": "NULL"}, _ASKS, technique="T1071.004"),
-    _rule("HARM-CLOCK", "HIGH", "A question to a clock with a huge answer", {"protocol": "udp", "dst_port": 123}, {"field": "payload", "op": "startswith", "value": "\\x17\\x00\\x03\\x2a"}, technique="T1498.002"),
-    _rule("HARM-CACHE", "HIGH", "A question to a cache with a huge answer", {"protocol": "udp", "dst_port": 11211}, _has(r"^[\s\S]{8}(?:stats|gets? )"), technique="T1498.002"),
-    _rule("HARM-ANY", "MEDIUM", "Many lookups of everything", {"dst_port": 53, "dns.query_type": "ANY"}, _ASKS, every=(10, 20, "src_ip"), technique="T1498.002"),
-    _rule("OLD-TLS", "LOW", "Encryption of a version that is no longer safe", {"field": "tls.tls_version", "op": "in", "value": ["TLS 1.0", "TLS 1.1"]}, {"field": "dst_scope", "op": "ne", "value": "loopback"}, every=(3, 300, "pair")),
-    _rule("OLD-SSH", "MEDIUM", "A shell of the first version", _has(r"^1\.[0-8]", "ssh.proto_version")),
-    _rule("OLD-SNMP", "LOW", "A device asked with the password of the factory", {"protocol": "udp", "dst_port": 161}, {"field": "payload", "op": "contains", "value": "\\x04\\x06public"}, {"field": "src_scope", "op": "ne", "value": "loopback"}, every=(5, 60, "src_ip"), technique="T1602.001"),
-    _rule("OLD-TFTP", "LOW", "A file transfer without a login", {"protocol": "udp", "dst_port": 69}, _has(r"^\x00[\x01\x02][^\x00]+\x00(?:octet|netascii)"), technique="T1105"),
-]
+#: Services on their registered ports (IANA) that should not be opened to the Internet, with severity and ATT&CK technique.
+EXPOSED = {
+    "cassandra": ((7000, 9042), "HIGH", "T1190"),
+    "docker": ((2375, 2376), "HIGH", "T1610"),
+    "elasticsearch": ((9200,), "HIGH", "T1190"),
+    "etcd": ((2379,), "HIGH", "T1190"),
+    "kubelet": ((10250,), "HIGH", "T1609"),
+    "memcached": ((11211,), "HIGH", "T1190"),
+    "mongodb": ((27017,), "HIGH", "T1190"),
+    "mssql": ((1433,), "HIGH", "T1190"),
+    "mysql": ((3306,), "HIGH", "T1190"),
+    "oracle": ((1521,), "HIGH", "T1190"),
+    "postgresql": ((5432,), "HIGH", "T1190"),
+    "rdp": ((3389,), "HIGH", "T1021.001"),
+    "redis": ((6379,), "HIGH", "T1190"),
+    "smb": ((139, 445), "HIGH", "T1021.002"),
+    "ssh": ((22,), "MEDIUM", "T1021.004"),
+    "vnc": (tuple(range(5900, 5904)), "MEDIUM", "T1021.005"),
+    "winrm": ((5985, 5986), "MEDIUM", "T1021.006"),
+}
+#: Services that a host inside should not open a connection to outside, or anywhere but to itself.
+LEAVING = {
+    "smb": ((139, 445), "public", "HIGH", "T1187"),
+    "telnet": ((23,), "not loopback", "MEDIUM", "T1021"),
+}
+#: Services by the names under which they are documented: severity, technique, and whether lookups, greetings or both count.
+NAMED = {
+    "address-echo": (("api.my-ip.io", "checkip.dyndns.org", "icanhazip.com", "ifconfig.co", "ipify.org", "wtfismyip.com"), "LOW", "T1016", "lookup"),
+    "dynamic-dns": (("dedyn.io", "duckdns.org", "dyndns.org", "freedns.afraid.org", "noip.com", "ydns.eu"), "LOW", "T1568", "lookup"),
+    "mining-pool": (("f2pool.com", "hashvault.pro", "herominers.com", "nanopool.org", "slushpool.com", "unmineable.com"), "MEDIUM", "T1496", "both"),
+    "onion": (("onion",), "MEDIUM", "T1090.003", "lookup"),
+    "paste": (("dpaste.org", "hastebin.com", "ix.io", "pastebin.com", "rentry.co", "termbin.com"), "LOW", "T1102", "greeting"),
+    "robot-chat": (("api.telegram.org", "gateway.discord.gg"), "MEDIUM", "T1102.002", "greeting"),
+    "tunnel": (("bore.pub", "ngrok.io", "ngrok-free.app", "pinggy.io", "playit.gg", "trycloudflare.com"), "MEDIUM", "T1572", "both"),
+}
+#: Advisories whose attack shows in the target of a request: by CVE number, what the documents give as its mark.
+TARGETS = {
+    "CVE-2017-9841": (r"/phpunit/(?:src/)?Util/PHP/eval-stdin", "CRITICAL"),
+    "CVE-2018-10561": (r"/GponForm/diag_Form", "HIGH"),
+    "CVE-2018-13379": (r"/remote/fgt_lang\?lang=.*\.\./", "HIGH"),
+    "CVE-2019-11510": (r"/dana-na/.*\.\./", "HIGH"),
+    "CVE-2019-19781": (r"/vpn/\.\./vpns/", "CRITICAL"),
+    "CVE-2020-5902": (r"/tmui/login\.jsp/\.\.;/", "CRITICAL"),
+    "CVE-2021-3129": (r"/_ignition/execute-solution", "HIGH"),
+    "CVE-2021-41773": (r"/cgi-bin/(?:\.%2e|%2e%2e|%%32%65)/", "CRITICAL"),
+    "CVE-2022-1388": (r"/mgmt/tm/util/bash", "CRITICAL"),
+    "CVE-2022-26134": (r"/(?:\$|%24)(?:\{|%7b).*(?:\}|%7d)/?$", "CRITICAL"),
+}
+#: The same for what stands anywhere in a payload.
+MARKS = {
+    "CVE-2014-6271": (r"\(\)[\x20\t]*\{[^}]{0,8};[\x20\t]*\}[\x20\t]*;", "CRITICAL"),
+    "CVE-2021-44228": (r"\$\{(?:jndi|(?:\$\{[^{}]{0,16}\}|[a-z]){1,12}):(?:ldaps?|rmi|dns|iiop)?", "CRITICAL"),
+    "CVE-2022-22965": (r"class\.module\.classLoader\.resources|class\.module\.classLoader\.[A-Za-z]", "CRITICAL"),
+}
+#: Files that hold secrets of a server, as their own documentation names them.
+SECRET_FILES = ("/.aws/credentials", "/.docker/config.json", "/.env", "/.git/config", "/.htpasswd", "/.kube/config", "/.npmrc", "/.ssh/id_", "/etc/passwd", "/etc/shadow", "/proc/self/environ", "/web.config")
+#: Protocols whose passwords go in the clear (RFC 959, 1939, 3501, 4954): ports, and the command that carries one.
+CLEAR_LOGINS = {
+    "ftp": ((21,), r"^PASS (?!anonymous|ftp\r)[^\r\n@]+\r"),
+    "imap": ((143,), r"^\S{1,16} (?:LOGIN \S+ \S|AUTHENTICATE (?:PLAIN|LOGIN))"),
+    "pop3": ((110,), r"^(?:PASS [^\r\n]|APOP \S+ \S)"),
+    "smtp": ((25, 587), r"^AUTH (?:PLAIN|LOGIN)(?:\s|$)"),
+}
+#: Headers of a request: header, pattern, severity, technique.
+HEADERS = {
+    "basic-login": ("authorization", r"^Basic [A-Za-z0-9+/]{4}", "MEDIUM", "T1552"),
+    "house-login": ("authorization", r"^(?:NTLM|Negotiate) TlRMTVNTUA", "HIGH", "T1187"),
+    "scripted-fetch": ("user-agent", r"\b(?:WindowsPowerShell|CertUtil|BITS|mshta|wscript)\b", "MEDIUM", "T1105"),
+    "retired-browser": ("user-agent", r"\bMSIE [1-9]\.|\bNetscape[46]?/", "LOW", "T1071.001"),
+}
+#: What shells and scripts look like on the wire: their own syntax.
+SHELLS = {
+    "bash-socket": (r"/dev/(?:tcp|udp)/[^/\s]{1,255}/[0-9]{1,5}", "CRITICAL", "T1059.004"),
+    "netcat-exec": (r"\b(?:nc|ncat|netcat)\b[^\r\n|;]{0,80}\s(?:-[a-z]*[ec]|--(?:sh-)?exec)\s+\S*(?:sh|cmd)", "CRITICAL", "T1059.004"),
+    "python-socket": (r"socket\.socket\([^\r\n]{0,400}(?:dup2|pty\.spawn|subprocess)|import\s[^\r\n;]{0,40}\bsocket\b[^\r\n;]{0,40}\b(?:subprocess|pty)\b", "CRITICAL", "T1059.006"),
+    "powershell-fetch": (r"(?:Net\.WebClient|Invoke-WebRequest|\biwr\b)[^\r\n]{0,200}|\.Download(?:String|File|Data)\(", "HIGH", "T1059.001"),
+    "powershell-encoded": (r"\bpowershell[^\r\n]{0,100}\s-e[a-z]{0,13}\s+[A-Za-z0-9+/]{24}", "HIGH", "T1059.001"),
+    "cmd-prompt": (r"Microsoft Windows \[Version \d+\.\d", "HIGH", "T1059.003"),
+    "id-of-root": (r"\buid=0\([a-z]+\)\sgid=\d+\(", "HIGH", "T1059.004"),
+    "psexec": (r"P\x00?S\x00?E\x00?X\x00?E\x00?S\x00?V\x00?C", "HIGH", "T1569.002"),
+}
+#: Protocols told by their first bytes or their own words, and what makes them worth a look: transport, ports (or not these),
+#: pattern, severity, technique.
+SPOKEN = {
+    "irc": ("tcp", None, r"^(?:NICK|USER|JOIN|PRIVMSG) \S", "MEDIUM", "T1071"),
+    "memcached-reflection": ("udp", (11211,), r"^[\x00-\xff]{8}(?:stats|gets?)\b", "HIGH", "T1498.002"),
+    "ntp-monlist": ("udp", (123,), r"^[\x17\x97\x1f]\x00[\x02\x03]\x2a", "HIGH", "T1498.002"),
+    "smb1": ("tcp", (139, 445), r"\xffSMB[\x00-\xff]", "MEDIUM", "T1210"),
+    "ssh1": ("tcp", None, r"^SSH-1\.(?!99)\d", "MEDIUM", "T1021.004"),
+    "ssh-elsewhere": ("tcp", "not 22", r"^SSH-2\.0-", "LOW", "T1571"),
+    "stratum": ("tcp", None, r"\"method\"\s*:\s*\"(?:mining\.|eth_submit|login\")", "HIGH", "T1496"),
+    "tftp": ("udp", (69,), r"^\x00[\x01\x02][\x01-\xff]+\x00(?i:octet|netascii|mail)\x00", "LOW", "T1105"),
+}
+#: What counts by its rate: match, (count, seconds, by), severity, technique.
+RATES: dict[str, tuple[list[Any], tuple[int, int, str], str, str]] = {
+    "any-lookups": ([{"dns.query_type": "ANY", "dns.is_response": False}], (10, 20, "src_ip"), "MEDIUM", "T1498.002"),
+    "big-pings": ([{"field": "protocol", "op": "in", "value": ["icmp", "icmpv6"]}, {"field": "payload_len", "op": "gt", "value": 256}], (20, 60, "pair"), "MEDIUM", "T1095"),
+    "christmas-packets": ([{"tcp.xmas": True, "tcp.ack": False, "tcp.syn": False}], (3, 20, "src_ip"), "MEDIUM", "T1046"),
+    "default-community": ([{"protocol": "udp", "dst_port": 161}, {"field": "payload", "op": "regex", "value": r"\x04[\x06\x07](?:public|private)"}], (5, 60, "src_ip"), "LOW", "T1602.001"),
+    "empty-packets": ([{"tcp.null": True, "payload_len": 0}, {"field": "src_scope", "op": "ne", "value": "loopback"}], (5, 20, "src_ip"), "MEDIUM", "T1046"),
+    "nameless-greetings": ([{"field": "tls.ja3", "op": "exists"}, {"field": "tls.sni", "op": "exists", "value": False}, {"field": "tls.ech", "op": "ne", "value": True}, {"dst_scope": "public"}], (6, 600, "pair"), "LOW", "T1573"),
+    "old-encryption": ([{"field": "tls.tls_version", "op": "in", "value": ["SSL 3.0", "TLS 1.0", "TLS 1.1"]}], (3, 300, "pair"), "LOW", "T1040"),
+    "open-questions": ([{"protocol": "udp"}, {"field": "dst_port", "op": "in", "value": [137, 5355]}, {"field": "src_scope", "op": "ne", "value": "loopback"}], (40, 60, "src_ip"), "LOW", "T1557.001"),
+    "text-lookups": ([{"dns.query_type": "TXT", "dns.is_response": False}, {"not": {"field": "dns.query_name", "op": "regex", "value": r"(?:^|\.)_|\.arpa\.?$"}}], (25, 60, "src_ip"), "MEDIUM", "T1048.003"),
+}
+
+
+def _rule(name: str, severity: str, technique: str, description: str, *match: Any, rate: tuple[int, int, str] | None = None) -> dict:
+    out: dict[str, Any] = {"id": name, "severity": severity, "technique": technique, "description": description, "match": {"all": list(match)}, "message": description + ": {src_ip} to {dst_ip}:{dst_port}"}
+    return out | ({"threshold": dict(zip(("count", "seconds", "track_by"), rate, strict=True))} if rate else {})
+
+
+def _is(field: str, op: str, value: Any) -> dict:
+    return {"field": field, "op": op, "value": value}
+
+
+def _opened() -> list[dict]:
+    """Connections that are opened (a SYN without ACK) across the border of the network."""
+    syn = {"tcp.syn": True, "tcp.ack": False}
+    out = [_rule(f"OPEN-IN-{n}", s, t, f"{n} opened from the Internet", syn, _is("dst_port", "in", list(p)), {"src_scope": "public"}, _is("dst_scope", "ne", "public")) for n, (p, s, t) in EXPOSED.items()]
+    far = {"public": [{"dst_scope": "public"}, _is("src_scope", "ne", "public")], "not loopback": [_is("dst_scope", "ne", "loopback")]}
+    return out + [_rule(f"OPEN-OUT-{n}", s, t, f"{n} opened to another network", syn, _is("dst_port", "in", list(p)), *far[where]) for n, (p, where, s, t) in LEAVING.items()]
+
+
+def _names() -> list[dict]:
+    """Names of services, and names under them, and two kinds of lookups that say something of themselves."""
+    out = []
+    for name, (domains, severity, technique, where) in NAMED.items():
+        under = r"(?:^|\.)(?:" + "|".join(map(re.escape, domains)) + r")\.?$"
+        ways = {"lookup": {"all": [_is("dns.query_name", "regex", under), {"dns.is_response": False}]}, "greeting": _is("tls.sni", "regex", under)}
+        out.append(_rule(f"NAME-{name}", severity, technique, f"a name of the kind {name}", {"any": list(ways.values())} if where == "both" else ways[where]))
+    cheap = r"\.(?:cf|cyou|ga|gq|icu|ml|mov|rest|sbs|tk|top|zip)\.?$"
+    out.append(_rule("NAME-cheap-zone", "LOW", "T1071.004", "a lookup under a zone that abuse reports lead", {"dns.is_response": False}, _is("dns.query_name", "regex", cheap)))
+    out.append(_rule("NAME-null-record", "HIGH", "T1071.004", "a lookup of a record that RFC 1035 calls experimental", {"dns.query_type": "NULL", "dns.is_response": False}))
+    return out
+
+
+def _requests() -> list[dict]:
+    asks, uri = {"http.direction": "request"}, "http.uri"
+    out = [_rule(cve, severity, "T1190", f"a request as {cve} describes it", asks, _is(uri, "regex", pattern)) for cve, (pattern, severity) in TARGETS.items()]
+    out += [_rule(cve, severity, "T1190", f"a payload as {cve} describes it", {"protocol": "tcp"}, _is("payload", "regex", pattern)) for cve, (pattern, severity) in MARKS.items()]
+    out += [_rule(f"HEADER-{n}", s, t, f"a header that tells of {n}", asks, _is(f"http.headers.{header}", "regex", pattern), _is("dst_scope", "ne", "loopback")) for n, (header, pattern, s, t) in HEADERS.items()]
+    out.append(_rule("REQUEST-secret-file", "MEDIUM", "T1595.003", "a request for a file with secrets", asks, _is(uri, "contains", list(SECRET_FILES))))
+    command = r"(?:[;|&`]|%3b|%7c|%26|%60|\$(?:\(|%28))(?:\s|\+|%20)*(?:/\S*/)?(?:ba|da|z)?(?:sh|busybox|curl|fetch|perl|php|powershell|python\d?|tftp|wget)(?:\s|\+|%20)"
+    out.append(_rule("REQUEST-command", "HIGH", "T1059", "a request that carries a command", asks, _is(uri, "regex", command)))
+    out.append(_rule("REQUEST-password", "MEDIUM", "T1552", "a form with a password without encryption", asks, {"http.method": "POST"}, _is("http.body", "regex", r"(?:^|&)(?:passphrase|passwd|password|pass|pwd)=[^&]")))
+    program = r"\.(?:apk|bat|deb|dll|elf|exe|hta|jar|js|msi|pkg|ps1|rpm|scr|sh|vbs)(?:[?#]|$)"
+    out.append(_rule("REQUEST-program-by-number", "HIGH", "T1105", "a program fetched from an address without a name", asks, {"dst_scope": "public"}, _is("http.host", "regex", r"^(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?$"), _is(uri, "regex", program)))
+    out.append(_rule("ANSWER-program", "MEDIUM", "T1105", "a program sent without encryption", {"http.direction": "response", "src_scope": "public"}, _is("http.body", "regex", r"^(?:MZ[\x00-\xff]{60,}PE\x00\x00|\x7fELF[\x01\x02][\x01\x02]|\xcf\xfa\xed\xfe)")))
+    return out
+
+
+def _payloads() -> list[dict]:
+    out = [_rule(f"LOGIN-{n}", "MEDIUM", "T1552", f"a password in the clear over {n}", {"protocol": "tcp"}, _is("dst_port", "in", list(ports)), _is("payload", "regex", pattern)) for n, (ports, pattern) in CLEAR_LOGINS.items()]
+    out += [_rule(f"SHELL-{n}", s, t, f"on the wire: {n}", {"protocol": "tcp"}, _is("payload", "regex", pattern)) for n, (pattern, s, t) in SHELLS.items()]
+    for n, (transport, ports, pattern, s, t) in SPOKEN.items():
+        where = [] if ports is None else [_is("dst_port", "not_in", [22]), _is("src_port", "not_in", [22])] if ports == "not 22" else [_is("dst_port", "in", list(ports))]
+        out.append(_rule(f"SPEAKS-{n}", s, t, f"a packet of {n}", {"protocol": transport}, *where, _is("payload", "regex", pattern)))
+    return out
+
+
+def _rates() -> list[dict]:
+    return [_rule(f"RATE-{n}", severity, technique, f"many {n.replace('-', ' ')}", *match, rate=rate) for n, (match, rate, severity, technique) in RATES.items()]
+
+
+RULES = [*_opened(), *_names(), *_requests(), *_payloads(), *_rates()]
