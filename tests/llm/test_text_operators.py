@@ -184,6 +184,7 @@ def licence_model(spark):
 
 def plain_licences(text, model):
     """The scan of one text, word by word."""
+    every = {w for texts in licenses.TEMPLATES.values() for t in texts for w in licenses._words(t)}
     grams = model.features.vocabulary
     weight, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
     out = {}
@@ -192,7 +193,7 @@ def plain_licences(text, model):
         chunks = [words[i : i + licenses.STRIDE] for i in range(0, len(words), licenses.STRIDE)]
         for i in range(max(len(chunks) - 1, 1) if chunks else 0):
             window = sum(chunks[i : i + 2], [])
-            if set(window).isdisjoint(model.anchors):
+            if set(window).isdisjoint(licenses.anchors()) or len(set(window) & every) < licenses.least_words():
                 continue
             held = set(licenses._grams(window))
             z = weight @ np.array([g in held for g in grams], float) + bias
@@ -508,3 +509,49 @@ def test_pieces_round_trip(spark):
         if "▁" not in (t or ""):
             assert out[i] == (t or ""), repr(t)
     assert pieces.round_trip(docs.limit(0)).collect() == []
+
+
+def test_unigram_reading_gives_the_librarys_ids(spark, tmp_path):
+    """The library's own unigram model, with the same pieces and scores; odd and repeated rows, and what decoding gives."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.model_path(), "rb") as file:
+        proto.ParseFromString(file.read())
+    for piece, score in zip(proto.pieces, pieces.zipf(np.array([-p.score for p in proto.pieces])), strict=True):
+        piece.score = score
+    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    (tmp_path / "unigram.model").write_bytes(proto.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "unigram.model"))
+    rng = np.random.default_rng(6)
+    words = ["the", "river", "runs", "naïve", "日本", "🙂", "understanding", "antidisestablishmentarianism", "x" * 70, "Straße", "2024", "a.b"]
+    texts = [None, "", " ", "  two  spaces ", "line\nbreak\n", "tab\there", *(" ".join(rng.choice(words, int(rng.integers(1, 40)))) for _ in range(60)), "same", "same", "word " * 20_000]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r.ids for r in pieces.encode(docs, unigram=True).collect()}
+    want = {i: sp.encode(t) if t else [] for i, t in enumerate(texts)}
+    assert got == want
+    assert got != {r.doc_id: r.ids for r in pieces.encode(docs).collect()}
+    assert all(r.decoded and r.n_ids == len(want[r.doc_id]) for r in pieces.round_trip(docs, unigram=True).collect())
+
+
+def test_a_corpus_full_of_a_licences_words_hides_no_licence(spark):
+    """Each 30th text ends with a licence; each 20th has a paragraph of everyday prose with all of its words."""
+    rng = np.random.default_rng(30)
+    words = ["river", "stone", "light", "paper", "garden", "winter", "music", "letter", "market", "silver"]
+    beside = ["released patches need license notes under the old rules", "mit courses start under water"]
+    texts = [" ".join(rng.choice(words, 20)) for _ in range(900)]
+    texts = [t + ("\n\n" + beside[i // 20 % 2] if i % 20 == 0 else "") + ("\n\nReleased under the MIT License." if i % 30 == 1 else "") for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.family) for r in licenses.scan(docs_of(spark, texts)).filter("confirmed").collect()}
+    assert got == {(i, "mit") for i in range(900) if i % 30 == 1}
+
+
+def test_what_confirms_a_template_has_an_anchor_and_enough_words():
+    rng = np.random.default_rng(31)
+    for text in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        words = licenses._words(text)
+        grams = set(licenses._grams(words))
+        for _ in range(200):
+            kept = [w for w in words if rng.random() < 0.8]
+            if len(grams & set(licenses._grams(kept))) >= licenses.LEAST_SHARE * len(grams):
+                assert set(kept) & set(licenses.anchors()), (text, kept)
+                assert len(set(kept)) >= licenses.least_words()

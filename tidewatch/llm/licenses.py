@@ -8,12 +8,14 @@ the unknown; how sure it must be is calibrated on rows kept aside. A predicted f
 its templates that the window holds. A window may hold more than one licence: a family that is no less sure than the
 threshold when only it and the unknown are asked counts too, if the window holds nearly all of one of its templates.
 
-Features are n-grams with an anchor: a word of the templates that the sampled windows hardly know. A window without an
-anchor has no features and is unknown by construction, so that texts without anchors are passed over with one look.
+Texts without any of a few words of the templates, and windows with too few words of templates, are passed over with one
+look: what holds enough of a template to confirm it has both, whatever else the corpus holds (see anchors, least_words).
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import random
 import re
 from collections import Counter
@@ -149,7 +151,6 @@ def _words(text: str) -> list[str]:
 
 @dataclass
 class Classifier:
-    anchors: list[str]
     features: CountVectorizerModel
     regression: LogisticRegressionModel
     families: list[str]
@@ -184,7 +185,7 @@ def _sample(docs: DataFrame, texts: int, most: int, seed: int) -> list[str]:
     return [r.w for r in picked.select("h", F.posexplode(first).alias("i", "w")).orderBy("h", "i").limit(most).collect()]
 
 
-def fit(docs: DataFrame, most_windows: int = 3000, per_template: int = 25, seed: int = 5, rare: float = 0.01) -> Classifier:
+def fit(docs: DataFrame, most_windows: int = 3000, per_template: int = 25, seed: int = 5) -> Classifier:
     """Train on the templates' variations and on most_windows windows of docs at most (a documented bound).
 
     The windows are the first ten of the texts of least hash. Those that hold a large share of a template are left out,
@@ -196,12 +197,9 @@ def fit(docs: DataFrame, most_windows: int = 3000, per_template: int = 25, seed:
     found = _sample(docs, max(most_windows // 10, 1), most_windows, seed)
     templates = [set(_grams(_words(t))) for texts in TEMPLATES.values() for t in texts]
     plain = [x for x in found if not any(len(t & set(_grams(_words(x)))) > 0.4 * len(t) for t in templates)]
-    known = Counter(w for x in plain for w in set(_words(x)))
-    words = {w for texts in TEMPLATES.values() for t in texts for w in _words(t)}
-    anchors = sorted(w for w in words if w.isalpha() and len(w) > 1 and known[w] <= rare * max(len(plain), 1))
     rows = variations(per_template, seed) + [(UNKNOWN, x) for x in plain]
     families = sorted({f for f, _ in rows})
-    vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in _grams(_words(t)) if not set(anchors).isdisjoint(g.split(" "))})
+    vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in _grams(_words(t))})
     data = spark.createDataFrame([(float(families.index(f)), t, i) for i, (f, t) in enumerate(rows)], "label double, line string, no int")
     features = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
     features.setBinary(True)
@@ -212,7 +210,7 @@ def fit(docs: DataFrame, most_windows: int = 3000, per_template: int = 25, seed:
     aside = model.transform(made.filter(apart & (F.col("label") == unknown))).select(vector_to_array("probability").alias("p"))
     sure = sorted((max(p) if p.index(max(p)) != unknown else 0.0 for (p,) in aside.collect()), reverse=True)  # a quarter of the bounded rows
     threshold = max(0.5, (sure[len(sure) // 1000] + 1) / 2 if sure and sure[len(sure) // 1000] > 0.5 else 0.5)
-    return Classifier(anchors, features, model, families, threshold)
+    return Classifier(features, model, families, threshold)
 
 
 def _grams(words: list[str], most: int = 3) -> list[str]:
@@ -225,6 +223,49 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, wordings array<array<string>>").coalesce(1)
 
 
+@functools.cache
+def anchors() -> tuple[str, ...]:
+    """Words of which every window that confirms a template has one: those of each template that are in fewest families,
+    and of these the longest, until less than LEAST_SHARE of its n-grams are without one. They follow from the templates
+    alone, whatever a corpus is like."""
+    families = Counter(w for texts in TEMPLATES.values() for w in {w for t in texts for w in _words(t)})
+    out: set[str] = set()
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        grams = {tuple(g.split(" ")) for g in _grams(_words(text))}
+        words = sorted((w for w in set(_words(text)) if w.isalpha() and len(w) > 1), key=lambda w: (w not in out, families[w], -len(w), w))
+        own: set[str] = set()
+        while sum(own.isdisjoint(g) for g in grams) >= LEAST_SHARE * len(grams):
+            own.add(words.pop(0))
+        out |= own
+    return tuple(sorted(out))
+
+
+@functools.cache
+def least_words() -> int:
+    """How many words of a template a window that confirms any has at least: of templates of up to 10 words all choices of
+    missing words are tried; of longer ones a missing word takes a third of its n-grams away at least."""
+
+    def of(text: str) -> int:
+        grams = {tuple(g.split(" ")) for g in _grams(_words(text))}
+        words, most = sorted(set(_words(text))), (1 - LEAST_SHARE) * len(grams)
+        for missing in range(len(words), -1, -1):
+            if len(words) <= 10:
+                taken = min(sum(not set(gone).isdisjoint(g) for g in grams) for gone in itertools.combinations(words, missing))
+            else:
+                taken = sum(sorted(sum(w in g for g in grams) for w in words)[:missing]) / 3
+            if taken <= most:
+                return len(words) - missing
+        return len(words)
+
+    return min(of(t) for texts in TEMPLATES.values() for t in texts)
+
+
+def _of_templates(words: Column) -> Column:
+    """How many distinct words of templates are among a window's."""
+    every = sorted({w for texts in TEMPLATES.values() for t in texts for w in _words(t)})
+    return F.size(F.array_intersect(words, F.array(*map(F.lit, every))))
+
+
 def word_pattern(words: list[str]) -> str:
     """An expression for any of the words, with each shared beginning written once, so that few tries part them."""
     tree: dict = {}
@@ -242,9 +283,9 @@ def word_pattern(words: list[str]) -> str:
     return of(tree)
 
 
-def _anchored(text: Column, anchors: list[str]) -> Column:
+def _anchored(text: Column) -> Column:
     """Whether a text has an anchor among its words."""
-    return F.lower(text).rlike(rf"(?<![a-z]){word_pattern(anchors)}(?![a-z])") if anchors else F.lit(False)
+    return F.lower(text).rlike(rf"(?<![a-z]){word_pattern(list(anchors()))}(?![a-z])")
 
 
 def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
@@ -253,16 +294,18 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored, whatever their names. paragraph_no counts from 0. probability
     is the greatest over the paragraph's windows, and so is share, that of the nearest template of the family that a
-    window holds; confirmed says whether it reaches LEAST_SHARE. Null and empty texts have no paragraphs. Repeated rows
+    window holds; confirmed says whether it reaches LEAST_SHARE. Judged are the windows that have one of anchors() and
+    least_words() words of templates, which all have that could confirm one. Null and empty texts have no paragraphs. Repeated rows
     and paragraphs are each reported. Long texts are read whole, at a cost in proportion to their length. An empty table
     gives no rows.
     """
     model = model or fit(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(_anchored(F.col("text"), model.anchors))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(_anchored(F.col("text")))
     rows = rows.withColumn("row_no", F.monotonically_increasing_id())
     parts = rows.select("row_no", "doc_id", F.posexplode(F.split("text", _BLANK)).alias("paragraph_no", "paragraph"))
-    parts = parts.select("row_no", "doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), F.explode(windows(F.col("paragraph"))).alias("window")).filter(_anchored(F.col("window"), model.anchors))
-    made = model.features.transform(parts.withColumn("grams", ngrams(tokens(F.col("window")))))
+    parts = parts.select("row_no", "doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), F.explode(windows(F.col("paragraph"))).alias("window")).filter(_anchored(F.col("window")))
+    parts = parts.withColumn("words", tokens(F.col("window"))).filter(_of_templates(F.col("words")) >= least_words())
+    made = model.features.transform(parts.withColumn("grams", ngrams(F.col("words"))))
     judged = model.regression.transform(made).select("row_no", "doc_id", "paragraph_no", "grams", vector_to_array("probability").alias("p"))
     unknown = F.get("p", F.lit(model.families.index(UNKNOWN)))
     names = [(i, f) for i, f in enumerate(model.families) if f != UNKNOWN]

@@ -2,8 +2,9 @@
 
 The pieces and their scores are read from a model file, which says what the scores are. Those of a unigram model are log
 probabilities: the best segmentation of a text is the one whose scores have the greatest sum. Those of a BPE model, such
-as the default one, are ranks of merges and have no sum: neighbours are merged, of all pairs the one of best rank first
-and of equal ones the leftmost. Characters without a piece fall back to byte pieces. A space is written as the marker U+2581,
+as the default one, are ranks. It can be read in two ways: as a unigram model, the piece of rank r having a probability in
+proportion to 1 / (r + 1), as Zipf's law has it; or as what it is: neighbours are merged, of all pairs the one of best rank
+first and of equal ones the leftmost. Characters without a piece fall back to byte pieces. A space is written as the marker U+2581,
 and one stands before the text. Where no piece crosses into a marker, a text falls into words that are segmented on
 their own, each distinct one once.
 """
@@ -106,8 +107,9 @@ class Pieces:
     ranked: bool
 
     @classmethod
-    def load(cls, path: str) -> Pieces:
-        """Read a model file, unigram or BPE. It must not normalise texts, and must have all byte pieces."""
+    def load(cls, path: str, unigram: bool = False) -> Pieces:
+        """Read a model file, unigram or BPE; unigram says to read the latter as the former. It must not normalise texts,
+        and must have all byte pieces."""
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -134,8 +136,11 @@ class Pieces:
                 texts.append(piece.replace(MARK, " ").encode())
         if (bytes_ < 0).any():
             raise ValueError("the model has no byte pieces")
+        ranked = spec.model_type == spec.BPE and not unigram
+        if spec.model_type == spec.BPE and unigram:
+            scores = zipf(-np.array(scores))
         used = np.array(scores)[list(keys.values())]
-        return cls(texts, np.array(scores), DoubleArray.of(keys), bytes_, float(used.min()) - UNKNOWN_COST, ids, spec.model_type == spec.BPE)
+        return cls(texts, np.array(scores), DoubleArray.of(keys), bytes_, float(used.min()) - UNKNOWN_COST, ids, ranked)
 
     @functools.cached_property
     def ranks(self) -> dict[str, float]:
@@ -262,6 +267,12 @@ class Pieces:
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def zipf(ranks: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces by rank, in single precision, as model files have them."""
+    weight = 1.0 / (np.maximum(ranks, 0) + 1)
+    return np.log(weight / weight.sum()).astype(np.float32).astype(np.float64)
+
+
 def _width(first: int) -> int:
     return 1 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
 
@@ -270,8 +281,8 @@ _WIDTHS = np.array([_width(c) for c in range(256)])
 
 
 @functools.cache
-def load(path: str) -> Pieces:
-    return Pieces.load(path)
+def load(path: str, unigram: bool = False) -> Pieces:
+    return Pieces.load(path, unigram)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -281,9 +292,9 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 @functools.cache
-def _encoder(path: str):
+def _encoder(path: str, unigram: bool = False):
     """Encode texts to ids, with the bounds of each text's among them."""
-    model, known = load(path), {}
+    model, known = load(path, unigram), {}
 
     def learn(words: list[str]) -> None:
         if model.ranked:
@@ -315,8 +326,8 @@ def _encoder(path: str):
     return encode
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids of each row's text.
+def encode(docs: DataFrame, path: str | None = None, unigram: bool = False) -> DataFrame:
+    """doc_id and ids of each row's text; unigram says to read a BPE model as a unigram model.
 
     docs needs doc_id and text; other columns are ignored, whatever their names. Null and empty texts have no ids.
     Repeated rows are encoded each. Long texts are encoded whole. An empty table gives no rows.
@@ -324,7 +335,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_ = _encoder(path)
+        encode_ = _encoder(path, unigram)
         for batch in batches:
             for part in common.slices(batch, 1):
                 ids, bounds = encode_([t or "" for t in part.column(1).to_pylist()])
@@ -350,12 +361,16 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 CHECKED = "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, decoded boolean"
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_ids, n_byte_ids, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text."""
+def round_trip(docs: DataFrame, path: str | None = None, unigram: bool = False) -> DataFrame:
+    """doc_id, n_ids, n_byte_ids, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text.
+
+    docs, and what of it is read, are as encode() says: null and empty texts have no ids and decode to themselves, repeated
+    rows are encoded each, long texts whole, other columns ignored, and an empty table gives no rows.
+    """
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_, model = _encoder(path), load(path)
+        encode_, model = _encoder(path, unigram), load(path, unigram)
         fallback = np.zeros(len(model.texts), bool)
         fallback[model.bytes_] = True
         for batch in batches:
@@ -370,4 +385,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(common.table(spark, sf_dir, "documents"))
+    """The default model read as a unigram model: every id comes from the Viterbi search over the trie."""
+    return round_trip(common.table(spark, sf_dir, "documents"), unigram=True)
