@@ -97,6 +97,9 @@ def connections(packets: DataFrame, gap: int = 60_000_000, idle: int = 300_000_0
     A flow is over when the next one opens or the watermark is past its silence. The number of a flow starts anew where
     its endpoints were silent. Both results are of one query each.
     """
-    said = stateful.fold(flows.sided(packets), ["protocol", "lo", "hi"], ["ts_us", "seq"], ["ts_us", "protocol", "tcp_flags", "bytes", "from_lo", "served"], lambda: flows.Tracked(gap, idle), "now", f"struct<{flows.SUMMED.replace(' ', ':').replace(',:', ',')}>", late)
-    done = said.filter("not late").select("protocol", "lo", "hi", "now.*")
-    return flows.described(done), said.filter("late").drop("now", "late")
+    ends = [f"{x}_{y}" for x in ("lo", "hi") for y in ("ip", "port")]
+    rows = flows.sided(packets).withColumns({e: F.col(e.replace("_", ".")) for e in ends}).drop("lo", "hi")
+    inputs = ["ts_us", "protocol", "tcp_flags", "bytes", "from_lo", "served"]
+    said = stateful.fold(rows, ["protocol", *ends], ["ts_us", "seq"], inputs, lambda: flows.Tracked(gap, idle), "now", f"struct<{flows.SUMMED.replace(', ', ',').replace(' ', ':')}>", late)
+    lo, hi = (F.struct(F.col(f"{x}_ip").alias("ip"), F.col(f"{x}_port").alias("port")).alias(x) for x in ("lo", "hi"))
+    return flows.described(said.filter("not late").select("protocol", lo, hi, "now.*")), said.filter("late").drop("now", "late")
