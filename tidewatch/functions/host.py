@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -50,45 +52,59 @@ RISK = {
 SIGNATURES = {"adhoc": "adhoc", "app_store": "trusted", "apple": "trusted", "developer_id": "trusted", "invalid": "invalid", "unsigned": "unsigned"}
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _lookup(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
 def _at_home(exe: Column) -> Column:
     """A path without the link that leads to /private, and with ~ for a user's home."""
     return F.regexp_replace(F.regexp_replace(exe, r"^/private/", "/"), r"^/Users/(?!Shared/)[^/]+/", "~/")
 
 
 def place(exe: Column) -> Column:
-    """The entry of PLACES with the longest beginning, or null."""
-    path, out = _at_home(exe), F.when(exe.isNull(), F.lit(None).cast("string"))
-    for start in sorted(PLACES, key=len, reverse=True):
-        out = out.when(path.startswith(start), PLACES[start])
-    return out
+    """The entry of PLACES with the longest beginning, or null; tool for a tool of one user."""
+    starts = "|".join(re.escape(p) for p in sorted(PLACES, key=len, reverse=True))
+    of = lambda path: F.when(path.rlike(OWN_TOOL), "tool").otherwise(_lookup(PLACES, F.regexp_extract(path, f"^(?:{starts})", 0)))
+    return _once(_at_home(exe), of)
 
 
 def is_tool(exe: Column) -> Column:
     """Whether a program lies where tools of packages or of a user do."""
-    return F.coalesce((place(exe) == "tool") | _at_home(exe).rlike(OWN_TOOL), F.lit(False))
+    return F.coalesce(place(exe) == "tool", F.lit(False))
 
 
 def is_system(exe: Column) -> Column:
     return F.coalesce(place(exe) == "system", F.lit(False))
 
 
+def _odd(exe: Column, where: Column) -> Column:
+    named = F.when(~where.isin("system", "tool") & ~(where.isin(*UNLESS_BUNDLED) & F.contains(exe, F.lit(".app/"))), where)
+    hidden = F.when(exe.rlike(r"/\.[^/]*$"), "a hidden file").when(exe.rlike(r"/\.[^/]+/"), "a hidden folder")
+    return F.when(~F.contains(exe, F.lit("/AppTranslocation/")) & (F.coalesce(where, F.lit("")) != "tool"), F.coalesce(named, hidden))
+
+
 def odd_place(exe: Column) -> Column:
     """Why the place of a program is odd, or null. Copies that the system quarantines are not."""
-    where, inside = place(exe), F.contains(exe, F.lit(".app/"))
-    named = F.when(~where.isin("system", "tool") & ~(where.isin(*UNLESS_BUNDLED) & inside), where)
-    hidden = F.when(exe.rlike(r"/\.[^/]*$"), "a hidden file").when(exe.rlike(r"/\.[^/]+/"), "a hidden folder")
-    return F.when(~F.contains(exe, F.lit("/AppTranslocation/")) & ~is_tool(exe), F.coalesce(named, hidden))
+    return _once(place(exe), lambda where: _odd(exe, where))
 
 
 def assess(exe: Column, status: Column) -> Column:
     """flags, risk (see RISK) and the place's reason, from place and signature."""
-    lookup = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    odd = odd_place(exe)
-    kind = F.when(odd.isNotNull(), "odd").when(is_tool(exe), "tool").otherwise("plain")
-    signed = F.coalesce(F.try_element_at(lookup(SIGNATURES), F.coalesce(status, F.lit(""))), F.lit("unknown"))
-    risk = F.try_element_at(lookup({f"{k} {s}": n for k, row in RISK.items() for s, n in row.items()}), F.concat_ws(" ", kind, signed))
-    flag = F.when(signed == "invalid", "invalid_signature").when(signed.isin("unsigned", "adhoc"), signed)
-    return F.struct(F.array_compact(F.array(F.when(kind == "odd", "odd_path"), flag)).alias("flags"), risk.alias("risk"), odd.alias("place"))
+    signed = F.coalesce(_lookup(SIGNATURES, F.coalesce(status, F.lit(""))), F.lit("unknown"))
+    kind = lambda x: F.when(x["odd"].isNotNull(), "odd").when(x["where"] == "tool", "tool").otherwise("plain")
+    flag = lambda x: F.when(x["signed"] == "invalid", "invalid_signature").when(x["signed"].isin("unsigned", "adhoc"), x["signed"])
+    risks = {f"{k} {s}": n for k, row in RISK.items() for s, n in row.items()}
+
+    def said(x: Column) -> Column:
+        flags = F.array_compact(F.array(F.when(x["odd"].isNotNull(), "odd_path"), flag(x)))
+        return F.struct(flags.alias("flags"), _lookup(risks, F.concat_ws(" ", kind(x), x["signed"])).alias("risk"), x["odd"].alias("place"))
+
+    return _once(_once(F.struct(place(exe).alias("where"), signed.alias("signed")), lambda x: F.struct(x["where"].alias("where"), x["signed"].alias("signed"), _odd(exe, x["where"]).alias("odd"))), said)
 
 
 def _starts(text: Column, beginnings: tuple[str, ...]) -> Column:

@@ -5,11 +5,15 @@ Sockets have pid, proto, local_ip, local_port, remote_ip, remote_port, listening
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import host, ip
 
+from . import joins
+
 #: Ports on which every host announces itself; listeners there do not count as exposed.
 DISCOVERY_PORTS = (5353, 1900, 5355)
 #: Tags of outside scans that speak of control servers: fixed values.
@@ -29,15 +33,13 @@ def _assessed(sockets: DataFrame) -> DataFrame:
 def connections(sockets: DataFrame, remotes: DataFrame, alerts: DataFrame, intel: DataFrame, tags: DataFrame, with_local: bool = False) -> DataFrame:
     """Connected sockets with what is known of the other end: name and country, alerts, intelligence, outside tags; flags, risk.
 
-    remotes: remote_ip, remote_host, country; alerts: ip, n, worst, beacon, c2 (see live.alert_index); intel: ip, category;
-    tags: ip, tag. Each is keyed by address, so that the star is a chain of equi-joins.
+    remotes: remote_ip, remote_host, country; alerts: ip, n, worst, beacon, c2 (see live.alert_index), both a row for each
+    address; intel: ip, category; tags: ip, tag. What is known of an address is put together first, so that sockets meet
+    it in one join: a broadcast where it is measured to be small, else a shuffle in which a busy remote can be split.
     """
     rows = _assessed(sockets.filter("not listening and remote_ip <> ''")).withColumn("scope", host.scope(F.col("remote_ip")))
     rows = rows if with_local else rows.filter("scope <> 'loopback'")
-    infra = tags.filter(F.lower("tag").isin(*CONTROL_TAGS)).select(F.col("ip").alias("remote_ip")).distinct().withColumn("_infra", F.lit(True))
-    rows = rows.join(remotes.select("remote_ip", "remote_host", "country"), "remote_ip", "left")
-    rows = rows.join(alerts.withColumnRenamed("ip", "remote_ip"), "remote_ip", "left").join(infra, "remote_ip", "left")
-    rows = rows.join(intel.groupBy(F.col("ip").alias("remote_ip")).agg(F.min("category").alias("intel")), "remote_ip", "left")
+    rows = rows.join(joins.sized(_known(remotes, alerts, intel, tags)), "remote_ip", "left").select("*", "_named.*", "_alerted.*").drop("_named", "_alerted")
     beacon, c2, infra_ = (F.coalesce(c, F.lit(False)) for c in ("beacon", "c2", "_infra"))
     known = F.col("intel").isNotNull() & ip.is_global(F.col("remote_ip"))
     flags = F.concat("flags", F.array_compact(F.array(F.when(known, "intel"), F.when(beacon, "beacon"), F.when(c2, "c2"), F.when(infra_, "c2_infra"))))
@@ -46,6 +48,18 @@ def connections(sockets: DataFrame, remotes: DataFrame, alerts: DataFrame, intel
     return rows.select(*(c for c in sockets.columns), "scope", "remote_host", "country", F.when(known, F.col("intel")).alias("intel"), F.coalesce("n", F.lit(0)).alias("alerts"), "worst", flags.alias("flags"), risk.alias("risk"))
 
 
+def _known(remotes: DataFrame, alerts: DataFrame, intel: DataFrame, tags: DataFrame) -> DataFrame:
+    """remote_ip and what is known of it, in one aggregation of all that says something of an address."""
+    said = [
+        remotes.select("remote_ip", F.struct("remote_host", "country").alias("_named")),
+        alerts.select(F.col("ip").alias("remote_ip"), F.struct("n", "worst", "beacon", "c2").alias("_alerted")),
+        intel.select(F.col("ip").alias("remote_ip"), F.col("category").alias("intel")),
+        tags.filter(F.lower("tag").isin(*CONTROL_TAGS)).select(F.col("ip").alias("remote_ip"), F.lit(True).alias("_infra")),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), said).filter("remote_ip is not null")
+    return every.groupBy("remote_ip").agg(F.max("_named").alias("_named"), F.max("_alerted").alias("_alerted"), F.min("intel").alias("intel"), F.max("_infra").alias("_infra"))
+
+
 def listeners(sockets: DataFrame) -> DataFrame:
     """Listening services, one for each program, protocol and port however many addresses, with the widest exposure."""
     rows = _assessed(sockets.filter("listening")).withColumn("_rank", host.exposure_rank(host.exposure(F.col("local_ip"))))

@@ -79,10 +79,10 @@ def without_duplicates(alerts: DataFrame, window: int = 60_000_000, order: str =
     """alerts.without_duplicates() on a stream: an alert leaves when its window is over, with what was dropped for it. Late
     alerts leave at once, marked late, without a count."""
     kind = alerts.schema
-    rows = alerts.select(dedup_key().alias("_key"), "ts_us", F.col(order).alias("_name"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in alerts.columns))).alias("_row"))
-    said = stateful.fold(rows, ["_key"], ["ts_us", "_name", "_row"], ["ts_us", "_row"], folds.duplicates(window), "_said", "struct<first:string,duplicate_count:long>", late)
-    row = F.from_json(F.when(F.col("late"), F.col("_row")).otherwise(F.col("_said.first")), kind)
-    return said.select(row.alias("_row"), F.col("_said.duplicate_count").alias("duplicate_count"), "late").select("_row.*", "duplicate_count", "late")
+    rows = alerts.select(dedup_key().alias("dedup_key"), "ts_us", F.col(order).alias("alert_name"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in alerts.columns))).alias("alert_row"))
+    said = stateful.fold(rows, ["dedup_key"], ["ts_us", "alert_name", "alert_row"], ["ts_us", "alert_row"], folds.duplicates(window), "told", "struct<first:string,duplicate_count:long>", late)
+    row = F.from_json(F.when(F.col("late"), F.col("alert_row")).otherwise(F.col("told.first")), kind)
+    return said.select(row.alias("x"), "told.duplicate_count", "late").select("x.*", "duplicate_count", "late")
 
 
 def correlated(alerts: DataFrame, least: int = 3, window: int = 120_000_000, cooldown: int = 120_000_000, least_severity: int = 2, late: str = "10 minutes") -> DataFrame:

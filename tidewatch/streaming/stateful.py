@@ -96,7 +96,7 @@ def fold(rows: DataFrame, by: list[str], order: list[str], inputs: list[str], st
 
     The first of order is the time of an event in microseconds. Rows that come when the watermark, `late` behind the
     greatest time seen, has passed them have late true and a null out; so have rows without a time. Null keys are a key; a key
-    must not be a struct.
+    must not be a struct, and no name may begin with an underscore.
     The last word of a state that goes for being idle (see end()) comes with the last row of its key. Keys and columns
     come in the order: by, the others, out, late.
     """
