@@ -7,6 +7,8 @@ shuffle, which is on the detector's own key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,13 +140,26 @@ def first_contacts(packets: DataFrame, by: list[str]) -> DataFrame:
     return packets.groupBy(*by).agg(F.min(F.struct("ts_us", "seq")).alias("x")).select(*by, "x.ts_us", "x.seq")
 
 
-def quic_sessions(packets: DataFrame) -> DataFrame:
+def quic_sessions(packets: DataFrame, greetings: DataFrame | None = None) -> DataFrame:
     """The first greeting of each source by QUIC, by name or else by place: src_ip, target, ts_us, seq.
 
-    packets are those of sources.dissect; what servers send first (from port 443) is no greeting.
+    packets are those of sources.dissect; what servers send first (from port 443) is no greeting. Names are those of
+    greetings, as sources.quic gives them, by the ends of the connection; without them all targets are places.
     """
+    ends = ["src_ip", "src_port", "dst_ip", "dst_port"]
     rows = packets.filter((F.col("quic.packet_type") == "Initial") & (F.coalesce("src_port", F.lit(0)) != 443))
-    return first_contacts(rows.withColumn("target", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))), ["src_ip", "target"])
+    place = F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))
+    if greetings is not None:
+        named = greetings.groupBy(*ends).agg(F.min_by(F.lower("tls.sni"), F.struct("ts_us", "seq")).alias("_sni"))
+        rows = rows.join(named, ends, "left")
+        place = F.coalesce(F.col("_sni"), place)
+    return first_contacts(rows.withColumn("target", place), ["src_ip", "target"])
+
+
+def greeted_names(*greetings: DataFrame) -> DataFrame:
+    """src_ip, dst_ip, ts_us, seq and host: the names of greetings of several protocols, to look them up by."""
+    rows = [g.select("src_ip", "dst_ip", "ts_us", "seq", F.lower("tls.sni").alias("host")) for g in greetings]
+    return reduce(DataFrame.unionByName, rows).filter("host <> ''")
 
 
 def web_upgrades(packets: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import folds
+from tidewatch.operators.intervals import Intervals
 
 from . import dissect
 
@@ -118,8 +119,7 @@ class Pieces:
     """
 
     def __init__(self, wait: int = WAIT, most: int = MOST):
-        self.wait, self.most, self.since, self.done = wait, most, None, False
-        self.parts: list[tuple[int, bytes]] = []  # apart, in order
+        self.wait, self.most, self.since, self.done, self.held = wait, most, None, False, Intervals()
         self.idle = wait + 1
 
     def run(self, at, offsets, pieces) -> list:
@@ -127,35 +127,18 @@ class Pieces:
 
     def _on(self, at: int, offset: int, piece: bytes) -> bytes | None:
         if self.since is not None and at - self.since > self.wait:
-            self.since, self.parts, self.done = None, [], False
+            self.since, self.done, self.held = None, False, Intervals()
         if self.since is None:
             self.since = at
         if self.done or not piece or offset + len(piece) > self.most:
             return None
-        for start, held in self.parts:  # what is held already stays; the rest of the piece goes in between
-            stop = start + len(held)
-            if stop <= offset or start >= offset + len(piece):
-                continue
-            if start > offset:
-                self._put(offset, piece[: start - offset])
-            piece, offset = piece[max(stop - offset, 0) :], max(stop, offset)
-        self._put(offset, piece)
-        start, head = self.parts[0] if self.parts else (1, b"")
-        if start or len(head) < 4 or len(head) < 4 + int.from_bytes(head[1:4]):
+        self.held.put(offset, piece)
+        head = self.held.after(0)
+        size = 4 + int.from_bytes(head[1:4])
+        if len(head) < max(size, 4):
             return None
-        self.done, self.parts = True, []
-        return head[: 4 + int.from_bytes(head[1:4])]
-
-    def _put(self, offset: int, piece: bytes) -> None:
-        if not piece:
-            return
-        merged: list[tuple[int, bytes]] = []
-        for start, held in sorted([*self.parts, (offset, piece)]):
-            if merged and merged[-1][0] + len(merged[-1][1]) == start:
-                merged[-1] = (merged[-1][0], merged[-1][1] + held)
-            else:
-                merged.append((start, held))
-        self.parts = merged
+        self.done, self.held = True, Intervals()
+        return head[:size]
 
 
 def _rows(make: Callable[[dict], list[dict]], keep: list[str], names: dict[str, pa.DataType]):
