@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ipaddress
+import itertools
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ip, names
 
@@ -77,6 +82,83 @@ def find(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*(c for c in rows.columns if c != text), F.posexplode(typed).alias("place", "x")).select("*", "x.*").drop("x")
 
 
+#: Kinds of spans in the order in which they claim their places. Expressions read alike in Python, Java and RE2.
+CLAIMS = (
+    ("url", r"\b(?:[Hh][Tt][Tt][Pp][Ss]?|[Ff][Tt][Pp])://[^\s<>\"'`{}|^\\]+"),
+    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("hash", r"\b[0-9A-Fa-f]{32,128}\b"),
+    ("cve", r"\b[Cc][Vv][Ee]-[0-9]{4}-[0-9]{4,7}\b"),
+    ("ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    ("ipv6", r"\b[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{3,34}\b"),
+    ("domain", r"\b(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}\b"),
+)
+#: Kinds of hashes by length.
+HASHES = {32: "md5", 40: "sha1", 64: "sha256"}
+MOST_CLAIMS = 500
+
+
+def _named(kind: str, text: str) -> tuple[str, str] | None:
+    """Kind and value of a claimed span, or nothing where it claims its place only."""
+    if kind == "url":
+        text = text.rstrip(".,;:!?)]")
+        return (kind, text) if len(text.partition("://")[2]) else None
+    if kind == "hash":
+        return (HASHES[len(text)], text.lower()) if len(text) in HASHES else None
+    if kind == "email":
+        local, _, host = text.rpartition("@")
+        return kind, f"{local}@{host.lower()}"
+    if kind == "ipv4":
+        return (kind, ".".join(str(int(x)) for x in text.split("."))) if max(map(int, text.split("."))) < 256 else None
+    if kind == "ipv6":
+        try:
+            return kind, ipaddress.IPv6Address(text).compressed
+        except ValueError:
+            return None
+    return (kind, text.upper()) if kind == "cve" else (kind, text.lower())
+
+
+def claimed(text: str, most: int = MOST_CLAIMS) -> list[dict]:
+    """place, kind and value of the distinct indicators of a text, by place."""
+    taken, found = bytearray(len(text)), []
+    for kind, pattern in _PATTERNS:
+        for m in pattern.finditer(text):
+            at, end = m.span()
+            if kind == "domain" and m[0].rpartition(".")[2].lower() in NOT_ZONES:
+                continue
+            if not any(taken[at:end]):
+                taken[at:end] = b"\1" * (end - at)
+                if named := _named(kind, m[0]):
+                    found.append((at, *named))
+    first: dict[tuple[str, str], int] = {}
+    for at, kind, value in sorted(found):
+        first.setdefault((kind, value), at)
+    return [{"place": at, "kind": kind, "value": value} for (kind, value), at in itertools.islice(first.items(), most)]
+
+
+_PATTERNS = [(kind, re.compile(pattern, re.ASCII)) for kind, pattern in CLAIMS]
+
+
+def claims(rows: DataFrame, text: str = "text", most: int = MOST_CLAIMS) -> DataFrame:
+    """rows without the text, one row per distinct indicator of it: place (of its first character), kind, value.
+
+    The text is unmasked first. Spans of all kinds are found in the whole text; in the order of CLAIMS each takes its place
+    unless a part of it is taken, so that a domain inside a URL, or an address inside a longer number, is none of its own.
+    Spans that turn out to be no indicator still hold their place; names of files hold none. Of equal indicators the
+    first counts, and of all the first `most` by place: a parameter, as readers take so many. Null texts have none.
+    """
+    columns = [c for c in rows.columns if c != text]
+    schema = T.StructType([*(rows.schema[c] for c in columns), T.StructField("place", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [claimed(t, most) if t else [] for t in b.column("_text").to_pylist()]
+            place = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            new = [pa.array([x[n] for f in found for x in f], k) for n, k in (("place", pa.int32()), ("kind", pa.string()), ("value", pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(place) for c in columns), *new], names=[*columns, "place", "kind", "value"])
+
+    return rows.select(*columns, refang(F.col(text)).alias("_text")).mapInArrow(run, schema)
+
+
 BRANDS = ("paypal", "google", "amazon", "microsoft", "apple", "netflix", "facebook", "instagram", "linkedin", "dropbox", "github", "spotify")
 _LIKE = ("013$@", "olesa")
 

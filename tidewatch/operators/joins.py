@@ -6,6 +6,10 @@ Dimensions are broadcast only where Spark's own size check or a stated bound say
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +111,45 @@ def in_range(rows: DataFrame, value: Column, ranges: DataFrame, lo: str, hi: str
     return met.withColumn("_hit", hit).select(*(with_value[c] for c in rows.columns), *(F.col(f"_hit.{c}").alias(c) for c in keep))
 
 
+def covered(ranges: DataFrame, lo: str, hi: str) -> DataFrame:
+    """ranges with cidr, a row for each network of the least set that covers a range of addresses exactly, and width, the
+    number of its addresses as a text that sorts. A range has 254 networks at most. What is no range (ends of two
+    versions, or none, or the wrong way round) has none."""
+    columns = [c for c in ranges.columns if c not in ("cidr", "width")]
+    schema = T.StructType([*(ranges.schema[c] for c in columns), T.StructField("cidr", T.StringType()), T.StructField("width", T.StringType())])
+
+    def networks(a: str | None, b: str | None) -> tuple[list[str], int]:
+        try:
+            first, last = ipaddress.ip_address((a or "").strip()), ipaddress.ip_address((b or "").strip())
+            return [str(n) for n in ipaddress.summarize_address_range(first, last)], int(last) - int(first) + 1
+        except (TypeError, ValueError):
+            return [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [networks(*x) for x in zip(b.column(lo).to_pylist(), b.column(hi).to_pylist(), strict=True)]
+            place = pa.array([i for i, (nets, _) in enumerate(found) for _ in nets], pa.int64())
+            cidr, width = pa.array([n for nets, _ in found for n in nets], pa.string()), pa.array([f"{w:033x}" for nets, w in found for _ in nets], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(place) for c in columns), cidr, width], names=[*columns, "cidr", "width"])
+
+    return ranges.select(*columns).mapInArrow(run, schema)
+
+
+def in_address_range(rows: DataFrame, address: str, ranges: DataFrame, lo: str, hi: str, keep: list[str]) -> DataFrame:
+    """rows with the columns `keep` of the narrowest range lo..hi (texts of IPv4 or IPv6, both inclusive) that holds the
+    address, or null; of equally narrow ones the least by keep counts.
+
+    Ranges become the networks that cover them. A network is given the narrowest of all ranges that cover it, whichever
+    network of theirs does, so that the longest network that holds an address has the answer; no address meets a range.
+    """
+    best = F.struct("width", *keep)
+    nets = covered(ranges, lo, hi).withColumn("_key", ip.network_bits(F.col("cidr"))).filter("_key is not null").groupBy("_key").agg(F.min("cidr").alias("cidr"), F.min(best).alias("_own"))
+    above = nets.select("_key", F.explode(F.transform(F.sequence(F.lit(1), F.length("_key")), lambda n: F.substr("_key", F.lit(1), n))).alias("_above"))
+    narrowest = above.join(nets.select(F.col("_key").alias("_above"), "_own"), "_above").groupBy("_key").agg(F.min("_own").alias("_best"))
+    answers = nets.select("_key", "cidr").join(narrowest, "_key").select("cidr", *(F.col(f"_best.{c}").alias(c) for c in keep))
+    return longest_prefix(rows, address, answers, keep)
+
+
 def with_parent(rows: DataFrame, key: str, dim: DataFrame, dim_key: str, keep: list[str], sep: str = ".") -> DataFrame:
     """rows with the columns `keep` of the dimension's entry, or of the entry of the key up to the first sep."""
     own, up = (dim.select(F.col(dim_key).alias(k), F.struct(*keep).alias(v)) for k, v in (("_own_key", "_own"), ("_up_key", "_up")))

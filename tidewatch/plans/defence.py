@@ -254,6 +254,22 @@ def notices(spark, sf_dir):
     return sinks.notices(views.alerts(spark, sf_dir), 6 * HOUR)
 
 
+@query(f"""
+WITH RECURSIVE {PACKETS_SQL},
+p AS (SELECT src_ip AS client, ts_us, seq, 'n' || substr(md5(seq::VARCHAR), 1, (bytes % 14)::INT) AS first, 'd' || dst_port || '.net' AS domain FROM packets),
+q AS (SELECT *, (SELECT count(DISTINCT b.domain) FROM p b WHERE b.client = a.client AND b.ts_us >= a.ts_us - {4 * DAY} AND (b.ts_us, b.seq) <= (a.ts_us, a.seq)) AS d FROM p a),
+e AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY ts_us, seq) AS n FROM q WHERE d >= 3),
+f AS (SELECT client, ts_us, seq, d, n FROM e WHERE n = 1
+      UNION ALL SELECT x.client, x.ts_us, x.seq, x.d, x.n FROM (SELECT e.*, row_number() OVER (PARTITION BY e.client ORDER BY e.n) AS k FROM f JOIN e ON e.client = f.client AND e.n > f.n AND e.ts_us - f.ts_us > {5 * DAY}) x WHERE x.k = 1)
+SELECT f.client, f.ts_us, f.seq, f.d::INT AS distinct, CASE WHEN avg(length(first)) >= 10 AND avg((SELECT -sum(c / length(first) * log2(c / length(first))) FROM (SELECT count(*) AS c FROM (SELECT unnest(string_split(first, '')) AS ch) GROUP BY ch))) >= 3 THEN 3 ELSE 2 END AS severity
+FROM f JOIN p ON p.client = f.client AND p.ts_us >= f.ts_us - {4 * DAY} AND (p.ts_us, p.seq) <= (f.ts_us, f.seq) GROUP BY f.client, f.ts_us, f.seq, f.d""")
+def dns_bursts(spark, sf_dir):
+    p = views.packets(spark, sf_dir)
+    first = F.concat(F.lit("n"), F.substr(F.md5(F.col("seq").cast("string").cast("binary")), F.lit(1), (F.col("bytes") % 14).cast("int")))
+    name = F.concat(first, F.lit(".d"), F.col("dst_port").cast("string"), F.lit(".net"))
+    return intel.dns_bursts(p.select(F.col("src_ip").alias("client"), name.alias("name"), "ts_us", "seq"), 3, 4 * DAY, 5 * DAY)
+
+
 @query(f"WITH {ALERTS_SQL}, now AS (SELECT max(ts_us) AS t FROM alerts) SELECT alert_id, ts_us FROM alerts, now WHERE ts_us >= t - {7 * DAY}")
 def retention(spark, sf_dir):
     a = views.alerts(spark, sf_dir)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidewatch.functions import indicators, ip, names
 from tidewatch.operators import alerts, detectors, flows, joins
 
-from . import rules, views
+from tidewatch.sources import dissect
+
+from . import builtin, rules, views
 from .views import ALERTS_SQL, HOUR, MINUTE, PACKETS_SQL, SEGMENTS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,6 +313,32 @@ def geo_range(spark, sf_dir):
     return joins.in_range(rows, (F.col("o_orderkey") * 7919) % 25000, ranges, "lo", "hi", ["country"], bits=9)
 
 
+@query(f"""
+WITH a AS (SELECT o_orderkey, o_orderkey * 7919 % 25000 AS n, o_orderkey % 2 = 0 AS six, o_orderkey % 17 = 0 AS far FROM orders),
+r AS (SELECT n_nationkey * 1000 AS lo, n_nationkey * 1000 + 899 AS hi, n_name AS country FROM nation
+      UNION ALL SELECT n_nationkey * 1000 + 100, n_nationkey * 1000 + 1300, 'wide ' || n_name FROM nation UNION ALL SELECT 0, 25000, 'all' UNION ALL SELECT n_nationkey * 1000 + 5, n_nationkey * 1000 + 5, 'one' FROM nation)
+SELECT o_orderkey, CASE WHEN far THEN CASE WHEN six THEN 'every six' END ELSE arg_min(country, (hi - lo, country)) END AS country FROM a LEFT JOIN r ON n BETWEEN lo AND hi GROUP BY o_orderkey, far, six""")
+def geo_addresses(spark, sf_dir):
+    """Ranges of both versions, of which some lie in others, some overlap, and one is the whole space."""
+
+    def address(n, six):
+        four = F.concat(F.lit("10.7."), F.floor(n / 256).cast("string"), F.lit("."), (n % 256).cast("string"))
+        return F.when(six, F.concat(F.lit("2001:db8::"), F.lower(F.hex(n)))).otherwise(four)
+
+    nation = _table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") * 1000).alias("k"), "n_name")
+    span = lambda lo, hi, name: nation.select((F.col("k") + lo).alias("lo"), (F.col("k") + hi).alias("hi"), name.alias("country"))
+    numbers = span(0, 899, F.col("n_name")).unionByName(span(100, 1300, F.concat(F.lit("wide "), "n_name"))).unionByName(span(5, 5, F.lit("one")))
+    numbers = numbers.unionByName(nation.agg(F.min("k").alias("lo"), (F.max("k") + 1000).alias("hi")).withColumn("country", F.lit("all")))
+    ends = lambda six: numbers.select(address(F.col("lo"), F.lit(six)).alias("lo"), address(F.col("hi"), F.lit(six)).alias("hi"), "country")
+    every = nation.limit(1).select(F.lit("::").alias("lo"), F.lit("ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff").alias("hi"), F.lit("every six").alias("country"))
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 25000).alias("n"))
+    six = F.col("o_orderkey") % 2 == 0
+    place = F.when(F.col("o_orderkey") % 17 == 0, F.when(six, "2001:4860::8888").otherwise("8.8.8.8")).otherwise(address(F.col("n"), six))
+    ranges = ends(False).unionByName(ends(True)).unionByName(every)
+    found = joins.in_address_range(o.select("o_orderkey", place.alias("ip")), "ip", ranges, "lo", "hi", ["country"])
+    return found.select("o_orderkey", "country")
+
+
 _SUPPRESS = (("CRED-1", "10.0.0.0/25"), ("*", "10.0.0.10/31"), ("C2-1", "*"))
 
 
@@ -370,6 +398,77 @@ def likely_control(spark, sf_dir):
     return found.select("app", "remote_ip", "ts_us", "seq", F.array_join("signals", ",").alias("signals"), F.round("confidence", 6).alias("confidence"))
 
 
+def _claims_sql() -> str:
+    """Spans of each kind that no kind before has taken: each starts where the pieces and matches before it end."""
+    steps, before = [], []
+    for kind, pattern in indicators.CLAIMS:
+        p = pattern.replace("'", "''")
+        steps.append(f"""m_{kind} AS (SELECT doc_id, "end" - length(hit) AS start, "end", hit FROM (
+  SELECT doc_id, hit, sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS "end" FROM (
+    SELECT doc_id, unnest(range(len(hits))) AS i, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece FROM (
+      SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces FROM t WHERE regexp_matches(text, '{p}')))){_NO_FILES if kind == "domain" else ""})""")
+        taken = " AND ".join(f'NOT EXISTS (SELECT 1 FROM c_{b} b WHERE b.doc_id = m.doc_id AND b.start < m."end" AND b."end" > m.start)' for b in before) or "true"
+        steps.append(f"c_{kind} AS MATERIALIZED (SELECT * FROM m_{kind} m WHERE {taken})")
+        before.append(kind)
+    return ",\n".join(steps)
+
+
+_NO_FILES = " WHERE lower(split_part(hit, '.', -1)) NOT IN (" + ", ".join(f"'{e}'" for e in indicators.NOT_ZONES) + ")"
+_CLAIMED_TEXT = """concat_ws(' ', text, 'seen at http://h' || doc_id % 50 || '.example.net/a?m=u' || doc_id || '@mail.example.org, CVE-2024-' || (1000 + doc_id % 9000), md5(doc_id::VARCHAR), 'from 10.0.' || doc_id % 300 || '.7 and update.exe')"""
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_CLAIMED_TEXT} AS text FROM documents),
+{_claims_sql()},
+n AS (SELECT doc_id, start, 'url' AS kind, regexp_replace(hit, '[.,;:!?)\\]]+$', '') AS value FROM c_url
+  UNION ALL SELECT doc_id, start, 'email', regexp_replace(hit, '@[^@]*$', '') || '@' || lower(split_part(hit, '@', -1)) FROM c_email
+  UNION ALL SELECT doc_id, start, CASE length(hit) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' ELSE 'sha256' END, lower(hit) FROM c_hash WHERE length(hit) IN (32, 40, 64)
+  UNION ALL SELECT doc_id, start, 'cve', upper(hit) FROM c_cve
+  UNION ALL SELECT doc_id, start, 'ipv4', array_to_string(list_transform(string_split(hit, '.'), lambda x: x::INT::VARCHAR), '.') FROM c_ipv4 WHERE list_max(list_transform(string_split(hit, '.'), lambda x: x::INT)) < 256
+  UNION ALL SELECT doc_id, start, 'domain', lower(hit) FROM c_domain),
+f AS (SELECT doc_id, kind, value, min(start) AS place FROM n WHERE kind <> 'url' OR split_part(value, '://', 2) <> '' GROUP BY doc_id, kind, value)
+SELECT doc_id, place::INTEGER AS place, kind, value FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place, kind, value) <= 500""")
+def claimed_indicators(spark, sf_dir):
+    """The documents' own addresses, and kinds that lie in one another; none of them has an address of the sixth version."""
+    doc = F.col("doc_id").cast("string")
+    number = lambda n: (F.col("doc_id") % n).cast("string")
+    more = F.concat(F.lit("seen at http://h"), number(50), F.lit(".example.net/a?m=u"), doc, F.lit("@mail.example.org, CVE-2024-"), (1000 + F.col("doc_id") % 9000).cast("string"))
+    text = F.concat_ws(" ", "text", more, F.md5(doc.cast("binary")), F.concat(F.lit("from 10.0."), number(300), F.lit(".7 and update.exe")))
+    found = indicators.claims(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    return found.filter("kind <> 'ipv6'")
+
+
+# a rule of each kind of evidence over dissected payloads ------------------------------------------------------------------
+
+_PAYLOAD = {
+    "click": ("GET /.env?s=", " HTTP/1.1\r\nHost: h\r\nUser-Agent: CertUtil URL Agent\r\n\r\n", "tcp", 80),
+    "error": ("PASS secret", "\r\n", "tcp", 21),
+    "purchase": ("stratum {\"method\": \"mining.submit\", \"id\": ", "}", "tcp", 3333),
+    "signup": ("x () { :; }; ping ", "", "tcp", 8000),
+    "view": ("SSH-2.0-x", "\r\n", "tcp", 4444),
+}
+
+
+@query(f"""
+WITH {PACKETS_SQL},
+r AS (SELECT seq, app, src_ip, dst_ip, bytes FROM packets)
+SELECT seq, rule_id FROM (
+  SELECT seq, unnest(CASE app WHEN 'click' THEN ['REQUEST-secret-file', 'HEADER-scripted-fetch'] WHEN 'error' THEN ['LOGIN-ftp'] WHEN 'purchase' THEN ['SPEAKS-stratum'] WHEN 'signup' THEN ['CVE-2014-6271'] ELSE ['SPEAKS-ssh-elsewhere'] END) AS rule_id FROM r WHERE bytes % 4 <> 0
+  UNION ALL SELECT seq, 'OPEN-IN-' || CASE bytes % 3 WHEN 0 THEN 'rdp' WHEN 1 THEN 'redis' ELSE 'ssh' END FROM r WHERE bytes % 4 = 0 AND app IN ('error', 'signup'))""")
+def builtin_hits(spark, sf_dir):
+    """Three of four packets carry a payload by their app; the fourth opens a connection, some of them from outside."""
+    p, case = views.packets(spark, sf_dir), lambda at: F.expr("CASE app " + " ".join(f"WHEN '{k}' THEN {v[at]}" for k, v in _PAYLOAD.items() if at == 3) + " END")
+    part = lambda at: F.element_at(F.create_map(*(F.lit(x) for k, v in _PAYLOAD.items() for x in (k, v[at]))), F.col("app"))
+    opens = F.col("bytes") % 4 == 0
+    payload = F.when(~opens, F.concat(part(0), F.col("bytes").cast("string"), part(1)).cast("binary"))
+    port = F.when(opens, F.element_at(F.array(*map(F.lit, (3389, 6379, 22))), (F.col("bytes") % 3 + 1).cast("int"))).otherwise(case(3))
+    src = F.when(opens & F.col("app").isin("error", "signup"), "8.8.4.4").otherwise("10.0.0.9")
+    rows = p.select("seq", "ts_us", src.alias("src_ip"), F.lit("10.0.0.5").alias("dst_ip"), F.lit("tcp").alias("protocol"), F.lit(50_000).alias("src_port"), port.cast("int").alias("dst_port"), F.when(opens, 2).otherwise(24).alias("tcp_flags"), payload.alias("payload"))
+    seen = dissect.dissected(rows)
+    good, _ = rules.validate([r for r in builtin.RULES if "threshold" not in r], seen.schema)
+    return rules.hits(seen, good).select("seq", "rule_id")
+
+
 # aggregations and searches -----------------------------------------------------------------------------------------------
 
 _TECHNIQUES_SQL = views.rows_sql(views.TECHNIQUES, "t", "technique_id", "name", "tactic", "place")
