@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import host, intel
+from tidewatch.operators import host, intel, lookalikes
 from tidewatch.sinks import alerts as sinks
 
 from . import views
@@ -302,3 +302,25 @@ def page_features(spark, sf_dir):
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", mail.page_features(F.col("html")).alias("p"))
     return pages.select("page_id", "p.scripts", "p.forms", "p.frames", "p.links")
+
+
+_IMITATION = """CASE seq % 7 WHEN 0 THEN b || '.com' WHEN 1 THEN replace(replace(b, 'o', '0'), 'l', '1') || '-login.net' WHEN 2 THEN 'secure.' || substr(b, 1, 2) || substr(b, 4) || '.example.org' WHEN 3 THEN 'www.' || b || '.evil' || bytes % 5 || '.io'
+ WHEN 4 THEN substr(b, 1, 3) || 'x' || substr(b, 4) || '.info' WHEN 5 THEN replace(b, 'm', 'rn') || '_id.shop' ELSE 'host' || bytes % 100 || '.example.net' END"""
+_BRANDS = "[" + ", ".join(f"'{d}'" for d in lookalikes.BRANDS) + "]"
+
+
+@query(f"""
+WITH {PACKETS_SQL},
+h AS (SELECT seq, {_IMITATION} AS host FROM (SELECT seq, bytes, split_part({_BRANDS}[1 + (seq % {len(lookalikes.BRANDS)})::INT], '.', 1) AS b FROM packets)),
+d AS (SELECT unnest({_BRANDS}) AS brand, split_part(unnest({_BRANDS}), '.', 1) AS name),
+w AS (SELECT host, list_filter(string_split_regex(host, '[.\\-_]')[:-2], lambda x: x <> '') AS parts FROM (SELECT DISTINCT host FROM h) WHERE regexp_extract(host, '[^.]+\\.[^.]+$') NOT IN (SELECT brand FROM d)),
+p AS (SELECT host, unnest(parts) AS part FROM w),
+f AS (SELECT host, part, replace(replace(replace(replace(translate(part, '{lookalikes.SINGLE[0]}', '{lookalikes.SINGLE[1]}'), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), 'ii', 'u') AS fold FROM p),
+m AS (SELECT host, min(brand) AS brand FROM f, d WHERE length(name) >= 4 AND (part = name OR fold = name OR (length(part) >= 5 AND levenshtein(part, name) = 1)) GROUP BY host)
+SELECT seq, host, brand FROM h LEFT JOIN m USING (host)""")
+def imitated_brands(spark, sf_dir):
+    """Brands' own names, digits for letters, letters lost or put in, pairs that read as one, and hosts of no brand."""
+    p = views.packets(spark, sf_dir)
+    b = F.substring_index(F.element_at(F.array(*map(F.lit, lookalikes.BRANDS)), (F.col("seq") % len(lookalikes.BRANDS) + 1).cast("int")), ".", 1)
+    host = F.expr(_IMITATION.replace("bytes % 5", "cast(bytes % 5 as string)").replace("bytes % 100", "cast(bytes % 100 as string)"))
+    return lookalikes.imitated(p.select("seq", "bytes", b.alias("b")).select("seq", host.alias("host")), "host")
