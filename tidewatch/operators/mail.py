@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import indicators, ip, names
+from tidewatch.sources import archives
 
 #: Beginnings of files by type: fixed values of those formats.
 MAGIC = (
@@ -86,6 +87,10 @@ def links(parts: DataFrame) -> DataFrame:
     return each.select("mail_id", "link", indicators.unwrap(F.col("link")).alias("url")).select("*", names.host_of(F.col("url")).alias("host"), indicators.link_flags(F.col("link")).alias("flags"))
 
 
+#: Bytes beyond which a member that shrinks to a hundredth is one to fill a disk.
+MOST_UNPACKED = 100 << 20
+
+
 def file_type(content: Column) -> Column:
     """What a file is by its first bytes, or null."""
     head = F.lower(F.hex(F.substring(content, 1, 16)))
@@ -93,20 +98,30 @@ def file_type(content: Column) -> Column:
 
 
 def attachments(parts: DataFrame) -> DataFrame:
-    """Files of each message: name, type by content, digest, and what speaks against them."""
+    """Files of each message: name, type by content, digest, and what speaks against them.
+
+    What is packed in a file is read from its directory (see sources.archives), without unpacking it.
+    """
     end = F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)\s*$", 1))
     kind = file_type(F.col("content"))
     pdf = F.decode("content", "ISO-8859-1")
     found = parts.filter("filename is not null").select("mail_id", "part_id", "filename", "content", "content_type", end.alias("end"), kind.alias("kind"), pdf.alias("_text"))
+    found = archives.with_contents(found)
+    has = lambda test: F.coalesce(F.exists("packed.entries", test), F.lit(False))
+    programs = r"(?i)\.(?:" + "|".join(RUNS) + r")$"
     flags = F.array_compact(
         F.array(
             F.when(F.col("end").isin(*RUNS) | F.col("kind").isin("exe", "elf", "macho", "lnk"), "runs"),
-            F.when(F.col("end").isin(*MACROS), "macros"),
+            F.when(F.col("end").isin(*MACROS) | has(lambda x: x["macros"]), "macros"),
             F.when(F.col("filename").rlike(r"(?i)\.[a-z]{2,4}\.(?:" + "|".join(RUNS) + r")\s*$"), "double_extension"),
             F.when(F.col("filename").rlike(INVISIBLE), "invisible_characters"),
             F.when(F.col("kind").isin("exe", "elf", "macho") & ~F.col("end").isin(*RUNS), "disguised"),
             F.when((F.col("kind") == "pdf") & F.col("_text").rlike(r"/(?:JavaScript|JS|OpenAction|Launch|EmbeddedFile)\b"), "active_pdf"),
-            F.when((F.col("kind") == "zip") & F.col("_text").rlike(r"(?i)\.(?:" + "|".join(RUNS) + r")PK|vbaProject\.bin"), "packed_program"),
+            F.when(has(lambda x: x["name"].rlike(programs)), "packed_program"),
+            F.when(has(lambda x: x["encrypted"]), "encrypted"),
+            F.when(has(lambda x: (x["size"] > MOST_UNPACKED) & (x["size"] > 100 * x["packed"])), "unpacks_to_much"),
+            F.when(has(lambda x: (x["depth"] > 0) | x["name"].rlike(r"(?i)\.(?:" + "|".join(PACKS) + r")$")), "archive_in_archive"),
+            F.when(F.col("packed.broken"), "broken_archive"),
             F.when((F.col("kind") == "rtf") & F.col("_text").rlike(r"(?i)\\objdata|\\objupdate"), "embedded_object"),
             F.when(F.col("end").isin("html", "htm", "svg") & F.col("_text").rlike(r"(?i)<script|atob\("), "script_page"),
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import indicators, ip, names
 from tidewatch.operators import alerts, detectors, flows, joins
 
+from tidewatch.sinks import search
 from tidewatch.sources import dissect
 
 from . import builtin, rules, views
@@ -438,6 +440,17 @@ def claimed_indicators(spark, sf_dir):
     return found.filter("kind <> 'ipv6'")
 
 
+@query(f"""
+WITH {ALERTS_SQL},
+w AS (SELECT *, regexp_extract_all(lower(message), '[A-Za-z0-9_.:\\-]+') AS words FROM alerts)
+SELECT alert_id, ts_us, message FROM w WHERE list_contains(words, 'error') AND regexp_matches(lower(message), '(^| )to 10\\.0\\.1\\.7 port( |$)') AND list_contains(words, '5') AND technique LIKE 'T1110%' ORDER BY ts_us DESC, alert_id DESC LIMIT 1000""")
+def alert_phrases(spark, sf_dir):
+    """The alerts of the table are indexed in the shared folder, and the index is asked."""
+    a, path = views.alerts(spark, sf_dir), f"{views.shared(spark)}/alert-index-{uuid.uuid4().hex}"
+    search.write(a, path, 4)
+    return search.search(a, path, 'error "to 10.0.1.7 port" 5', technique="T1110", parts=4).select("alert_id", "ts_us", "message")
+
+
 # a rule of each kind of evidence over dissected payloads ------------------------------------------------------------------
 
 _PAYLOAD = {

@@ -6,6 +6,8 @@ in props is the port, and the value is the size. The SQL texts below are the sam
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ TARGETS = {
 }
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where Spark runs on this machine
+    alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+    return found.rstrip("/")
+
+
 def _case(column: str, at: int) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v[at]}'" for k, v in TARGETS.items()) + " END"
 
