@@ -18,6 +18,9 @@ a window. The work has four steps, none of which holds more than a bounded piece
    form the repeated intervals. No suffix is sorted twice. Where one seed has more slices than a merge takes, they are
    cut into narrower ones first, with longer seeds, which part them and let equal ones collapse again.
 4. The windows found are joined to their documents by the texts' keys, and the bytes that they cover are removed.
+
+Texts are shuffled only where they have units to be cut or ranges to be removed: a bit map of fixed size tells which
+others have none.
 """
 
 from __future__ import annotations
@@ -329,8 +332,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     places = F.concat(F.array("lo", "hi"), F.coalesce("more", F.array().cast("array<int>")))
     ranges = [sure.select("key", F.explode(_pairs(places)).alias("x")).select("key", "x.lo", "x.hi")]
     picked = common.saved(unsure.groupBy("first.key").agg(F.collect_list(F.struct("first.m", "first.lo", "first.hi", F.col("n").alias("count"))).alias("picked")), "repeat-picked")
-    n = picked.agg(F.coalesce(F.sum(F.size("picked") + 1), F.lit(0))).first()[0]
-    parts = common.saved(cut_slices(common.join_small(texts, picked, ["key"], "inner", n, 64, 96 << 20).select("key", "text", "picked"), length), "repeat-slices")
+    near = common.sieved(texts, picked, "key")[0]
+    parts = common.saved(cut_slices(near.join(picked, "key").select("key", "text", "picked"), length), "repeat-slices")
     ends = _ends(parts, "repeat-slices", ranges)
     crowded = common.saved(ends.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("seed"), "repeat-crowded")
     n_crowded = crowded.count()
@@ -398,10 +401,11 @@ def _joined(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def _with_ranges(docs: DataFrame, found: DataFrame, added: tuple[str, ...]) -> DataFrame:
     """row (docs without the columns added), bytes and the ranges found for its text, or null."""
-    n = found.agg(F.coalesce(F.sum(F.size("ranges") + 6), F.lit(0))).first()[0]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("row", common.text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("bytes"))
-    return common.join_small(rows, found, ["key"], "left", n, 8).select("row", "bytes", "ranges")
+    maybe, never = common.sieved(rows, found, "key")
+    met = maybe.join(found, "key", "left").select("row", "bytes", "ranges")
+    return met.unionByName(never.select("row", "bytes", F.lit(None).cast("array<int>").alias("ranges")))
 
 
 def _wordy(data: bytes, ranges: list[int], least: int) -> list[int]:
@@ -456,7 +460,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = common.saved(repeated_ranges(docs, PASSAGE), "repeat-ranges")
     runs = F.zip_with(F.filter("ranges", lambda x, i: i % 2 == 0), F.filter("ranges", lambda x, i: i % 2 == 1), lambda a, b: b - a)
     maybe = common.saved(short.filter(F.array_max(runs) >= LENGTH).select("key"), "repeat-maybe")
-    some = common.meet(docs.withColumn("key", common.text_key(F.col("text"))), maybe, ["key"], "left_semi", 64).select("text")
+    some = common.sieved(docs.withColumn("key", common.text_key(F.col("text"))), maybe, "key")[0].select("text")
     cut = remove_repeats(docs, LENGTH, common.saved(repeated_ranges(some, LENGTH), "repeat-ranges"))
     digest = cut.select("doc_id", "text", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     passages = remove_repeats(digest.select(*(F.col(c).alias(f"c_{c}") if c.startswith("n_") else F.col(c) for c in digest.columns)), PASSAGE, short, PASSAGE_WORDS)
