@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import indicators, ip, names
-from tidewatch.sources import archives
+from tidewatch.sources import archives, pages
 
 #: Beginnings of files by type: fixed values of those formats.
 MAGIC = (
@@ -79,10 +79,12 @@ def page_features(html: Column) -> Column:
 
 
 def links(parts: DataFrame) -> DataFrame:
-    """Distinct links of each message: url (without forwarding), host, and what speaks against it."""
-    html = F.regexp_extract_all("text", F.lit(_LINK), F.lit(1))
+    """Distinct links of each message: url (without forwarding), host, and what speaks against it. Those of pages are taken
+    from their elements (see sources.pages), others from the text."""
     plain = F.regexp_extract_all("text", F.lit(r"""(?i)(https?://[^\s<>"']+)"""), F.lit(1))
-    each = parts.filter("text is not null").select("mail_id", F.explode(F.when(F.col("content_type") == "text/html", F.concat(html, plain)).otherwise(plain)).alias("link"))
+    said = parts.filter("text is not null").select("mail_id", "content_type", "text")
+    html = pages.with_page(said.filter("content_type = 'text/html'"), "text").select("mail_id", F.explode(F.transform("page.links", lambda x: x["url"])).alias("link"))
+    each = said.select("mail_id", F.explode(plain).alias("link")).unionByName(html)
     each = each.filter(F.lower("link").rlike(r"^(?:https?|ftp|data|javascript):")).distinct()
     return each.select("mail_id", "link", indicators.unwrap(F.col("link")).alias("url")).select("*", names.host_of(F.col("url")).alias("host"), indicators.link_flags(F.col("link")).alias("flags"))
 
@@ -149,12 +151,13 @@ def findings(parts: DataFrame) -> DataFrame:
     )
     out = seen.select("mail_id", F.explode(tests).alias("x")).select("mail_id", "x.*")
     row = lambda df, code, detail: df.select("mail_id", F.lit(code).alias("code"), detail.cast("string").alias("detail"))
-    pages = parts.filter("content_type = 'text/html' and text is not null").select("mail_id", page_features(F.col("text")).alias("p"))
+    html = parts.filter("content_type = 'text/html' and text is not null").select("mail_id", "text")
+    seen_pages = pages.with_page(html, "text").select("mail_id", F.col("page.hidden_chars").alias("hidden"), F.size("page.forms").alias("forms"))
     more = [
         row(links(parts).filter(F.size("flags") > 0), "bad_link", F.col("link")),
         row(attachments(parts).filter(F.size("flags") > 0), "bad_file", F.col("filename")),
-        row(pages.filter("p.hidden > 0"), "hidden_text", F.col("p.hidden")),
-        row(pages.filter("p.forms > 0"), "form", F.col("p.forms")),
+        row(seen_pages.filter("hidden > 0"), "hidden_text", F.col("hidden")),
+        row(seen_pages.filter("forms > 0"), "form", F.col("forms")),
         row(parts.filter(F.size("defects") > 0), "defects", F.array_join("defects", ",")),
         row(hops(parts).filter(F.col("delay_us") > 3_600_000_000), "slow_hop", F.col("by")),
     ]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import host, intel, lookalikes
 from tidewatch.sinks import alerts as sinks
+from tidewatch.sources import pages
 
 from . import views
 from .live import _TAGGED_SQL, tagged
@@ -300,8 +301,21 @@ SELECT page_id, len(regexp_extract_all(html, '(?i)<script\b'))::INT AS scripts,
 def page_features(spark, sf_dir):
     from tidewatch.operators import mail
 
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", mail.page_features(F.col("html")).alias("p"))
-    return pages.select("page_id", "p.scripts", "p.forms", "p.frames", "p.links")
+    found = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", mail.page_features(F.col("html")).alias("p"))
+    return found.select("page_id", "p.scripts", "p.forms", "p.frames", "p.links")
+
+
+@query(r"""
+WITH c AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)>', '\1', 'g') AS seen FROM (SELECT page_id, coalesce(html, '') || '<div style="display: none">under<a href="/hidden">link ' || page_id || '</a></div><!-- <a href="/no"> --><img src="/p.gif" width="1" height="0">' AS html FROM pages)),
+l AS (SELECT page_id, html, seen, regexp_extract_all(seen, '(?is)<[a-z][a-z0-9]*\b[^>]*?\b(?:href|src|action|data)="([^"]+)"', 1) AS urls FROM c)
+SELECT page_id, len(urls)::INT AS links, list_filter(urls, lambda x: x <> '/p.gif')[-1] AS last_link, 'link ' || page_id AS last_text, len(regexp_extract_all(seen, '(?i)<script\b'))::INT AS scripts, 1::INT AS hidden, (5 + length('link ' || page_id))::INT AS hidden_chars, 1::INT AS pixels FROM l""")
+def page_elements(spark, sf_dir):
+    """Pages with a hidden part, a link in it, one in a comment, and a counting image at their ends."""
+    tail = F.concat(F.lit('<div style="display: none">under<a href="/hidden">link '), F.col("page_id").cast("string"), F.lit('</a></div><!-- <a href="/no"> --><img src="/p.gif" width="1" height="0">'))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.coalesce("html", F.lit("")), tail).alias("html"))
+    last = F.element_at(F.filter("page.links", lambda x: x["url"] != "/p.gif"), -1)
+    seen = pages.with_page(rows).withColumn("last", last)
+    return seen.select("page_id", F.size("page.links").alias("links"), F.col("last.url").alias("last_link"), F.col("last.text").alias("last_text"), "page.scripts", "page.hidden", "page.hidden_chars", "page.pixels")
 
 
 _IMITATION = """CASE seq % 7 WHEN 0 THEN b || '.com' WHEN 1 THEN replace(replace(b, 'o', '0'), 'l', '1') || '-login.net' WHEN 2 THEN 'secure.' || substr(b, 1, 2) || substr(b, 4) || '.example.org' WHEN 3 THEN 'www.' || b || '.evil' || bytes % 5 || '.io'
