@@ -132,3 +132,26 @@ def mentions(alerts: DataFrame, addresses: DataFrame) -> DataFrame:
     """(ip, alert_id) for each of addresses (ip) and alert of which it is an end: two equi-joins, each alert once."""
     ends = [alerts.join(addresses.select(F.col("ip").alias(f"{s}_ip")).distinct(), f"{s}_ip").select(F.col(f"{s}_ip").alias("ip"), "alert_id") for s in ("src", "dst")]
     return ends[0].unionByName(ends[1]).distinct()
+
+
+#: How lists of the inspector are ordered, by name: columns, those with a minus from the greatest.
+ORDERS = {
+    "connections": ("-risk", "app", "remote_ip", "remote_port"),
+    "launch_items": ("-risk", "-modified_us", "label"),
+    "listeners": ("-risk", "local_port", "program"),
+    "programs": ("-risk", "-connections", "program"),
+}
+
+
+def ordered(rows: DataFrame, what: str) -> DataFrame:
+    """Rows of the inspector in the order in which they are shown: the riskiest first."""
+    return rows.orderBy(*(F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_last(c) for c in ORDERS[what]))
+
+
+def asked(connected: DataFrame, flagged: bool = False, internet: bool = False, app: str | None = None, most: int = 80) -> DataFrame:
+    """What connections() gave, for a question: only those with flags, or to the Internet, or of apps whose name holds a text
+    in whatever case; the riskiest first, `most` at most."""
+    rows = connected.filter(F.size("flags") > 0) if flagged else connected
+    rows = rows.filter("scope = 'internet'") if internet else rows
+    rows = rows.filter(F.contains(F.lower("app"), F.lit(app.lower()))) if app else rows
+    return ordered(rows, "connections").limit(most)

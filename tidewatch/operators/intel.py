@@ -276,3 +276,28 @@ class _Bursts:
             k = len(self.names)
             out.append(said and {"distinct": said, "entropy": sum(x[1] for x in self.names) / k, "size": sum(x[2] for x in self.names) / k})
         return out
+
+
+def in_traffic(indicators: DataFrame, traffic: DataFrame) -> DataFrame:
+    """indicator, src_ip and host, each once: sources that used a name which an indicator (domain) is, or is a parent of.
+
+    Every parent of a name is met, not only the nearest: one name answers all indicators that it lies under.
+    """
+    seen = traffic.select("src_ip", names.clean(F.col("host")).alias("host")).filter("host <> ''").distinct()
+    wanted = indicators.select(names.clean(F.col("domain")).alias("indicator")).filter("indicator <> ''").distinct()
+    walked = seen.select("src_ip", "host", F.explode(names.suffixes(F.col("host"))).alias("indicator"))
+    return walked.join(joins.sized(wanted), "indicator").select("indicator", "src_ip", "host").distinct()
+
+
+def explained(alerts: DataFrame, explanations: DataFrame) -> DataFrame:
+    """alerts with explanation, the latest that is stored for their id, or null. explanations has alert_id, ts_us, text."""
+    latest = explanations.groupBy("alert_id").agg(F.max_by("text", F.struct("ts_us", "text")).alias("explanation"))
+    return alerts.join(latest, "alert_id", "left")
+
+
+def certificates(*lists: DataFrame) -> DataFrame:
+    """Certificates of several lists (id and what else they have), each id once: the entry of the first list that has it."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (x.withColumn("_no", F.lit(i)) for i, x in enumerate(lists)))
+    columns = [c for c in every.columns if c != "_no"]
+    first = every.groupBy("id").agg(F.min(F.struct("_no", F.struct(*columns).alias("row"))).alias("x"))
+    return first.select("x.row.*")

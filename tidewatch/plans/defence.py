@@ -46,12 +46,19 @@ def _domains(spark):
     return intel.union((spark.createDataFrame(list(_BAD_NAMES), "domain string, category string"), "domain", "malicious", 3))
 
 
-@query(f"""
-WITH {rows_sql(_LOAD_1, "a", "cidr", "category")}, {rows_sql(_LOAD_2, "b", "cidr", "category")},
-u AS (SELECT cidr, category, 3 AS severity, 0 AS no FROM a UNION ALL SELECT cidr, category, 4, 1 FROM b)
-SELECT cidr AS indicator, arg_max(category, no) AS category, arg_max(severity, no) AS severity, '' AS description FROM u GROUP BY cidr""")
+@query("""
+WITH u AS (SELECT lower(trim(' Host' || s_suppkey % 300 || '.Example.NET')) AS indicator, 0 AS no, 'supplier ' || s_nationkey AS category, 3 AS severity, '' AS description FROM supplier
+  UNION ALL SELECT 'host' || c_custkey % 900 || '.example.net', 1, 'customer', 2 + c_nationkey % 3, c_mktsegment FROM customer
+  UNION ALL SELECT 'host' || p_partkey % 50 || '.example.net', 2, 'part', 4, '' FROM part WHERE p_partkey % 2 = 0)
+SELECT indicator, x.category, x.severity::INT AS severity, x.description FROM (SELECT indicator, max({'no': no, 'category': category, 'severity': severity, 'description': description}) AS x FROM u GROUP BY indicator)""")
 def intel_union(spark, sf_dir):
-    return _addresses(spark)
+    """Three loads whose indicators come again, within a load and in later ones."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    name = lambda key, n, form: F.format_string(form, (F.col(key) % n).cast("long"))
+    one = read("supplier").select(name("s_suppkey", 300, " Host%d.Example.NET").alias("host"), F.concat(F.lit("supplier "), F.col("s_nationkey").cast("string")).alias("category"))
+    two = read("customer").select(name("c_custkey", 900, "host%d.example.net").alias("host"), (2 + F.col("c_nationkey") % 3).alias("severity"), F.col("c_mktsegment").alias("description"))
+    three = read("part").filter("p_partkey % 2 = 0").select(name("p_partkey", 50, "host%d.example.net").alias("host"))
+    return intel.union((one, "host", "malicious", 3), (two, "host", "customer", 1), (three, "host", "part", 4))
 
 
 @query(f"""
@@ -292,6 +299,18 @@ def evidence(spark, sf_dir):
     return sinks.keep_evidence(d).select("sha256", "size", "first_us")
 
 
+@query(f"""
+WITH {_SEEN_SQL},
+n AS (SELECT DISTINCT src_ip, lower(coalesce(query_name, sni)) AS host FROM seen WHERE coalesce(query_name, sni) IS NOT NULL),
+i AS (SELECT DISTINCT CASE WHEN dst_port % 2 = 0 THEN 'h' || dst_port % 10 || '.example.net' WHEN dst_port % 3 = 0 THEN 'example.net' ELSE 'none' || dst_port || '.org' END AS domain FROM packets)
+SELECT domain AS indicator, src_ip, host FROM i JOIN n ON host = domain OR ends_with(host, '.' || domain)""")
+def indicators_in_traffic(spark, sf_dir):
+    p = views.packets(spark, sf_dir)
+    wanted = p.select(F.expr("CASE WHEN dst_port % 2 = 0 THEN concat('h', dst_port % 10, '.example.net') WHEN dst_port % 3 = 0 THEN 'example.net' ELSE concat('none', dst_port, '.org') END").alias("domain"))
+    s = _seen(spark, sf_dir).select("src_ip", F.lower(F.coalesce("query_name", "sni")).alias("host"))
+    return intel.in_traffic(wanted, s)
+
+
 # mail and pages ------------------------------------------------------------------------------------------------------------
 
 

@@ -187,14 +187,23 @@ def risky_programs(spark, sf_dir):
     return detectors.risky_programs(p).select("exe", "ts_us", "seq", "risk")
 
 
-_ITEMS = (("a", "/tmp/x", "unsigned", 3), ("b", "/Applications/A.app/a", "developer_id", 2), ("c", "/usr/bin/cron", "apple", 1), ("d", "/gone/x", "adhoc", 5))
+_PLACES = ("/tmp/x", "/Applications/A.app/a", "/usr/bin/cron", "/gone/x", "/Users/u/Downloads/y")
+_SIGNED = ("unsigned", "developer_id", "apple", "adhoc", "invalid")
 
 
-@query("""
-SELECT * FROM (VALUES ('a', 'odd_path,unsigned', 3), ('b', '', 0), ('c', 'missing_program', 0), ('d', 'adhoc,missing_program', 1)) t(label, flags, risk)""")
+@query(f"""
+WITH i AS (SELECT o_orderkey, {list(_PLACES)}[1 + o_orderkey % 5] || o_orderkey % 700 AS path, {list(_SIGNED)}[1 + o_orderkey // 5 % 5] AS status, o_custkey AS modified_us, o_orderkey % 5 IN (0, 4) AS odd FROM orders),
+f AS (SELECT DISTINCT path FROM i WHERE o_orderkey % 700 % 3 <> 0),
+r AS (SELECT *, CASE WHEN status = 'invalid' THEN 3 WHEN odd THEN CASE WHEN status IN ('unsigned', 'adhoc') THEN 3 ELSE 1 END WHEN status IN ('unsigned', 'adhoc') THEN 1 ELSE 0 END AS risk FROM i)
+SELECT 'l' || o_orderkey AS label, array_to_string(list_concat(list_concat(CASE WHEN odd THEN ['odd_path'] ELSE [] END, CASE status WHEN 'invalid' THEN ['invalid_signature'] WHEN 'unsigned' THEN ['unsigned'] WHEN 'adhoc' THEN ['adhoc'] ELSE [] END), CASE WHEN f.path IS NULL THEN ['missing_program'] ELSE [] END), ',') AS flags, risk
+FROM r LEFT JOIN f ON f.path = r.path""")
 def launch_items(spark, sf_dir):
-    items = spark.createDataFrame(list(_ITEMS), "label string, path string, status string, modified_us long")
-    files = spark.createDataFrame([("/tmp/x",), ("/Applications/A.app/a",)], "path string")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n % 5 + 1).cast("int"))
+    key = F.col("o_orderkey").cast("long")
+    path = F.concat(pick(_PLACES, key), (key % 700).cast("string"))
+    items = o.select(F.concat(F.lit("l"), key.cast("string")).alias("label"), path.alias("path"), pick(_SIGNED, F.floor(key / 5)).alias("status"), F.col("o_custkey").alias("modified_us"))
+    files = o.filter("o_orderkey % 700 % 3 <> 0").select(path.alias("path"))
     return host.launch_items(items, files).select("label", F.array_join("flags", ",").alias("flags"), "risk")
 
 
