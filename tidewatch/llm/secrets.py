@@ -49,7 +49,9 @@ RULES = BASE + MORE
 def postings(docs: DataFrame, grams: list[str] | None = None) -> DataFrame:
     """gram and key: which texts hold which trigrams, in lower case, each once; of all trigrams, or of the given ones.
 
-    A null text counts as empty and has none. The text is brought to lower case once, and each gram sought in that.
+    A null text counts as empty and has none, and a text of fewer than three characters has none either. Repeated rows
+    give their postings again, under one key. Long texts are read whole. Other columns of docs are ignored, whatever their
+    names. An empty table has no postings. The text is brought to lower case once, and each gram sought in that.
     """
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     if grams is None:
@@ -62,7 +64,8 @@ def postings(docs: DataFrame, grams: list[str] | None = None) -> DataFrame:
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """key and kinds: the rules whose trigram query a text meets, by the postings of an index that holds their trigrams.
 
-    Rules without mandatory trigrams have no part in it. Repeated postings count once.
+    Rules without mandatory trigrams have no part in it. Repeated postings count once; nulls meet nothing; other columns
+    are ignored. Of an empty index, or of rules that all lack trigrams, there are no rows.
     """
     spark = index.sparkSession
     clauses = [(r.kind, no, g, len(c)) for r in rules for no, c in enumerate(trigrams.query(r.pattern)) for g in sorted(c)]

@@ -101,7 +101,11 @@ def limits(histogram: DataFrame) -> DataFrame:
 
 
 def tokens_kept_at(limit_rows: DataFrame, limit: int) -> DataFrame:
-    """tokens_kept for a limit that need not occur as a length, from the rows of limits()."""
+    """tokens_kept for a limit that need not occur as a length, from the rows of limits().
+
+    One row, also of an empty table: 0. Null and empty texts count with the length that the histogram gives them, repeated
+    documents each, and long ones with their whole length; other columns are ignored.
+    """
     at = limit_rows.filter(F.col("context_limit") <= limit).agg(F.max_by(F.struct("tokens_kept", "context_limit", "docs_over"), "context_limit").alias("x"), F.count(F.lit(1)).alias("n"))
     docs = limit_rows.agg(F.sum("n_docs").alias("docs"))
     return at.crossJoin(F.broadcast(docs)).select(  # one row each
@@ -110,7 +114,11 @@ def tokens_kept_at(limit_rows: DataFrame, limit: int) -> DataFrame:
 
 
 def quantile(limit_rows: DataFrame, q: float) -> DataFrame:
-    """The least length that at least a share q of the documents do not exceed (q > 0)."""
+    """The least length that at least a share q of the documents do not exceed (q > 0), from the rows of limits().
+
+    One row; null for an empty table. Documents of one length are ties and count each, so that the result is a length that
+    occurs. Null and empty texts count with the length that the histogram gives them.
+    """
     return limit_rows.filter(F.col("rank_to") >= F.ceil(F.lit(q) * (F.col("rank_to") + F.col("docs_over")))).agg(F.min("context_limit").alias("n_tokens"))
 
 
