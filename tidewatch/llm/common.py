@@ -70,8 +70,8 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes:
     return join_small(left, right, on, how, right.count(), row_bytes, most_bytes)
 
 
-#: A sieve has 2 ** SIEVE bits, 16 MB in rows of 4 KB, whatever it is made of.
-SIEVE = 27
+#: A sieve has 2 ** SIEVE bits, 4 MB in rows of 4 KB, whatever it is made of.
+SIEVE = 25
 
 
 def sieved(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

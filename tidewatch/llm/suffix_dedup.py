@@ -20,7 +20,7 @@ a window. The work has four steps, none of which holds more than a bounded piece
 4. The windows found are joined to their documents by the texts' keys, and the bytes that they cover are removed.
 
 Texts are shuffled only where they have units to be cut or ranges to be removed: a bit map of fixed size tells which
-others have none.
+others have none. They meet these as they come, without being sorted.
 """
 
 from __future__ import annotations
@@ -333,7 +333,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ranges = [sure.select("key", F.explode(_pairs(places)).alias("x")).select("key", "x.lo", "x.hi")]
     picked = common.saved(unsure.groupBy("first.key").agg(F.collect_list(F.struct("first.m", "first.lo", "first.hi", F.col("n").alias("count"))).alias("picked")), "repeat-picked")
     near = common.sieved(texts, picked, "key")[0]
-    parts = common.saved(cut_slices(near.join(picked, "key").select("key", "text", "picked"), length), "repeat-slices")
+    parts = common.saved(cut_slices(near.join(picked.hint("shuffle_hash"), "key").select("key", "text", "picked"), length), "repeat-slices")
     ends = _ends(parts, "repeat-slices", ranges)
     crowded = common.saved(ends.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("seed"), "repeat-crowded")
     n_crowded = crowded.count()
@@ -404,7 +404,7 @@ def _with_ranges(docs: DataFrame, found: DataFrame, added: tuple[str, ...]) -> D
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in added)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("row", common.text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("bytes"))
     maybe, never = common.sieved(rows, found, "key")
-    met = maybe.join(found, "key", "left").select("row", "bytes", "ranges")
+    met = maybe.join(found.hint("shuffle_hash"), "key", "left").select("row", "bytes", "ranges")
     return met.unionByName(never.select("row", "bytes", F.lit(None).cast("array<int>").alias("ranges")))
 
 
