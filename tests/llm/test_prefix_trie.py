@@ -86,7 +86,7 @@ def test_odd_rows(spark):
 
 
 def test_a_long_conversation_and_many_ends(spark):
-    rows = [(5, i, "user", f"t{i % 3}") for i in range(3000)] + [(c, 0, "user", "t0") for c in range(100, 9000, 2)]
+    rows = [(5, i, "user", f"t{i % 3}") for i in range(150)] + [(c, 0, "user", "t0") for c in range(100, 9000, 2)]
     assert built(spark, rows, members=50) == plain(rows, 1, 20)
 
 
