@@ -70,24 +70,6 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes:
     return join_small(left, right, on, how, right.count(), row_bytes, most_bytes)
 
 
-#: A sieve has 2 ** SIEVE bits, 4 MB in rows of 4 KB, whatever it is made of.
-SIEVE = 25
-
-
-def sieved(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of df whose column may be among that of keys, and the rest, which surely is not.
-
-    A bit map of the keys' hashes goes to every executor, so that rows with other keys need not be shuffled to find that
-    out. Its size is fixed: with very many keys it lets more rows through, which then meet the keys in a join as any.
-    """
-    place = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << SIEVE)) + 1
-    bits = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    bits, at = F.broadcast(saved(bits, "sieve")), F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = (F.bitmap_bucket_number(place) == F.col("_bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
-    return df.join(bits, hit, "left_semi"), df.join(bits, hit, "left_anti")
-
-
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose texts have about as many bytes as a worker takes at once."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
