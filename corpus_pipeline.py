@@ -44,9 +44,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def power_of_two_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: pieces of documents whose lengths are powers of two, with their token ids.
 
-    Slices are half as large as else, as the executors still hold what the stages before have left in memory.
+    Slices are a quarter as large as else, as the executors still hold what the stages before have left in memory.
     """
-    return packing.pack(docs, slice_bytes=common.SLICE_BYTES // 2)
+    return packing.pack(docs, slice_bytes=common.SLICE_BYTES // 4)
 
 
 STAGES = [
