@@ -106,6 +106,127 @@ class _Anchored:
         return out
 
 
+#: Steps that one task of starts() goes through at a time.
+STEPS = 16
+
+
+def starts(times: DataFrame, by: list[str], pause: int) -> DataFrame:
+    """The starts of anchored windows of length `pause`, where one key may have most of the rows: by and start_us.
+
+    times has by and ts_us, each once or more. A window starts at most once in a step of `pause`, so that STEPS steps
+    are a block that says, for each time from which the next window may start in it, from which time on the first window
+    after it may start: times that come to the same are one piece. Pieces tell where each block begins, one after the
+    other, and blocks are then gone through each by itself.
+    """
+    block = F.expr(f"(ts_us - pmod(ts_us, {pause * STEPS}L)) div {pause * STEPS}L").alias("_block")
+    once = times.filter("ts_us is not null").select(*by, "ts_us").distinct().select(*by, block, "ts_us")
+    keys = [*by, "_block"]
+    schema = T.StructType([*(once.schema[c] for c in keys), T.StructField("_upto", T.LongType()), T.StructField("_onto", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, last, now = None, None, None
+
+        def said() -> pa.RecordBatch:
+            values = [pa.repeat(pa.scalar(k, t), len(now.upto)) for k, t in zip(last, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*values, pa.array(now.upto), pa.array(now.onto)], names=[*keys, "_upto", "_onto"])
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            values = [batch.column(c) for c in keys]
+            kinds = [k.type for k in values]
+            new = np.zeros(n, bool)
+            for k in values:
+                new[1:] |= _turns(k)
+            edges = [0, *np.flatnonzero(new).tolist(), n]
+            at = batch.column("ts_us").to_numpy()
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                key = tuple(k[lo].as_py() for k in values)
+                if now is None or key != last:
+                    if now is not None:
+                        yield said()
+                    last, now = key, _Pieces(key[-1] * STEPS * pause, pause)
+                now.run(at[lo:hi])
+        if now is not None:
+            yield said()
+
+    pieces = once.repartition(*(F.col(c) for c in keys)).sortWithinPartitions(*keys, "ts_us").mapInArrow(run, schema)
+    begun = fold(pieces, by, ["_block", "_upto"], ["_block", "_upto", "_onto"], _Chain, "_from", "long").filter("_from is not null")
+    rows = once.withColumn("_from", F.lit(None).cast("long")).unionByName(begun.select(*keys, F.lit(None).cast("long").alias("ts_us"), "_from"))
+    return fold(rows, keys, ["ts_us"], ["ts_us", "_from"], lambda: _Starts(pause), "start_us", "long").filter("start_us is not null").select(*by, "start_us")
+
+
+def with_start(rows: DataFrame, by: list[str], pause: int, found: DataFrame) -> DataFrame:
+    """rows (by, ts_us and others) with start_us, the start of the window that each is in; found are the starts()."""
+    from .joins import sized
+
+    step = lambda c: F.expr(f"({c} - pmod({c}, {pause}L)) div {pause}L")
+    # a window is in its own step and the next, and no step has two starts
+    near = found.select(*by, step("start_us").alias("_step"), F.col("start_us").alias("_own"), F.lit(None).cast("long").alias("_before"))
+    near = near.unionByName(found.select(*by, (step("start_us") + 1).alias("_step"), F.lit(None).cast("long").alias("_own"), F.col("start_us").alias("_before")))
+    near = near.groupBy(*by, "_step").agg(F.max("_own").alias("_own"), F.max("_before").alias("_before"))
+    met = rows.withColumn("_step", step("ts_us")).join(sized(near), [*by, "_step"])
+    return met.withColumn("start_us", F.when(F.col("ts_us") >= F.col("_own"), F.col("_own")).otherwise(F.col("_before"))).select(*rows.columns, "start_us")
+
+
+class _Pieces:
+    """What a block makes of the times from which its first window may start: up to _upto, the first window after the
+    block may start from _onto."""
+
+    def __init__(self, begin: int, pause: int):
+        self.first, self.pause = begin + pause, pause  # a window that started before the block is over by then
+        self.upto = self.onto = np.array([self.first], np.int64)
+
+    def run(self, at: np.ndarray) -> None:
+        own = at[at < self.first]
+        upto, onto = (np.concatenate([x[:-1], own, x[-1:]]) for x in (self.upto, self.onto))
+        while (due := np.flatnonzero(onto <= at[-1])).size:
+            onto[due] = at[np.searchsorted(at, onto[due])] + self.pause
+            apart = np.append(onto[1:] != onto[:-1], True)
+            apart[-2:] = True  # times may yet come before the last piece
+            upto, onto = upto[apart], onto[apart]
+        self.upto, self.onto = upto, onto
+
+
+class _Chain:
+    """Says with one piece of each block from which time on the block's first window may start."""
+
+    def __init__(self):
+        self.block, self.next, self.told = None, -(1 << 62), False
+        self.since = self.next
+        self.idle = 1 << 62
+
+    def run(self, blocks: Sequence[int], upto: Sequence[int], onto: Sequence[int]) -> list:
+        out: list = []
+        for block, up, to in zip(blocks, upto, onto, strict=True):
+            if block != self.block:
+                self.block, self.since, self.told = block, self.next, False
+            hit = not self.told and up >= self.since
+            out.append(self.since if hit else None)
+            if hit:
+                self.next, self.told = to, True
+        return out
+
+
+class _Starts:
+    """The starts of a block's windows, after a row without a time that says from when on the first may start."""
+
+    def __init__(self, pause: int):
+        self.pause, self.next = pause, 0
+        self.idle = 1 << 62
+
+    def run(self, at: Sequence[int], since: Sequence[int]) -> list:
+        out: list = [None] * len(at)
+        i = 0
+        if at[0] is None:
+            self.next, i = since[0], 1
+        while (i := bisect_left(at, self.next, i)) < len(at):
+            out[i] = at[i]
+            self.next = at[i] + self.pause
+        return out
+
+
 def anchored_distinct(window: int, least: int) -> Callable[[], State]:
     """Windows as anchored(inclusive=True); says the number of distinct values when it first reaches `least` in one."""
     return lambda: _AnchoredDistinct(window, least)

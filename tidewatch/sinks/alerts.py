@@ -103,14 +103,17 @@ def notices(alerts: DataFrame, pause: int = 15_000_000, least: int = 3) -> DataF
     """What a user is told: alerts of severity least and above, put together for `pause` from the first, each time the worst.
 
     start_us, n, severity, alert_id and message of the worst (the latest of equals). Where nothing happens for `pause`,
-    what comes after does not depend on what came before: such stretches of busy time are folded each by itself. Only the
-    times of grave alerts, in steps of `pause` and once each, are put in one order to find them.
+    what comes after does not depend on what came before: such stretches of busy time are folded each by itself, in blocks
+    (see folds.starts). Only times are folded: alerts meet the starts where they are. Only the times of grave alerts, in
+    steps of `pause` and once each, are put in one order to find the stretches.
     """
-    rows = alerts.filter((F.col("severity") >= least) & F.col("ts_us").isNotNull()).select("ts_us", "alert_id", "severity", "message", F.floor(F.col("ts_us") / pause).alias("_step"))
-    steps = rows.select("_step").distinct()
+    rows = alerts.filter((F.col("severity") >= least) & F.col("ts_us").isNotNull()).select("ts_us", "alert_id", "severity", "message")
+    times = rows.select("ts_us").distinct().withColumn("_step", F.expr(f"(ts_us - pmod(ts_us, {pause}L)) div {pause}L"))
+    steps = times.select("_step").distinct()
     fresh = F.coalesce(F.col("_step") - F.lag("_step").over(Window.orderBy("_step")) > 1, F.lit(True))
     stretches = steps.withColumn("_fresh", fresh).withColumn("_stretch", F.sum(F.col("_fresh").cast("long")).over(Window.orderBy("_step"))).drop("_fresh")
-    at = folds.fold(rows.join(stretches, "_step"), ["_stretch"], ["ts_us", "alert_id"], ["ts_us"], folds.anchored(pause), "start_us", "long")
+    found = folds.starts(times.join(stretches, "_step"), ["_stretch"], pause).select("start_us")
+    at = folds.with_start(rows, [], pause, found)
     return at.groupBy("start_us").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("severity", "ts_us", "alert_id", "message")).alias("x")).select("start_us", "n", "x.severity", "x.alert_id", "x.message")
 
 
