@@ -7,6 +7,7 @@ are those of the events, so that a replay gives what the live stream gave.
 from __future__ import annotations
 
 import re
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def likely_control(signals: DataFrame, least: int = 2, window: int = 21_600_000_
     return found.select("app", "remote_ip", "ts_us", "seq", "signals", F.least(F.lit(0.95), 0.5 + 0.15 * n).alias("confidence"))
 
 
-#: Pairs of an app and a remote beyond which those of an app in one cell of time are split.
+#: Remotes that an app met beyond which its pairs are split.
 MOST_PAIRS = 1000
 
 
@@ -86,64 +87,109 @@ def control_pairs(alerts: DataFrame, infra: DataFrame | None = None, least: int
     kinds must not be weak and one must be strong; infra (remote_ip) lists remotes that have c2_infra besides. A pair is
     told of once in a window. Remotes without an app are pairs of their own.
 
-    Meetings are kept once for each pair and cell of time, and signals meet those of their own and the two next cells.
-    Where an app met more than most_pairs remotes in a cell, its pairs are split and its signals copied to each part.
+    In a cell of time, which is as long as the window, a signal of one kind and end counts from its first alert until a
+    window after its last, so that signals are a row for each end, cell and kind. A remote's meet the pairs that met in
+    their own and the two next cells. An app's pairs are judged side by side, by the app's alerts as they are; where it
+    met more than most_pairs remotes, its pairs are split and its alerts copied to each part.
     """
     rows = alerts.select("seq", "ts_us", "app", "remote_ip", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("app_signals", "remote_signals")))
-    rows = rows.filter((F.size("app_signals") > 0) | (F.size("remote_signals") > 0)).withColumn("cell", F.floor(F.col("ts_us") / window))
+    rows = rows.filter(((F.size("app_signals") > 0) | (F.size("remote_signals") > 0)) & F.col("ts_us").isNotNull()).withColumn("cell", F.floor(F.col("ts_us") / window))
+    key = F.when(F.col("app").isNull(), "").otherwise(F.concat(F.lit("+"), "app")).alias("_key")
     met = rows.filter("remote_ip is not null")
-    pairs = met.select("app", "remote_ip", "cell").distinct()
-    around = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
-
-    def signals(side: str) -> DataFrame:
-        """The side's signals, for each pair that met in a cell next to theirs, once."""
-        own = rows.filter((F.size(f"{side}_signals") > 0) & F.col("app" if side == "app" else "remote_ip").isNotNull())
-        key = "app" if side == "app" else "remote_ip"
-        own = own.select(F.col(key).alias("_key"), "cell", "ts_us", "seq", F.col(f"{side}_signals").alias("kinds"))
-        near = pairs.filter(F.col(key).isNotNull()).select("app", "remote_ip", F.col(key).alias("_key"), around.alias("cell")).distinct()
-        crowd = near.groupBy("_key", "cell").agg(F.ceil(F.count(F.lit(1)) / most_pairs).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64("app", "remote_ip"), F.col("parts")).cast("int")
-        near = near.join(crowd, ["_key", "cell"]).withColumn("part", part)
-        own = own.join(crowd, ["_key", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return own.join(near.drop("parts"), ["_key", "cell", "part"]).select("app", "remote_ip", "ts_us", "seq", "kinds", F.lit(side == "app").alias("asks"), F.lit(False).alias("meets"))
-
-    meetings = met.select("app", "remote_ip", "ts_us", "seq", F.lit(None).cast("array<string>").alias("kinds"), F.lit(True).alias("asks"), F.lit(True).alias("meets"))
-    # what an alert says of both ends, and that it is a meeting, is one event of the pair
-    every = signals("app").unionByName(signals("remote")).unionByName(meetings)
-    every = every.groupBy("app", "remote_ip", "ts_us", "seq").agg(F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), F.max("asks").alias("asks"), F.max("meets").alias("meets"))
+    pairs = met.select("app", key, "remote_ip", "cell").distinct()
+    parts = pairs.groupBy("_key").agg(F.ceil(F.count_distinct("remote_ip") / most_pairs).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("remote_ip"), F.col("parts")).cast("int").alias("part")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    columns = {"remote_ip": "string", "kind": "string", "until": "long", "listed": "boolean"}
+
+    def events(df: DataFrame, order: int, to: Column) -> DataFrame:
+        """Rows of one kind for the parts of their app: remotes' or apps' signals (0), meetings (1), what apps say (2)."""
+        own = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+        return df.join(parts, "_key").select("app", to, "ts_us", "seq", F.lit(order).alias("ord"), *own)
+
+    def signals(side: str, end: str) -> DataFrame:
+        """The kinds of a side's signals, once for each end and cell."""
+        own = rows.filter((F.size(side) > 0) & F.col(end).isNotNull()).select(end, "cell", "ts_us", "seq", F.explode(side).alias("kind")).filter("kind is not null")
+        own = own.groupBy(end, "cell", "kind").agg(F.min(F.struct("ts_us", "seq")).alias("x"), (F.max("ts_us") + window).alias("until"))
+        return own.select(end, "cell", "x.ts_us", "x.seq", "kind", "until")
+
+    near = pairs.select("app", "_key", "remote_ip", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")).distinct()
+    meetings = met.select("app", key, "remote_ip", "ts_us", "seq")
     if infra is not None:
-        every = every.join(joins.sized(infra.select("remote_ip", F.lit(True).alias("listed")).distinct()), "remote_ip", "left")
-    listed = F.coalesce("listed", F.lit(False)) if infra is not None else F.lit(False)
-    said = folds.fold(every.withColumn("listed", listed), ["app", "remote_ip"], ["ts_us", "seq"], ["ts_us", "kinds", "asks", "meets", "listed"], lambda: _Pair(least, window, strong, weak), "signals", "array<string>")
-    found = said.filter("signals is not null")
+        meetings = meetings.join(joins.sized(infra.select("remote_ip", F.lit(True).alias("listed")).distinct()), "remote_ip", "left")
+    every = events(signals("remote_signals", "remote_ip").join(near, ["remote_ip", "cell"]), 0, part).unionByName(events(meetings, 1, part))
+    every = every.unionByName(events(signals("app_signals", "app").withColumn("_key", key), 0, each))
+    every = every.unionByName(events(rows.filter((F.size("app_signals") > 0) & F.col("app").isNotNull()).select("app", key, "ts_us", "seq"), 2, each))
+    said = folds.fold(every, ["app", "part"], ["ts_us", "seq", "ord"], ["ts_us", "ord", *columns], lambda: _Pairs(least, window, strong, weak), "found", "array<struct<remote_ip:string,signals:array<string>>>")
+    found = said.filter("found is not null").select("app", "ts_us", "seq", F.inline("found"))
     return found.select("app", "remote_ip", "ts_us", "seq", "signals", F.least(F.lit(0.95), 0.5 + 0.15 * F.size("signals")).alias("confidence"))
 
 
 class _Pair:
-    """What a pair's signals have come to, asked at its meetings and at its app's signals while a meeting is fresh."""
+    """A remote that the app met: until when its signals count, when they met last and when that was told."""
 
-    def __init__(self, least: int, window: int, strong: tuple[str, ...], weak: tuple[str, ...]):
-        self.least, self.window, self.strong, self.weak = least, window, frozenset(strong), frozenset(weak)
-        self.latest: dict[str, int] = {}
+    __slots__ = ("until", "met", "fired", "listed")
+
+    def __init__(self):
+        self.until: dict[str, int] = {}
         self.met: int | None = None
         self.fired: int | None = None
-        self.idle = window + 1
+        self.listed = False
+
 
-    def run(self, at, kinds, asks, meets, listed) -> list:
+class _Pairs:
+    """What the signals of an app and its remotes have come to, asked at meetings and at the app's signals.
+
+    A pair that was not told of when it was asked need not be asked again before something is new of it: a signal, a
+    meeting, or the end of the window since it was told of. So a row costs no more with many pairs.
+    """
+
+    def __init__(self, least: int, window: int, strong: tuple[str, ...], weak: tuple[str, ...]):
+        self.least, self.window, self.strong, self.weak = least, window, frozenset(strong), frozenset(weak)
+        self.until: dict[str, int] = {}
+        self.pairs: dict[str, _Pair] = {}
+        self.due: set[str] = set()
+        self.asleep: deque[tuple[int, str]] = deque()  # all sleep for as long
+        self.idle = 1 << 62
+
+    def run(self, at, orders, remotes, kinds, untils, listed) -> list:
         out: list = []
-        for t, new, ask, meet, infra in zip(at, kinds, asks, meets, listed, strict=True):
-            for k in new:
-                self.latest[k] = t
-            self.met = t if meet else self.met
-            fresh = {k for k, since in self.latest.items() if t - since <= self.window} | ({"c2_infra"} if infra else set())
-            due = ask and self.met is not None and t - self.met <= self.window and (self.fired is None or t - self.fired >= self.window)
-            if not due or len(fresh - self.weak) < self.least or not fresh & self.strong:
-                out.append(None)
+        for t, order, remote, kind, until, infra in zip(at, orders, remotes, kinds, untils, listed, strict=True):
+            said = []
+            if order == 2:
+                while self.asleep and self.asleep[0][0] <= t:
+                    self.due.add(self.asleep.popleft()[1])
+                said = [x for r in self.due if (x := self._ask(t, r))]
+                self.due.clear()
+            elif remote is None:
+                if self.until.get(kind, t - 1) < t:
+                    self.due.update(self.pairs)
+                self.until[kind] = max(self.until.get(kind, until), until)
             else:
-                self.fired = t
-                out.append(sorted(fresh))
+                pair = self.pairs.get(remote)
+                if pair is None:
+                    pair = self.pairs[remote] = _Pair()
+                if order == 0:
+                    pair.until[kind] = max(pair.until.get(kind, until), until)
+                    self.due.add(remote)
+                else:
+                    pair.met, pair.listed = t, pair.listed or bool(infra)
+                    self.due.add(remote)
+                    said = [x] if (x := self._ask(t, remote)) else []
+            out.append(said or None)
         return out
 
+    def _ask(self, t: int, remote: str) -> dict | None:
+        pair = self.pairs[remote]
+        if pair.met is None or t - pair.met > self.window or (pair.fired is not None and t - pair.fired < self.window):
+            return None
+        fresh = {k for held in (self.until, pair.until) for k, end in held.items() if end >= t} | ({"c2_infra"} if pair.listed else set())
+        if len(fresh - self.weak) < self.least or not fresh & self.strong:
+            return None
+        pair.fired = t
+        self.asleep.append((t + self.window, remote))
+        return {"remote_ip": remote, "signals": sorted(fresh)}
+
 
 def with_context(alerts: DataFrame) -> DataFrame:
     """alerts whose context holds what is known of their packet too: a map of texts, with the alert's own entries first.
