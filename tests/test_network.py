@@ -214,3 +214,33 @@ def test_masked_indicators_are_found(spark):
 @pytest.mark.parametrize(("host", "brand"), [("paypa1.com", "paypal"), ("www.arnazon.com", "amazon"), ("paypal.com", None), ("login-gogle.net", "google"), ("example.org", None)])
 def test_imitated_brands(spark, host, brand):
     assert value(spark, indicators.imitated_brand(F.lit(host))) == brand
+
+
+def test_every_edit_of_a_brand_is_found(spark):
+    def edits(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b))
+        long, short = sorted((a, b), key=len, reverse=True)
+        return 1 if any(long[:i] + long[i + 1 :] == short for i in range(len(long))) else 2
+
+    made = [(b, i) for b in indicators.BRANDS for i in range(len(b) + 1)]
+    labels = sorted({x for b, i in made for x in (b, b[:i] + "x" + b[i:], b[:i] + b[i + 1 :], b[:i] + "x" + b[i + 1 :], b[:i] + "xx" + b[i:])})
+    hosts = [None, "", ".", "-.com", *(f"www.{x}.co.uk" for x in labels), *(f"my-{x}.Example." for x in labels), *(f"{x}.my.example" for x in labels)]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").repartition(4)
+    for r in df.select("host", indicators.imitated_brand(F.col("host")).alias("brand")).collect():
+        parts = (r.host or "").rstrip(".").split(".")
+        own = parts[-3 if parts[-2:] == ["co", "uk"] else -2] if len(parts) > 1 else parts[0]
+        near = [b for b in indicators.BRANDS if b != own and any(t == b or (len(t) > 4 and edits(t, b) == 1) for t in own.split("-"))]
+        assert r.brand == (near[0] if near else None), r.host
+
+
+def test_a_link_is_taken_apart_once(spark):
+    # what an expression names twice is computed twice: before, this plan held over 7000 searches
+    link, df = F.col("link"), spark.createDataFrame([("https://paypa1.com/",)], "link string")
+    plan = df.select(indicators.unwrap(link), indicators.link_flags(link), indicators.imitated_brand(names.host_of(link)))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_") < 100
+
+
+@pytest.mark.parametrize(("name", "domain"), [("a.b.Shop.co.uk.", "shop.co.uk"), ("co.uk", "co.uk"), ("a..co.uk", ".co.uk"), (".com", ".com"), ("x", "x"), ("...", None), ("", None), (None, None)])
+def test_registered_domains_of_odd_names(spark, name, domain):
+    assert value(spark, names.registered_domain(F.lit(name).cast("string"))) == domain

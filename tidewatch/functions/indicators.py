@@ -169,17 +169,18 @@ def skeleton(token: Column) -> Column:
 
 
 def _near(brand: str) -> Callable[[Column], Column]:
-    return lambda t: (skeleton(t) == brand) | ((F.length(t) > 4) & (F.levenshtein(t, F.lit(brand), 1) == 1))
+    head, tail = brand[: len(brand) // 2], brand[len(brand) // 2 :]  # one edit leaves one of them as it is
+    return lambda t: (t["folded"] == brand) | ((F.length(t["text"]) > 4) & (t["text"].startswith(head) | t["text"].endswith(tail)) & (F.levenshtein(t["text"], F.lit(brand), 1) == 1))
 
 
 def imitated_brand(host: Column) -> Column:
     """The brand that a part of a host's registered name imitates: folded or one edit away, but not the brand's own; or null."""
-    tokens = F.split(F.split(names.registered_domain(host), r"\.")[0], "-")
-    own = F.split(names.registered_domain(host), r"\.")[0]
-    out = F.lit(None).cast("string")
-    for brand in reversed(BRANDS):
-        out = F.when(F.exists(tokens, _near(brand)) & (own != brand), brand).otherwise(out)
-    return out
+
+    def imitated(own: Column) -> Column:
+        tokens = F.transform(F.split(own, "-"), lambda t: F.struct(t.alias("text"), skeleton(t).alias("folded")))
+        return names.once(tokens, lambda ts: F.coalesce(*(F.when(F.exists(ts, _near(brand)) & (own != brand), brand) for brand in BRANDS)))
+
+    return names.once(host, lambda h: names.once(F.split(names.registered_domain(h), r"\.")[0], imitated))
 
 
 #: Hosts that only forward, by the parameter that holds the true address.
@@ -188,24 +189,30 @@ REDIRECTORS = (("www.google.com", "q"), ("l.facebook.com", "u"), ("out.reddit.co
 
 def unwrap(url: Column) -> Column:
     """The address that a forwarding link leads to, or the link itself."""
-    host = names.host_of(url)
-    out = url
-    for end, key in REDIRECTORS:
-        inner = F.try_url_decode(F.regexp_extract(url, rf"[?&]{key}=([^&#]+)", 1))
-        out = F.when(((host == end) | host.endswith("." + end)) & (inner != ""), inner).otherwise(out)
-    return out
+
+    def led(host: Column) -> Column:
+        out = url
+        for end, key in REDIRECTORS:
+            inner = F.try_url_decode(F.regexp_extract(url, rf"[?&]{key}=([^&#]+)", 1))
+            out = F.when(((host == end) | host.endswith("." + end)) & (inner != ""), inner).otherwise(out)
+        return out
+
+    return names.once(names.host_of(url), led)
 
 
 def link_flags(url: Column) -> Column:
     """What speaks against a link: ip_literal, userinfo, punycode, lookalike, shortener, unwrapped."""
-    host = names.host_of(url)
-    return F.array_compact(
-        F.array(
-            F.when(host.rlike(ip.IPV4), "ip_literal"),
-            F.when(url.rlike(r"^[A-Za-z]+://[^/?#]*@"), "userinfo"),
-            F.when(host.rlike(r"(^|\.)xn--"), "punycode"),
-            F.when(imitated_brand(host).isNotNull(), "lookalike"),
-            F.when(host.isin("bit.ly", "t.co", "tinyurl.com", "goo.gl", "is.gd", "ow.ly"), "shortener"),
-            F.when(unwrap(url) != url, "unwrapped"),
+
+    def flags(host: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(host.rlike(ip.IPV4), "ip_literal"),
+                F.when(url.rlike(r"^[A-Za-z]+://[^/?#]*@"), "userinfo"),
+                F.when(host.rlike(r"(^|\.)xn--"), "punycode"),
+                F.when(imitated_brand(host).isNotNull(), "lookalike"),
+                F.when(host.isin("bit.ly", "t.co", "tinyurl.com", "goo.gl", "is.gd", "ow.ly"), "shortener"),
+                F.when(unwrap(url) != url, "unwrapped"),
+            )
         )
-    )
+
+    return names.once(names.host_of(url), flags)
